@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from encore.checks.sqltext import FP, SKIP, SUM_MS, first, hours2, rr, with_wide
+from encore.checks.sqltext import FP, SKIP, SUM_MS, first, hours2, pct, rr, with_wide
 
 # Fixture parameters (FIXTURES §3.1): literals shared by the Spark side and the oracle.
 ARTIST = "Supplier#000000007"
@@ -101,9 +101,9 @@ SELECT year, rock_full_play, hiphop_full_play, pop_full_play, total_full_play,
     CAST(count_if(coalesce(regexp_matches(artist_genres, '(?i)pop'), false)) AS BIGINT) AS pop_full_play,
     count(*) AS total_full_play
   FROM wide WHERE full_play {since} GROUP BY year(ts))"""
-    fmt = dict(rp=rr("rock_full_play * 100", "total_full_play"),
-               hp=rr("hiphop_full_play * 100", "total_full_play"),
-               pp=rr("pop_full_play * 100", "total_full_play"))
+    fmt = dict(rp=pct("rock_full_play", "total_full_play", 2),
+               hp=pct("hiphop_full_play", "total_full_play", 2),
+               pp=pct("pop_full_play", "total_full_play", 2))
     q["q12_genre_share_by_year"] = with_wide(share.format(since="", **fmt))
     q["q12b_genre_share_since"] = with_wide(
         share.format(since=f"AND ts >= TIMESTAMP '{GENRE_SINCE}'", **fmt))

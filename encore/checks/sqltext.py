@@ -86,17 +86,21 @@ def with_plays(body: str, by: tuple[str, ...] = ()) -> str:
     return f"WITH raw AS ({RAW_WIDE}), wide AS ({WIDE}), plays AS ({PLAYS.format(part=part)})\n{body}"
 
 
-def rr(num: str, den: str, digits: int = 2) -> str:
+def rr(num: str, den: str, digits: int = 2, mult: int = 1) -> str:
     """Exact half-even rounding of num/den (non-negative integers); mirrors ``exprs.round_ratio``."""
     scale = 10**digits
-    n = f"(CAST({num} AS BIGINT) * {scale})"
-    d = f"nullif(CAST({den} AS BIGINT), 0)"
+    n = f"(CAST({num} AS HUGEINT) * {scale * mult})"
+    d = f"nullif(CAST({den} AS HUGEINT), 0)"
     q = f"({n} // {d})"
     r = f"({n} % {d})"
-    rounded = f"({q} + CASE WHEN 2 * {r} > {d} THEN 1 WHEN 2 * {r} = {d} THEN {q} % 2 ELSE 0 END)"
+    rounded = f"CAST({q} + CASE WHEN 2 * {r} > {d} THEN 1 WHEN 2 * {r} = {d} THEN {q} % 2 ELSE 0 END AS BIGINT)"
     return f"({rounded} / {scale})" if digits else f"CAST({rounded} AS BIGINT)"
 
 
+def pct(part: str, whole: str, digits: int = 0) -> str:
+    return rr(part, whole, digits, 100)
+
+
 def hours2(sum_ms: str, digits: int = 2) -> str:
     return rr(sum_ms, "3600000", digits)
 

@@ -55,7 +55,7 @@ def map_values(c: str | Column, mapping: dict[str, str]) -> Column:
     return out.otherwise(expr) if out is not None else expr
 
 
-def round_ratio(num: Column, den: Column, digits: int = 2) -> Column:
+def round_ratio(num: Column, den: Column, digits: int = 2, mult: int = 1) -> Column:
     """Exact half-even rounding of the rational ``num / den`` (non-negative integers).
 
     Floating rounding of a double sum disagrees between engines on ties; the
@@ -63,18 +63,24 @@ def round_ratio(num: Column, den: Column, digits: int = 2) -> Column:
     by ``den``, ties to the even quotient, then one IEEE division.
     """
     scale = 10**digits
-    n = num.cast("long") * F.lit(scale)
-    d = F.nullif(den.cast("long"), F.lit(0))
+    # decimal(38,0): Σms × 10^digits overflows a long at 100 TB scale
+    n = num.cast("decimal(38,0)") * F.lit(scale * mult).cast("decimal(38,0)")
+    d = F.nullif(den.cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
     r = n % d
-    q = ((n - r) / d).cast("long")
+    q = ((n - r) / d).cast("decimal(38,0)")
     adj = F.when(r * 2 > d, F.lit(1)).when(r * 2 == d, q % 2).otherwise(F.lit(0))
-    rounded = q + adj
+    rounded = (q + adj).cast("long")
     return rounded / F.lit(scale) if digits > 0 else rounded
 
 
-def round_int_ratio(num: Column, den: Column) -> Column:
-    """Half-even rounding of ``num / den`` to a whole number (long)."""
-    return round_ratio(num, den, 0).cast("long")
+def round_int_ratio(num: Column, den: Column, mult: int = 1) -> Column:
+    """Half-even rounding of ``mult * num / den`` to a whole number (long)."""
+    return round_ratio(num, den, 0, mult).cast("long")
+
+
+def percent(part: Column, whole: Column, digits: int = 0) -> Column:
+    """``part / whole * 100`` rounded half-even (exact)."""
+    return round_ratio(part, whole, digits, 100) if digits else round_int_ratio(part, whole, 100)
 
 
 def hours_rounded(sum_ms: Column, digits: int = 2) -> Column:

@@ -211,7 +211,7 @@ def genre_share_by_year(
     counts = [F.count_if(F.coalesce(g.rlike(f"(?i){p}"), F.lit(False))).alias(f"{name}_full_play")
               for name, p in GENRE_PATTERNS.items()]
     agg = fp.groupBy(*by, F.year("ts").alias("year")).agg(*counts, F.count("*").alias("total_full_play"))
-    shares = {f"{name}_percent": X.round_ratio(F.col(f"{name}_full_play") * 100, F.col("total_full_play"), 2)
+    shares = {f"{name}_percent": X.percent(F.col(f"{name}_full_play"), F.col("total_full_play"), 2)
               for name in GENRE_PATTERNS}
     return agg.withColumns(shares).orderBy(*by, "year")
 

@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from encore.checks import recipes_sql as P
-from encore.operators import clean, recipes
+from encore.checks import report_sql as RS
+from encore.operators import clean, recipes, report
 from encore.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +32,55 @@ def _recipe(fn, **params) -> Query:
     return run
 
 
+def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Website-style report fact (wide fact + calendar + month index)."""
+    return clean.report_plays(tables.plays_raw_wide(spark, sf_dir))
+
+
+def _report(fn, **params) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(plays(spark, sf_dir), **params)
+
+    run.__name__ = fn.__name__
+    return run
+
+
+def report_queries() -> dict[str, Query]:
+    R, k = report, RS.REPORT_K
+    out = {
+        "r01_most_played_artists": _report(R.most_played_artists, k=k),
+        "r02_most_played_tracks": _report(R.most_played_tracks, k=k),
+        "r03_most_played_albums": _report(R.most_played_albums, k=k),
+        "r04_most_played_tracks_clickrow": _report(R.most_played_tracks_clickrow, k=k),
+        "r05_monthly_play_series_artists": _report(R.monthly_play_series, entity="artist", k=k),
+        "r05_monthly_play_series_tracks": _report(R.monthly_play_series, entity="track", k=k),
+        "r05_monthly_play_series_albums": _report(R.monthly_play_series, entity="album", k=k),
+        "r06_top_songs_of_top_artists": _report(R.top_songs_of_top_artists, k=k),
+        "r07_most_played_monthly": _report(R.most_played_monthly),
+        "r08_avg_track_length_monthly": _report(R.avg_track_length_monthly),
+        "r09_avg_play_count_per_song_yearly": _report(R.avg_play_count_per_song_yearly),
+        "r10_play_count_distribution": _report(R.play_count_distribution),
+        "r11_yearly_track_play_count": _report(R.yearly_track_play_count),
+        "r12_hour_of_day_share": _report(R.hour_of_day_share),
+        "r13_avg_hours_per_year_month": _report(R.avg_hours_per_year_month),
+        "r14_avg_hours_per_year": _report(R.avg_hours_per_year),
+        "r15_avg_hours_per_month_of_year": _report(R.avg_hours_per_month_of_year),
+        "r16_avg_hours_per_weekday": _report(R.avg_hours_per_weekday),
+        "r17_plays_per_country": _report(R.plays_per_country),
+        "r18_cumulative_play_share_track": _report(R.cumulative_play_share, entity="track"),
+        "r18_cumulative_play_share_artist": _report(R.cumulative_play_share, entity="artist"),
+        "r20_random_sample": _report(R.random_sample, n=3, seed=7),
+        "r22_month_spine": _report(R.month_spine),
+    }
+
+    def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+        f = R.filter_history(plays(spark, sf_dir), RS.FILTER_START, RS.FILTER_END, RS.FILTER_ARTIST)
+        return f.select("listener_id", "track_id", "ts", "ms_played", "full_play", "year_month")
+
+    out["r21_filter_history"] = filtered
+    return out
+
+
 def recipe_queries() -> dict[str, Query]:
     R = recipes
     return {
@@ -61,10 +111,12 @@ def recipe_queries() -> dict[str, Query]:
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(recipe_queries())
+    out.update(report_queries())
     return out
 
 
 def all_oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(P.recipe_sql())
+    out.update(RS.report_sql())
     return out
