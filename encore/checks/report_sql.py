@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from encore.checks.sqltext import FP, SUM_MS, pct, with_plays
+from encore.checks.sqltext import FP, SUM_MS, pct, rr, with_plays
 
 REPORT_K = 20
 FILTER_START = (1996, 1)
@@ -187,4 +187,129 @@ WHERE year * 12 + month BETWEEN {sy * 12 + sm} AND {ey * 12 + em} AND artist_nam
 SELECT CAST(s // 12 AS INTEGER) AS year, CAST(s % 12 + 1 AS INTEGER) AS month,
        printf('%04d-%02d', s // 12, s % 12 + 1) AS year_month
 FROM (SELECT unnest(range(min(year * 12 + month - 1), max(year * 12 + month - 1) + 1)) AS s FROM plays)""")
+    q["r19_single_values"] = kpi_sql()
+    q["r23_report_table_sizes"] = report_sizes_sql(q)
     return q
+
+
+def kpi_sql() -> str:
+    """The 41 indicators in one row (brute-force ranks for the shares)."""
+
+    def p0(part: str, whole: str) -> str:
+        return pct(part, whole, 0)
+
+    def rank_share(entity: str, n: int) -> str:
+        return (f"(SELECT {p0(f'coalesce(max(CASE WHEN rk = least({n}, uniq - 1) THEN cum END), 0)', 'max(total)')}"
+                f" FROM r_{entity}, u_{entity})")
+
+    def name(entity: str, i: int) -> str:
+        return f"coalesce((SELECT {_KEYS[entity][0][0]} FROM n_{entity} WHERE rk = {i}), '-')"
+
+    ranks = ""
+    for entity in ("artist", "track"):
+        keys, sort = _KEYS[entity]
+        ks = ", ".join(keys)
+        ranks += f""",
+e_{entity} AS (SELECT {ks}, count(*) AS plays FROM plays WHERE full_play AND {_nn(keys)} GROUP BY {ks}),
+r_{entity} AS (SELECT row_number() OVER (ORDER BY plays DESC) AS rk,
+    sum(plays) OVER (ORDER BY plays DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+    sum(plays) OVER () AS total FROM e_{entity}),
+u_{entity} AS (SELECT count(*) AS uniq FROM e_{entity}),
+n_{entity} AS (SELECT {keys[0]}, row_number() OVER (ORDER BY play_count DESC, {sort}) AS rk FROM (
+    SELECT {ks}, count_if(full_play) AS play_count FROM plays WHERE {_nn(keys)} GROUP BY {ks})
+  WHERE play_count > 0)"""
+    x = "(CAST(listening_hours AS DOUBLE) / nullif(number_of_days, 0))"
+    per_day = (f"CASE WHEN {x} >= 10 THEN CAST(CAST(round_even({x}, 0) AS BIGINT) AS VARCHAR) "
+               f"ELSE CAST(CAST(floor({x}) AS BIGINT) AS VARCHAR) || ':' || "
+               f"lpad(CAST(CAST(round_even(({x} - floor({x})) * 60, 0) AS BIGINT) AS VARCHAR), 2, '0') END")
+    skip = "reason_end = 'forward button'"
+    return with_plays(f""", base AS (
+  SELECT min(day) AS _first, max(day) AS _last,
+    count(DISTINCT CASE WHEN full_play THEN day END) AS number_of_days_with_tracks_played,
+    count(*) AS _n, {FP} AS played_songs,
+    CAST(count_if(full_play AND track_name IS NOT NULL AND artist_name IS NOT NULL) AS BIGINT) AS _fp_keyed,
+    count(DISTINCT CASE WHEN full_play AND track_name IS NOT NULL AND artist_name IS NOT NULL
+                        THEN {{'t': track_name, 'a': artist_name}} END) AS unique_tracks_played,
+    count(DISTINCT CASE WHEN full_play THEN artist_name END) AS unique_artists_played,
+    count(DISTINCT CASE WHEN full_play AND album_name IS NOT NULL AND artist_name IS NOT NULL
+                        THEN {{'t': album_name, 'a': artist_name}} END) AS unique_albums_played,
+    {SUM_MS} AS _ms,
+    count_if(full_play AND shuffle) AS _fp_shuffle, count_if(shuffle) AS _shuffle,
+    CAST(count_if({skip}) AS BIGINT) AS skipped_songs,
+    CAST(sum(CASE WHEN {skip} THEN ms_played END) AS BIGINT) AS _skip_ms,
+    count_if({skip} AND ms_played < 3000) AS _skip_3s,
+    count_if({skip} AND ms_played > 30000) AS _skip_30s,
+    count_if({skip} AND ms_played > 120000) AS _skip_120s,
+    count_if({skip} AND shuffle) AS _skip_shuffle, count_if({skip} AND NOT shuffle) AS _skip_no_shuffle,
+    count_if(reason_start = 'forward button') AS _rs_fwd, count_if(reason_start = 'back button') AS _rs_back,
+    count_if(reason_start = 'trackdone') AS _rs_done, count_if(reason_start = 'clickrow') AS _rs_click,
+    count_if(full_play AND incognito_mode) AS _fp_incognito,
+    count_if(full_play AND reason_start = 'clickrow') AS _fp_click
+  FROM plays),
+k AS (SELECT *, CAST(date_diff('day', _first, _last) AS BIGINT) AS number_of_days,
+             {rr('_ms', '3600000', 0)} AS listening_hours FROM base){ranks}
+SELECT strftime(_first, '%Y-%m-%d') AS first_day, strftime(_last, '%Y-%m-%d') AS last_day, number_of_days,
+  number_of_days_with_tracks_played,
+  {p0('number_of_days_with_tracks_played', 'number_of_days')} AS percent_of_days_with_tracks_played,
+  played_songs, {rr('played_songs', 'number_of_days', 0)} AS played_songs_per_day,
+  unique_tracks_played, unique_artists_played, unique_albums_played,
+  {rr('unique_tracks_played', 'unique_artists_played', 1)} AS unique_tracks_played_per_artist,
+  listening_hours, {per_day} AS listening_hours_per_day,
+  {p0('_fp_shuffle', 'played_songs')} AS percent_of_played_songs_using_shuffle,
+  skipped_songs, {p0('skipped_songs', '_n')} AS percent_of_skipped_songs,
+  CASE WHEN skipped_songs = 0 THEN 0 ELSE {rr('_skip_ms', 'skipped_songs * 1000', 0)} END AS avg_seconds_played_before_skipping,
+  CASE WHEN skipped_songs = 0 THEN 0 ELSE {p0('_skip_3s', 'skipped_songs')} END AS percent_of_songs_skipped_before_3s,
+  CASE WHEN skipped_songs = 0 THEN 0 ELSE {p0('_skip_30s', 'skipped_songs')} END AS percent_of_songs_skipped_after_30s,
+  CASE WHEN skipped_songs = 0 THEN 0 ELSE {p0('_skip_120s', 'skipped_songs')} END AS percent_of_songs_skipped_after_120s,
+  CASE WHEN _shuffle = 0 THEN 0 ELSE {p0('_skip_shuffle', '_shuffle')} END AS percent_of_skipped_songs_using_shuffle,
+  CASE WHEN _shuffle = 0 THEN 0 ELSE {p0('_skip_no_shuffle', '_shuffle')} END AS percent_of_skipped_songs_not_using_shuffle,
+  {p0('_rs_fwd', '_n')} AS percent_reason_start_forward_button,
+  {p0('_rs_back', '_n')} AS percent_reason_start_back_button,
+  {p0('_rs_done', '_n')} AS percent_reason_start_trackdone,
+  {p0('_rs_click', '_n')} AS percent_reason_start_clickrow,
+  {p0('_fp_incognito', 'played_songs')} AS percent_of_played_songs_using_incognito_mode,
+  {rr('_fp_keyed', 'unique_tracks_played', 1)} AS average_play_count_per_song,
+  {p0('_fp_click', 'played_songs')} AS percent_played_songs_reason_start_clickrow,
+  {rank_share('artist', 10)} AS top_10_artist_play_count_percent,
+  {rank_share('artist', 100)} AS top_100_artist_play_count_percent,
+  {rank_share('artist', 500)} AS top_500_artist_play_count_percent,
+  {rank_share('track', 10)} AS top_10_track_play_count_percent,
+  {rank_share('track', 100)} AS top_100_track_play_count_percent,
+  {rank_share('track', 500)} AS top_500_track_play_count_percent,
+  {name('artist', 1)} AS top_1_artist, {name('track', 1)} AS top_1_track,
+  {name('artist', 2)} AS top_2_artist, {name('track', 2)} AS top_2_track,
+  {name('artist', 3)} AS top_3_artist, {name('track', 3)} AS top_3_track
+FROM k""")
+
+
+# report table name → registered query key whose SQL computes the same table
+REPORT_TABLE_KEYS = {
+    "most_played_artists_total": "r01_most_played_artists",
+    "most_played_tracks_total": "r02_most_played_tracks",
+    "most_played_albums_total": "r03_most_played_albums",
+    "most_played_tracks_total_reason_start_clickrow": "r04_most_played_tracks_clickrow",
+    "monthly_play_series_artists": "r05_monthly_play_series_artists",
+    "monthly_play_series_tracks": "r05_monthly_play_series_tracks",
+    "monthly_play_series_albums": "r05_monthly_play_series_albums",
+    "top_songs_of_top_artists": "r06_top_songs_of_top_artists",
+    "most_played_artists_track_album_monthly": "r07_most_played_monthly",
+    "avg_track_length_monthly": "r08_avg_track_length_monthly",
+    "avg_play_count_per_song_yearly": "r09_avg_play_count_per_song_yearly",
+    "play_count_distribution": "r10_play_count_distribution",
+    "yearly_track_play_count": "r11_yearly_track_play_count",
+    "hours_played_percent_per_hour_of_the_day": "r12_hour_of_day_share",
+    "avg_hours_played_per_year_month": "r13_avg_hours_per_year_month",
+    "avg_hours_played_per_year": "r14_avg_hours_per_year",
+    "avg_hours_played_per_month": "r15_avg_hours_per_month_of_year",
+    "avg_hours_played_per_day_name": "r16_avg_hours_per_weekday",
+    "plays_per_county_total": "r17_plays_per_country",
+    "cumulative_percent_play_count_track": "r18_cumulative_play_share_track",
+    "cumulative_percent_play_count_artist": "r18_cumulative_play_share_artist",
+}
+
+
+def report_sizes_sql(tables_sql: dict[str, str]) -> str:
+    """Row count of every report table, from the per-table oracle SQL."""
+    parts = [f"SELECT '{name}' AS table_name, count(*) AS n_rows FROM ({tables_sql[key]})"
+             for name, key in REPORT_TABLE_KEYS.items()]
+    return "\nUNION ALL\n".join(parts)

@@ -137,9 +137,13 @@ def wide_fact(raw: DataFrame) -> DataFrame:
     return with_hours(mark_full_play(map_reasons(raw)))
 
 
-def report_plays(raw: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Website-style fact: wide fact + calendar columns + month index."""
-    return with_month_index(with_calendar(wide_fact(raw)), by)
+def report_plays(raw: DataFrame) -> DataFrame:
+    """Website-style fact: wide fact + calendar columns.
+
+    The month index (P12) needs a minimum over the whole fact, so it is added
+    only by the operator that reads it (R5), not carried by every report table.
+    """
+    return with_calendar(wide_fact(raw))
 
 
 def clean_history(raw: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from encore.functions import exprs as X
+from encore.operators.clean import with_month_index
 from encore.operators.common import first_row, top_k
 
 # entity → key columns; ties sort by the keys joined with the composite separator
@@ -129,6 +130,8 @@ def monthly_play_series(plays: DataFrame, entity: str, k: int = 100, by: Sequenc
     non-zero monthly counts. ``p99_plays`` is the label value int(p99)."""
     by = list(by)
     keys = _keys(entity)
+    if "month_index" not in plays.columns:
+        plays = with_month_index(plays, by)
     top = most_played(plays, entity, k, by).select(*by, *keys)
     fp = plays.filter(F.col("full_play")).select(*by, *keys, "month_index")
     # k rows (per group): broadcast is bounded by k when there is no grouping
@@ -367,22 +370,24 @@ def avg_hours_per_weekday(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame
 
 def play_count_histogram(plays: DataFrame, entity: str, by: Sequence[str] = ()) -> DataFrame:
     """Per group and full-play count: how many entities have it, with the running
-    totals in descending count order (a window over the small histogram only)."""
+    totals in descending count order (a window over the small histogram only).
+
+    Built on ``entity_play_counts`` — the same aggregate R1–R3 use — so a plan
+    that needs both shuffles the fact once for them.
+    """
     by = list(by)
-    keys = _keys(entity)
-    per_entity = (
-        _non_null(plays.filter(F.col("full_play")), keys)
-        .groupBy(*by, *keys).agg(F.count("*").alias("plays"))
-    )
-    hist = per_entity.groupBy(*by, "plays").agg(F.count("*").alias("entities"))
+    per_entity = entity_play_counts(plays, entity, by).filter(F.col("play_count") > 0)
+    hist = per_entity.groupBy(*by, F.col("play_count").alias("plays")).agg(F.count("*").alias("entities"))
     w = Window.partitionBy(*by).orderBy(F.desc("plays")).rowsBetween(Window.unboundedPreceding, 0)
     tot = Window.partitionBy(*by)
+    mass = F.col("plays") * F.col("entities")
     return hist.select(
         *by, "plays", "entities",
         (F.sum("entities").over(w) - F.col("entities") + 1).alias("first_rank"),
         F.sum("entities").over(w).alias("last_rank"),
-        (F.sum(F.col("plays") * F.col("entities")).over(w) - F.col("plays") * F.col("entities")).alias("plays_before"),
-        F.sum(F.col("plays") * F.col("entities")).over(tot).alias("total_plays"),
+        (F.sum(mass).over(w) - mass).alias("plays_before"),
+        F.sum(mass).over(tot).alias("total_plays"),
+        F.sum("entities").over(tot).alias("unique"),
     )
 
 
@@ -421,15 +426,13 @@ def share_at_rank(plays: DataFrame, entity: str, ranks: Sequence[int], by: Seque
     rounded to a whole percent; one row per group, columns ``top_<N>``."""
     by = list(by)
     hist = play_count_histogram(plays, entity, by)
-    uniq = hist.groupBy(*by).agg(F.max("last_rank").alias("unique"), F.max("total_plays").alias("total"))
     cols = []
     for n in ranks:
         r = F.least(F.lit(n).cast("long"), F.col("unique") - 1)
         inside = (F.col("first_rank") <= r) & (r <= F.col("last_rank"))
         cum = F.col("plays_before") + (r - F.col("first_rank") + 1) * F.col("plays")
         cols.append(F.max(F.when(inside, cum)).alias(f"_cum{n}"))
-    joined = hist.join(uniq, by) if by else hist.crossJoin(F.broadcast(uniq))
-    picked = joined.groupBy(*by).agg(*cols, F.max("total").alias("total"))
+    picked = hist.groupBy(*by).agg(*cols, F.max("total_plays").alias("total"))
     return picked.select(*by, *[
         X.percent(F.coalesce(F.col(f"_cum{n}"), F.lit(0)), F.col("total")).alias(f"top_{n}")
         for n in ranks

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from encore.checks import recipes_sql as P
 from encore.checks import report_sql as RS
-from encore.operators import clean, recipes, report
+from encore.operators import clean, kpis, recipes, report
+from encore.plans import report as report_plan
 from encore.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +79,16 @@ def report_queries() -> dict[str, Query]:
         return f.select("listener_id", "track_id", "ts", "ms_played", "full_play", "year_month")
 
     out["r21_filter_history"] = filtered
+
+    def kpis_(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return kpis.single_values(plays(spark, sf_dir))
+
+    def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rep = report_plan.Report(plays(spark, sf_dir), k=k, persist=False)
+        return report_plan.table_sizes(rep)
+
+    out["r19_single_values"] = kpis_
+    out["r23_report_table_sizes"] = sizes
     return out
 
 
