@@ -11,11 +11,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from encore.checks import ingest_sql as IS
 from encore.checks import recipes_sql as P
 from encore.checks import report_sql as RS
-from encore.operators import clean, kpis, recipes, report
+from encore.operators import clean, enrich, kpis, recipes, report
 from encore.plans import report as report_plan
-from encore.sources import tables
+from encore.sources import derived, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -119,8 +120,71 @@ def recipe_queries() -> dict[str, Query]:
     }
 
 
+def ingest_queries() -> dict[str, Query]:
+    """Cleaning and enrichment chains over raw exports / documents derived from the tables."""
+    from pyspark.sql import functions as F
+
+    def raw(spark, sf_dir):
+        return tables.plays_raw_wide(spark, sf_dir)
+
+    def clean_history(spark, sf_dir):
+        return clean.clean_history(derived.parse_export(derived.raw_export(raw(spark, sf_dir))))
+
+    def tracks(spark, sf_dir):
+        return enrich.flatten_tracks(derived.track_docs(raw(spark, sf_dir)))
+
+    def referenced(spark, sf_dir):
+        return enrich.referenced_ids(derived.track_docs(raw(spark, sf_dir)))
+
+    def artists(spark, sf_dir):
+        r = raw(spark, sf_dir)
+        return enrich.flatten_artists(derived.artist_docs(r), derived.kg_docs(r))
+
+    def albums(spark, sf_dir):
+        return enrich.flatten_albums(derived.album_docs(raw(spark, sf_dir)))
+
+    def pending(spark, sf_dir):
+        r = raw(spark, sf_dir)
+        cached = derived.track_docs(r.filter(F.col("artist_id") % 2 == 0)).select("id")
+        return enrich.pending_ids(r.select(F.col("track_id").alias("id")), cached)
+
+    def batches(spark, sf_dir):
+        ids = enrich.pending_ids(raw(spark, sf_dir).select(F.col("track_id").alias("id")),
+                                 spark.createDataFrame([], "id string"))
+        return enrich.batch_ids(ids, 50)
+
+    def images(spark, sf_dir):
+        docs = derived.artist_docs(raw(spark, sf_dir))
+        cached = docs.filter(F.col("id").cast("long") % 3 == 0).select("id")
+        return enrich.image_worklist(docs, cached)
+
+    def wide_from_docs(spark, sf_dir):
+        r = raw(spark, sf_dir)
+        plays_ = clean.mark_full_play(clean.map_reasons(r.select(
+            "listener_id", "track_id", "ts", "ms_played", "reason_start", "reason_end")))
+        t = enrich.flatten_tracks(derived.track_docs(r))
+        w = enrich.wide_fact(
+            enrich.attach_primary_artist(plays_, t), t,
+            enrich.flatten_albums(derived.album_docs(r)),
+            enrich.flatten_artists(derived.artist_docs(r), derived.kg_docs(r)))
+        return w.select(*IS.WIDE_FROM_DOCS_COLUMNS)
+
+    return {
+        "p_clean_history": clean_history,
+        "e01_pending_track_ids": pending,
+        "e02_id_batches": batches,
+        "e03_image_worklist": images,
+        "e04_flatten_tracks": tracks,
+        "e05_referenced_ids": referenced,
+        "e11_flatten_artists": artists,
+        "e12_flatten_albums": albums,
+        "e14_wide_fact_from_documents": wide_from_docs,
+    }
+
+
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
+    out.update(ingest_queries())
     out.update(recipe_queries())
     out.update(report_queries())
     return out
@@ -130,4 +194,6 @@ def all_oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(P.recipe_sql())
     out.update(RS.report_sql())
+    out["p_clean_history"] = IS.clean_history_sql()
+    out.update(IS.enrich_sql())
     return out

@@ -85,7 +85,7 @@ def main():
     qs, sqls = E.queries(), E.oracle_sql()
     bad = 0
     for name, fn in qs.items():
-        if filters and not any(f in name for f in filters):
+        if filters and not any(name.startswith(f) for f in filters):
             continue
         try:
             r = compare(spark, con, name, fn, sqls.get(name), sf_dir)
