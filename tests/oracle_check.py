@@ -79,7 +79,7 @@ def main():
     filters = [a for a in args if not a.startswith("/")]
     import __spark_entry__ as E
 
-    spark = build_session("local[8]", shuffle_partitions=8)
+    spark = build_session("local[8]", shuffle_partitions=8, extra_conf={"spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     qs, sqls = E.queries(), E.oracle_sql()
