@@ -55,15 +55,39 @@ def map_values(c: str | Column, mapping: dict[str, str]) -> Column:
     return out.otherwise(expr) if out is not None else expr
 
 
-def round_ratio(num: Column, den: Column, digits: int = 2, mult: int = 1) -> Column:
-    """Exact half-even rounding of the rational ``num / den`` (non-negative integers).
-
-    Floating rounding of a double sum disagrees between engines on ties; the
-    integer form below is exact: quotient and remainder of ``num * 10^digits``
-    by ``den``, ties to the even quotient, then one IEEE division.
+def _sql_operand(x) -> str | None:
+    if isinstance(x, bool):
+        return None
+    if isinstance(x, int):
+        return str(x)
+    if isinstance(x, str):
+        return f"`{x}`"
+    return None
+
+
+def round_ratio(num, den, digits: int = 2, mult: int = 1) -> Column:
+    """Exact half-even rounding of the rational ``mult * num / den`` (non-negative integers).
+
+    ``num``/``den`` are column names, integer constants or Columns. Floating
+    rounding of a double sum disagrees between engines on ties; the integer
+    form is exact: quotient and remainder of ``num * mult * 10^digits`` by
+    ``den`` in decimal(38,0) (Σms × 10^4 overflows a long at 100 TB scale),
+    ties to the even quotient, then one IEEE division. ``den = 0`` → null.
+
+    With names/constants the expression is emitted as one SQL expression
+    (one call instead of dozens of Column builder calls).
     """
     scale = 10**digits
-    # decimal(38,0): Σms × 10^digits overflows a long at 100 TB scale
+    n_sql, d_sql = _sql_operand(num), _sql_operand(den)
+    if n_sql is not None and d_sql is not None:
+        n = f"(CAST({n_sql} AS DECIMAL(38,0)) * {scale * mult})"
+        d = f"NULLIF(CAST({d_sql} AS DECIMAL(38,0)), 0)"
+        q = f"({n} div {d})"
+        r = f"({n} % {d})"
+        rounded = f"({q} + CASE WHEN 2 * {r} > {d} THEN 1 WHEN 2 * {r} = {d} THEN {q} % 2 ELSE 0 END)"
+        return F.expr(f"{rounded} / {scale}" if digits else f"CAST({rounded} AS BIGINT)")
+    num = F.lit(num) if isinstance(num, int) else col(num)
+    den = F.lit(den) if isinstance(den, int) else col(den)
     n = num.cast("decimal(38,0)") * F.lit(scale * mult).cast("decimal(38,0)")
     d = F.nullif(den.cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
     r = n % d
@@ -73,19 +97,20 @@ def round_ratio(num: Column, den: Column, digits: int = 2, mult: int = 1) -> Col
     return rounded / F.lit(scale) if digits > 0 else rounded
 
 
-def round_int_ratio(num: Column, den: Column, mult: int = 1) -> Column:
+def round_int_ratio(num, den, mult: int = 1) -> Column:
     """Half-even rounding of ``mult * num / den`` to a whole number (long)."""
-    return round_ratio(num, den, 0, mult).cast("long")
+    out = round_ratio(num, den, 0, mult)
+    return out if _sql_operand(num) is not None and _sql_operand(den) is not None else out.cast("long")
 
 
-def percent(part: Column, whole: Column, digits: int = 0) -> Column:
+def percent(part, whole, digits: int = 0) -> Column:
     """``part / whole * 100`` rounded half-even (exact)."""
     return round_ratio(part, whole, digits, 100) if digits else round_int_ratio(part, whole, 100)
 
 
-def hours_rounded(sum_ms: Column, digits: int = 2) -> Column:
+def hours_rounded(sum_ms, digits: int = 2) -> Column:
     """Σ ms as hours, rounded half-even to ``digits``."""
-    return round_ratio(sum_ms, F.lit(MS_PER_HOUR), digits)
+    return round_ratio(sum_ms, MS_PER_HOUR, digits)
 
 
 def hours(sum_ms: Column) -> Column:

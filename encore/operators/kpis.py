@@ -95,9 +95,12 @@ def single_values(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.count_if(fp & F.col("incognito_mode")).alias("_fp_incognito"),
         F.count_if(fp & (rs == "clickrow")).alias("_fp_click"),
     )
-    days = F.datediff("_last", "_first").cast("long")
-    hours = X.round_int_ratio(F.col("_ms"), F.lit(X.MS_PER_HOUR))
-    per_day = hours / F.nullif(days, F.lit(0))
+    base = base.withColumns({
+        "number_of_days": F.datediff("_last", "_first").cast("long"),
+        "_skips_ms": F.col("skipped_songs") * 1000,
+    })
+    base = base.withColumn("listening_hours", X.round_int_ratio("_ms", X.MS_PER_HOUR))
+    per_day = F.col("listening_hours") / F.nullif(F.col("number_of_days"), F.lit(0))
     skips = F.col("skipped_songs")
 
     def if_skips(c: Column) -> Column:
@@ -106,38 +109,36 @@ def single_values(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     def if_shuffle(c: Column) -> Column:
         return F.when(F.col("_shuffle") == 0, F.lit(0).cast("long")).otherwise(c)
 
+    P = X.percent
     kpi = base.select(
         *by,
         F.date_format("_first", "yyyy-MM-dd").alias("first_day"),
         F.date_format("_last", "yyyy-MM-dd").alias("last_day"),
-        days.alias("number_of_days"),
-        "number_of_days_with_tracks_played",
-        X.percent(F.col("number_of_days_with_tracks_played"), days).alias("percent_of_days_with_tracks_played"),
+        "number_of_days", "number_of_days_with_tracks_played",
+        P("number_of_days_with_tracks_played", "number_of_days").alias("percent_of_days_with_tracks_played"),
         "played_songs",
-        X.round_int_ratio(F.col("played_songs"), days).alias("played_songs_per_day"),
+        X.round_int_ratio("played_songs", "number_of_days").alias("played_songs_per_day"),
         "unique_tracks_played", "unique_artists_played", "unique_albums_played",
-        X.round_ratio(F.col("unique_tracks_played"), F.col("unique_artists_played"), 1)
-        .alias("unique_tracks_played_per_artist"),
-        hours.alias("listening_hours"),
+        X.round_ratio("unique_tracks_played", "unique_artists_played", 1).alias("unique_tracks_played_per_artist"),
+        "listening_hours",
         F.regexp_replace(X.format_hours(per_day), "h$", "").alias("listening_hours_per_day"),
-        X.percent(F.col("_fp_shuffle"), F.col("played_songs")).alias("percent_of_played_songs_using_shuffle"),
+        P("_fp_shuffle", "played_songs").alias("percent_of_played_songs_using_shuffle"),
         "skipped_songs",
-        X.percent(skips, F.col("_n")).alias("percent_of_skipped_songs"),
-        if_skips(X.round_int_ratio(F.col("_skip_ms"), skips * 1000)).alias("avg_seconds_played_before_skipping"),
-        if_skips(X.percent(F.col("_skip_3s"), skips)).alias("percent_of_songs_skipped_before_3s"),
-        if_skips(X.percent(F.col("_skip_30s"), skips)).alias("percent_of_songs_skipped_after_30s"),
-        if_skips(X.percent(F.col("_skip_120s"), skips)).alias("percent_of_songs_skipped_after_120s"),
-        if_shuffle(X.percent(F.col("_skip_shuffle"), F.col("_shuffle"))).alias("percent_of_skipped_songs_using_shuffle"),
+        P("skipped_songs", "_n").alias("percent_of_skipped_songs"),
+        if_skips(X.round_int_ratio("_skip_ms", "_skips_ms")).alias("avg_seconds_played_before_skipping"),
+        if_skips(P("_skip_3s", "skipped_songs")).alias("percent_of_songs_skipped_before_3s"),
+        if_skips(P("_skip_30s", "skipped_songs")).alias("percent_of_songs_skipped_after_30s"),
+        if_skips(P("_skip_120s", "skipped_songs")).alias("percent_of_songs_skipped_after_120s"),
+        if_shuffle(P("_skip_shuffle", "_shuffle")).alias("percent_of_skipped_songs_using_shuffle"),
         # divides by shuffle rows, as the reference does (trap T6)
-        if_shuffle(X.percent(F.col("_skip_no_shuffle"), F.col("_shuffle")))
-        .alias("percent_of_skipped_songs_not_using_shuffle"),
-        X.percent(F.col("_rs_fwd"), F.col("_n")).alias("percent_reason_start_forward_button"),
-        X.percent(F.col("_rs_back"), F.col("_n")).alias("percent_reason_start_back_button"),
-        X.percent(F.col("_rs_done"), F.col("_n")).alias("percent_reason_start_trackdone"),
-        X.percent(F.col("_rs_click"), F.col("_n")).alias("percent_reason_start_clickrow"),
-        X.percent(F.col("_fp_incognito"), F.col("played_songs")).alias("percent_of_played_songs_using_incognito_mode"),
-        X.round_ratio(F.col("_fp_keyed"), F.col("unique_tracks_played"), 1).alias("average_play_count_per_song"),
-        X.percent(F.col("_fp_click"), F.col("played_songs")).alias("percent_played_songs_reason_start_clickrow"),
+        if_shuffle(P("_skip_no_shuffle", "_shuffle")).alias("percent_of_skipped_songs_not_using_shuffle"),
+        P("_rs_fwd", "_n").alias("percent_reason_start_forward_button"),
+        P("_rs_back", "_n").alias("percent_reason_start_back_button"),
+        P("_rs_done", "_n").alias("percent_reason_start_trackdone"),
+        P("_rs_click", "_n").alias("percent_reason_start_clickrow"),
+        P("_fp_incognito", "played_songs").alias("percent_of_played_songs_using_incognito_mode"),
+        X.round_ratio("_fp_keyed", "unique_tracks_played", 1).alias("average_play_count_per_song"),
+        P("_fp_click", "played_songs").alias("percent_played_songs_reason_start_clickrow"),
     )
     shares = []
     for entity in ("artist", "track"):

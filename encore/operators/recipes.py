@@ -37,7 +37,7 @@ def top_artists_by_hours(wide: DataFrame, k: int = 10, by: Sequence[str] = ()) -
         wide.filter(F.col("artist_name").isNotNull())
         .groupBy(*by, "artist_name")
         .agg(sum_ms(), full_plays().alias("full_play_count"), skips().alias("skip_count"))
-        .select(*by, "artist_name", X.hours_rounded(F.col("sum_ms")).alias("hours_played"),
+        .select(*by, "artist_name", X.hours_rounded("sum_ms").alias("hours_played"),
                 "full_play_count", "skip_count")
     )
     return top_k(agg, [F.desc("hours_played"), F.asc("artist_name")], k, by)
@@ -51,7 +51,7 @@ def top_tracks_of_artist(wide: DataFrame, artist_name: str, k: int = 10, by: Seq
         .groupBy(*by, "track_id")
         .agg(first_value("track_name").alias("track_name"), first_value("album_name").alias("album_name"),
              sum_ms(), full_plays().alias("full_play_count"), skips().alias("skip_count"))
-        .withColumn("hours_played", X.hours_rounded(F.col("sum_ms")))
+        .withColumn("hours_played", X.hours_rounded("sum_ms"))
     )
     out = top_k(agg, [F.desc("hours_played"), F.asc("track_id")], k, by)
     return out.select(*by, "track_name", "album_name", "hours_played", "full_play_count", "skip_count")
@@ -76,7 +76,7 @@ def hours_by_gender(wide: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     agg = (
         wide.groupBy(*by, "gender")
         .agg(sum_ms(), full_plays().alias("full_play"))
-        .select(*by, "gender", X.hours_rounded(F.col("sum_ms")).alias("hours_played"), "full_play")
+        .select(*by, "gender", X.hours_rounded("sum_ms").alias("hours_played"), "full_play")
     )
     return top_k(agg, [F.desc("full_play"), F.asc_nulls_first("gender")], None, by)
 
@@ -93,7 +93,7 @@ def top_track_per_female_artist(
         .agg(*[first_value(c).alias(c) for c in
                ("track_name", "artist_name", "album_name", "album_release_year", "country", "gender")],
              sum_ms(), full_plays().alias("full_play"))
-        .withColumn("hours_played", X.hours_rounded(F.col("sum_ms")))
+        .withColumn("hours_played", X.hours_rounded("sum_ms"))
         .filter(F.col("artist_name").isNotNull())
     )
     best = first_row(tracks, [*by, "artist_name"], [F.desc("hours_played"), F.asc("track_id")])
@@ -137,7 +137,7 @@ def top_countries(wide: DataFrame, k: int = 10, by: Sequence[str] = ()) -> DataF
         wide.filter(F.col("country").isNotNull())
         .groupBy(*by, "country")
         .agg(sum_ms(), full_plays().alias("full_play"))
-        .select(*by, "country", X.hours_rounded(F.col("sum_ms")).alias("hours_played"), "full_play")
+        .select(*by, "country", X.hours_rounded("sum_ms").alias("hours_played"), "full_play")
     )
     return top_k(agg, [F.desc("full_play"), F.asc("country")], k, by)
 
@@ -154,7 +154,7 @@ def top_solo_tracks_by_release_era(
         .agg(*[first_value(c).alias(c) for c in
                ("track_name", "artist_name", "album_name", "album_release_year", "country")],
              sum_ms(), full_plays().alias("full_play"))
-        .withColumn("hours_played", X.hours_rounded(F.col("sum_ms")))
+        .withColumn("hours_played", X.hours_rounded("sum_ms"))
     )
     out = top_k(agg, [F.desc("hours_played"), F.asc("track_id")], k, by)
     return out.select(*by, "track_name", "artist_name", "album_name", "album_release_year", "country",
@@ -175,7 +175,7 @@ def top_genres(wide: DataFrame, k: int = 20, by: Sequence[str] = ()) -> DataFram
     agg = (
         per_string.withColumn("genres", F.explode(F.split(F.col("artist_genres"), ";")))
         .groupBy(*by, "genres").agg(F.sum("sum_ms").alias("sum_ms"))
-        .select(*by, "genres", X.round_int_ratio(F.col("sum_ms"), F.lit(X.MS_PER_HOUR)).alias("hours_played"))
+        .select(*by, "genres", X.round_int_ratio("sum_ms", X.MS_PER_HOUR).alias("hours_played"))
     )
     return top_k(agg, [F.desc("hours_played"), F.asc("genres")], k, by)
 
@@ -189,7 +189,7 @@ def top_tracks_in_genre(wide: DataFrame, genre: str = "classical", k: int = 10,
         .groupBy(*by, "track_id")
         .agg(first_value("track_name").alias("track_name"), first_value("artist_name").alias("artist_name"),
              sum_ms(), full_plays().alias("full_play"))
-        .withColumn("hours_played", X.hours_rounded(F.col("sum_ms")))
+        .withColumn("hours_played", X.hours_rounded("sum_ms"))
     )
     out = top_k(agg, [F.desc("full_play"), F.asc("track_id")], k, by)
     return out.select(*by, "track_name", "artist_name", "hours_played", "full_play")
@@ -211,7 +211,7 @@ def genre_share_by_year(
     counts = [F.count_if(F.coalesce(g.rlike(f"(?i){p}"), F.lit(False))).alias(f"{name}_full_play")
               for name, p in GENRE_PATTERNS.items()]
     agg = fp.groupBy(*by, F.year("ts").alias("year")).agg(*counts, F.count("*").alias("total_full_play"))
-    shares = {f"{name}_percent": X.percent(F.col(f"{name}_full_play"), F.col("total_full_play"), 2)
+    shares = {f"{name}_percent": X.percent(f"{name}_full_play", "total_full_play", 2)
               for name in GENRE_PATTERNS}
     return agg.withColumns(shares).orderBy(*by, "year")
 
@@ -224,7 +224,7 @@ def top_bands_and_solo(wide: DataFrame, k: int = 5, by: Sequence[str] = ()) -> D
         .groupBy(*by, "is_band", "artist_name")
         .agg(sum_ms(), full_plays().alias("full_play_count"))
         .filter(F.col("artist_name").isNotNull())
-        .withColumn("hours_played", X.hours_rounded(F.col("sum_ms")))
+        .withColumn("hours_played", X.hours_rounded("sum_ms"))
     )
     out = top_k(agg, [F.desc("hours_played"), F.asc("artist_name")], k, [*by, "is_band"])
     return out.select(*by, "artist_name", "hours_played", "full_play_count", "is_band")
@@ -246,11 +246,11 @@ def top_artist_per_top_country(wide: DataFrame, k: int = 10, by: Sequence[str] =
     countries = (
         wide.filter(F.col("country").isNotNull()).groupBy(*by, "country").agg(sum_ms())
         .select(*by, "country",
-                X.round_int_ratio(F.col("sum_ms"), F.lit(X.MS_PER_HOUR)).alias("total_hours"))
+                X.round_int_ratio("sum_ms", X.MS_PER_HOUR).alias("total_hours"))
     )
     top_countries_ = top_k(countries, [F.desc("total_hours"), F.asc("country")], k, by)
     artists = per_artist.withColumn(
-        "hours_played_artist", X.round_int_ratio(F.col("sum_ms"), F.lit(X.MS_PER_HOUR)))
+        "hours_played_artist", X.round_int_ratio("sum_ms", X.MS_PER_HOUR))
     best = first_row(artists, [*by, "country"], [F.desc("hours_played_artist"), F.asc("artist_name")])
     # the top-k side holds at most k rows per group: a bounded broadcast
     joined = best.join(F.broadcast(top_countries_) if not by else top_countries_, [*by, "country"])
@@ -267,7 +267,7 @@ def discovered_in_year(wide: DataFrame, year: int, k: int = 20, by: Sequence[str
              *[first_value(c).alias(c) for c in ("track_name", "artist_name", "album_name", "album_release_year")],
              full_plays().alias("full_play"), sum_ms())
         .filter(F.year("first_play") == year)
-        .withColumn("hours_played", X.hours_rounded(F.col("sum_ms")))
+        .withColumn("hours_played", X.hours_rounded("sum_ms"))
     )
     out = top_k(agg, [F.desc("full_play"), F.asc("track_id")], k, by)
     return out.select(*by, "track_name", "artist_name", "album_name", "album_release_year", "full_play",
@@ -283,7 +283,7 @@ def never_finished(wide: DataFrame, k: int = 10, by: Sequence[str] = ()) -> Data
              F.bool_or("full_play").alias("any_full"), sum_ms(),
              F.count("ms_played").alias("partial_play_count"))
         .filter(~F.col("any_full"))
-        .withColumn("hours_played", X.hours_rounded(F.col("sum_ms")))
+        .withColumn("hours_played", X.hours_rounded("sum_ms"))
     )
     out = top_k(agg, [F.desc("partial_play_count"), F.desc("hours_played"), F.asc("track_id")], k, by)
     return out.select(*by, "track_name", "artist_name", "album_name", "hours_played", "partial_play_count")
@@ -307,14 +307,14 @@ def least_played_of_top_albums(wide: DataFrame, k: int = 10, by: Sequence[str] =
         tracks.groupBy(*keys)
         .agg(F.sum("sum_ms").alias("album_ms"), F.sum("full_play").alias("album_fp"),
              F.count("*").alias("n_tracks"))
-        .select(*keys, X.hours_rounded(F.col("album_ms"), 1).alias("total_album_hours"),
-                X.round_ratio(F.col("album_fp"), F.col("n_tracks"), 1).alias("avg_full_play"))
+        .select(*keys, X.hours_rounded("album_ms", 1).alias("total_album_hours"),
+                X.round_ratio("album_fp", "n_tracks", 1).alias("avg_full_play"))
     )
     top_albums = top_k(albums, [F.desc("total_album_hours"), F.asc("artist_name"), F.asc("album_name")], k, by)
     least = first_row(tracks, keys, [F.asc("full_play"), F.asc("track_name")])
     joined = least.join(F.broadcast(top_albums) if not by else top_albums, keys)
     return joined.select(*keys, "total_album_hours", "track_name",
-                         X.hours_rounded(F.col("sum_ms"), 1).alias("hours_played"), "full_play", "avg_full_play")
+                         X.hours_rounded("sum_ms", 1).alias("hours_played"), "full_play", "avg_full_play")
 
 
 def one_hit_wonders(
@@ -331,7 +331,7 @@ def one_hit_wonders(
         .groupBy(*by, "artist_name", "track_name")
         .agg(full_plays().alias("full_play"), sum_ms())
         # per-track hours rounded to 2 digits, kept as an integer count of 1/100 h
-        .withColumn("centi_hours", X.round_int_ratio(F.col("sum_ms"), F.lit(X.MS_PER_HOUR // 100)))
+        .withColumn("centi_hours", X.round_int_ratio("sum_ms", X.MS_PER_HOUR // 100))
     )
     artists = (
         tracks.groupBy(*by, "artist_name")
@@ -356,7 +356,7 @@ def not_played_since(
         .agg(*[first_value(c).alias(c) for c in ("track_name", "artist_name", "album_name")],
              F.max("ts").alias("last_play"), full_plays().alias("full_play"), sum_ms())
         .filter(F.col("last_play") < _minus_days(as_of, days))
-        .withColumn("hours_played", X.hours_rounded(F.col("sum_ms")))
+        .withColumn("hours_played", X.hours_rounded("sum_ms"))
     )
     out = top_k(agg, [F.desc("full_play"), F.asc("track_id")], k, by)
     return out.select(*by, "track_name", "artist_name", "album_name", "last_play", "full_play", "hours_played")

@@ -267,7 +267,7 @@ def hour_of_day_share(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     per_hour = plays.groupBy(*by, "hour").agg(F.sum("ms_played").alias("sum_ms"))
     total = F.sum("sum_ms").over(Window.partitionBy(*by))
     return per_hour.select(
-        *by, "hour", X.percent(F.col("sum_ms"), total, 2).alias("percent_of_play_time"))
+        *by, "hour", X.percent("sum_ms", total, 2).alias("percent_of_play_time"))
 
 
 def plays_per_country(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -434,7 +434,7 @@ def share_at_rank(plays: DataFrame, entity: str, ranks: Sequence[int], by: Seque
         cols.append(F.max(F.when(inside, cum)).alias(f"_cum{n}"))
     picked = hist.groupBy(*by).agg(*cols, F.max("total_plays").alias("total"))
     return picked.select(*by, *[
-        X.percent(F.coalesce(F.col(f"_cum{n}"), F.lit(0)), F.col("total")).alias(f"top_{n}")
+        X.percent(F.coalesce(f"_cum{n}", F.lit(0)), "total").alias(f"top_{n}")
         for n in ranks
     ])
 

@@ -47,3 +47,14 @@ def test_map_values_keeps_others(spark):
     df = spark.createDataFrame([("fwdbtn",), ("clickrow",), (None,)], "r string")
     got = [r.x for r in df.select(X.map_values("r", X.REASON_START_LABELS).alias("x")).collect()]
     assert got == ["forward button", "clickrow", None]
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 10**15), st.integers(0, 10**9)), min_size=1, max_size=20),
+       st.integers(0, 2), st.sampled_from([1, 100]))
+def test_round_ratio_sql_path_equals_column_path(spark, pairs, digits, mult):
+    df = spark.createDataFrame(pairs, "n long, d long")
+    a = df.select(X.round_ratio("n", "d", digits, mult).alias("r")).collect()
+    b = df.select(X.round_ratio(F.col("n"), F.col("d"), digits, mult).alias("r")).collect()
+    assert [r.r for r in a] == [r.r for r in b]
+    assert [r.r for r in a] == [None if d == 0 else half_even(n * mult, d, digits) for n, d in pairs]
