@@ -26,10 +26,20 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int | None, by: Sequence[st
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
 
 
-def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Whole row with the smallest ``order`` per ``keys`` (idxmax / groupby.first after a sort)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]]) -> DataFrame:
+    """Whole row that sorts first per ``keys`` (idxmax / groupby.first after a sort).
+
+    ``order`` is ``[(column, descending), ...]``; descending columns must be
+    numeric. Implemented as ``min_by(row, ordering struct)`` — an aggregate
+    with map-side partial aggregation — so a hot group (one month, country or
+    artist holding a large share of rows) is reduced inside every map task
+    instead of being sorted whole in one task as a window would.
+    """
+    keys = list(keys)
+    rest = [c for c in df.columns if c not in keys]
+    ordering = F.struct(*[(-F.col(c) if desc else F.col(c)).alias(f"_o{i}") for i, (c, desc) in enumerate(order)])
+    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), ordering).alias("_row"))
+    return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
 
 
 def first_value(c: str, ts: str = "ts") -> Column:

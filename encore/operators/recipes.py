@@ -96,7 +96,7 @@ def top_track_per_female_artist(
         .withColumn("hours_played", X.hours_rounded("sum_ms"))
         .filter(F.col("artist_name").isNotNull())
     )
-    best = first_row(tracks, [*by, "artist_name"], [F.desc("hours_played"), F.asc("track_id")])
+    best = first_row(tracks, [*by, "artist_name"], [("hours_played", True), ("track_id", False)])
     out = top_k(best, [F.desc("hours_played"), F.asc("artist_name")], k, by)
     return out.select(*by, "artist_name", "track_name", "album_name", "album_release_year", "country", "gender",
                       "hours_played", "full_play", "track_id")
@@ -251,7 +251,7 @@ def top_artist_per_top_country(wide: DataFrame, k: int = 10, by: Sequence[str] =
     top_countries_ = top_k(countries, [F.desc("total_hours"), F.asc("country")], k, by)
     artists = per_artist.withColumn(
         "hours_played_artist", X.round_int_ratio("sum_ms", X.MS_PER_HOUR))
-    best = first_row(artists, [*by, "country"], [F.desc("hours_played_artist"), F.asc("artist_name")])
+    best = first_row(artists, [*by, "country"], [("hours_played_artist", True), ("artist_name", False)])
     # the top-k side holds at most k rows per group: a bounded broadcast
     joined = best.join(F.broadcast(top_countries_) if not by else top_countries_, [*by, "country"])
     return joined.select(*by, "country", "total_hours", "artist_name", "hours_played_artist",
@@ -311,7 +311,7 @@ def least_played_of_top_albums(wide: DataFrame, k: int = 10, by: Sequence[str] =
                 X.round_ratio("album_fp", "n_tracks", 1).alias("avg_full_play"))
     )
     top_albums = top_k(albums, [F.desc("total_album_hours"), F.asc("artist_name"), F.asc("album_name")], k, by)
-    least = first_row(tracks, keys, [F.asc("full_play"), F.asc("track_name")])
+    least = first_row(tracks, keys, [("full_play", False), ("track_name", False)])
     joined = least.join(F.broadcast(top_albums) if not by else top_albums, keys)
     return joined.select(*keys, "total_album_hours", "track_name",
                          X.hours_rounded("sum_ms", 1).alias("hours_played"), "full_play", "avg_full_play")

@@ -198,7 +198,7 @@ def most_played_monthly(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
             _non_null(plays, keys).groupBy(*by, "year_month", *keys).agg(F.count("*").alias("n"))
             .withColumn("_sort", _sort_key(entity))
         )
-        best = first_row(counts, [*by, "year_month"], [F.desc("n"), F.asc("_sort")])
+        best = first_row(counts, [*by, "year_month"], [("n", True), ("_sort", False)])
         n = F.col("n").cast("string")
         if entity == "artist":
             label = F.concat(F.col("artist_name"), F.lit(" ("), n, F.lit(" times)"))
