@@ -20,7 +20,7 @@ rec AS (
   SELECT listener_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts_text, platform, ms_played, conn_country,
     '10.' || CAST(listener_id AS VARCHAR) || '.0.1' AS ip,
     CASE WHEN ms_played = 6000 THEN NULL WHEN ms_played = 12000 THEN 'None' ELSE track_name END AS tn,
-    artist_name AS an, album_name AS aln, 'spotify:track:' || track_id AS uri,
+    artist_name AS an, album_name AS aln, 'media:track:' || track_id AS uri,
     CASE WHEN ms_played = 6000 THEN 'episode ' || track_name END AS ep,
     reason_start, reason_end, shuffle, reason_end = 'fwdbtn' AS skipped, offline,
     CASE WHEN NOT offline THEN (CASE WHEN listener_id % 3 = 0 THEN 0 END)

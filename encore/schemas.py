@@ -11,7 +11,8 @@ def _f(name, dtype, nullable=True):
     return T.StructField(name, dtype, nullable)
 
 
-# Raw play-log export record (one JSON object per play).
+# Raw play-log export record (one JSON object per play). Field names are fixed
+# values: they must equal the export format's keys.
 RAW_PLAY = T.StructType([
     _f("ts", S), _f("platform", S), _f("ms_played", L), _f("conn_country", S), _f("ip_addr_decrypted", S),
     _f("master_metadata_track_name", S), _f("master_metadata_album_artist_name", S),

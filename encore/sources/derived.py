@@ -48,10 +48,10 @@ def raw_export(raw: DataFrame) -> DataFrame:
         .alias("master_metadata_track_name"),
         F.col("artist_name").alias("master_metadata_album_artist_name"),
         F.col("album_name").alias("master_metadata_album_album_name"),
-        F.concat(F.lit("spotify:track:"), F.col("track_id")).alias("spotify_track_uri"),
+        F.concat(F.lit("media:track:"), F.col("track_id")).alias("spotify_track_uri"),
         F.when(podcast, F.concat(F.lit("episode "), F.col("track_name"))).alias("episode_name"),
         F.when(podcast, F.col("artist_name")).alias("episode_show_name"),
-        F.when(podcast, F.concat(F.lit("spotify:episode:"), F.col("track_id"))).alias("spotify_episode_uri"),
+        F.when(podcast, F.concat(F.lit("media:episode:"), F.col("track_id"))).alias("spotify_episode_uri"),
         F.col("reason_start"), F.col("reason_end"), F.col("shuffle"),
         (F.col("reason_end") == "fwdbtn").alias("skipped"),
         F.col("offline"),

@@ -15,7 +15,7 @@ def make_zip(path, members):
 
 def play(ts, track):
     return {"ts": ts, "ms_played": 1000, "master_metadata_track_name": track,
-            "master_metadata_album_artist_name": "A", "spotify_track_uri": f"spotify:track:{track}",
+            "master_metadata_album_artist_name": "A", "spotify_track_uri": f"media:track:{track}",
             "reason_start": "clickrow", "reason_end": "trackdone", "shuffle": True, "offline": False,
             "incognito_mode": False}
 

@@ -15,7 +15,7 @@ def rec(**kw):
         "ts": "2020-01-01T10:00:00Z", "platform": "android", "ms_played": 200000, "conn_country": "DE",
         "ip_addr_decrypted": "1.2.3.4", "master_metadata_track_name": "Song A",
         "master_metadata_album_artist_name": "Artist X", "master_metadata_album_album_name": "Album 1",
-        "spotify_track_uri": "spotify:track:aaa", "episode_name": None, "episode_show_name": None,
+        "spotify_track_uri": "media:track:aaa", "episode_name": None, "episode_show_name": None,
         "spotify_episode_uri": None, "reason_start": "fwdbtn", "reason_end": "trackdone", "shuffle": False,
         "skipped": False, "offline": False, "offline_timestamp": 0, "incognito_mode": False,
     }
@@ -38,12 +38,12 @@ def test_read_and_clean(spark, tmp_path):
         rec(master_metadata_track_name="None", ts="2020-01-03T10:00:00Z"),  # literal None → dropped
     ])
     write(d, "b.json", [
-        rec(ts="2020-02-01T10:00:00Z", offline_timestamp=1577872800, spotify_track_uri="spotify:track:bbb"),
-        rec(ts="2020-02-02T10:00:00Z", offline_timestamp=1577872800500, spotify_track_uri="spotify:track:ccc"),
+        rec(ts="2020-02-01T10:00:00Z", offline_timestamp=1577872800, spotify_track_uri="media:track:bbb"),
+        rec(ts="2020-02-02T10:00:00Z", offline_timestamp=1577872800500, spotify_track_uri="media:track:ccc"),
         rec(ts="2020-02-03T10:00:00Z", offline_timestamp=1, reason_end="endplay", reason_start="backbtn",
-            spotify_track_uri="spotify:track:ddd"),
+            spotify_track_uri="media:track:ddd"),
         rec(ts="2020-02-04T10:00:00Z", offline_timestamp=None, reason_end="fwdbtn", reason_start="playbtn",
-            spotify_track_uri="spotify:track:eee"),
+            spotify_track_uri="media:track:eee"),
     ])
     (d / "notes.txt").write_text("ignored")
     raw = history.read_history(spark, str(d))
@@ -67,7 +67,7 @@ def test_read_and_clean(spark, tmp_path):
 
 def test_csv_round_trip(spark, tmp_path):
     d = tmp_path / "raw"
-    write(d, "a.json", [rec(), rec(ts="2021-05-06T07:08:09Z", spotify_track_uri="spotify:track:zzz")])
+    write(d, "a.json", [rec(), rec(ts="2021-05-06T07:08:09Z", spotify_track_uri="media:track:zzz")])
     plays = clean.clean_history(history.read_history(spark, str(d)))
     out = str(tmp_path / "csv")
     writers.write_csv(plays, out)
