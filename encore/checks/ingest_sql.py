@@ -109,3 +109,17 @@ SELECT {cols}
 FROM w LEFT JOIN t ON w.track_id = t.track_id LEFT JOIN al ON t.album_id = al.album_id
 LEFT JOIN ar ON t.artist_id = ar.artist_id"""
     return q
+
+
+def parquet_sql() -> str:
+    """S6 round trip: the plays columns written partitioned by year and read back."""
+    return f"""WITH raw AS ({RAW_WIDE}), wide AS ({WIDE})
+SELECT listener_id, track_id, ts, ms_played, full_play, CAST(year(ts) AS INTEGER) AS year,
+       CAST(month(ts) AS INTEGER) AS month FROM wide"""
+
+
+def csv_sql() -> str:
+    """S7 round trip: the cleaned play columns written as CSV and read back."""
+    return f"""WITH raw AS ({RAW_WIDE}), wide AS ({WIDE})
+SELECT track_id, track_name, artist_name, album_name, ts, ms_played, reason_start, reason_end, full_play,
+       conn_country, platform, shuffle, offline, incognito_mode FROM wide"""

@@ -313,3 +313,131 @@ def report_sizes_sql(tables_sql: dict[str, str]) -> str:
     parts = [f"SELECT '{name}' AS table_name, count(*) AS n_rows FROM ({tables_sql[key]})"
              for name, key in REPORT_TABLE_KEYS.items()]
     return "\nUNION ALL\n".join(parts)
+
+
+def by_listener_sql() -> dict[str, str]:
+    """Per-listener forms (``by=["listener_id"]``) of a representative set, brute force."""
+    from encore.checks.sqltext import SKIP, hours2, with_wide
+
+    q: dict[str, str] = {}
+    q["r01_most_played_artists_by_listener"] = with_plays(f""", c AS (
+  SELECT listener_id, artist_name, {FP} AS play_count, {SUM_MS} AS sum_ms FROM plays
+  WHERE artist_name IS NOT NULL GROUP BY listener_id, artist_name
+  QUALIFY row_number() OVER (PARTITION BY listener_id ORDER BY play_count DESC, artist_name) <= {REPORT_K}),
+u AS (SELECT listener_id, artist_name, count(DISTINCT track_name) AS unique_tracks_played FROM plays
+      WHERE artist_name IS NOT NULL GROUP BY listener_id, artist_name)
+SELECT c.listener_id, c.artist_name, play_count, sum_ms / 3600000 AS hours_played, unique_tracks_played
+FROM c LEFT JOIN u ON c.listener_id = u.listener_id AND c.artist_name = u.artist_name WHERE play_count > 0""")
+    q["r12_hour_of_day_share_by_listener"] = with_plays(f"""
+SELECT listener_id, hour, {pct('sum_ms', 'sum(sum_ms) OVER (PARTITION BY listener_id)', 2)} AS percent_of_play_time
+FROM (SELECT listener_id, hour, {SUM_MS} AS sum_ms FROM plays GROUP BY listener_id, hour)""")
+    q["r18_cumulative_play_share_artist_by_listener"] = with_plays(f""", e AS (
+  SELECT listener_id, artist_name, count(*) AS plays FROM plays WHERE full_play AND artist_name IS NOT NULL
+  GROUP BY listener_id, artist_name),
+r AS (SELECT listener_id, row_number() OVER (PARTITION BY listener_id ORDER BY plays DESC) AS rk,
+        sum(plays) OVER (PARTITION BY listener_id ORDER BY plays DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+        sum(plays) OVER (PARTITION BY listener_id) AS total FROM e)
+SELECT DISTINCT listener_id, CAST(0 AS BIGINT) AS number_of_artists, CAST(0 AS DOUBLE) AS percent_of_played_songs FROM plays
+UNION ALL
+SELECT listener_id, rk, CAST(cum AS BIGINT) * 100 / CAST(total AS BIGINT) FROM r""")
+    q["r13_avg_hours_per_year_month_by_listener"] = with_plays(f""", b AS (
+  SELECT listener_id, min(day) AS first_day, max(day) AS last_day FROM plays GROUP BY listener_id),
+ms AS (SELECT listener_id, CAST(unnest(generate_series(date_trunc('month', first_day), date_trunc('month', last_day),
+                                     INTERVAL 1 MONTH)) AS DATE) AS m, first_day, last_day FROM b),
+sp AS (SELECT listener_id, strftime(m, '%Y-%m') AS year_month,
+              CAST(date_diff('day', greatest(first_day, m), least(last_day, last_day(m))) + 1 AS BIGINT) AS days FROM ms),
+h AS (SELECT listener_id, year_month, {SUM_MS} AS sum_ms FROM plays GROUP BY listener_id, year_month)
+SELECT sp.listener_id, sp.year_month, sum_ms / (days * 3600000) AS avg_hours_played_per_day
+FROM sp LEFT JOIN h ON sp.listener_id = h.listener_id AND sp.year_month = h.year_month""")
+    q["q01_top_artists_by_hours_by_listener"] = with_wide(f"""
+SELECT listener_id, artist_name, {hours2('sum_ms')} AS hours_played, full_play_count, skip_count FROM (
+  SELECT listener_id, artist_name, {SUM_MS} AS sum_ms, {FP} AS full_play_count, {SKIP} AS skip_count
+  FROM wide WHERE artist_name IS NOT NULL GROUP BY listener_id, artist_name)
+QUALIFY row_number() OVER (PARTITION BY listener_id ORDER BY hours_played DESC, artist_name) <= 10""")
+    return q
+
+
+def kpi_by_listener_sql() -> str:
+    """R19 per listener: the same indicators grouped by listener_id (brute-force ranks)."""
+    G = "listener_id"
+
+    def p0(part: str, whole: str) -> str:
+        return pct(part, whole, 0)
+
+    ranks = ""
+    for entity in ("artist", "track"):
+        keys, sort = _KEYS[entity]
+        ks = ", ".join(keys)
+        shares = ", ".join(
+            f"{p0(f'coalesce(max(CASE WHEN rk = least({n}, uniq - 1) THEN cum END), 0)', 'max(total)')} "
+            f"AS top_{n}_{entity}_play_count_percent" for n in (10, 100, 500))
+        names = ", ".join(f"max(CASE WHEN rk = {i} THEN {keys[0]} END) AS top_{i}_{entity}" for i in (1, 2, 3))
+        ranks += f""",
+e_{entity} AS (SELECT {G}, {ks}, count(*) AS plays FROM plays WHERE full_play AND {_nn(keys)} GROUP BY {G}, {ks}),
+r_{entity} AS (SELECT {G}, row_number() OVER (PARTITION BY {G} ORDER BY plays DESC) AS rk,
+    sum(plays) OVER (PARTITION BY {G} ORDER BY plays DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+    sum(plays) OVER (PARTITION BY {G}) AS total FROM e_{entity}),
+u_{entity} AS (SELECT {G}, count(*) AS uniq FROM e_{entity} GROUP BY {G}),
+s_{entity} AS (SELECT {G}, {shares} FROM r_{entity} JOIN u_{entity} USING ({G}) GROUP BY {G}),
+n_{entity} AS (SELECT {G}, {names} FROM (
+    SELECT {G}, {keys[0]}, row_number() OVER (PARTITION BY {G} ORDER BY play_count DESC, {sort}) AS rk FROM (
+      SELECT {G}, {ks}, count_if(full_play) AS play_count FROM plays WHERE {_nn(keys)} GROUP BY {G}, {ks})
+    WHERE play_count > 0) GROUP BY {G})"""
+    x = "(CAST(listening_hours AS DOUBLE) / nullif(number_of_days, 0))"
+    per_day = (f"CASE WHEN {x} >= 10 THEN CAST(CAST(round_even({x}, 0) AS BIGINT) AS VARCHAR) "
+               f"ELSE CAST(CAST(floor({x}) AS BIGINT) AS VARCHAR) || ':' || "
+               f"lpad(CAST(CAST(round_even(({x} - floor({x})) * 60, 0) AS BIGINT) AS VARCHAR), 2, '0') END")
+    skip = "reason_end = 'forward button'"
+    share_cols = ", ".join(f"coalesce(top_{n}_{e}_play_count_percent, 0) AS top_{n}_{e}_play_count_percent"
+                           for e in ("artist", "track") for n in (10, 100, 500))
+    name_cols = ", ".join(f"coalesce(top_{i}_{e}, '-') AS top_{i}_{e}" for i in (1, 2, 3) for e in ("artist", "track"))
+    return with_plays(f""", base AS (
+  SELECT {G}, min(day) AS _first, max(day) AS _last,
+    count(DISTINCT CASE WHEN full_play THEN day END) AS number_of_days_with_tracks_played,
+    count(*) AS _n, {FP} AS played_songs,
+    CAST(count_if(full_play AND track_name IS NOT NULL AND artist_name IS NOT NULL) AS BIGINT) AS _fp_keyed,
+    count(DISTINCT CASE WHEN full_play AND track_name IS NOT NULL AND artist_name IS NOT NULL
+                        THEN {{'t': track_name, 'a': artist_name}} END) AS unique_tracks_played,
+    count(DISTINCT CASE WHEN full_play THEN artist_name END) AS unique_artists_played,
+    count(DISTINCT CASE WHEN full_play AND album_name IS NOT NULL AND artist_name IS NOT NULL
+                        THEN {{'t': album_name, 'a': artist_name}} END) AS unique_albums_played,
+    {SUM_MS} AS _ms,
+    count_if(full_play AND shuffle) AS _fp_shuffle, count_if(shuffle) AS _shuffle,
+    CAST(count_if({skip}) AS BIGINT) AS skipped_songs,
+    CAST(sum(CASE WHEN {skip} THEN ms_played END) AS BIGINT) AS _skip_ms,
+    count_if({skip} AND ms_played < 3000) AS _skip_3s,
+    count_if({skip} AND ms_played > 30000) AS _skip_30s,
+    count_if({skip} AND ms_played > 120000) AS _skip_120s,
+    count_if({skip} AND shuffle) AS _skip_shuffle, count_if({skip} AND NOT shuffle) AS _skip_no_shuffle,
+    count_if(reason_start = 'forward button') AS _rs_fwd, count_if(reason_start = 'back button') AS _rs_back,
+    count_if(reason_start = 'trackdone') AS _rs_done, count_if(reason_start = 'clickrow') AS _rs_click,
+    count_if(full_play AND incognito_mode) AS _fp_incognito,
+    count_if(full_play AND reason_start = 'clickrow') AS _fp_click
+  FROM plays GROUP BY {G}),
+k AS (SELECT *, CAST(date_diff('day', _first, _last) AS BIGINT) AS number_of_days,
+             {rr('_ms', '3600000', 0)} AS listening_hours FROM base){ranks}
+SELECT k.{G}, strftime(_first, '%Y-%m-%d') AS first_day, strftime(_last, '%Y-%m-%d') AS last_day, number_of_days,
+  number_of_days_with_tracks_played,
+  {p0('number_of_days_with_tracks_played', 'number_of_days')} AS percent_of_days_with_tracks_played,
+  played_songs, {rr('played_songs', 'number_of_days', 0)} AS played_songs_per_day,
+  unique_tracks_played, unique_artists_played, unique_albums_played,
+  {rr('unique_tracks_played', 'unique_artists_played', 1)} AS unique_tracks_played_per_artist,
+  listening_hours, {per_day} AS listening_hours_per_day,
+  {p0('_fp_shuffle', 'played_songs')} AS percent_of_played_songs_using_shuffle,
+  skipped_songs, {p0('skipped_songs', '_n')} AS percent_of_skipped_songs,
+  CASE WHEN skipped_songs = 0 THEN 0 ELSE {rr('_skip_ms', 'skipped_songs * 1000', 0)} END AS avg_seconds_played_before_skipping,
+  CASE WHEN skipped_songs = 0 THEN 0 ELSE {p0('_skip_3s', 'skipped_songs')} END AS percent_of_songs_skipped_before_3s,
+  CASE WHEN skipped_songs = 0 THEN 0 ELSE {p0('_skip_30s', 'skipped_songs')} END AS percent_of_songs_skipped_after_30s,
+  CASE WHEN skipped_songs = 0 THEN 0 ELSE {p0('_skip_120s', 'skipped_songs')} END AS percent_of_songs_skipped_after_120s,
+  CASE WHEN _shuffle = 0 THEN 0 ELSE {p0('_skip_shuffle', '_shuffle')} END AS percent_of_skipped_songs_using_shuffle,
+  CASE WHEN _shuffle = 0 THEN 0 ELSE {p0('_skip_no_shuffle', '_shuffle')} END AS percent_of_skipped_songs_not_using_shuffle,
+  {p0('_rs_fwd', '_n')} AS percent_reason_start_forward_button,
+  {p0('_rs_back', '_n')} AS percent_reason_start_back_button,
+  {p0('_rs_done', '_n')} AS percent_reason_start_trackdone,
+  {p0('_rs_click', '_n')} AS percent_reason_start_clickrow,
+  {p0('_fp_incognito', 'played_songs')} AS percent_of_played_songs_using_incognito_mode,
+  {rr('_fp_keyed', 'unique_tracks_played', 1)} AS average_play_count_per_song,
+  {p0('_fp_click', 'played_songs')} AS percent_played_songs_reason_start_clickrow,
+  {share_cols}, {name_cols}
+FROM k LEFT JOIN s_artist USING ({G}) LEFT JOIN s_track USING ({G})
+LEFT JOIN n_artist USING ({G}) LEFT JOIN n_track USING ({G})""")

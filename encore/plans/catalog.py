@@ -182,8 +182,72 @@ def ingest_queries() -> dict[str, Query]:
     }
 
 
+def by_listener_queries() -> dict[str, Query]:
+    """The same operators computed for every listener in one pass (``by=["listener_id"]``)."""
+    R, k, by = report, RS.REPORT_K, ["listener_id"]
+    return {
+        "r01_most_played_artists_by_listener": _report(R.most_played_artists, k=k, by=by),
+        "r12_hour_of_day_share_by_listener": _report(R.hour_of_day_share, by=by),
+        "r13_avg_hours_per_year_month_by_listener": _report(R.avg_hours_per_year_month, by=by),
+        "r18_cumulative_play_share_artist_by_listener": _report(R.cumulative_play_share, entity="artist", by=by),
+        "r19_single_values_by_listener": _report(kpis.single_values, by=by),
+        "q01_top_artists_by_hours_by_listener": _recipe(recipes.top_artists_by_hours, by=by),
+    }
+
+
+def sink_queries() -> dict[str, Query]:
+    """Sinks exercised as written tables in the shared checkpoint folder, read back."""
+    from pyspark.sql import functions as F
+
+    from encore.session import scratch_path
+    from encore.sinks import writers
+    from encore.sources import history
+
+    def parquet_round_trip(spark, sf_dir):
+        path = scratch_path(spark, "s6-plays")
+        writers.write_parquet(plays(spark, sf_dir).select(*S6_COLUMNS), path, partition_by=["year"])
+        return spark.read.parquet(path).select(*S6_COLUMNS)
+
+    def csv_round_trip(spark, sf_dir):
+        path = scratch_path(spark, "s7-plays")
+        writers.write_csv(wide(spark, sf_dir).select(*clean.PLAY_COLUMNS), path)
+        return history.read_csv(spark, path)
+
+    def report_documents(spark, sf_dir):
+        path = scratch_path(spark, "s8-report")
+        rep = report_plan.Report(plays(spark, sf_dir), k=RS.REPORT_K)
+        try:
+            writers.write_report(rep.tables, rep.single_values, path)
+        finally:
+            rep.close()
+        doc = "struct<columns:array<string>,data:array<array<string>>>"
+        frames = []
+        for name in rep.tables:
+            df = spark.read.json(f"{path}/{name}")
+            if name in writers.UNBOUNDED_TABLES:
+                n = df.agg(F.count("*").alias("n_rows"))
+            else:
+                n = df.agg(F.sum(F.size(F.from_json("json", doc)["data"])).cast("long").alias("n_rows"))
+            frames.append(n.select(F.lit(name).alias("table_name"), "n_rows"))
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.unionByName(f)
+        return out
+
+    return {
+        "s6_parquet_round_trip": parquet_round_trip,
+        "s7_csv_round_trip": csv_round_trip,
+        "s8_report_documents": report_documents,
+    }
+
+
+S6_COLUMNS = ["listener_id", "track_id", "ts", "ms_played", "full_play", "year", "month"]
+
+
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
+    out.update(by_listener_queries())
+    out.update(sink_queries())
     out.update(ingest_queries())
     out.update(recipe_queries())
     out.update(report_queries())
@@ -194,6 +258,11 @@ def all_oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(P.recipe_sql())
     out.update(RS.report_sql())
+    out.update(RS.by_listener_sql())
+    out["r19_single_values_by_listener"] = RS.kpi_by_listener_sql()
+    out["s6_parquet_round_trip"] = IS.parquet_sql()
+    out["s7_csv_round_trip"] = IS.csv_sql()
+    out["s8_report_documents"] = out["r23_report_table_sizes"]
     out["p_clean_history"] = IS.clean_history_sql()
     out.update(IS.enrich_sql())
     return out
