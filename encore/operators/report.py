@@ -123,15 +123,17 @@ def most_played_tracks_clickrow(plays: DataFrame, k: int = 100, by: Sequence[str
 # Monthly play series of the top entities
 
 
-def monthly_play_series(plays: DataFrame, entity: str, k: int = 100, by: Sequence[str] = ()) -> DataFrame:
+def monthly_play_series(plays: DataFrame, entity: str, k: int = 100, by: Sequence[str] = (),
+                        month_index_ready: bool = False) -> DataFrame:
     """For each top-k entity, full plays per month index, dense from 0 to the
     last month with a full play of any top entity, with bar heights
     ``min(round(count·40/p99), 40)``; p99 = linear 99th percentile of the
-    non-zero monthly counts. ``p99_plays`` is the label value int(p99)."""
+    non-zero monthly counts. ``p99_plays`` is the label value int(p99).
+    ``month_index_ready``: ``plays`` already carries the month index for this ``by``."""
     by = list(by)
     keys = _keys(entity)
-    if "month_index" not in plays.columns:
-        plays = with_month_index(plays, by)
+    if not month_index_ready:
+        plays = with_month_index(plays.drop("month_index"), by)
     top = most_played(plays, entity, k, by).select(*by, *keys)
     fp = plays.filter(F.col("full_play")).select(*by, *keys, "month_index")
     # k rows (per group): broadcast is bounded by k when there is no grouping

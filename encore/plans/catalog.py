@@ -85,7 +85,7 @@ def report_queries() -> dict[str, Query]:
         return kpis.single_values(plays(spark, sf_dir))
 
     def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rep = report_plan.Report(plays(spark, sf_dir), k=k, persist=False)
+        rep = report_plan.Report(plays(spark, sf_dir), k=k, materialize=None)
         return report_plan.table_sizes(rep)
 
     out["r19_single_values"] = kpis_

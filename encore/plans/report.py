@@ -1,8 +1,15 @@
 """The whole website report as a dict of lazy DataFrames over one fact.
 
-The fact is pruned to the columns the report reads and persisted
-(MEMORY_AND_DISK) so the ~20 tables reuse one scan; a lost executor only
-recomputes its cached blocks from lineage. ``close()`` unpersists.
+The fact is pruned to the columns the report reads, the month index (P12) is
+added once for the report's ``by``, and the result is shared by the ~20 tables:
+
+* ``materialize="table"`` (default): written as parquet under the session's
+  shared ``spark.checkpoint.dir`` and read back. This cuts the lineage (no
+  re-analysis of the upstream joins per table, no recomputation of them when
+  an executor is lost) and keeps column pruning for every table.
+* ``materialize="persist"``: ``persist(MEMORY_AND_DISK)``; lost blocks are
+  recomputed from lineage. ``close()`` releases it.
+* ``materialize=None``: used as given (e.g. the input is already a written table).
 """
 
 from __future__ import annotations
@@ -14,6 +21,8 @@ from pyspark.sql import DataFrame
 
 from encore.operators import kpis
 from encore.operators import report as R
+from encore.operators.clean import with_month_index
+from encore.session import scratch_path
 
 REPORT_COLUMNS = [
     "track_name", "artist_name", "album_name", "ts", "ms_played", "reason_start", "reason_end", "full_play",
@@ -25,20 +34,26 @@ class Report:
     """Named report tables; ``tables`` holds lazy frames, nothing runs until read."""
 
     def __init__(self, plays: DataFrame, k: int = 100, only_top_k: bool = False, by: Sequence[str] = (),
-                 persist: bool = True):
+                 materialize: str | None = "table"):
         by = list(by)
         cols = [c for c in [*by, *REPORT_COLUMNS] if c in plays.columns]
         fact = plays.select(*cols)
-        self._cached = fact.persist(StorageLevel.MEMORY_AND_DISK) if persist else None
-        fact = self._cached if persist else fact
+        fact = with_month_index(fact.drop("month_index"), by)
+        self._cached = None
+        if materialize == "table":
+            path = scratch_path(plays.sparkSession, "report-fact")
+            fact.write.mode("overwrite").parquet(path)
+            fact = plays.sparkSession.read.parquet(path)
+        elif materialize == "persist":
+            self._cached = fact = fact.persist(StorageLevel.MEMORY_AND_DISK)
         t: dict[str, DataFrame] = {
             "most_played_artists_total": R.most_played_artists(fact, k, by),
             "most_played_tracks_total": R.most_played_tracks(fact, k, by),
             "most_played_albums_total": R.most_played_albums(fact, k, by),
             "most_played_tracks_total_reason_start_clickrow": R.most_played_tracks_clickrow(fact, k, by),
-            "monthly_play_series_artists": R.monthly_play_series(fact, "artist", k, by),
-            "monthly_play_series_tracks": R.monthly_play_series(fact, "track", k, by),
-            "monthly_play_series_albums": R.monthly_play_series(fact, "album", k, by),
+            "monthly_play_series_artists": R.monthly_play_series(fact, "artist", k, by, month_index_ready=True),
+            "monthly_play_series_tracks": R.monthly_play_series(fact, "track", k, by, month_index_ready=True),
+            "monthly_play_series_albums": R.monthly_play_series(fact, "album", k, by, month_index_ready=True),
             "top_songs_of_top_artists": R.top_songs_of_top_artists(fact, k, by),
         }
         if not only_top_k:
@@ -72,8 +87,9 @@ class Report:
         self.close()
 
 
-def build_report(plays: DataFrame, k: int = 100, only_top_k: bool = False, by: Sequence[str] = ()) -> Report:
-    return Report(plays, k, only_top_k, by)
+def build_report(plays: DataFrame, k: int = 100, only_top_k: bool = False, by: Sequence[str] = (),
+                 materialize: str | None = "table") -> Report:
+    return Report(plays, k, only_top_k, by, materialize)
 
 
 def table_sizes(rep: Report) -> DataFrame:
