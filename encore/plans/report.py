@@ -38,22 +38,25 @@ class Report:
         by = list(by)
         cols = [c for c in [*by, *REPORT_COLUMNS] if c in plays.columns]
         fact = plays.select(*cols)
-        fact = with_month_index(fact.drop("month_index"), by)
+        fact = fact.drop("month_index")
         self._cached = None
         if materialize == "table":
+            # the month index is written with the table (one pass); other tables prune it away
             path = scratch_path(plays.sparkSession, "report-fact")
-            fact.write.mode("overwrite").parquet(path)
+            with_month_index(fact, by).write.mode("overwrite").parquet(path)
             fact = plays.sparkSession.read.parquet(path)
         elif materialize == "persist":
             self._cached = fact = fact.persist(StorageLevel.MEMORY_AND_DISK)
+        # otherwise R5 adds the month index itself; no other table carries that join
+        ready = materialize == "table"
         t: dict[str, DataFrame] = {
             "most_played_artists_total": R.most_played_artists(fact, k, by),
             "most_played_tracks_total": R.most_played_tracks(fact, k, by),
             "most_played_albums_total": R.most_played_albums(fact, k, by),
             "most_played_tracks_total_reason_start_clickrow": R.most_played_tracks_clickrow(fact, k, by),
-            "monthly_play_series_artists": R.monthly_play_series(fact, "artist", k, by, month_index_ready=True),
-            "monthly_play_series_tracks": R.monthly_play_series(fact, "track", k, by, month_index_ready=True),
-            "monthly_play_series_albums": R.monthly_play_series(fact, "album", k, by, month_index_ready=True),
+            "monthly_play_series_artists": R.monthly_play_series(fact, "artist", k, by, month_index_ready=ready),
+            "monthly_play_series_tracks": R.monthly_play_series(fact, "track", k, by, month_index_ready=ready),
+            "monthly_play_series_albums": R.monthly_play_series(fact, "album", k, by, month_index_ready=ready),
             "top_songs_of_top_artists": R.top_songs_of_top_artists(fact, k, by),
         }
         if not only_top_k:
