@@ -117,6 +117,27 @@ def with_month_index(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return out.withColumn("month_index", F.col("month_seq") - F.col("_first_seq")).drop("_first_seq")
 
 
+def sort_by_ts(df: DataFrame, total: bool = False) -> DataFrame:
+    """Order plays by time. Operators never rely on row order; this is for
+    sinks. ``total=False`` sorts within partitions (no shuffle, e.g. before a
+    partitioned write); ``total=True`` is a global range-partitioned sort."""
+    return df.orderBy("ts") if total else df.sortWithinPartitions("ts")
+
+
+def country_name(df: DataFrame, names: DataFrame, col: str = "conn_country", default: str = "unknown") -> DataFrame:
+    """ISO alpha-2 code → country name, ``default`` when the code is unknown.
+
+    The code → name table is data supplied by the caller (``names`` with
+    columns ``code``, ``name``), joined left on the code; the planner
+    broadcasts it when its runtime size is small. (The reference's own mapping
+    never fires — its column is renamed before the check — so report tables
+    keep codes unless this is applied.)
+    """
+    lookup = names.select(F.col("code").alias("_code"), F.col("name").alias("_name"))
+    joined = df.join(lookup, F.col(col) == F.col("_code"), "left")
+    return joined.withColumn(col, F.coalesce(F.col("_name"), F.lit(default))).drop("_code", "_name")
+
+
 def split_composite(df: DataFrame, col: str, into: tuple[str, str]) -> DataFrame:
     """``name~~sep~~artist`` back to two columns (for composite-key inputs)."""
     parts = F.split(F.col(col), X.COMPOSITE_SEP, 2)

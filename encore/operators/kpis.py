@@ -61,8 +61,13 @@ def _top_names(plays: DataFrame, entity: str, by: Sequence[str]) -> DataFrame:
                              for i in (1, 2, 3)])
 
 
-def single_values(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """R19 over the website-style fact."""
+def single_values(plays: DataFrame, by: Sequence[str] = (), with_fixed: bool = False) -> DataFrame:
+    """R19 over the website-style fact.
+
+    ``with_fixed`` appends ``percent_of_skipped_songs_not_using_shuffle_fixed``,
+    which divides by the non-shuffle rows (the reference divides by the shuffle
+    rows, trap T6, reproduced in the main column).
+    """
     by = list(by)
     fp = F.col("full_play")
     skip = F.col("reason_end") == X.SKIP_REASON
@@ -88,6 +93,7 @@ def single_values(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.count_if(skip & (F.col("ms_played") > 120000)).alias("_skip_120s"),
         F.count_if(skip & shuffle).alias("_skip_shuffle"),
         F.count_if(skip & ~shuffle).alias("_skip_no_shuffle"),
+        F.count_if(~shuffle).alias("_no_shuffle"),
         F.count_if(rs == "forward button").alias("_rs_fwd"),
         F.count_if(rs == "back button").alias("_rs_back"),
         F.count_if(rs == "trackdone").alias("_rs_done"),
@@ -110,7 +116,13 @@ def single_values(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         return F.when(F.col("_shuffle") == 0, F.lit(0).cast("long")).otherwise(c)
 
     P = X.percent
+    fixed = []
+    if with_fixed:
+        fixed = [F.when(F.col("_no_shuffle") == 0, F.lit(0).cast("long"))
+                 .otherwise(P("_skip_no_shuffle", "_no_shuffle"))
+                 .alias("percent_of_skipped_songs_not_using_shuffle_fixed")]
     kpi = base.select(
+        *fixed,
         *by,
         F.date_format("_first", "yyyy-MM-dd").alias("first_day"),
         F.date_format("_last", "yyyy-MM-dd").alias("last_day"),
@@ -149,4 +161,5 @@ def single_values(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     out = _join([kpi, *shares, *names], by)
     # groups without full plays have no histogram rows: their shares are 0
     out = out.fillna(0, subset=[f"top_{n}_{e}_play_count_percent" for e in ("artist", "track") for n in SHARE_RANKS])
-    return out.select(*by, *KPI_COLUMNS)
+    extra = ["percent_of_skipped_songs_not_using_shuffle_fixed"] if with_fixed else []
+    return out.select(*by, *KPI_COLUMNS, *extra)

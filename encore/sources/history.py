@@ -48,7 +48,6 @@ MEMBER_SCHEMA = T.StructType([
 def _unzip_members(history_only: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
             for path, blob in zip(batch["path"], batch["content"]):
                 with zipfile.ZipFile(io.BytesIO(blob)) as zf:
                     for name in zf.namelist():
@@ -56,8 +55,9 @@ def _unzip_members(history_only: bool):
                             continue
                         if history_only and HISTORY_FOLDER not in name:
                             continue
-                        rows.append((path, name, zf.read(name).decode("utf-8")))
-            yield pd.DataFrame(rows, columns=["archive", "member", "content"])
+                        # one member at a time: memory is bounded by the largest member
+                        yield pd.DataFrame([(path, name, zf.read(name).decode("utf-8"))],
+                                           columns=["archive", "member", "content"])
 
     return run
 
@@ -66,7 +66,9 @@ def archive_members(spark: SparkSession, path: str, history_only: bool = False)
     """One row per JSON member of every zip under ``path`` (archive, member, content).
 
     ``binaryFile`` hands each archive to one task; archives are independent, so
-    many archives spread over the cluster. ``history_only`` keeps members under
+    many archives spread over the cluster. Members are emitted one at a time
+    (Arrow batches of one member), so memory holds one member, not an archive's
+    unpacked contents. ``history_only`` keeps members under
     the history folder (the CLI's rule); otherwise every ``.json`` (the website's).
     """
     zips = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")

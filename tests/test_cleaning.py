@@ -95,3 +95,13 @@ def test_round_numeric_and_split(spark):
     df = spark.createDataFrame([("a~~sep~~b", 0.125, 2.675)], "k string, x double, y double")
     r = clean.round_numeric(clean.split_composite(df, "k", ("name", "artist"))).first()
     assert (r.name, r.artist, r.x) == ("a", "b", 0.12)
+
+
+def test_country_name_and_sort(spark):
+    df = spark.createDataFrame([("DE", 2), ("XX", 1), (None, 3)], "conn_country string, n int")
+    names = spark.createDataFrame([("DE", "Germany"), ("FR", "France")], "code string, name string")
+    got = sorted((r.n, r.conn_country) for r in clean.country_name(df, names).collect())
+    assert got == [(1, "unknown"), (2, "Germany"), (3, "unknown")]
+    ts = spark.createDataFrame([(dt.datetime(2020, 1, d),) for d in (3, 1, 2)], "ts timestamp_ntz").coalesce(1)
+    assert [r.ts.day for r in clean.sort_by_ts(ts).collect()] == [1, 2, 3]
+    assert [r.ts.day for r in clean.sort_by_ts(ts, total=True).collect()] == [1, 2, 3]

@@ -133,3 +133,12 @@ def test_random_sample_shape(gap_plays):
     s = report.random_sample(gap_plays, n=2, seed=1)
     assert s.columns == ["column", "sample_1", "sample_2"]
     assert [r.column for r in s.collect()] == gap_plays.columns
+
+
+def test_kpi_fixed_variant(spark):
+    df = plays(spark, [row("s1", "A", D(2021, 6, 1), shuffle=True), row("s2", "A", D(2021, 6, 2), end="fwdbtn"),
+                       row("s3", "A", D(2021, 6, 3), end="fwdbtn", shuffle=True), row("s4", "A", D(2021, 6, 4))])
+    k = kpis.single_values(df, with_fixed=True).first()
+    assert k.percent_of_skipped_songs_not_using_shuffle == 50  # 1 of 2 shuffle rows (reference's denominator)
+    assert k.percent_of_skipped_songs_not_using_shuffle_fixed == 50  # 1 of 2 non-shuffle rows
+    assert k.percent_of_skipped_songs_using_shuffle == 50
