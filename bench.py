@@ -18,8 +18,6 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
-
 from encore.checks import recipes_sql as P  # noqa: E402
 from encore.operators import clean, kpis, recipes, report  # noqa: E402
 from encore.plans import report as report_plan  # noqa: E402
@@ -103,6 +101,33 @@ def main() -> None:
                 force(df)
             force(rep.single_values)
 
+    by = ["listener_id"]
+
+    def recipes_by_listener():
+        for build in (
+            lambda: recipes.top_artists_by_hours(fact, by=by),
+            lambda: recipes.top_tracks_of_artist(fact, P.ARTIST, by=by),
+            lambda: recipes.first_plays(fact, by=by),
+            lambda: recipes.hours_by_gender(fact, by=by),
+            lambda: recipes.top_track_per_female_artist(fact, P.AS_OF, by=by),
+            lambda: recipes.artists_without_kg_by_hours(fact, by=by),
+            lambda: recipes.artists_without_kg_by_popularity(fact, by=by),
+            lambda: recipes.top_countries(fact, by=by),
+            lambda: recipes.top_solo_tracks_by_release_era(fact, by=by),
+            lambda: recipes.top_genres(fact, by=by),
+            lambda: recipes.top_tracks_in_genre(fact, by=by),
+            lambda: recipes.genre_share_by_year(fact, by=by),
+            lambda: recipes.top_bands_and_solo(fact, by=by),
+            lambda: recipes.top_artist_per_top_country(fact, by=by),
+            lambda: recipes.discovered_in_year(fact, P.DISCOVERY_YEAR, by=by),
+            lambda: recipes.never_finished(fact, by=by),
+            lambda: recipes.least_played_of_top_albums(fact, by=by),
+            lambda: recipes.one_hit_wonders(fact, P.ONE_HIT_MIN_TOP, P.ONE_HIT_MAX_OTHER, by=by),
+            lambda: recipes.not_played_since(fact, P.AS_OF, by=by),
+        ):
+            force(build())
+
+    times["q_all_recipes_by_listener"] = timed(recipes_by_listener)
     times["r23_report_all"] = timed(lambda: whole_report(()))
     times["r23_report_all_by_listener"] = timed(lambda: whole_report(("listener_id",)))
     n_rows = fact.count()
