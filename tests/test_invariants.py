@@ -36,12 +36,21 @@ def _rows(df, drop=("listener_id",)):
     return sorted(tuple(r) for r in df.drop(*drop).collect())
 
 
-@pytest.mark.parametrize("op", ["r01", "r10", "r12", "r13", "r18", "r19", "q01", "q16"])
+@pytest.mark.parametrize("op", ["r01", "r05", "r06", "r07", "r10", "r12", "r13", "r16", "r18", "r19",
+                                "q01", "q05", "q14", "q16", "q17", "q18"])
 def test_by_listener_equals_single_listener(spark, op):
     plays = catalog.plays(spark, SF_SMALL)
     wide = catalog.wide(spark, SF_SMALL)
     fns = {
         "r01": lambda df, by: report.most_played_artists(df, 5, by),
+        "r05": lambda df, by: report.monthly_play_series(df, "track", 3, by),
+        "r06": lambda df, by: report.top_songs_of_top_artists(df, 4, by),
+        "r07": lambda df, by: report.most_played_monthly(df, by),
+        "r16": lambda df, by: report.avg_hours_per_weekday(df, by),
+        "q05": lambda df, by: recipes.top_track_per_female_artist(df, "2001-11-05", 5, by=by),
+        "q14": lambda df, by: recipes.top_artist_per_top_country(df, 3, by),
+        "q17": lambda df, by: recipes.least_played_of_top_albums(df, 3, by),
+        "q18": lambda df, by: recipes.one_hit_wonders(df, 1, 100, 5, by),
         "r10": lambda df, by: report.play_count_distribution(df, by),
         "r12": lambda df, by: report.hour_of_day_share(df, by),
         "r13": lambda df, by: report.avg_hours_per_year_month(df, by),
