@@ -91,10 +91,11 @@ def most_played(plays: DataFrame, entity: str, k: int = 100, by: Sequence[str] =
     top = top_k(counts, [F.desc("play_count"), F.asc("_sort")], k, by).filter(F.col("play_count") > 0)
     out = top.select(*by, *keys, "play_count", X.hours(F.col("sum_ms")).alias("hours_played"))
     if entity == "artist":
-        tracks = (
-            _non_null(plays, ["artist_name"]).groupBy(*by, "artist_name")
-            .agg(F.count_distinct("track_name").alias("unique_tracks_played"))
-        )
+        # distinct tracks only for the top-k artists: the fact is semi-joined with the
+        # k keys first (a bounded broadcast without ``by``), then aggregated
+        keys_top = top.select(*by, "artist_name")
+        rows = plays.join(F.broadcast(keys_top) if not by else keys_top, [*by, "artist_name"], "left_semi")
+        tracks = rows.groupBy(*by, "artist_name").agg(F.count_distinct("track_name").alias("unique_tracks_played"))
         out = out.join(tracks, [*by, "artist_name"], "left")
     return out
 
