@@ -35,7 +35,7 @@ def _recipe(fn, **params) -> Query:
 
 
 def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Website-style report fact (wide fact + calendar + month index)."""
+    """Website-style report fact (wide fact + calendar columns)."""
     return clean.report_plays(tables.plays_raw_wide(spark, sf_dir))
 
 

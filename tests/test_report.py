@@ -4,7 +4,6 @@ calendar denominators, leap years, cumulative shares."""
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from encore.operators import clean, kpis, report
 
