@@ -13,7 +13,7 @@ _REASON_END = ("CASE {c} WHEN 'backbtn' THEN 'back button' WHEN 'endplay' THEN '
                "WHEN 'fwdbtn' THEN 'forward button' ELSE {c} END")
 
 
-def clean_history_sql() -> str:
+def clean_history_sql(with_listener: bool = True) -> str:
     epoch = "(CAST(epoch(ts) AS BIGINT) - 3600)"
     return f"""WITH raw AS ({RAW_WIDE}),
 rec AS (
@@ -30,7 +30,8 @@ rec AS (
 allrec AS (SELECT * EXCLUDE (h) FROM rec UNION ALL SELECT * EXCLUDE (h) FROM rec WHERE h = 3),
 dedup AS (SELECT DISTINCT * FROM allrec WHERE tn IS NOT NULL AND tn <> 'None'),
 secs AS (SELECT *, CASE WHEN ots > 2000000000 THEN ots / 1000 ELSE CAST(ots AS DOUBLE) END AS s FROM dedup)
-SELECT listener_id, string_split(uri, ':')[-1] AS track_id, tn AS track_name, an AS artist_name,
+SELECT {"listener_id, " if with_listener else ""}string_split(uri, ':')[-1] AS track_id, tn AS track_name,
+  an AS artist_name,
   aln AS album_name,
   CASE WHEN s > 100 THEN make_timestamp(CAST(round(s * 1000000) AS BIGINT))
        ELSE strptime(ts_text, '%Y-%m-%dT%H:%M:%SZ') END AS ts,

@@ -234,7 +234,20 @@ def sink_queries() -> dict[str, Query]:
             out = out.unionByName(f)
         return out
 
+    def streaming_ingest(spark, sf_dir):
+        from encore.streaming import ingest
+
+        src, out = scratch_path(spark, "st-src"), scratch_path(spark, "st-fact")
+        records = derived.parse_export(derived.raw_export(tables.plays_raw_wide(spark, sf_dir))).drop("listener_id")
+        records.write.json(src)  # one play object per line, many files
+        q = ingest.start_ingest(spark, src, out, checkpoint=scratch_path(spark, "st-ckpt"), multi_line=False)
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
+        return spark.read.parquet(out)
+
     return {
+        "st_incremental_ingest": streaming_ingest,
         "s6_parquet_round_trip": parquet_round_trip,
         "s7_csv_round_trip": csv_round_trip,
         "s8_report_documents": report_documents,
@@ -264,5 +277,6 @@ def all_oracle_sql() -> dict[str, str]:
     out["s7_csv_round_trip"] = IS.csv_sql()
     out["s8_report_documents"] = out["r23_report_table_sizes"]
     out["p_clean_history"] = IS.clean_history_sql()
+    out["st_incremental_ingest"] = IS.clean_history_sql(with_listener=False)
     out.update(IS.enrich_sql())
     return out

@@ -8,9 +8,13 @@ parquet fact, with progress kept in a checkpoint under the shared
 resumes exactly where it stopped.
 
 Difference to the batch form, by necessity of streams: exact duplicates (P3)
-are removed within an event-time watermark (``dropDuplicatesWithinWatermark``)
-instead of over the whole history, which keeps the dedup state bounded.
-Copies of one play carry the same timestamp, so they fall inside the window.
+are removed among records that *arrive* within ``dedup_window`` of each other
+(``dropDuplicatesWithinWatermark`` on the micro-batch arrival time), not over
+the whole history, which keeps the dedup state bounded. The watermark is on
+arrival time, not play time, on purpose: exports arrive in any play-time
+order, and an event-time watermark would drop an older export's plays as late
+data. With arrival time no row is ever late; copies inside one export (or
+exports delivered together) are removed.
 """
 
 from __future__ import annotations
@@ -26,32 +30,35 @@ from encore.operators import clean
 from encore.session import checkpoint_dir
 
 
-def read_history_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 100) -> DataFrame:
-    """Streaming S1/S2: new ``*.json`` files (JSON arrays of plays) under ``path``."""
+def read_history_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 100,
+                        multi_line: bool = True) -> DataFrame:
+    """Streaming S1/S2: new ``*.json`` files under ``path`` — JSON arrays of plays
+    (``multi_line``, the export format) or one play object per line."""
     return (
-        spark.readStream.schema(schemas.RAW_PLAY).option("multiLine", True)
+        spark.readStream.schema(schemas.RAW_PLAY).option("multiLine", multi_line)
         .option("pathGlobFilter", "*.json").option("maxFilesPerTrigger", max_files_per_trigger).json(path)
     )
 
 
-def clean_history_stream(raw: DataFrame, dedup_delay: str = "2 days") -> DataFrame:
-    """P1–P15 on a streaming frame; dedup over all raw columns within the watermark."""
-    df = clean.drop_non_music(clean.rename_fields(raw))
+def clean_history_stream(raw: DataFrame, dedup_window: str = "1 hour") -> DataFrame:
+    """P1–P15 on a streaming frame; exact duplicates (all raw columns) arriving
+    within ``dedup_window`` of each other are removed."""
+    cols = raw.columns
+    df = raw.withColumn("_arrival", F.current_timestamp())
+    df = df.withWatermark("_arrival", dedup_window).dropDuplicatesWithinWatermark(cols).drop("_arrival")
+    df = clean.drop_non_music(clean.rename_fields(df))
     df = clean.effective_ts(clean.parse_ts(df))
-    # watermarks need a zoned timestamp: the same instant, read in the UTC session zone
-    df = df.withColumn("_event", F.col("ts").cast("timestamp"))
-    df = df.withWatermark("_event", dedup_delay).dropDuplicatesWithinWatermark().drop("_event")
     df = clean.track_id_from_uri(clean.mark_full_play(clean.map_reasons(df)))
     return df.select(*clean.PLAY_COLUMNS)
 
 
 def start_ingest(
     spark: SparkSession, src: str, out: str, checkpoint: str | None = None, available_now: bool = True,
-    processing_time: str = "1 minute",
+    processing_time: str = "1 minute", multi_line: bool = True,
 ) -> StreamingQuery:
     """Start the incremental ingest; ``available_now`` drains what is there and stops."""
     ckpt = checkpoint or os.path.join(checkpoint_dir(spark), "ingest-" + os.path.basename(out.rstrip("/")))
-    stream = clean_history_stream(read_history_stream(spark, src))
+    stream = clean_history_stream(read_history_stream(spark, src, multi_line=multi_line))
     writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", ckpt)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
     return writer.start(out)

@@ -22,8 +22,11 @@ def test_stream_ingest_matches_batch(spark, tmp_path):
     want = sorted(tuple(r) for r in clean.clean_history(history.read_history(spark, str(src))).collect())
     assert got == want and len(got) == 3
 
-    # a new file arriving later is picked up by a restart from the same checkpoint
-    (src / "c.json").write_text(json.dumps([rec(ts="2021-03-01T10:00:00Z", spotify_track_uri="media:track:new")]))
+    # a new file arriving later is picked up by a restart from the same checkpoint; it holds
+    # plays years older than those already ingested and must not be dropped as late data
+    (src / "c.json").write_text(json.dumps([rec(ts="2012-03-01T10:00:00Z", spotify_track_uri="media:track:old"),
+                                            rec(ts="2012-03-01T10:00:00Z", spotify_track_uri="media:track:old")]))
     q = ingest.start_ingest(spark, str(src), str(out), checkpoint=str(tmp_path / "ckpt"))
     q.awaitTermination(120)
-    assert spark.read.parquet(str(out)).count() == 4
+    back = spark.read.parquet(str(out))
+    assert back.count() == 4 and back.filter("track_id = 'old'").count() == 1
