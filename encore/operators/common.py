@@ -8,6 +8,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Largest row count a side may have to be broadcast by an explicit hint.
+MAX_BROADCAST_ROWS = 100_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int | None) -> DataFrame:
+    """Hint a broadcast only for a side whose row count is bounded by ``max_rows``
+    (e.g. a top-k table without grouping) and the bound is small; otherwise the
+    plain side is returned and AQE chooses by the runtime size."""
+    if max_rows is not None and max_rows <= MAX_BROADCAST_ROWS:
+        return F.broadcast(df)
+    return df
+
+
 def top_k(df: DataFrame, order: Sequence[Column], k: int | None, by: Sequence[str] = ()) -> DataFrame:
     """Top ``k`` rows by ``order`` (overall, or per ``by`` group).
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from encore.functions import exprs as X
-from encore.operators.common import first_row, first_value, full_plays, skips, sum_ms, top_k
+from encore.operators.common import bounded_broadcast, first_row, first_value, full_plays, skips, sum_ms, top_k
 
 
 def _ts_lit(value: str | dt.datetime) -> F.Column:
@@ -253,7 +253,7 @@ def top_artist_per_top_country(wide: DataFrame, k: int = 10, by: Sequence[str] =
         "hours_played_artist", X.round_int_ratio("sum_ms", X.MS_PER_HOUR))
     best = first_row(artists, [*by, "country"], [("hours_played_artist", True), ("artist_name", False)])
     # the top-k side holds at most k rows per group: a bounded broadcast
-    joined = best.join(F.broadcast(top_countries_) if not by else top_countries_, [*by, "country"])
+    joined = best.join(bounded_broadcast(top_countries_, None if by else k), [*by, "country"])
     return joined.select(*by, "country", "total_hours", "artist_name", "hours_played_artist",
                          "full_play_count_artist")
 
@@ -312,7 +312,7 @@ def least_played_of_top_albums(wide: DataFrame, k: int = 10, by: Sequence[str] =
     )
     top_albums = top_k(albums, [F.desc("total_album_hours"), F.asc("artist_name"), F.asc("album_name")], k, by)
     least = first_row(tracks, keys, [("full_play", False), ("track_name", False)])
-    joined = least.join(F.broadcast(top_albums) if not by else top_albums, keys)
+    joined = least.join(bounded_broadcast(top_albums, None if by else k), keys)
     return joined.select(*keys, "total_album_hours", "track_name",
                          X.hours_rounded("sum_ms", 1).alias("hours_played"), "full_play", "avg_full_play")
 

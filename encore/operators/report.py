@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from encore.functions import exprs as X
 from encore.operators.clean import with_month_index
-from encore.operators.common import first_row, top_k
+from encore.operators.common import bounded_broadcast, first_row, top_k
 
 # entity → key columns; ties sort by the keys joined with the composite separator
 ENTITIES = {
@@ -94,7 +94,7 @@ def most_played(plays: DataFrame, entity: str, k: int = 100, by: Sequence[str] =
         # distinct tracks only for the top-k artists: the fact is semi-joined with the
         # k keys first (a bounded broadcast without ``by``), then aggregated
         keys_top = top.select(*by, "artist_name")
-        rows = plays.join(F.broadcast(keys_top) if not by else keys_top, [*by, "artist_name"], "left_semi")
+        rows = plays.join(bounded_broadcast(keys_top, None if by else k), [*by, "artist_name"], "left_semi")
         tracks = rows.groupBy(*by, "artist_name").agg(F.count_distinct("track_name").alias("unique_tracks_played"))
         out = out.join(tracks, [*by, "artist_name"], "left")
     return out
@@ -138,7 +138,7 @@ def monthly_play_series(plays: DataFrame, entity: str, k: int = 100, by: Sequenc
     top = most_played(plays, entity, k, by).select(*by, *keys)
     fp = plays.filter(F.col("full_play")).select(*by, *keys, "month_index")
     # k rows (per group): broadcast is bounded by k when there is no grouping
-    fp_top = fp.join(F.broadcast(top) if not by else top, [*by, *keys])
+    fp_top = fp.join(bounded_broadcast(top, None if by else k), [*by, *keys])
     counts = fp_top.groupBy(*by, *keys, "month_index").agg(F.count("*").alias("play_count"))
     stats = counts.groupBy(*by).agg(
         F.percentile(F.col("play_count"), F.lit(0.99)).alias("p99"),
@@ -169,7 +169,7 @@ def top_songs_of_top_artists(plays: DataFrame, k: int = 100, by: Sequence[str] =
     top = top_k(artists, [F.desc("play_count"), F.asc("_sort")], k, by).select(
         *by, "artist_name", F.col("play_count").alias("artist_plays"))
     tracks = entity_play_counts(plays, "track", by)
-    tracks = tracks.join(F.broadcast(top.select(*by, "artist_name")) if not by else top.select(*by, "artist_name"),
+    tracks = tracks.join(bounded_broadcast(top.select(*by, "artist_name"), None if by else k),
                          [*by, "artist_name"], "left_semi")
     w = Window.partitionBy(*by, "artist_name").orderBy(F.desc("play_count"), F.asc("_sort"))
     ranked = tracks.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 3)
