@@ -40,11 +40,14 @@ class Report:
         fact = plays.select(*cols)
         fact = fact.drop("month_index")
         self._cached = None
+        self._spark = plays.sparkSession
+        self._table_path = None
         if materialize == "table":
             # the month index is written with the table (one pass); other tables prune it away
-            path = scratch_path(plays.sparkSession, "report-fact")
+            path = scratch_path(self._spark, "report-fact")
             with_month_index(fact, by).write.mode("overwrite").parquet(path)
-            fact = plays.sparkSession.read.parquet(path)
+            fact = self._spark.read.parquet(path)
+            self._table_path = path
         elif materialize == "persist":
             self._cached = fact = fact.persist(StorageLevel.MEMORY_AND_DISK)
         # otherwise R5 adds the month index itself; no other table carries that join
@@ -79,9 +82,15 @@ class Report:
         self.single_values = kpis.single_values(fact, by)
 
     def close(self) -> None:
+        """Release the shared fact: unpersist it, or delete the written table."""
         if self._cached is not None:
             self._cached.unpersist()
             self._cached = None
+        if self._table_path is not None:
+            jvm = self._spark.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(self._table_path)
+            path.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._table_path = None
 
     def __enter__(self) -> Report:
         return self

@@ -141,3 +141,17 @@ def test_kpi_fixed_variant(spark):
     assert k.percent_of_skipped_songs_not_using_shuffle == 50  # 1 of 2 shuffle rows (reference's denominator)
     assert k.percent_of_skipped_songs_not_using_shuffle_fixed == 50  # 1 of 2 non-shuffle rows
     assert k.percent_of_skipped_songs_using_shuffle == 50
+
+
+def test_report_bundle_materializes_and_cleans_up(spark, gap_plays):
+    import os
+
+    from encore.plans.report import Report
+
+    with Report(gap_plays, k=5) as rep:
+        path = rep._table_path
+        assert path and os.path.exists(path.replace("file:", ""))
+        sizes = {name: df.count() for name, df in rep.tables.items()}
+        assert sizes["avg_hours_played_per_year_month"] == 3
+        assert rep.single_values.count() == 1
+    assert not os.path.exists(path.replace("file:", ""))
