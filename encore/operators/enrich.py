@@ -203,5 +203,10 @@ def wide_fact(plays: DataFrame, tracks: DataFrame, albums: DataFrame, artists: D
     skewed keys (one very popular track/artist) are split by AQE skew join.
     """
     t = tracks.drop("artist_id") if "artist_id" in plays.columns else tracks
+    # the dimensions are the source of entity attributes (e.g. names): drop the
+    # plays' own copies of any non-key column a dimension provides
+    keys = {"track_id", "album_id", "artist_id"}
+    provided = (set(t.columns) | set(albums.columns) | set(artists.columns)) - keys
+    plays = plays.drop(*[c for c in plays.columns if c in provided])
     out = plays.join(t, "track_id", "left").join(albums, "album_id", "left").join(artists, "artist_id", "left")
     return out.withColumn("hours_played", F.col("ms_played") / 3_600_000)

@@ -114,3 +114,17 @@ def table_sizes(rep: Report) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
+
+
+# Fixed value: the message shown when a filter leaves no full play.
+NO_PLAYS_MESSAGE = "No plays from this artist in this time frame."
+
+
+def filtered_report(plays: DataFrame, start: tuple[int, int], end: tuple[int, int], artist_name: str | None = None,
+                    k: int = 100, by: Sequence[str] = (), materialize: str | None = "table") -> Report | str:
+    """R21 → R23: the report over a month range (and optionally one artist), or the
+    reference's message when no full play remains (checked by reading one row)."""
+    subset = R.filter_history(plays, start, end, artist_name)
+    if not R.has_full_plays(subset):
+        return NO_PLAYS_MESSAGE
+    return Report(subset, k=k, by=by, materialize=materialize)
