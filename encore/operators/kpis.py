@@ -72,16 +72,12 @@ def single_values(plays: DataFrame, by: Sequence[str] = (), with_fixed: bool = F
     fp = F.col("full_play")
     skip = F.col("reason_end") == X.SKIP_REASON
     shuffle = F.col("shuffle")
-    track_ok = F.col("track_name").isNotNull() & F.col("artist_name").isNotNull()
     rs = F.col("reason_start")
     base = plays.groupBy(*by).agg(
         F.min("day").alias("_first"), F.max("day").alias("_last"),
         F.count_distinct(F.when(fp, F.col("day"))).alias("number_of_days_with_tracks_played"),
         F.count("*").alias("_n"),
         F.count_if(fp).alias("played_songs"),
-        F.count_if(fp & track_ok).alias("_fp_keyed"),
-        F.count_distinct(F.when(fp, F.col("track_name")), F.col("artist_name")).alias("unique_tracks_played"),
-        F.count_distinct(F.when(fp, F.col("artist_name"))).alias("unique_artists_played"),
         F.count_distinct(F.when(fp, F.col("album_name")), F.col("artist_name")).alias("unique_albums_played"),
         F.sum("ms_played").alias("_ms"),
         F.count_if(fp & shuffle).alias("_fp_shuffle"),
@@ -130,8 +126,7 @@ def single_values(plays: DataFrame, by: Sequence[str] = (), with_fixed: bool = F
         P("number_of_days_with_tracks_played", "number_of_days").alias("percent_of_days_with_tracks_played"),
         "played_songs",
         X.round_int_ratio("played_songs", "number_of_days").alias("played_songs_per_day"),
-        "unique_tracks_played", "unique_artists_played", "unique_albums_played",
-        X.round_ratio("unique_tracks_played", "unique_artists_played", 1).alias("unique_tracks_played_per_artist"),
+        "unique_albums_played",
         "listening_hours",
         F.regexp_replace(X.format_hours(per_day), "h$", "").alias("listening_hours_per_day"),
         P("_fp_shuffle", "played_songs").alias("percent_of_played_songs_using_shuffle"),
@@ -149,17 +144,26 @@ def single_values(plays: DataFrame, by: Sequence[str] = (), with_fixed: bool = F
         P("_rs_done", "_n").alias("percent_reason_start_trackdone"),
         P("_rs_click", "_n").alias("percent_reason_start_clickrow"),
         P("_fp_incognito", "played_songs").alias("percent_of_played_songs_using_incognito_mode"),
-        X.round_ratio("_fp_keyed", "unique_tracks_played", 1).alias("average_play_count_per_song"),
         P("_fp_click", "played_songs").alias("percent_played_songs_reason_start_clickrow"),
     )
+    # The per-entity histograms of the share KPIs also give the distinct track and
+    # artist counts and the keyed full-play total, so those need no distinct
+    # aggregate (and no Expand copy of every row) of their own.
     shares = []
     for entity in ("artist", "track"):
         s = report.share_at_rank(plays, entity, SHARE_RANKS, by)
         shares.append(s.select(*by, *[F.col(f"top_{n}").alias(f"top_{n}_{entity}_play_count_percent")
-                                      for n in SHARE_RANKS]))
+                                      for n in SHARE_RANKS],
+                               F.col("unique").alias(f"_unique_{entity}"), F.col("total").alias(f"_total_{entity}")))
     names = [_top_names(plays, "artist", by), _top_names(plays, "track", by)]
     out = _join([kpi, *shares, *names], by)
-    # groups without full plays have no histogram rows: their shares are 0
-    out = out.fillna(0, subset=[f"top_{n}_{e}_play_count_percent" for e in ("artist", "track") for n in SHARE_RANKS])
+    # groups without full plays have no histogram rows: their shares and counts are 0
+    out = out.fillna(0, subset=[f"top_{n}_{e}_play_count_percent" for e in ("artist", "track") for n in SHARE_RANKS]
+                     + ["_unique_artist", "_unique_track", "_total_track"])
+    out = out.withColumnsRenamed({"_unique_track": "unique_tracks_played", "_unique_artist": "unique_artists_played"})
+    out = out.withColumns({
+        "unique_tracks_played_per_artist": X.round_ratio("unique_tracks_played", "unique_artists_played", 1),
+        "average_play_count_per_song": X.round_ratio("_total_track", "unique_tracks_played", 1),
+    })
     extra = ["percent_of_skipped_songs_not_using_shuffle_fixed"] if with_fixed else []
     return out.select(*by, *KPI_COLUMNS, *extra)

@@ -426,7 +426,8 @@ def cumulative_play_share(plays: DataFrame, entity: str, by: Sequence[str] = ())
 
 def share_at_rank(plays: DataFrame, entity: str, ranks: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
     """R18 looked up at rank min(N, unique − 1) for each N (as the KPIs do),
-    rounded to a whole percent; one row per group, columns ``top_<N>``."""
+    rounded to a whole percent; one row per group, columns ``top_<N>``, plus
+    ``unique`` (entities with a full play) and ``total`` (their full plays)."""
     by = list(by)
     hist = play_count_histogram(plays, entity, by)
     cols = []
@@ -435,11 +436,11 @@ def share_at_rank(plays: DataFrame, entity: str, ranks: Sequence[int], by: Seque
         inside = (F.col("first_rank") <= r) & (r <= F.col("last_rank"))
         cum = F.col("plays_before") + (r - F.col("first_rank") + 1) * F.col("plays")
         cols.append(F.max(F.when(inside, cum)).alias(f"_cum{n}"))
-    picked = hist.groupBy(*by).agg(*cols, F.max("total_plays").alias("total"))
+    picked = hist.groupBy(*by).agg(*cols, F.max("total_plays").alias("total"), F.max("unique").alias("unique"))
     return picked.select(*by, *[
         X.percent(F.coalesce(f"_cum{n}", F.lit(0)), "total").alias(f"top_{n}")
         for n in ranks
-    ])
+    ], "unique", "total")
 
 
 # ---------------------------------------------------------------------------
