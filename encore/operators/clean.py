@@ -145,9 +145,12 @@ def split_composite(df: DataFrame, col: str, into: tuple[str, str]) -> DataFrame
 
 
 def round_numeric(df: DataFrame, digits: int = 2) -> DataFrame:
-    """Every double column rounded half-even (display/sink only)."""
+    """Every double column rounded for display (sinks only), the way the
+    reference's frame rounding does it: scale, round half-even on the binary
+    value (``rint``), unscale — so 2.675 (stored as 2.67499…) shows as 2.67."""
+    scale = float(10**digits)
     return df.withColumns({
-        f.name: F.bround(F.col(f.name), digits)
+        f.name: F.rint(F.col(f.name) * scale) / scale
         for f in df.schema.fields
         if f.dataType.typeName() in ("double", "float")
     })
