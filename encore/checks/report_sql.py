@@ -53,8 +53,8 @@ cnt AS (SELECT {ks}, month_index, count(*) AS play_count FROM plays JOIN top USI
 st AS (SELECT quantile_cont(play_count, 0.99) AS p99, max(month_index) AS max_index FROM cnt),
 sp AS (SELECT {ks}, CAST(unnest(range(0, max_index + 1)) AS INTEGER) AS month_index, p99 FROM top, st)
 SELECT {", ".join(f"sp.{k}" for k in keys)}, sp.month_index, coalesce(cnt.play_count, 0) AS play_count,
-  CAST(least(round_even(coalesce(cnt.play_count, 0) * 40 / p99, 0), 40) AS INTEGER) AS bar_height,
-  CAST(floor(p99) AS BIGINT) AS p99_plays
+  CAST(least(round_even(coalesce(cnt.play_count, 0) * (40.0::DOUBLE / p99), 0), 40) AS INTEGER) AS bar_height,
+  CAST(floor(40.0::DOUBLE / (40.0::DOUBLE / p99)) AS BIGINT) AS p99_plays
 FROM sp LEFT JOIN cnt USING ({using}, month_index)""")
 
 

@@ -150,10 +150,13 @@ def monthly_play_series(plays: DataFrame, entity: str, k: int = 100, by: Sequenc
     dense = spine.join(counts, [*by, *keys, "month_index"], "left").withColumn(
         "play_count", F.coalesce(F.col("play_count"), F.lit(0).cast("long"))
     )
-    height = F.least(F.bround(F.col("play_count") * BAR_HEIGHT / F.col("p99"), 0), F.lit(float(BAR_HEIGHT)))
+    # same double operations as the reference: multiplier = 40 / p99, height =
+    # round-half-even(count * multiplier) capped at 40, label = int(40 / multiplier)
+    mult = F.lit(float(BAR_HEIGHT)) / F.col("p99")
+    height = F.least(F.rint(F.col("play_count") * mult), F.lit(float(BAR_HEIGHT)))
     return dense.select(
         *by, *keys, "month_index", "play_count", height.cast("int").alias("bar_height"),
-        F.floor(F.col("p99")).cast("long").alias("p99_plays"),
+        F.floor(F.lit(float(BAR_HEIGHT)) / mult).cast("long").alias("p99_plays"),
     )
 
 
