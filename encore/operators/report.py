@@ -194,24 +194,33 @@ def top_songs_of_top_artists(plays: DataFrame, k: int = 100, by: Sequence[str] =
 
 
 def most_played_monthly(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Per month the artist / track / album with most plays (all rows), newest first."""
+    """Per month the artist / track / album with most plays (all rows), newest first.
+
+    The three entity kinds are counted in one aggregate over a union of their
+    keys (one shuffle instead of three), the winner per month and kind is a
+    ``min_by`` aggregate, and the three winners are folded into one row per
+    month by a conditional aggregate — no joins between the three.
+    """
     by = list(by)
+    kinds = ("artist", "track", "album")
+    parts = [
+        _non_null(plays, _keys(e)).select(*by, "year_month", F.lit(e).alias("kind"),
+                                           F.col(_keys(e)[0]).alias("name"), F.col("artist_name").alias("artist"))
+        for e in kinds
+    ]
+    keyed = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    counts = keyed.groupBy(*by, "year_month", "kind", "name", "artist").agg(F.count("*").alias("n"))
+    counts = counts.withColumn(
+        "_sort", F.when(F.col("kind") == "artist", F.col("name"))
+        .otherwise(F.concat_ws(X.COMPOSITE_SEP, "name", "artist")))
+    best = first_row(counts, [*by, "year_month", "kind"], [("n", True), ("_sort", False)])
+    n = F.col("n").cast("string")
+    label = (F.when(F.col("kind") == "artist", F.concat(F.col("name"), F.lit(" ("), n, F.lit(" times)")))
+             .otherwise(F.concat(F.col("name"), F.lit(" (by "), F.col("artist"), F.lit(", "), n, F.lit(" times)"))))
+    winners = best.groupBy(*by, "year_month").agg(
+        *[F.max(F.when(F.col("kind") == e, label)).alias(f"most_played_{e}") for e in kinds])
     months = plays.select(*by, "year_month").distinct()
-    out = months
-    for entity in ("artist", "track", "album"):
-        keys = _keys(entity)
-        counts = (
-            _non_null(plays, keys).groupBy(*by, "year_month", *keys).agg(F.count("*").alias("n"))
-            .withColumn("_sort", _sort_key(entity))
-        )
-        best = first_row(counts, [*by, "year_month"], [("n", True), ("_sort", False)])
-        n = F.col("n").cast("string")
-        if entity == "artist":
-            label = F.concat(F.col("artist_name"), F.lit(" ("), n, F.lit(" times)"))
-        else:
-            label = F.concat(F.col(keys[0]), F.lit(" (by "), F.col("artist_name"), F.lit(", "), n, F.lit(" times)"))
-        out = out.join(best.select(*by, "year_month", label.alias(f"most_played_{entity}")),
-                       [*by, "year_month"], "left")
+    out = months.join(winners, [*by, "year_month"], "left")
     return out.orderBy(*by, F.desc("year_month"))
 
 
