@@ -15,7 +15,8 @@ def half_even(num, den, digits):
     twice = 2 * r
     if twice > v.denominator or (twice == v.denominator and q % 2 == 1):
         q += 1
-    return q / 10**digits if digits else q
+    # the exactly rounded integer becomes a double, then one IEEE division (as in both engines)
+    return float(q) / 10**digits if digits else q
 
 
 @settings(max_examples=30, deadline=None)
@@ -58,3 +59,16 @@ def test_round_ratio_sql_path_equals_column_path(spark, pairs, digits, mult):
     b = df.select(X.round_ratio(F.col("n"), F.col("d"), digits, mult).alias("r")).collect()
     assert [r.r for r in a] == [r.r for r in b]
     assert [r.r for r in a] == [None if d == 0 else half_even(n * mult, d, digits) for n, d in pairs]
+
+
+def test_bounded_broadcast_only_under_bound(spark):
+    from encore.operators.common import MAX_BROADCAST_ROWS, bounded_broadcast
+
+    df = spark.range(5)
+
+    def hinted(d):
+        return "broadcast" in d._jdf.queryExecution().analyzed().toString().lower()
+
+    assert hinted(bounded_broadcast(df, 20))
+    assert not hinted(bounded_broadcast(df, MAX_BROADCAST_ROWS + 1))
+    assert not hinted(bounded_broadcast(df, None))
