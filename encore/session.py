@@ -8,8 +8,8 @@ folder.
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -56,34 +56,29 @@ def build_session(
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors share one machine (``local[...]`` masters)."""
+    return spark.conf.get("spark.master", "").startswith("local[") or spark.conf.get("spark.master", "") == "local"
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is only read. When
-    it is unset (local runs and tests) a fresh scratch folder is created and
-    registered, so lineage can still be cut with ``checkpoint()``.
+    On a cluster this setting points at shared storage and is only read; when
+    it is unset there, this raises, because a machine-local folder would be
+    seen by one executor only. On a local master (tests) a fresh scratch
+    folder is created and registered.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        spark.sparkContext.setCheckpointDir(current)
-        return current
-    local = tempfile.mkdtemp(prefix="encore-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    if not current:
+        if not is_local(spark):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        current = tempfile.mkdtemp(prefix="encore-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", current)
+    spark.sparkContext.setCheckpointDir(current)
+    return current
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the checkpoint folder for a written intermediate table."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{os.getpid()}-{next(_counter)}")
-
-
-def _count():
-    i = 0
-    while True:
-        i += 1
-        yield i
-
-
-_counter = _count()
+    """A fresh path under the checkpoint folder for a written intermediate table (never shared by two calls)."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
