@@ -4,10 +4,11 @@ import pytest
 
 import __spark_entry__ as E  # noqa: E402
 from conftest import SF_SMALL
+from encore.plans import catalog
 from oracle_check import compare, duck
 
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+QUERIES = {name: fn for name, fn in E.queries().items() if name in catalog.all_queries()}
+SQL = {name: sql for name, sql in E.oracle_sql().items() if name in catalog.all_queries()}
 
 
 @pytest.fixture(scope="module")
