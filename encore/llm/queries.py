@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from encore.llm import exact_dedup
+from encore.llm import bpe, exact_dedup
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op6_bpe": bpe.op6_bpe,
 }
 
 ORACLE_SQL = {
