@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from encore.llm import bpe, exact_dedup, secrets
+from encore.llm import bpe, chat, exact_dedup, secrets
 
 QUERIES = {
+    "op10_chat_format": chat.op10_chat_format,
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op6_bpe": bpe.op6_bpe,
 }
 
 ORACLE_SQL = {
+    "op10_chat_format": chat.ORACLE_SQL,
     "op1_secret_scan": secrets.ORACLE_SQL,
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
 }
