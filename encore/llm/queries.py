@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from encore.llm import bpe, chat, exact_dedup, secrets
+from encore.llm import bpe, chat, exact_dedup, langid, secrets
 
 QUERIES = {
+    "op5_language_id": langid.op5_language_id,
     "op10_chat_format": chat.op10_chat_format,
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
