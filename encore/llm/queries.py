@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from encore.llm import bpe, chat, exact_dedup, langid, secrets
+from encore.llm import bpe, chat, exact_dedup, langid, quality, secrets
 
 QUERIES = {
+    "op4_quality_rules": quality.op4_quality_rules,
     "op5_language_id": langid.op5_language_id,
     "op10_chat_format": chat.op10_chat_format,
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_quality_rules": quality.ORACLE_SQL,
     "op10_chat_format": chat.ORACLE_SQL,
     "op1_secret_scan": secrets.ORACLE_SQL,
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
