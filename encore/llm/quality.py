@@ -2,7 +2,8 @@
 
 Each rule looks at counts of one document and votes good, votes bad or
 abstains. Expectation-maximisation over the counts of vote patterns (at most
-3^rules rows, whatever the number of documents) estimates how often each rule
+3^rules rows, whatever the number of documents; documents that fail the base
+checks have their verdict already and are left out) estimates how often each rule
 casts each vote on good and on bad documents, and the share of good ones. A
 document is kept by the posterior probability that it is good, not by having
 to pass every rule.
@@ -144,10 +145,11 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     counted = common.written(with_votes(counts(docs, id_col, text_col), rules), "quality-counts")
     by = [f"vote_{name}" for name, *_ in rules]
     # 3^rules rows at most
-    judged = counted.join(F.broadcast(posteriors(counted, rules)), by, "left")
+    passed = counted.where(f"NOT ({BASE_FAILED})")  # the rest needs no verdict and would teach the rules its own faults
+    judged = counted.join(F.broadcast(posteriors(passed, rules)), by, "left")
     return judged.withColumn("base_failed", F.expr(BASE_FAILED)).select(
         F.col("row_id").alias(id_col), *COUNTS, *by, "p_good", "base_failed",
-        (~F.col("base_failed") & (F.col("p_good") >= KEEP_FROM)).alias("kept"))
+        (~F.col("base_failed") & F.coalesce(F.col("p_good") >= KEEP_FROM, F.lit(False))).alias("kept"))
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -183,7 +185,7 @@ counted AS (
          len(list_filter(w, lambda x: right(x, 1) IN ('.', '!', '?')))::BIGINT AS n_ends
   FROM d JOIN words USING (id) LEFT JOIN repeats r USING (id)),
 voted AS (SELECT *, {votes} FROM counted),
-grouped AS (SELECT {names}, count(*)::DOUBLE AS n FROM voted GROUP BY ALL),
+grouped AS (SELECT {names}, count(*)::DOUBLE AS n FROM voted WHERE NOT ({BASE_FAILED}) GROUP BY ALL),
 patterns AS (SELECT list(struct_pack(cells := [{cells}], n := n) ORDER BY {names}) AS ps, list(struct_pack({", ".join(f"vote_{name} := vote_{name}" for name, *_ in RULES)}) ORDER BY {names}) AS vs FROM grouped),
 em AS (
   SELECT 0 AS i, 0.0::DOUBLE AS b, [{start}]::DOUBLE[] AS w
@@ -194,8 +196,8 @@ em AS (
   FROM (SELECT em.i, ps, {score} AS q FROM em, patterns WHERE em.i < {ITERATIONS})),
 final AS (SELECT unnest(vs) AS v, unnest({score}) AS p_good FROM em, patterns WHERE em.i = {ITERATIONS})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({BASE_FAILED}) AS base_failed,
-       NOT ({BASE_FAILED}) AND p_good >= {KEEP_FROM} AS kept
-FROM voted JOIN final ON {" AND ".join(f"voted.vote_{name} = v.vote_{name}" for name, *_ in RULES)}
+       NOT ({BASE_FAILED}) AND coalesce(p_good >= {KEEP_FROM}, false) AS kept
+FROM voted LEFT JOIN final ON {" AND ".join(f"voted.vote_{name} = v.vote_{name}" for name, *_ in RULES)}
 """
 
 
