@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from encore.llm import bpe, chat, exact_dedup, langid, quality, secrets
+from encore.llm import bpe, chat, exact_dedup, langid, licenses, quality, secrets
 
 QUERIES = {
+    "op9_license_scan": licenses.op9_license_scan,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_language_id": langid.op5_language_id,
     "op10_chat_format": chat.op10_chat_format,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op9_license_scan": licenses.ORACLE_SQL,
     "op4_quality_rules": quality.ORACLE_SQL,
     "op10_chat_format": chat.ORACLE_SQL,
     "op1_secret_scan": secrets.ORACLE_SQL,
