@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from encore.llm import bpe, chat, exact_dedup, langid, licenses, quality, secrets
+from encore.llm import bpe, chat, exact_dedup, langid, licenses, mixing, quality, secrets
 
 QUERIES = {
+    "op7_mixing": mixing.op7_mixing,
     "op9_license_scan": licenses.op9_license_scan,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_language_id": langid.op5_language_id,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op7_mixing": mixing.ORACLE_SQL,
     "op9_license_scan": licenses.ORACLE_SQL,
     "op4_quality_rules": quality.ORACLE_SQL,
     "op10_chat_format": chat.ORACLE_SQL,
