@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from encore.llm import bpe, chat, exact_dedup, langid, licenses, mixing, quality, secrets
+from encore.llm import bpe, chat, exact_dedup, langid, licenses, mixing, near_dedup, quality, secrets
 
 QUERIES = {
+    "op8_near_dedup": near_dedup.op8_near_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op9_license_scan": licenses.op9_license_scan,
     "op4_quality_rules": quality.op4_quality_rules,
