@@ -1,8 +1,55 @@
-"""Corpus pipeline (stub until every stage exists)."""
+"""Corpus pipeline: quality rules, exact dedup, near dedup, mixing to target weights, BPE encoding.
 
-STAGES = []
-ORACLE_SQL = None
+Every stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor kept. All but the last return the
+columns of ``documents``; the last returns each document's token ids. Stages are written as Parquet and read again.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+from pyspark.sql import DataFrame, SparkSession
+
+from encore.llm import bpe, common, exact_dedup, mixing, near_dedup, quality
+
+TOKENIZER = "byte_bpe_50k.json"
+MIX_BUDGET_PERCENT = 80  # of the tokens that reach the stage; no document is repeated
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.kept_rows(docs)
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicated(docs, keep="largest")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.near_deduplicated(docs)
+
+
+def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs, budget_percent=MIX_BUDGET_PERCENT, max_epochs=1)
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encoded_documents(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("exact_duplicates", exact_duplicates),
+    ("near_duplicates", near_duplicates),
+    ("mixing_to_weights", mixing_to_weights),
+    ("bpe_encoding", bpe_encoding),
+]
+
+ORACLE_SQL = None  # near-duplicate classes are connected components of verified links, tested against brute force
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

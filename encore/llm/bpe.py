@@ -296,13 +296,13 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return short.unionByName(long)
 
 
-def _decode(path: str):
+def _decode(path: str, with_ids: bool = False):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        schema = pa.schema([("row_id", pa.int64()), ("text", pa.string())])
-        rows = ((row, c.decode(ids)) for part in parts
-                for row, ids in zip(part.column(0).to_pylist(), _lists(part.column(1)), strict=True))
-        yield from common.batches(rows, schema)
+        schema = pa.schema([("row_id", pa.int64()), ("text", pa.string()), *([("ids", pa.list_(pa.int32()))] if with_ids else [])])
+        for part in parts:
+            text = pa.array([c.decode(ids) for ids in _lists(part.column(1))], pa.string())
+            yield pa.RecordBatch.from_arrays([part.column(0), text, *([part.column(1).cast(pa.list_(pa.int32()))] if with_ids else [])], schema=schema)
 
     return run
 
@@ -341,6 +341,14 @@ def digests(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInArrow(_digest(path), _DIGEST)
 
 
+def encoded_documents(docs: DataFrame, path: str) -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded_sha256`` of documents: the ids, and the digest of the text decoded from them."""
+    made = encode(docs, path)
+    decoded = F.sha2(F.col("text"), 256)
+    rows = made.mapInArrow(_decode(path, True), "row_id bigint, text string, ids array<int>")
+    return rows.select(F.col("row_id").alias("doc_id"), F.size("ids").cast("bigint").alias("n_tokens"), "ids", decoded.alias("decoded_sha256"))
+
+
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -56,3 +56,15 @@ def batches(rows: Iterable[tuple], schema: pa.Schema, limit: int = 2000, limit_b
 def _batch(buf: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(col, type=f.type) for col, f in zip(zip(*buf, strict=True), schema, strict=True)], schema=schema)
+
+
+def rows_that_stay(docs: DataFrame, stay: DataFrame, id_col: str, mark: Column) -> DataFrame:
+    """The rows of ``docs`` whose id and ``mark`` (a string) are in ``stay`` (``id, mark``), one row for each; all columns.
+
+    Both steps go by one key column, so that the texts are shuffled once.
+    """
+    key = lambda i, m: F.concat_ws(":", m, F.coalesce(i.cast("string"), F.lit("")))
+    name = "__stay_key"
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key(F.col(id_col), mark).alias(name))
+    once = keyed.groupBy(name).agg(F.first("row").alias("row"))
+    return once.join(stay.select(key(F.col("id"), F.col("mark")).alias(name)), name, "left_semi").select("row.*")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from encore.llm import common
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 TRIE_BYTES = 32 << 20  # text held by one task's trie before it spills a subtree
 
 _TERMINAL = "text_bytes int, text_sha binary, text_key binary, owner_rank bigint, n_rows bigint"
@@ -207,11 +208,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; one row per class of equal texts."""
     stay = exact_duplicates(docs, id_col, text_col, keep).where("kept").select(
-        F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    keyed = docs.select("*", F.sha2(F.translate(common.text_or_empty(text_col), upper, upper.lower()), 256).alias("__own"))
-    hit = keyed.join(stay, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
-    return hit.dropDuplicates([id_col, "__own"]).select(*docs.columns)
+        F.col(id_col).alias("id"), F.col("text_sha256").alias("mark"))
+    own = F.sha2(F.translate(common.text_or_empty(text_col), UPPER, UPPER.lower()), 256)
+    return common.rows_that_stay(docs, stay, id_col, own)
 
 
 ORACLE_SQL = """

@@ -408,12 +408,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each class, the one with the smallest id."""
     found = classes(docs, id_col, text_col, threshold)
-    stay = found.where(F.col("row_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("__node")).select(
-        F.col("class_id").alias("__id"), "__node")
-    own = F.unhex(F.md5(common.text_or_empty(text_col)))
-    keyed = docs.select("*", own.alias("__own"))
-    hit = keyed.join(stay, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__node")), "left_semi")
-    return hit.dropDuplicates([id_col, "__own"]).select(*docs.columns)
+    stay = found.where(F.col("row_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("node")).select(
+        F.col("class_id").alias("id"), F.lower(F.hex("node")).alias("mark"))
+    return common.rows_that_stay(docs, stay, id_col, F.md5(common.text_or_empty(text_col)))
 
 
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:

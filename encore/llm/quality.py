@@ -152,6 +152,12 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
         (~F.col("base_failed") & F.coalesce(F.col("p_good") >= KEEP_FROM, F.lit(False))).alias("kept"))
 
 
+def kept_rows(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    return quality(rows, "row", "text", rules).where("kept").select("row.*")
+
+
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     judged = quality(common.table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
