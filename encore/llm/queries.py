@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from encore.llm import bpe, chat, exact_dedup, langid, licenses, mixing, near_dedup, quality, secrets
+from encore.llm import bpe, chat, exact_dedup, langid, licenses, lm, mixing, near_dedup, quality, secrets
 
 QUERIES = {
+    "op3_lm_scores": lm.op3_lm_scores,
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op9_license_scan": licenses.op9_license_scan,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_lm_scores": lm.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
     "op9_license_scan": licenses.ORACLE_SQL,
     "op4_quality_rules": quality.ORACLE_SQL,
