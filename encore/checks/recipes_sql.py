@@ -109,7 +109,8 @@ SELECT year, rock_full_play, hiphop_full_play, pop_full_play, total_full_play,
         share.format(since=f"AND ts >= TIMESTAMP '{GENRE_SINCE}'", **fmt))
 
     q["q13_top_bands_and_solo"] = with_wide(f"""
-SELECT artist_name, hours_played, full_play_count, is_band FROM (
+SELECT artist_name, hours_played, full_play_count, is_band,
+       row_number() OVER (PARTITION BY is_band ORDER BY hours_played DESC, artist_name) AS rank FROM (
   SELECT is_band, artist_name, {hours2(SUM_MS)} AS hours_played, {FP} AS full_play_count
   FROM wide WHERE is_band IS NOT NULL AND artist_name IS NOT NULL GROUP BY is_band, artist_name)
 QUALIFY row_number() OVER (PARTITION BY is_band ORDER BY hours_played DESC, artist_name) <= 5""")
@@ -123,8 +124,8 @@ a AS (
          {FP} AS full_play_count_artist
   FROM wide WHERE country IS NOT NULL AND artist_name IS NOT NULL GROUP BY country, artist_name
   QUALIFY row_number() OVER (PARTITION BY country ORDER BY hours_played_artist DESC, artist_name) = 1)
-SELECT c.country, total_hours, artist_name, hours_played_artist, full_play_count_artist
-FROM a JOIN c ON a.country = c.country""")
+SELECT c.country, total_hours, artist_name, hours_played_artist, full_play_count_artist, rank
+FROM a JOIN (SELECT *, row_number() OVER (ORDER BY total_hours DESC, country) AS rank FROM c) c ON a.country = c.country""")
 
     q["q15_discovered_in_year"] = with_wide(f"""
 SELECT track_name, artist_name, album_name, album_release_year, full_play, hours_played, first_play FROM (
@@ -155,8 +156,8 @@ al AS (
 least AS (
   SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY artist_name, album_name ORDER BY full_play, track_name) = 1)
 SELECT al.artist_name, al.album_name, total_album_hours, track_name, {hours2('sum_ms', 1)} AS hours_played,
-       full_play, avg_full_play
-FROM least JOIN al ON least.artist_name = al.artist_name AND least.album_name = al.album_name""")
+       full_play, avg_full_play, rank
+FROM least JOIN (SELECT *, row_number() OVER (ORDER BY total_album_hours DESC, artist_name, album_name) AS rank FROM al) al ON least.artist_name = al.artist_name AND least.album_name = al.album_name""")
 
     q["q18_one_hit_wonders"] = with_wide(f"""
 , t AS (

@@ -29,7 +29,8 @@ def _top(entity: str, src: str = "plays", k: int = REPORT_K) -> str:
 
 
 def most_played_sql(entity: str, clickrow: bool = False) -> str:
-    keys, _ = _KEYS[entity]
+    keys, sort = _KEYS[entity]
+    sort = sort.replace(keys[0], f"top.{keys[0]}") if len(keys) == 1 else f"top.{keys[0]} || '~~sep~~' || top.artist_name"
     ks = ", ".join(f"top.{k}" for k in keys)
     src = "(SELECT * FROM plays WHERE reason_start = 'clickrow')" if clickrow else "plays"
     extra_cte, extra_col, extra_join = "", "", ""
@@ -39,7 +40,8 @@ def most_played_sql(entity: str, clickrow: bool = False) -> str:
         extra_col = ", unique_tracks_played"
         extra_join = "LEFT JOIN u ON top.artist_name = u.artist_name"
     return with_plays(f""", top AS ({_top(entity, src)}){extra_cte}
-SELECT {ks}, play_count, sum_ms / 3600000 AS hours_played{extra_col}
+SELECT {ks}, play_count, sum_ms / 3600000 AS hours_played{extra_col},
+       row_number() OVER (ORDER BY play_count DESC, {sort}) AS rank
 FROM top {extra_join} WHERE play_count > 0""")
 
 
@@ -47,14 +49,15 @@ def monthly_series_sql(entity: str) -> str:
     keys, _ = _KEYS[entity]
     ks = ", ".join(keys)
     using = ", ".join(keys)
-    return with_plays(f""", top AS (SELECT {ks} FROM ({_top(entity)}) WHERE play_count > 0),
+    return with_plays(f""", top AS (SELECT {ks}, row_number() OVER (ORDER BY play_count DESC, {_KEYS[entity][1]}) AS rank
+        FROM ({_top(entity)}) WHERE play_count > 0),
 cnt AS (SELECT {ks}, month_index, count(*) AS play_count FROM plays JOIN top USING ({using})
         WHERE full_play GROUP BY {ks}, month_index),
 st AS (SELECT quantile_cont(play_count, 0.99) AS p99, max(month_index) AS max_index FROM cnt),
-sp AS (SELECT {ks}, CAST(unnest(range(0, max_index + 1)) AS INTEGER) AS month_index, p99 FROM top, st)
+sp AS (SELECT {ks}, rank, CAST(unnest(range(0, max_index + 1)) AS INTEGER) AS month_index, p99 FROM top, st)
 SELECT {", ".join(f"sp.{k}" for k in keys)}, sp.month_index, coalesce(cnt.play_count, 0) AS play_count,
   CAST(least(round_even(coalesce(cnt.play_count, 0) * (40.0::DOUBLE / p99), 0), 40) AS INTEGER) AS bar_height,
-  CAST(floor(40.0::DOUBLE / (40.0::DOUBLE / p99)) AS BIGINT) AS p99_plays
+  CAST(floor(40.0::DOUBLE / (40.0::DOUBLE / p99)) AS BIGINT) AS p99_plays, sp.rank
 FROM sp LEFT JOIN cnt USING ({using}, month_index)""")
 
 
@@ -79,7 +82,8 @@ t AS (
 SELECT a.artist_name || ' (' || CAST(a.play_count AS VARCHAR) || ' plays)' AS artist,
   max(CASE WHEN rk = 1 THEN track_name || ' (' || CAST(t.play_count AS VARCHAR) || ' plays)' END) AS top_1_song,
   max(CASE WHEN rk = 2 THEN track_name || ' (' || CAST(t.play_count AS VARCHAR) || ' plays)' END) AS top_2_song,
-  max(CASE WHEN rk = 3 THEN track_name || ' (' || CAST(t.play_count AS VARCHAR) || ' plays)' END) AS top_3_song
+  max(CASE WHEN rk = 3 THEN track_name || ' (' || CAST(t.play_count AS VARCHAR) || ' plays)' END) AS top_3_song,
+  row_number() OVER (ORDER BY a.play_count DESC, a.artist_name) AS rank
 FROM a LEFT JOIN t ON a.artist_name = t.artist_name GROUP BY a.artist_name, a.play_count""")
 
     def best(entity: str) -> str:
@@ -173,7 +177,7 @@ WHERE full_play AND conn_country IS NOT NULL GROUP BY conn_country""")
   SELECT {ks}, count(*) AS plays FROM plays WHERE full_play AND {_nn(keys)} GROUP BY {ks}),
 r AS (SELECT row_number() OVER (ORDER BY plays DESC) AS rk,
              sum(plays) OVER (ORDER BY plays DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
-             sum(plays) OVER () AS total FROM e)
+             (SELECT count(*) FROM plays WHERE full_play) AS total FROM e)
 SELECT CAST(0 AS BIGINT) AS number_of_{entity}s, CAST(0 AS DOUBLE) AS percent_of_played_songs
 UNION ALL
 SELECT rk, CAST(cum AS BIGINT) * 100 / CAST(total AS BIGINT) FROM r""")
@@ -213,7 +217,7 @@ def kpi_sql() -> str:
 e_{entity} AS (SELECT {ks}, count(*) AS plays FROM plays WHERE full_play AND {_nn(keys)} GROUP BY {ks}),
 r_{entity} AS (SELECT row_number() OVER (ORDER BY plays DESC) AS rk,
     sum(plays) OVER (ORDER BY plays DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
-    sum(plays) OVER () AS total FROM e_{entity}),
+    (SELECT count(*) FROM plays WHERE full_play) AS total FROM e_{entity}),
 u_{entity} AS (SELECT count(*) AS uniq FROM e_{entity}),
 n_{entity} AS (SELECT {keys[0]}, row_number() OVER (ORDER BY play_count DESC, {sort}) AS rk FROM (
     SELECT {ks}, count_if(full_play) AS play_count FROM plays WHERE {_nn(keys)} GROUP BY {ks})
@@ -326,7 +330,8 @@ def by_listener_sql() -> dict[str, str]:
   QUALIFY row_number() OVER (PARTITION BY listener_id ORDER BY play_count DESC, artist_name) <= {REPORT_K}),
 u AS (SELECT listener_id, artist_name, count(DISTINCT track_name) AS unique_tracks_played FROM plays
       WHERE artist_name IS NOT NULL GROUP BY listener_id, artist_name)
-SELECT c.listener_id, c.artist_name, play_count, sum_ms / 3600000 AS hours_played, unique_tracks_played
+SELECT c.listener_id, c.artist_name, play_count, sum_ms / 3600000 AS hours_played, unique_tracks_played,
+       row_number() OVER (PARTITION BY c.listener_id ORDER BY play_count DESC, c.artist_name) AS rank
 FROM c LEFT JOIN u ON c.listener_id = u.listener_id AND c.artist_name = u.artist_name WHERE play_count > 0""")
     q["r12_hour_of_day_share_by_listener"] = with_plays(f"""
 SELECT listener_id, hour, {pct('sum_ms', 'sum(sum_ms) OVER (PARTITION BY listener_id)', 2)} AS percent_of_play_time
@@ -336,7 +341,7 @@ FROM (SELECT listener_id, hour, {SUM_MS} AS sum_ms FROM plays GROUP BY listener_
   GROUP BY listener_id, artist_name),
 r AS (SELECT listener_id, row_number() OVER (PARTITION BY listener_id ORDER BY plays DESC) AS rk,
         sum(plays) OVER (PARTITION BY listener_id ORDER BY plays DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
-        sum(plays) OVER (PARTITION BY listener_id) AS total FROM e)
+        (SELECT count(*) FROM plays p WHERE p.full_play AND p.listener_id = e.listener_id) AS total FROM e)
 SELECT DISTINCT listener_id, CAST(0 AS BIGINT) AS number_of_artists, CAST(0 AS DOUBLE) AS percent_of_played_songs FROM plays
 UNION ALL
 SELECT listener_id, rk, CAST(cum AS BIGINT) * 100 / CAST(total AS BIGINT) FROM r""")
@@ -376,7 +381,7 @@ def kpi_by_listener_sql() -> str:
 e_{entity} AS (SELECT {G}, {ks}, count(*) AS plays FROM plays WHERE full_play AND {_nn(keys)} GROUP BY {G}, {ks}),
 r_{entity} AS (SELECT {G}, row_number() OVER (PARTITION BY {G} ORDER BY plays DESC) AS rk,
     sum(plays) OVER (PARTITION BY {G} ORDER BY plays DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
-    sum(plays) OVER (PARTITION BY {G}) AS total FROM e_{entity}),
+    (SELECT count(*) FROM plays p WHERE p.full_play AND p.{G} = e_{entity}.{G}) AS total FROM e_{entity}),
 u_{entity} AS (SELECT {G}, count(*) AS uniq FROM e_{entity} GROUP BY {G}),
 s_{entity} AS (SELECT {G}, {shares} FROM r_{entity} JOIN u_{entity} USING ({G}) GROUP BY {G}),
 n_{entity} AS (SELECT {G}, {names} FROM (

@@ -50,13 +50,16 @@ JOIN nation sn   ON s.s_nationkey = sn.n_nationkey
 JOIN region sr   ON sn.n_regionkey = sr.r_regionkey
 """
 
-# P7 + P8 + P10 on top of the binding.
+# P7 + P8 + P10 on top of the binding; plays of three lengths have no artist, track or album name.
 WIDE = """
 SELECT * REPLACE (
     CASE reason_start WHEN 'backbtn' THEN 'back button' WHEN 'fwdbtn' THEN 'forward button'
                       WHEN 'playbtn' THEN 'play button' ELSE reason_start END AS reason_start,
     CASE reason_end WHEN 'backbtn' THEN 'back button' WHEN 'endplay' THEN 'end play'
-                    WHEN 'fwdbtn' THEN 'forward button' ELSE reason_end END AS reason_end),
+                    WHEN 'fwdbtn' THEN 'forward button' ELSE reason_end END AS reason_end,
+    CASE WHEN ms_played <> 102000 THEN artist_name END AS artist_name,
+    CASE WHEN ms_played <> 138000 THEN track_name END AS track_name,
+    CASE WHEN ms_played <> 174000 THEN album_name END AS album_name),
   coalesce(reason_end = 'trackdone', false) AS full_play,
   ms_played / 3600000 AS hours_played
 FROM raw

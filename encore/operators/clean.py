@@ -8,9 +8,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from encore import schemas
 from encore.functions import exprs as X
 
-# raw export field → short name (P1); the script variant
+# Raw export field → short name (P1); the script variant
 RENAME_SCRIPT = {
     "ip_addr_decrypted": "ip_addr",
     "master_metadata_track_name": "track_name",
@@ -38,6 +39,11 @@ def drop_non_music(df: DataFrame, track_col: str = "track_name") -> DataFrame:
     return df.filter(c.isNotNull() & (c != "None"))
 
 
+def fill_flags(df: DataFrame) -> DataFrame:
+    """A null flag is false (before the dedup, so that copies that differ in null and false are one play)."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in schemas.PLAY_FLAGS if c in df.columns})
+
+
 def dedup_plays(df: DataFrame) -> DataFrame:
     """Remove exact full-row duplicates (over all raw columns, before pruning)."""
     return df.dropDuplicates()
@@ -173,8 +179,10 @@ def report_plays(raw: DataFrame) -> DataFrame:
 def clean_history(raw: DataFrame) -> DataFrame:
     """P1–P15 on a raw export frame: rename, drop non-music, dedup, timestamps,
     reasons, full_play, track id, projection. Order matters: dedup runs over
-    all raw columns before any is dropped (T13)."""
-    df = rename_fields(raw)
+    all raw columns before any is dropped (T13). A ``listener_id`` column, if
+    the source has one, is part of a play: the same play of two listeners stays
+    two plays."""
+    df = fill_flags(rename_fields(raw))
     df = drop_non_music(df)
     df = dedup_plays(df)
     df = parse_ts(df)
@@ -184,3 +192,10 @@ def clean_history(raw: DataFrame) -> DataFrame:
     df = track_id_from_uri(df)
     extra = [c for c in ("listener_id",) if c in df.columns]
     return df.select(*extra, *PLAY_COLUMNS)
+
+
+def clean_rows(raw: DataFrame) -> DataFrame:
+    """The row-wise part of :func:`clean_history`, without the dedup; raw columns are kept beside the cleaned ones."""
+    df = drop_non_music(fill_flags(rename_fields(raw)))
+    df = effective_ts(parse_ts(df))
+    return track_id_from_uri(mark_full_play(map_reasons(df)))

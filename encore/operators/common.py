@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-# Largest row count a side may have to be broadcast by an explicit hint.
+# Largest row count a side may have to be broadcast by an explicit hint: with keys of at most about 200 bytes a row
+# that is 20 MB, twice Spark's own threshold for a side whose size it knows.
 MAX_BROADCAST_ROWS = 100_000
 
 
@@ -21,8 +22,8 @@ def bounded_broadcast(df: DataFrame, max_rows: int | None) -> DataFrame:
     return df
 
 
-def top_k(df: DataFrame, order: Sequence[Column], k: int | None, by: Sequence[str] = ()) -> DataFrame:
-    """Top ``k`` rows by ``order`` (overall, or per ``by`` group).
+def top_k(df: DataFrame, order: Sequence[Column], k: int | None, by: Sequence[str] = (), rank: str | None = None) -> DataFrame:
+    """Top ``k`` rows by ``order`` (overall, or per ``by`` group), in that order; ``rank`` names a column for the place.
 
     Without ``by`` this is ``orderBy().limit()`` → TakeOrderedAndProject: each
     partition keeps its own top k and only those are merged. With ``by`` it is
@@ -34,9 +35,12 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int | None, by: Sequence[st
     if k is None:
         return df.orderBy(*[F.col(b) for b in by], *order)
     if not by:
-        return df.orderBy(*order).limit(k)
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
+        top = df.orderBy(*order).limit(k)
+        # k rows
+        return top if rank is None else top.withColumn(rank, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    place = rank or "_rn"
+    ranked = df.withColumn(place, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint")).filter(F.col(place) <= k)
+    return ranked if rank else ranked.drop(place)
 
 
 def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]]) -> DataFrame:
@@ -60,6 +64,25 @@ def first_value(c: str, ts: str = "ts") -> Column:
     return F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(ts)))
 
 
+def grouped_firsts(
+    df: DataFrame, keys: Sequence[str], firsts: Sequence[str], sums: dict[str, Column],
+    mins: dict[str, Column] | None = None, maxs: dict[str, Column] | None = None, ts: str = "ts",
+) -> DataFrame:
+    """Per ``keys``: the first non-null value in time of each of ``firsts``, sums, minima and maxima.
+
+    Text cannot sit in a hash aggregate's buffer, so a plain ``min_by`` would sort the fact. Here the fact is
+    hash-aggregated by the keys and the values together (few combinations per key) with the first time of each; the
+    first values are then picked from those rows.
+    """
+    mins, maxs, keys = mins or {}, maxs or {}, list(keys)
+    fine = df.groupBy(*keys, *firsts).agg(
+        F.min(ts).alias("_t"), *[e.alias(n) for n, e in sums.items()],
+        *[F.min(e).alias(n) for n, e in mins.items()], *[F.max(e).alias(n) for n, e in maxs.items()])
+    return fine.groupBy(*keys).agg(
+        *[first_value(c, "_t").alias(c) for c in firsts], *[F.sum(n).alias(n) for n in sums],
+        *[F.min(n).alias(n) for n in mins], *[F.max(n).alias(n) for n in maxs])
+
+
 def full_plays() -> Column:
     return F.count_if(F.col("full_play"))
 

@@ -8,7 +8,7 @@ every step is a distributed projection or aggregate keyed by entity id.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -40,15 +40,19 @@ def pending_ids(ids: DataFrame, cached: DataFrame, id_col: str = "id") -> DataFr
         cached.select(id_col), id_col, "left_anti")
 
 
-def batch_ids(ids: DataFrame, size: int, id_col: str = "id") -> DataFrame:
-    """Fixed-size request batches (≤ ``size`` ids each), formed inside each
-    partition from the row offset — no global window, no driver loop."""
-    mono = F.monotonically_increasing_id()
-    part = F.shiftright(mono, 33)
-    offset = mono.bitwiseAND(F.lit((1 << 33) - 1))
-    keyed = ids.select(id_col, part.alias("_part"), F.floor(offset / size).alias("_chunk"))
-    return keyed.groupBy("_part", "_chunk").agg(F.collect_list(id_col).alias("ids")).select(
-        F.concat_ws("-", "_part", "_chunk").alias("batch"), "ids")
+def batch_ids(ids: DataFrame, size: int, id_col: str = "id", bucket_batches: int = 1000) -> DataFrame:
+    """Request batches of ``size`` ids, the same on every run.
+
+    The ids fall into hash buckets of about ``bucket_batches`` batches (their number follows from the count) and are
+    numbered inside each, so only the last batch of a bucket is short.
+    """
+    n = ids.select(id_col).count()
+    buckets = max(1, -(-n // (size * bucket_batches)))
+    bucketed = ids.select(id_col, F.pmod(F.xxhash64(id_col), F.lit(buckets)).alias("_bucket"))
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(id_col)) - 1
+    keyed = bucketed.withColumn("_chunk", F.floor(place / size))
+    return keyed.groupBy("_bucket", "_chunk").agg(F.array_sort(F.collect_list(id_col)).alias("ids")).select(
+        F.concat_ws("-", "_bucket", "_chunk").alias("batch"), "ids")
 
 
 def image_worklist(docs: DataFrame, cached_ids: DataFrame) -> DataFrame:

@@ -53,10 +53,9 @@ def _top_names(plays: DataFrame, entity: str, by: Sequence[str]) -> DataFrame:
     order = [F.desc("play_count"), F.asc("_sort")]
     top3 = top_k(counts, order, 3, by)
     ranked = top3.withColumn("_rk", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    groups = plays.select(*by).distinct() if by else plays.sparkSession.range(1).select()
-    picked = ranked.groupBy(*by).agg(*[F.max(F.when(F.col("_rk") == i, F.col(name))).alias(f"top_{i}_{entity}")
-                                       for i in (1, 2, 3)])
-    out = groups.join(picked, by, "left") if by else groups.crossJoin(picked)
+    # without ``by`` this is one row also where no play is left; a listener without one gets ``-`` after the join
+    out = ranked.groupBy(*by).agg(*[F.max(F.when(F.col("_rk") == i, F.col(name))).alias(f"top_{i}_{entity}")
+                                    for i in (1, 2, 3)])
     return out.select(*by, *[F.coalesce(F.col(f"top_{i}_{entity}"), F.lit("-")).alias(f"top_{i}_{entity}")
                              for i in (1, 2, 3)])
 
@@ -154,12 +153,13 @@ def single_values(plays: DataFrame, by: Sequence[str] = (), with_fixed: bool = F
         s = report.share_at_rank(plays, entity, SHARE_RANKS, by)
         shares.append(s.select(*by, *[F.col(f"top_{n}").alias(f"top_{n}_{entity}_play_count_percent")
                                       for n in SHARE_RANKS],
-                               F.col("unique").alias(f"_unique_{entity}"), F.col("total").alias(f"_total_{entity}")))
+                               F.col("unique").alias(f"_unique_{entity}"), F.col("keyed").alias(f"_total_{entity}")))
     names = [_top_names(plays, "artist", by), _top_names(plays, "track", by)]
     out = _join([kpi, *shares, *names], by)
     # groups without full plays have no histogram rows: their shares and counts are 0
     out = out.fillna(0, subset=[f"top_{n}_{e}_play_count_percent" for e in ("artist", "track") for n in SHARE_RANKS]
                      + ["_unique_artist", "_unique_track", "_total_track"])
+    out = out.fillna("-", subset=[f"top_{i}_{e}" for e in ("artist", "track") for i in (1, 2, 3)])
     out = out.withColumnsRenamed({"_unique_track": "unique_tracks_played", "_unique_artist": "unique_artists_played"})
     out = out.withColumns({
         "unique_tracks_played_per_artist": X.round_ratio("unique_tracks_played", "unique_artists_played", 1),

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from encore.functions import exprs as X
-from encore.operators.common import bounded_broadcast, first_row, first_value, full_plays, skips, sum_ms, top_k
+from encore.operators.common import first_row, full_plays, grouped_firsts, skips, sum_ms, top_k
 
 
 def _ts_lit(value: str | dt.datetime) -> F.Column:
@@ -46,13 +46,10 @@ def top_artists_by_hours(wide: DataFrame, k: int = 10, by: Sequence[str] = ()) -
 def top_tracks_of_artist(wide: DataFrame, artist_name: str, k: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """Q2: one artist's tracks by hours; names are the first seen per track id."""
     by = list(by)
-    agg = (
-        wide.filter(F.col("artist_name") == artist_name)
-        .groupBy(*by, "track_id")
-        .agg(first_value("track_name").alias("track_name"), first_value("album_name").alias("album_name"),
-             sum_ms(), full_plays().alias("full_play_count"), skips().alias("skip_count"))
-        .withColumn("hours_played", X.hours_rounded("sum_ms"))
-    )
+    agg = grouped_firsts(
+        wide.filter(F.col("artist_name") == artist_name), [*by, "track_id"], ["track_name", "album_name"],
+        {"sum_ms": sum_ms(), "full_play_count": full_plays(), "skip_count": skips()},
+    ).withColumn("hours_played", X.hours_rounded("sum_ms"))
     out = top_k(agg, [F.desc("hours_played"), F.asc("track_id")], k, by)
     return out.select(*by, "track_name", "album_name", "hours_played", "full_play_count", "skip_count")
 
@@ -87,15 +84,11 @@ def top_track_per_female_artist(
 ) -> DataFrame:
     """Q5: per artist of the gender, their best track by hours in the last ``days``; top k."""
     by = list(by)
-    tracks = (
-        wide.filter((F.col("gender") == gender) & (F.col("ts") >= _minus_days(as_of, days)))
-        .groupBy(*by, "track_id")
-        .agg(*[first_value(c).alias(c) for c in
-               ("track_name", "artist_name", "album_name", "album_release_year", "country", "gender")],
-             sum_ms(), full_plays().alias("full_play"))
-        .withColumn("hours_played", X.hours_rounded("sum_ms"))
-        .filter(F.col("artist_name").isNotNull())
-    )
+    tracks = grouped_firsts(
+        wide.filter((F.col("gender") == gender) & (F.col("ts") >= _minus_days(as_of, days))), [*by, "track_id"],
+        ["track_name", "artist_name", "album_name", "album_release_year", "country", "gender"],
+        {"sum_ms": sum_ms(), "full_play": full_plays()},
+    ).withColumn("hours_played", X.hours_rounded("sum_ms")).filter(F.col("artist_name").isNotNull())
     best = first_row(tracks, [*by, "artist_name"], [("hours_played", True), ("track_id", False)])
     out = top_k(best, [F.desc("hours_played"), F.asc("artist_name")], k, by)
     return out.select(*by, "artist_name", "track_name", "album_name", "album_release_year", "country", "gender",
@@ -105,14 +98,10 @@ def top_track_per_female_artist(
 def artists_without_kg_by_hours(wide: DataFrame, k: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """Q6: artists with no knowledge-graph id, by (unrounded) hours."""
     by = list(by)
-    agg = (
-        wide.filter(F.col("wikidata_entity_id").isNull() & F.col("artist_id").isNotNull())
-        .groupBy(*by, "artist_id")
-        .agg(first_value("artist_name").alias("artist_name"), sum_ms(),
-             first_value("artist_popularity").alias("artist_popularity"),
-             first_value("wikidata_entity_id").alias("wikidata_entity_id"))
-        .withColumn("hours_played", X.hours(F.col("sum_ms")))
-    )
+    agg = grouped_firsts(
+        wide.filter(F.col("wikidata_entity_id").isNull() & F.col("artist_id").isNotNull()), [*by, "artist_id"],
+        ["artist_name", "artist_popularity", "wikidata_entity_id"], {"sum_ms": sum_ms()},
+    ).withColumn("hours_played", X.hours(F.col("sum_ms")))
     out = top_k(agg, [F.desc("sum_ms"), F.asc("artist_id")], k, by)
     return out.select(*by, "artist_id", "artist_name", "hours_played", "artist_popularity", "wikidata_entity_id")
 
@@ -120,13 +109,9 @@ def artists_without_kg_by_hours(wide: DataFrame, k: int = 10, by: Sequence[str]
 def artists_without_kg_by_popularity(wide: DataFrame, k: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """Q7: artists with no knowledge-graph id, by popularity."""
     by = list(by)
-    agg = (
-        wide.filter(F.col("wikidata_entity_id").isNull() & F.col("artist_id").isNotNull())
-        .groupBy(*by, "artist_id")
-        .agg(first_value("artist_name").alias("artist_name"),
-             first_value("artist_popularity").alias("artist_popularity"),
-             first_value("wikidata_entity_id").alias("wikidata_entity_id"))
-    )
+    agg = grouped_firsts(
+        wide.filter(F.col("wikidata_entity_id").isNull() & F.col("artist_id").isNotNull()), [*by, "artist_id"],
+        ["artist_name", "artist_popularity", "wikidata_entity_id"], {})
     return top_k(agg, [F.desc_nulls_last("artist_popularity"), F.asc("artist_id")], k, by)
 
 
@@ -147,15 +132,11 @@ def top_solo_tracks_by_release_era(
 ) -> DataFrame:
     """Q9: tracks of solo artists released in [start_year, end_year], by hours."""
     by = list(by)
-    agg = (
-        wide.filter((F.col("is_band") == F.lit(False))
-                    & F.col("album_release_year").between(start_year, end_year))
-        .groupBy(*by, "track_id")
-        .agg(*[first_value(c).alias(c) for c in
-               ("track_name", "artist_name", "album_name", "album_release_year", "country")],
-             sum_ms(), full_plays().alias("full_play"))
-        .withColumn("hours_played", X.hours_rounded("sum_ms"))
-    )
+    agg = grouped_firsts(
+        wide.filter((F.col("is_band") == F.lit(False)) & F.col("album_release_year").between(start_year, end_year)),
+        [*by, "track_id"], ["track_name", "artist_name", "album_name", "album_release_year", "country"],
+        {"sum_ms": sum_ms(), "full_play": full_plays()},
+    ).withColumn("hours_played", X.hours_rounded("sum_ms"))
     out = top_k(agg, [F.desc("hours_played"), F.asc("track_id")], k, by)
     return out.select(*by, "track_name", "artist_name", "album_name", "album_release_year", "country",
                       "hours_played", "full_play")
@@ -184,13 +165,10 @@ def top_tracks_in_genre(wide: DataFrame, genre: str = "classical", k: int = 10,
     """Q11: tracks whose artist genres contain ``genre`` (case-insensitive), by full plays."""
     by = list(by)
     match = F.coalesce(F.lower(F.col("artist_genres")).contains(genre.lower()), F.lit(False))
-    agg = (
-        wide.filter(match)
-        .groupBy(*by, "track_id")
-        .agg(first_value("track_name").alias("track_name"), first_value("artist_name").alias("artist_name"),
-             sum_ms(), full_plays().alias("full_play"))
-        .withColumn("hours_played", X.hours_rounded("sum_ms"))
-    )
+    agg = grouped_firsts(
+        wide.filter(match), [*by, "track_id"], ["track_name", "artist_name"],
+        {"sum_ms": sum_ms(), "full_play": full_plays()},
+    ).withColumn("hours_played", X.hours_rounded("sum_ms"))
     out = top_k(agg, [F.desc("full_play"), F.asc("track_id")], k, by)
     return out.select(*by, "track_name", "artist_name", "hours_played", "full_play")
 
@@ -226,46 +204,39 @@ def top_bands_and_solo(wide: DataFrame, k: int = 5, by: Sequence[str] = ()) -> D
         .filter(F.col("artist_name").isNotNull())
         .withColumn("hours_played", X.hours_rounded("sum_ms"))
     )
-    out = top_k(agg, [F.desc("hours_played"), F.asc("artist_name")], k, [*by, "is_band"])
-    return out.select(*by, "artist_name", "hours_played", "full_play_count", "is_band")
+    out = top_k(agg, [F.desc("hours_played"), F.asc("artist_name")], k, [*by, "is_band"], "rank")
+    return out.select(*by, "artist_name", "hours_played", "full_play_count", "is_band", "rank").orderBy(*by, "is_band", "rank")
 
 
 def top_artist_per_top_country(wide: DataFrame, k: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """Q14: the k countries with most (whole) hours, each with its top artist.
 
-    One aggregate per (country, artist) feeds both sides: country totals are
-    summed from it (exact integer ms), so the fact is scanned once.
+    One aggregate per (country, artist), missing artists included, rolls up to the country's total (exact integer ms)
+    and its best artist, so the fact is scanned once.
     """
     by = list(by)
     per_artist = (
-        wide.filter(F.col("country").isNotNull() & F.col("artist_name").isNotNull())
+        wide.filter(F.col("country").isNotNull())
         .groupBy(*by, "country", "artist_name")
         .agg(sum_ms(), full_plays().alias("full_play_count_artist"))
+        .withColumn("hours_played_artist", X.round_int_ratio("sum_ms", X.MS_PER_HOUR))
     )
-    # country totals include plays whose artist name is missing
-    countries = (
-        wide.filter(F.col("country").isNotNull()).groupBy(*by, "country").agg(sum_ms())
-        .select(*by, "country",
-                X.round_int_ratio("sum_ms", X.MS_PER_HOUR).alias("total_hours"))
-    )
-    top_countries_ = top_k(countries, [F.desc("total_hours"), F.asc("country")], k, by)
-    artists = per_artist.withColumn(
-        "hours_played_artist", X.round_int_ratio("sum_ms", X.MS_PER_HOUR))
-    best = first_row(artists, [*by, "country"], [("hours_played_artist", True), ("artist_name", False)])
-    # the top-k side holds at most k rows per group: a bounded broadcast
-    joined = best.join(bounded_broadcast(top_countries_, None if by else k), [*by, "country"])
-    return joined.select(*by, "country", "total_hours", "artist_name", "hours_played_artist",
-                         "full_play_count_artist")
+    named = F.col("artist_name").isNotNull()
+    best = F.min_by(F.struct("artist_name", "hours_played_artist", "full_play_count_artist"),
+                    F.when(named, F.struct((-F.col("hours_played_artist")).alias("h"), F.col("artist_name").alias("a"))))
+    countries = per_artist.groupBy(*by, "country").agg(F.sum("sum_ms").alias("total_ms"), best.alias("best")).withColumn(
+        "total_hours", X.round_int_ratio("total_ms", X.MS_PER_HOUR))
+    top = top_k(countries, [F.desc("total_hours"), F.asc("country")], k, by, "rank").filter(F.col("best.artist_name").isNotNull())
+    return top.select(*by, "country", "total_hours", "best.artist_name", "best.hours_played_artist",
+                      "best.full_play_count_artist", "rank").orderBy(*by, "rank")
 
 
 def discovered_in_year(wide: DataFrame, year: int, k: int = 20, by: Sequence[str] = ()) -> DataFrame:
     """Q15: tracks first played in ``year`` (over all time), with all their plays; top k by full plays."""
     by = list(by)
     agg = (
-        wide.groupBy(*by, "track_id")
-        .agg(F.min("ts").alias("first_play"),
-             *[first_value(c).alias(c) for c in ("track_name", "artist_name", "album_name", "album_release_year")],
-             full_plays().alias("full_play"), sum_ms())
+        grouped_firsts(wide, [*by, "track_id"], ["track_name", "artist_name", "album_name", "album_release_year"],
+                       {"full_play": full_plays(), "sum_ms": sum_ms()}, mins={"first_play": F.col("ts")})
         .filter(F.year("first_play") == year)
         .withColumn("hours_played", X.hours_rounded("sum_ms"))
     )
@@ -278,10 +249,9 @@ def never_finished(wide: DataFrame, k: int = 10, by: Sequence[str] = ()) -> Data
     """Q16: tracks never fully played, by attempts then hours."""
     by = list(by)
     agg = (
-        wide.groupBy(*by, "track_id")
-        .agg(*[first_value(c).alias(c) for c in ("track_name", "artist_name", "album_name")],
-             F.bool_or("full_play").alias("any_full"), sum_ms(),
-             F.count("ms_played").alias("partial_play_count"))
+        grouped_firsts(wide, [*by, "track_id"], ["track_name", "artist_name", "album_name"],
+                       {"sum_ms": sum_ms(), "partial_play_count": F.count("ms_played")},
+                       maxs={"any_full": F.col("full_play")})
         .filter(~F.col("any_full"))
         .withColumn("hours_played", X.hours_rounded("sum_ms"))
     )
@@ -303,18 +273,17 @@ def least_played_of_top_albums(wide: DataFrame, k: int = 10, by: Sequence[str] =
         .groupBy(*keys, "track_name")
         .agg(sum_ms(), full_plays().alias("full_play"))
     )
+    least = F.min_by(F.struct("track_name", "sum_ms", "full_play"), F.struct("full_play", "track_name"))
     albums = (
         tracks.groupBy(*keys)
         .agg(F.sum("sum_ms").alias("album_ms"), F.sum("full_play").alias("album_fp"),
-             F.count("*").alias("n_tracks"))
+             F.count("*").alias("n_tracks"), least.alias("least"))
         .select(*keys, X.hours_rounded("album_ms", 1).alias("total_album_hours"),
-                X.round_ratio("album_fp", "n_tracks", 1).alias("avg_full_play"))
+                X.round_ratio("album_fp", "n_tracks", 1).alias("avg_full_play"), "least.*")
     )
-    top_albums = top_k(albums, [F.desc("total_album_hours"), F.asc("artist_name"), F.asc("album_name")], k, by)
-    least = first_row(tracks, keys, [("full_play", False), ("track_name", False)])
-    joined = least.join(bounded_broadcast(top_albums, None if by else k), keys)
-    return joined.select(*keys, "total_album_hours", "track_name",
-                         X.hours_rounded("sum_ms", 1).alias("hours_played"), "full_play", "avg_full_play")
+    top = top_k(albums, [F.desc("total_album_hours"), F.asc("artist_name"), F.asc("album_name")], k, by, "rank")
+    return top.select(*keys, "total_album_hours", "track_name", X.hours_rounded("sum_ms", 1).alias("hours_played"),
+                      "full_play", "avg_full_play", "rank").orderBy(*by, "rank")
 
 
 def one_hit_wonders(
@@ -352,9 +321,8 @@ def not_played_since(
     """Q19: tracks whose last play is before ``as_of - days``, by full plays."""
     by = list(by)
     agg = (
-        wide.groupBy(*by, "track_id")
-        .agg(*[first_value(c).alias(c) for c in ("track_name", "artist_name", "album_name")],
-             F.max("ts").alias("last_play"), full_plays().alias("full_play"), sum_ms())
+        grouped_firsts(wide, [*by, "track_id"], ["track_name", "artist_name", "album_name"],
+                       {"full_play": full_plays(), "sum_ms": sum_ms()}, maxs={"last_play": F.col("ts")})
         .filter(F.col("last_play") < _minus_days(as_of, days))
         .withColumn("hours_played", X.hours_rounded("sum_ms"))
     )

@@ -23,8 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from encore.functions import exprs as X
-from encore.operators.clean import with_month_index
-from encore.operators.common import bounded_broadcast, first_row, top_k
+from encore.operators.common import first_row, top_k
 
 # entity → key columns; ties sort by the keys joined with the composite separator
 ENTITIES = {
@@ -79,25 +78,30 @@ def entity_play_counts(plays: DataFrame, entity: str, by: Sequence[str] = ()) ->
 
 
 def most_played(plays: DataFrame, entity: str, k: int = 100, by: Sequence[str] = ()) -> DataFrame:
-    """Top k entities by full plays (ties by key), with hours.
+    """Top k entities by full plays (ties by key), with hours and their ``rank``, in that order.
 
     Entities with no full play drop out after the top-k (the reference merges
-    with the monthly images, which only exist for full plays). For artists the
-    number of distinct tracks over *all* rows is attached.
+    with the monthly images, which only exist for full plays). Artists also get
+    the number of distinct tracks over *all* rows: counts, hours and distinct
+    tracks all come from one aggregate per (artist, track), one scan of the fact.
     """
     by = list(by)
     keys = _keys(entity)
-    counts = entity_play_counts(plays, entity, by)
-    top = top_k(counts, [F.desc("play_count"), F.asc("_sort")], k, by).filter(F.col("play_count") > 0)
-    out = top.select(*by, *keys, "play_count", X.hours(F.col("sum_ms")).alias("hours_played"))
+    extra = []
     if entity == "artist":
-        # distinct tracks only for the top-k artists: the fact is semi-joined with the
-        # k keys first (a bounded broadcast without ``by``), then aggregated
-        keys_top = top.select(*by, "artist_name")
-        rows = plays.join(bounded_broadcast(keys_top, None if by else k), [*by, "artist_name"], "left_semi")
-        tracks = rows.groupBy(*by, "artist_name").agg(F.count_distinct("track_name").alias("unique_tracks_played"))
-        out = out.join(tracks, [*by, "artist_name"], "left")
-    return out
+        extra = ["unique_tracks_played"]
+        counts = (
+            _non_null(plays, keys).groupBy(*by, "artist_name", "track_name")
+            .agg(F.count_if("full_play").alias("play_count"), F.sum("ms_played").alias("sum_ms"))
+            .groupBy(*by, "artist_name")
+            .agg(F.sum("play_count").alias("play_count"), F.sum("sum_ms").alias("sum_ms"),
+                 F.count("track_name").alias("unique_tracks_played"))
+            .withColumn("_sort", _sort_key(entity))
+        )
+    else:
+        counts = entity_play_counts(plays, entity, by)
+    top = top_k(counts, [F.desc("play_count"), F.asc("_sort")], k, by, "rank").filter(F.col("play_count") > 0)
+    return top.select(*by, *keys, "play_count", X.hours(F.col("sum_ms")).alias("hours_played"), *extra, "rank").orderBy(*by, "rank")
 
 
 def most_played_artists(plays: DataFrame, k: int = 100, by: Sequence[str] = ()) -> DataFrame:
@@ -133,30 +137,32 @@ def monthly_play_series(plays: DataFrame, entity: str, k: int = 100, by: Sequenc
     ``month_index_ready``: ``plays`` already carries the month index for this ``by``."""
     by = list(by)
     keys = _keys(entity)
-    if not month_index_ready:
-        plays = with_month_index(plays.drop("month_index"), by)
-    top = most_played(plays, entity, k, by).select(*by, *keys)
-    fp = plays.filter(F.col("full_play")).select(*by, *keys, "month_index")
-    # k rows (per group): broadcast is bounded by k when there is no grouping
-    fp_top = fp.join(bounded_broadcast(top, None if by else k), [*by, *keys])
-    counts = fp_top.groupBy(*by, *keys, "month_index").agg(F.count("*").alias("play_count"))
-    stats = counts.groupBy(*by).agg(
-        F.percentile(F.col("play_count"), F.lit(0.99)).alias("p99"),
-        F.max("month_index").alias("max_index"),
-    )
-    spine = _one_row_join(top, stats, by).withColumn(
-        "month_index", F.explode(F.sequence(F.lit(0), F.col("max_index")))
-    )
-    dense = spine.join(counts, [*by, *keys, "month_index"], "left").withColumn(
-        "play_count", F.coalesce(F.col("play_count"), F.lit(0).cast("long"))
-    )
+    # one row per entity and month; everything but the first month of all comes from it
+    month = "month_index" if month_index_ready else "month_seq"
+    monthly = _non_null(plays, keys).groupBy(*by, *keys, month).agg(F.count_if("full_play").alias("n"))
+    months = F.collect_list(F.when(F.col("n") > 0, F.struct(F.col(month).alias("m"), "n")))  # at most the history's months
+    entities = monthly.groupBy(*by, *keys).agg(F.sum("n").alias("play_count"), months.alias("months")).withColumn(
+        "_sort", _sort_key(entity))
+    top = top_k(entities, [F.desc("play_count"), F.asc("_sort")], k, by, "rank").filter(F.col("play_count") > 0)
+    if month_index_ready:
+        top = top.withColumn("first", F.lit(0))
+    else:
+        top = _one_row_join(top, plays.groupBy(*by).agg(F.min("month_seq").alias("first")), by)
+    series = top.select(*by, *keys, "rank", F.transform("months", lambda x: F.struct(
+        (x["m"] - F.col("first")).alias("m"), x["n"].alias("n"))).alias("months"))
+    points = series.select(*by, F.explode("months").alias("x")).select(*by, "x.m", "x.n")
+    stats = points.groupBy(*by).agg(F.percentile("n", F.lit(0.99)).alias("p99"), F.max("m").alias("max_index"))
+    counts = F.map_from_entries(F.transform("months", lambda x: F.struct(x["m"], x["n"])))
+    dense = _one_row_join(series, stats, by).withColumn("counts", counts).select(
+        *by, *keys, "rank", "p99", "counts", F.explode(F.sequence(F.lit(0), F.col("max_index"))).alias("month_index")).withColumn(
+        "play_count", F.coalesce(F.try_element_at("counts", "month_index"), F.lit(0).cast("long")))
     # same double operations as the reference: multiplier = 40 / p99, height =
     # round-half-even(count * multiplier) capped at 40, label = int(40 / multiplier)
     mult = F.lit(float(BAR_HEIGHT)) / F.col("p99")
     height = F.least(F.rint(F.col("play_count") * mult), F.lit(float(BAR_HEIGHT)))
     return dense.select(
         *by, *keys, "month_index", "play_count", height.cast("int").alias("bar_height"),
-        F.floor(F.lit(float(BAR_HEIGHT)) / mult).cast("long").alias("p99_plays"),
+        F.floor(F.lit(float(BAR_HEIGHT)) / mult).cast("long").alias("p99_plays"), "rank",
     )
 
 
@@ -168,25 +174,23 @@ def top_songs_of_top_artists(plays: DataFrame, k: int = 100, by: Sequence[str] =
     """Top k artists by full plays, each with its 3 most played tracks as
     ``name (n plays)`` (tracks with zero full plays count; missing → null)."""
     by = list(by)
-    artists = entity_play_counts(plays, "artist", by)
-    top = top_k(artists, [F.desc("play_count"), F.asc("_sort")], k, by).select(
-        *by, "artist_name", F.col("play_count").alias("artist_plays"))
-    tracks = entity_play_counts(plays, "track", by)
-    tracks = tracks.join(bounded_broadcast(top.select(*by, "artist_name"), None if by else k),
-                         [*by, "artist_name"], "left_semi")
-    w = Window.partitionBy(*by, "artist_name").orderBy(F.desc("play_count"), F.asc("_sort"))
-    ranked = tracks.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 3)
-    label = F.concat(F.col("track_name"), F.lit(" ("), F.col("play_count").cast("string"), F.lit(" plays)"))
-    songs = ranked.groupBy(*by, "artist_name").agg(
-        *[F.max(F.when(F.col("rank") == i, label)).alias(f"top_{i}_song") for i in (1, 2, 3)]
-    )
-    out = top.join(songs, [*by, "artist_name"], "left")
-    return out.select(
-        *by,
-        F.concat(F.col("artist_name"), F.lit(" ("), F.col("artist_plays").cast("string"), F.lit(" plays)"))
-        .alias("artist"),
-        "top_1_song", "top_2_song", "top_3_song",
+    # one aggregate per (artist, track), missing track names included, gives the artists' totals and their songs
+    tracks = (
+        _non_null(plays, ["artist_name"]).groupBy(*by, "artist_name", "track_name")
+        .agg(F.count_if("full_play").alias("play_count"))
     )
+    n = F.col("play_count").cast("string")
+    song = F.struct((-F.col("play_count")).alias("n"), F.concat_ws(X.COMPOSITE_SEP, "track_name", "artist_name").alias("s"),
+                    F.concat(F.col("track_name"), F.lit(" ("), n, F.lit(" plays)")).alias("label"))
+    named = tracks.withColumn("_song", F.when(F.col("track_name").isNotNull(), song))
+    best = Window.partitionBy(*by, "artist_name").orderBy(F.asc_nulls_last("_song"))
+    ranked = named.withColumn("_place", F.row_number().over(best))
+    artists = ranked.groupBy(*by, "artist_name").agg(
+        F.sum("play_count").alias("artist_plays"),
+        *[F.max(F.when(F.col("_place") == i, F.col("_song.label"))).alias(f"top_{i}_song") for i in (1, 2, 3)])
+    top = top_k(artists, [F.desc("artist_plays"), F.asc("artist_name")], k, by, "rank")
+    label = F.concat(F.col("artist_name"), F.lit(" ("), F.col("artist_plays").cast("string"), F.lit(" plays)"))
+    return top.select(*by, label.alias("artist"), "top_1_song", "top_2_song", "top_3_song", "rank").orderBy(*by, "rank")
 
 
 # ---------------------------------------------------------------------------
@@ -196,32 +200,27 @@ def top_songs_of_top_artists(plays: DataFrame, k: int = 100, by: Sequence[str] =
 def most_played_monthly(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per month the artist / track / album with most plays (all rows), newest first.
 
-    The three entity kinds are counted in one aggregate over a union of their
-    keys (one shuffle instead of three), the winner per month and kind is a
-    ``min_by`` aggregate, and the three winners are folded into one row per
-    month by a conditional aggregate — no joins between the three.
+    Every play becomes three keys in one scan; they are counted in one
+    aggregate, the winner per month and kind is a ``min_by`` aggregate over
+    the counts, and the three winners are folded into one row per month. A key
+    with a missing name is counted, so that its month is there, and never wins.
     """
     by = list(by)
     kinds = ("artist", "track", "album")
-    parts = [
-        _non_null(plays, _keys(e)).select(*by, "year_month", F.lit(e).alias("kind"),
-                                           F.col(_keys(e)[0]).alias("name"), F.col("artist_name").alias("artist"))
-        for e in kinds
-    ]
-    keyed = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    keyed = plays.select(*by, "year_month", F.explode(F.array(*[
+        F.struct(F.lit(e).alias("kind"), F.when(F.col("artist_name").isNotNull(), F.col(_keys(e)[0])).alias("name"),
+                 F.col("artist_name").alias("artist")) for e in kinds])).alias("x")).select(*by, "year_month", "x.*")
     counts = keyed.groupBy(*by, "year_month", "kind", "name", "artist").agg(F.count("*").alias("n"))
-    counts = counts.withColumn(
+    counts = counts.withColumn("_missing", F.col("name").isNull().cast("int")).withColumn(
         "_sort", F.when(F.col("kind") == "artist", F.col("name"))
         .otherwise(F.concat_ws(X.COMPOSITE_SEP, "name", "artist")))
-    best = first_row(counts, [*by, "year_month", "kind"], [("n", True), ("_sort", False)])
+    best = first_row(counts, [*by, "year_month", "kind"], [("_missing", False), ("n", True), ("_sort", False)])
     n = F.col("n").cast("string")
     label = (F.when(F.col("kind") == "artist", F.concat(F.col("name"), F.lit(" ("), n, F.lit(" times)")))
              .otherwise(F.concat(F.col("name"), F.lit(" (by "), F.col("artist"), F.lit(", "), n, F.lit(" times)"))))
     winners = best.groupBy(*by, "year_month").agg(
         *[F.max(F.when(F.col("kind") == e, label)).alias(f"most_played_{e}") for e in kinds])
-    months = plays.select(*by, "year_month").distinct()
-    out = months.join(winners, [*by, "year_month"], "left")
-    return out.orderBy(*by, F.desc("year_month"))
+    return winners.orderBy(*by, F.desc("year_month"))
 
 
 def avg_track_length_monthly(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -385,14 +384,19 @@ def avg_hours_per_weekday(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame
 
 def play_count_histogram(plays: DataFrame, entity: str, by: Sequence[str] = ()) -> DataFrame:
     """Per group and full-play count: how many entities have it, with the running
-    totals in descending count order (a window over the small histogram only).
+    totals in descending count order (windows over the small histogram only).
 
-    Built on ``entity_play_counts`` — the same aggregate R1–R3 use — so a plan
-    that needs both shuffles the fact once for them.
+    ``total_plays`` counts every full play, those without a name included, as
+    the reference divides by all full plays; ``keyed_plays`` only those with one.
     """
     by = list(by)
-    per_entity = entity_play_counts(plays, entity, by).filter(F.col("play_count") > 0)
-    hist = per_entity.groupBy(*by, F.col("play_count").alias("plays")).agg(F.count("*").alias("entities"))
+    keys = _keys(entity)
+    per_entity = plays.filter(F.col("full_play")).groupBy(*by, *keys).agg(F.count("*").alias("plays"))
+    keyed = F.lit(True)
+    for key in keys:
+        keyed = keyed & F.col(key).isNotNull()
+    hist = per_entity.groupBy(*by, "plays").agg(
+        F.count_if(keyed).alias("entities"), F.sum("plays").alias("all_plays"))
     w = Window.partitionBy(*by).orderBy(F.desc("plays")).rowsBetween(Window.unboundedPreceding, 0)
     tot = Window.partitionBy(*by)
     mass = F.col("plays") * F.col("entities")
@@ -401,9 +405,10 @@ def play_count_histogram(plays: DataFrame, entity: str, by: Sequence[str] = ())
         (F.sum("entities").over(w) - F.col("entities") + 1).alias("first_rank"),
         F.sum("entities").over(w).alias("last_rank"),
         (F.sum(mass).over(w) - mass).alias("plays_before"),
-        F.sum(mass).over(tot).alias("total_plays"),
+        F.sum("all_plays").over(tot).alias("total_plays"),
+        F.sum(mass).over(tot).alias("keyed_plays"),
         F.sum("entities").over(tot).alias("unique"),
-    )
+    ).filter(F.col("entities") > 0)
 
 
 def cumulative_play_share(plays: DataFrame, entity: str, by: Sequence[str] = ()) -> DataFrame:
@@ -439,7 +444,7 @@ def cumulative_play_share(plays: DataFrame, entity: str, by: Sequence[str] = ())
 def share_at_rank(plays: DataFrame, entity: str, ranks: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
     """R18 looked up at rank min(N, unique − 1) for each N (as the KPIs do),
     rounded to a whole percent; one row per group, columns ``top_<N>``, plus
-    ``unique`` (entities with a full play) and ``total`` (their full plays)."""
+    ``unique`` (entities with a full play) and ``keyed`` (their full plays)."""
     by = list(by)
     hist = play_count_histogram(plays, entity, by)
     cols = []
@@ -448,11 +453,12 @@ def share_at_rank(plays: DataFrame, entity: str, ranks: Sequence[int], by: Seque
         inside = (F.col("first_rank") <= r) & (r <= F.col("last_rank"))
         cum = F.col("plays_before") + (r - F.col("first_rank") + 1) * F.col("plays")
         cols.append(F.max(F.when(inside, cum)).alias(f"_cum{n}"))
-    picked = hist.groupBy(*by).agg(*cols, F.max("total_plays").alias("total"), F.max("unique").alias("unique"))
+    picked = hist.groupBy(*by).agg(*cols, F.max("total_plays").alias("total"), F.max("keyed_plays").alias("keyed"),
+                                   F.max("unique").alias("unique"))
     return picked.select(*by, *[
         X.percent(F.coalesce(f"_cum{n}", F.lit(0)), "total").alias(f"top_{n}")
         for n in ranks
-    ], "unique", "total")
+    ], "unique", "keyed")
 
 
 # ---------------------------------------------------------------------------

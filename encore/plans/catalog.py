@@ -23,7 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned wide fact (E14 shape) bound from the driver tables."""
-    return clean.wide_fact(tables.plays_raw_wide(spark, sf_dir))
+    return clean.wide_fact(tables.with_missing_names(tables.plays_raw_wide(spark, sf_dir)))
 
 
 def _recipe(fn, **params) -> Query:
@@ -36,7 +36,7 @@ def _recipe(fn, **params) -> Query:
 
 def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Website-style report fact (wide fact + calendar columns)."""
-    return clean.report_plays(tables.plays_raw_wide(spark, sf_dir))
+    return clean.report_plays(tables.with_missing_names(tables.plays_raw_wide(spark, sf_dir)))
 
 
 def _report(fn, **params) -> Query:
@@ -130,6 +130,15 @@ def ingest_queries() -> dict[str, Query]:
     def clean_history(spark, sf_dir):
         return clean.clean_history(derived.parse_export(derived.raw_export(raw(spark, sf_dir))))
 
+    def history_files(spark, sf_dir):
+        from encore.session import scratch_path
+        from encore.sources import history
+
+        path = scratch_path(spark, "s1-export")
+        derived.export_files(derived.raw_export(raw(spark, sf_dir)), path)
+        read = history.read_history(spark, path, listener=r"listener_id=(\d+)/", glob="*.txt")
+        return clean.clean_history(read.withColumn("listener_id", F.col("listener_id").cast("bigint")))
+
     def tracks(spark, sf_dir):
         return enrich.flatten_tracks(derived.track_docs(raw(spark, sf_dir)))
 
@@ -149,8 +158,7 @@ def ingest_queries() -> dict[str, Query]:
         return enrich.pending_ids(r.select(F.col("track_id").alias("id")), cached)
 
     def batches(spark, sf_dir):
-        # batch composition depends on partitioning; the checked contract is that every
-        # pending id lands in exactly one batch of at most 50 ids
+        # every pending id is in exactly one batch of at most 50 ids
         ids = enrich.pending_ids(raw(spark, sf_dir).select(F.col("track_id").alias("id")),
                                  spark.createDataFrame([], "id string"))
         b = enrich.batch_ids(ids, 50)
@@ -174,6 +182,7 @@ def ingest_queries() -> dict[str, Query]:
 
     return {
         "p_clean_history": clean_history,
+        "s1_read_history_files": history_files,
         "e01_pending_track_ids": pending,
         "e02_id_batches": batches,
         "e03_image_worklist": images,
@@ -247,7 +256,7 @@ def sink_queries() -> dict[str, Query]:
         q.awaitTermination()
         if q.exception() is not None:
             raise RuntimeError(str(q.exception()))
-        return spark.read.parquet(out)
+        return ingest.stored(spark, out).select(*clean.PLAY_COLUMNS)
 
     return {
         "st_incremental_ingest": streaming_ingest,
@@ -280,6 +289,7 @@ def all_oracle_sql() -> dict[str, str]:
     out["s7_csv_round_trip"] = IS.csv_sql()
     out["s8_report_documents"] = out["r23_report_table_sizes"]
     out["p_clean_history"] = IS.clean_history_sql()
+    out["s1_read_history_files"] = IS.clean_history_sql()
     out["st_incremental_ingest"] = IS.clean_history_sql(with_listener=False)
     out["e02_id_batches"] = IS.batches_sql()
     out.update(IS.enrich_sql())

@@ -17,14 +17,17 @@ from encore.sources import documents, history
 
 
 def exports_to_fact(spark: SparkSession, exports: str, out: str | None = None, archives: bool = False,
-                    partition_by: Sequence[str] = ("year",)) -> DataFrame:
+                    partition_by: Sequence[str] = ("year",), listener: str | None = None) -> DataFrame:
     """S1/S2 (or S3) → P1–P15 → S6. Returns the cleaned fact (read back when written).
 
-    ``archives=True`` reads export zips (history folder members only); otherwise
-    a folder of JSON-array files.
+    ``archives=True`` reads export zips (history folder members only), whose
+    ``listener_id`` is the archive's name; otherwise a folder of JSON-array
+    files. ``listener`` is a regular expression over the path whose first group
+    is the listener. The listener is part of a play before the dedup.
     """
-    raw = (history.ingest_archives(spark, exports).drop("archive", "member") if archives
-           else history.read_history(spark, exports))
+    by = {} if listener is None else {"listener": listener}
+    raw = (history.ingest_archives(spark, exports, **by).drop("archive", "member") if archives
+           else history.read_history(spark, exports, **by))
     fact = clean.clean_history(raw)
     if out is None:
         return fact

@@ -31,27 +31,27 @@ REPORT_COLUMNS = [
 
 
 class Report:
-    """Named report tables; ``tables`` holds lazy frames, nothing runs until read."""
+    """Named report tables; ``tables`` holds lazy frames. With ``materialize="table"`` the shared fact is written at once."""
 
     def __init__(self, plays: DataFrame, k: int = 100, only_top_k: bool = False, by: Sequence[str] = (),
                  materialize: str | None = "table"):
         by = list(by)
-        cols = [c for c in [*by, *REPORT_COLUMNS] if c in plays.columns]
-        fact = plays.select(*cols)
-        fact = fact.drop("month_index")
+        # a month index that the plays bring along (a filtered history keeps the whole one's) is not computed again
+        brought = "month_index" in plays.columns
+        fact = plays.select(*[c for c in [*by, *REPORT_COLUMNS, "month_index"] if c in plays.columns])
         self._cached = None
         self._spark = plays.sparkSession
         self._table_path = None
         if materialize == "table":
             # the month index is written with the table (one pass); other tables prune it away
             path = scratch_path(self._spark, "report-fact")
-            with_month_index(fact, by).write.mode("overwrite").parquet(path)
+            (fact if brought else with_month_index(fact, by)).write.parquet(path)
             fact = self._spark.read.parquet(path)
             self._table_path = path
         elif materialize == "persist":
             self._cached = fact = fact.persist(StorageLevel.MEMORY_AND_DISK)
         # otherwise R5 adds the month index itself; no other table carries that join
-        ready = materialize == "table"
+        ready = brought or materialize == "table"
         t: dict[str, DataFrame] = {
             "most_played_artists_total": R.most_played_artists(fact, k, by),
             "most_played_tracks_total": R.most_played_tracks(fact, k, by),
@@ -116,15 +116,15 @@ def table_sizes(rep: Report) -> DataFrame:
     return out
 
 
-# Fixed value: the message shown when a filter leaves no full play.
-NO_PLAYS_MESSAGE = "No plays from this artist in this time frame."
+class NoPlays(ValueError):
+    """A filter left no full play, so there is no report."""
 
 
 def filtered_report(plays: DataFrame, start: tuple[int, int], end: tuple[int, int], artist_name: str | None = None,
-                    k: int = 100, by: Sequence[str] = (), materialize: str | None = "table") -> Report | str:
-    """R21 → R23: the report over a month range (and optionally one artist), or the
-    reference's message when no full play remains (checked by reading one row)."""
-    subset = R.filter_history(plays, start, end, artist_name)
+                    k: int = 100, by: Sequence[str] = (), materialize: str | None = "table") -> Report:
+    """R21 → R23: the report over a month range (and optionally one artist). Months are numbered from the first month
+    of the whole history. Raises :class:`NoPlays` when no full play remains (checked by reading one row)."""
+    subset = R.filter_history(with_month_index(plays, by), start, end, artist_name)
     if not R.has_full_plays(subset):
-        return NO_PLAYS_MESSAGE
+        raise NoPlays(f"no full play between {start} and {end}" + (f" by {artist_name}" if artist_name else ""))
     return Report(subset, k=k, by=by, materialize=materialize)

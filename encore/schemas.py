@@ -21,6 +21,9 @@ RAW_PLAY = T.StructType([
     _f("shuffle", B), _f("skipped", B), _f("offline", B), _f("offline_timestamp", L), _f("incognito_mode", B),
 ])
 
+# Flags of a play; the export's readers take a missing flag as false.
+PLAY_FLAGS = ("shuffle", "skipped", "offline", "incognito_mode")
+
 _ID = T.StructType([_f("id", S)])
 _IMAGE = T.StructType([_f("url", S)])
 

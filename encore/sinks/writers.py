@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from encore.operators.clean import round_numeric
+from encore.sources.history import CSV_OPTIONS
 
 # Display names of report columns (P20); internal names stay snake_case.
 DISPLAY_NAMES = {"hours_played": "hours played", "year_month": "month"}
@@ -30,8 +31,8 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mo
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    (df.write.mode(mode).option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
-     .csv(path))
+    """Lossless CSV (``sources.history.CSV_OPTIONS``): spaces, quotes, line breaks, empty and null text come back."""
+    df.write.mode(mode).options(**CSV_OPTIONS).csv(path)
 
 
 def rename_for_display(df: DataFrame) -> DataFrame:

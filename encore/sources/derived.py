@@ -30,15 +30,16 @@ def _ids(*cols: Column) -> Column:
 
 
 def raw_export(raw: DataFrame) -> DataFrame:
-    """(listener_id, json) rows: one raw export record per bound play, plus an
-    exact duplicate of every play at 03:xx."""
+    """(listener_id, json) rows: one raw export record per bound play, plus a
+    duplicate of every play at 03:xx, in which a false ``skipped`` is null."""
     q = F.col("ms_played") / 6000
     podcast = q == 1
     epoch = F.unix_timestamp(F.col("ts").cast("timestamp")) - 3600
     offline_ts = (F.when(~F.col("offline"), F.when(F.col("listener_id") % 3 == 0, F.lit(0)))
                   .when(F.col("listener_id") % 2 == 0, epoch * 1000 + 500)
                   .otherwise(epoch))
-    rec = F.struct(
+    skipped = F.col("reason_end") == "fwdbtn"
+    record = lambda flag: F.struct(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"),
         F.col("platform"),
         F.col("ms_played"),
@@ -53,14 +54,22 @@ def raw_export(raw: DataFrame) -> DataFrame:
         F.when(podcast, F.col("artist_name")).alias("episode_show_name"),
         F.when(podcast, F.concat(F.lit("media:episode:"), F.col("track_id"))).alias("spotify_episode_uri"),
         F.col("reason_start"), F.col("reason_end"), F.col("shuffle"),
-        (F.col("reason_end") == "fwdbtn").alias("skipped"),
+        flag.alias("skipped"),
         F.col("offline"),
         offline_ts.cast("long").alias("offline_timestamp"),
         F.col("incognito_mode"),
     )
-    rows = raw.select("listener_id", F.to_json(rec).alias("json"), F.hour("ts").alias("_h"))
-    dup = rows.filter(F.col("_h") == 3)
-    return rows.unionByName(dup).drop("_h")
+    rows = raw.select("listener_id", F.to_json(record(skipped)).alias("json"))
+    dup = raw.filter(F.hour("ts") == 3).select("listener_id", F.to_json(record(F.when(skipped, True))).alias("json"))
+    return rows.unionByName(dup)
+
+
+def export_files(records: DataFrame, path: str, plays_per_file: int = 1000) -> None:
+    """Write the export records as files that hold one JSON array each, ``listener_id=<id>/chunk=<n>/*.txt`` under ``path``."""
+    sizes = records.groupBy("listener_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(plays_per_file)).alias("_chunks"))
+    dealt = records.join(sizes, "listener_id").withColumn("chunk", F.pmod(F.xxhash64("json"), F.col("_chunks")))
+    arrays = dealt.groupBy("listener_id", "chunk").agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list("json")), F.lit("]")).alias("value"))
+    arrays.write.partitionBy("listener_id", "chunk").text(path)
 
 
 def parse_export(records: DataFrame) -> DataFrame:

@@ -15,7 +15,8 @@ from encore import schemas
 
 
 def read_docs(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
+    """Documents under ``path``; a malformed one fails the job."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
 
 
 def read_track_docs(spark: SparkSession, path: str) -> DataFrame:

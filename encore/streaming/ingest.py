@@ -2,19 +2,17 @@
 
 The reference processes a finished export in one batch. When exports of many
 listeners keep arriving as files, the same cleaning runs incrementally:
-``readStream`` over the drop folder → the P-operators → an append-only
-parquet fact, with progress kept in a checkpoint under the shared
-``spark.checkpoint.dir`` so a restarted job (or one that lost executors)
-resumes exactly where it stopped.
-
-Difference to the batch form, by necessity of streams: exact duplicates (P3)
-are removed among records that *arrive* within ``dedup_window`` of each other
-(``dropDuplicatesWithinWatermark`` on the micro-batch arrival time), not over
-the whole history, which keeps the dedup state bounded. The watermark is on
-arrival time, not play time, on purpose: exports arrive in any play-time
-order, and an event-time watermark would drop an older export's plays as late
-data. With arrival time no row is ever late; copies inside one export (or
-exports delivered together) are removed.
+``readStream`` over the drop folder → per micro-batch the P-operators and the
+dedup (P3) against everything stored so far → one folder per micro-batch of a
+parquet fact. Progress is kept in a checkpoint under the shared
+``spark.checkpoint.dir``.
+
+The dedup has no time window, so the result is that of the batch ingest however
+the files are split over triggers: every stored play carries the SHA-256 of its
+whole raw record (``play_key``), and a batch drops its own copies and the keys
+that other batches stored. Keys are stored by their first digit, so a join
+reads the key column of the fact only. A batch writes its own folder with
+overwrite, so a batch that runs again after a failure replaces what it wrote.
 """
 
 from __future__ import annotations
@@ -29,36 +27,55 @@ from encore import schemas
 from encore.operators import clean
 from encore.session import checkpoint_dir
 
+BATCH = "batch_id"
+
 
 def read_history_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 100,
                         multi_line: bool = True) -> DataFrame:
     """Streaming S1/S2: new ``*.json`` files under ``path`` — JSON arrays of plays
-    (``multi_line``, the export format) or one play object per line."""
+    (``multi_line``, the export format) or one play object per line. A malformed file fails the query."""
     return (
-        spark.readStream.schema(schemas.RAW_PLAY).option("multiLine", multi_line)
+        spark.readStream.schema(schemas.RAW_PLAY).option("multiLine", multi_line).option("mode", "FAILFAST")
         .option("pathGlobFilter", "*.json").option("maxFilesPerTrigger", max_files_per_trigger).json(path)
     )
 
 
-def clean_history_stream(raw: DataFrame, dedup_window: str = "1 hour") -> DataFrame:
-    """P1–P15 on a streaming frame; exact duplicates (all raw columns) arriving
-    within ``dedup_window`` of each other are removed."""
-    cols = raw.columns
-    df = raw.withColumn("_arrival", F.current_timestamp())
-    df = df.withWatermark("_arrival", dedup_window).dropDuplicatesWithinWatermark(cols).drop("_arrival")
-    df = clean.drop_non_music(clean.rename_fields(df))
-    df = clean.effective_ts(clean.parse_ts(df))
-    df = clean.track_id_from_uri(clean.mark_full_play(clean.map_reasons(df)))
-    return df.select(*clean.PLAY_COLUMNS)
+def stored(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
+    """The fact that the ingest wrote under ``out`` (without ``before``: all batches), with ``play_key``."""
+    fact = spark.read.schema(_stored_schema(spark)).option("basePath", out).parquet(out)
+    return fact if before is None else fact.where(F.col(BATCH) != before)
+
+
+def _stored_schema(spark: SparkSession):
+    empty = spark.createDataFrame([], schemas.RAW_PLAY)
+    return _keyed(empty).withColumn(BATCH, F.lit(0).cast("long")).schema
+
+
+def _keyed(raw: DataFrame) -> DataFrame:
+    """Cleaned plays with the key of their raw record."""
+    flagged = clean.fill_flags(raw)
+    record = F.to_json(F.struct(*raw.columns), {"ignoreNullFields": "false"})
+    rows = clean.clean_rows(flagged.withColumn("play_key", F.sha2(record, 256)))
+    return rows.select("play_key", *clean.PLAY_COLUMNS)
+
+
+def ingest_batch(raw: DataFrame, batch_id: int, out: str) -> None:
+    """One micro-batch: clean, drop copies inside the batch and of other batches, write the batch's folder."""
+    spark = raw.sparkSession
+    fresh = _keyed(raw).dropDuplicates(["play_key"])
+    if batch_id > 0:
+        seen = stored(spark, out, batch_id).select("play_key")
+        fresh = fresh.join(seen, "play_key", "left_anti")
+    fresh.write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
 
 
 def start_ingest(
     spark: SparkSession, src: str, out: str, checkpoint: str | None = None, available_now: bool = True,
-    processing_time: str = "1 minute", multi_line: bool = True,
+    processing_time: str = "1 minute", multi_line: bool = True, max_files_per_trigger: int = 100,
 ) -> StreamingQuery:
     """Start the incremental ingest; ``available_now`` drains what is there and stops."""
     ckpt = checkpoint or os.path.join(checkpoint_dir(spark), "ingest-" + os.path.basename(out.rstrip("/")))
-    stream = clean_history_stream(read_history_stream(spark, src, multi_line=multi_line))
-    writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", ckpt)
+    stream = read_history_stream(spark, src, max_files_per_trigger, multi_line)
+    writer = stream.writeStream.foreachBatch(lambda df, n: ingest_batch(df, n, out)).option("checkpointLocation", ckpt)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
-    return writer.start(out)
+    return writer.start()

@@ -3,6 +3,8 @@
 import json
 import zipfile
 
+import pytest
+
 from encore.operators import clean
 from encore.sources import history
 
@@ -38,7 +40,42 @@ def test_ingest_and_classify(spark, tmp_path):
     assert every.count() == 4
     cleaned = clean.clean_history(plays.drop("archive", "member"))
     assert cleaned.filter("full_play").count() == 3
+    assert {r.listener_id for r in cleaned.collect()} == {"good"}
 
     kinds = {r.archive.rsplit("/", 1)[-1]: r.kind
-             for r in history.classify_archives(history.archive_members(spark, str(tmp_path))).collect()}
+             for r in history.classify_archives(history.archive_manifest(spark, str(tmp_path))).collect()}
     assert kinds == {"good.zip": "streaming_history", "tech.zip": "technical_log", "account.zip": "account_data"}
+
+
+def test_the_same_play_in_two_archives_stays_two_plays(spark, tmp_path):
+    member = f"{history.HISTORY_FOLDER}/a.json"
+    for name in ("ann", "bob"):
+        make_zip(tmp_path / f"{name}.zip", {member: json.dumps([play("2020-01-01T00:00:00Z", "t1")] * 2)})
+    out = clean.clean_history(history.ingest_archives(spark, str(tmp_path)).drop("archive", "member")).collect()
+    assert sorted(r.listener_id for r in out) == ["ann", "bob"]
+    alone = history.ingest_archives(spark, str(tmp_path), listener=None).drop("archive", "member")
+    assert "listener_id" not in alone.columns and clean.clean_history(alone).count() == 1
+
+
+def test_malformed_members_fail_or_are_listed(spark, tmp_path):
+    whole = json.dumps([play("2020-01-01T00:00:00Z", f"t{i}") for i in range(5)])
+    folder = history.HISTORY_FOLDER
+    make_zip(tmp_path / "x.zip", {f"{folder}/good.json": whole, f"{folder}/cut.json": whole[:len(whole) // 2]})
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        history.ingest_archives(spark, str(tmp_path)).collect()
+    assert history.ingest_archives(spark, str(tmp_path), malformed="skip").count() == 5
+    [bad] = history.rejected_members(spark, str(tmp_path)).collect()
+    assert bad.member.endswith("cut.json") and bad.reason
+
+
+def test_malformed_files_fail_or_are_listed(spark, tmp_path):
+    whole = json.dumps([play("2020-01-01T00:00:00Z", f"t{i}") for i in range(5)])
+    (tmp_path / "ann").mkdir()
+    (tmp_path / "ann" / "good.json").write_text(whole)
+    (tmp_path / "ann" / "cut.json").write_text(whole[:len(whole) // 2])
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        history.read_history(spark, str(tmp_path / "ann")).collect()
+    good = history.read_history(spark, str(tmp_path / "ann"), malformed="skip", listener=r"/([^/]+)/[^/]+\.json$").collect()
+    assert [r.listener_id for r in good] == ["ann"] * 5
+    [bad] = history.rejected_files(spark, str(tmp_path / "ann")).collect()
+    assert bad.path.endswith("cut.json") and bad.reason

@@ -102,4 +102,9 @@ def test_pending_and_batches(spark):
     assert pend.count() == 617
     batches = enrich.batch_ids(pend.repartition(5), 50).collect()
     assert max(len(r.ids) for r in batches) <= 50
+    assert len(batches) == -(-617 // 50)  # full but for the last one
+    again = enrich.batch_ids(pend.repartition(3), 50).collect()
+    assert sorted((r.batch, tuple(r.ids)) for r in again) == sorted((r.batch, tuple(r.ids)) for r in batches)
+    short = [r for r in enrich.batch_ids(pend, 50, bucket_batches=4).collect() if len(r.ids) < 50]
+    assert len(short) <= -(-617 // 200)  # at most one per bucket
     assert sorted(i for r in batches for i in r.ids) == sorted(r.id for r in pend.collect())

@@ -51,3 +51,14 @@ def test_display_rounding_matches_pandas(spark):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     got = [r.x for r in round_numeric(df).collect()]
     assert got == pd.Series(values).round(2).tolist() == list(np.round(values, 2))
+
+
+def test_csv_keeps_every_text(spark, tmp_path):
+    from encore import schemas
+    from encore.sources.history import read_csv
+
+    names = ["  lead and trail  ", "", None, 'say "hi", twice', "two\nlines", "back\\slash", "comma, here", "'", "é漢"]
+    rows = [(f"t{i}", n, n, "x", None, i, "a", "b", True, "AT", "p", False, None, True) for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, schemas.PLAY_CSV)
+    writers.write_csv(df, str(tmp_path / "csv"))
+    assert sorted(map(tuple, read_csv(spark, str(tmp_path / "csv")).collect())) == sorted(rows)
