@@ -191,6 +191,9 @@ WHERE year * 12 + month BETWEEN {sy * 12 + sm} AND {ey * 12 + em} AND artist_nam
 SELECT CAST(s // 12 AS INTEGER) AS year, CAST(s % 12 + 1 AS INTEGER) AS month,
        printf('%04d-%02d', s // 12, s % 12 + 1) AS year_month
 FROM (SELECT unnest(range(min(year * 12 + month - 1), max(year * 12 + month - 1) + 1)) AS s FROM plays)""")
+    # the sample is random: what is fixed is its size, that its rows are plays, and its columns
+    q["r20_random_sample"] = with_plays("""
+SELECT least(count(*), 3) AS members, 'column,sample_1,sample_2,sample_3' AS columns FROM plays""")
     q["r19_single_values"] = kpi_sql()
     q["r23_report_table_sizes"] = report_sizes_sql(q)
     return q
@@ -319,6 +322,57 @@ def report_sizes_sql(tables_sql: dict[str, str]) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
+# display name of each shown column, the columns that hold text, and the order of each table, stated for the check
+_SHOWN = {
+    "r01": ["artist_name:artist", "play_count:play count", "hours_played:hours played", "unique_tracks_played:# of unique tracks played"],
+    "r02": ["track_name:track", "artist_name:artist", "play_count:play count", "hours_played:hours played"],
+    "r03": ["album_name:album", "artist_name:artist", "play_count:play count", "hours_played:hours played"],
+    "r04": ["track_name:track", "artist_name:artist", "play_count:play count", "hours_played:hours played"],
+    "r06": ["artist:artist", "top_1_song:top-1 song", "top_2_song:top-2 song", "top_3_song:top-3 song"],
+    "r07": ["year_month:month", "most_played_artist:most played artist", "most_played_track:most played track", "most_played_album:most played album"],
+    "r08": ["year_month:month", "minutes_played:minutes played"],
+    "r09": ["year:year", "avg_play_count:play count"],
+    "r10": ["play_count:play count", "num_songs:num of songs"],
+    "r11": ["year:year", "total:total", "unique_per_year:unique per year", "new:new"],
+    "r12": ["hour:hour of the day", "percent_of_play_time:percent of play time"],
+    "r13": ["year_month:month", "avg_hours_played_per_day:avg hours played per day"],
+    "r14": ["year:year", "avg_hours_played_per_day:avg hours played per day"],
+    "r15": ["month:month", "avg_hours_played_per_day:avg hours played per day"],
+    "r16": ["day_name:day name", "avg_hours_played_per_day:avg hours played per day"],
+    "r17": ["country:country", "play_count:play count"],
+    "r18_cumulative_play_share_track": ["number_of_tracks:number of tracks", "percent_of_played_songs:percent of played songs"],
+    "r18_cumulative_play_share_artist": ["number_of_artists:number of artists", "percent_of_played_songs:percent of played songs"],
+    "r05": ["month_index:month_index", "play_count:play count", "bar_height:bar_height", "p99_plays:p99_plays"],
+}
+_ORDER = {
+    "r01": "rank", "r02": "rank", "r03": "rank", "r04": "rank", "r05": "rank, month_index", "r06": "rank", "r07": "year_month DESC",
+    "r08": "year_month", "r09": "year", "r10": "play_count DESC", "r11": "year", "r12": "hour", "r13": "year_month", "r14": "year",
+    "r15": "strptime(month || ' 2000', '%B %Y')", "r16": "list_position(['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday'], day_name)",
+    "r17": "play_count DESC, country", "r18_cumulative_play_share_track": "number_of_tracks", "r18_cumulative_play_share_artist": "number_of_artists",
+}
+TEXT_COLUMNS = ["artist", "track", "album", "top-1 song", "top-2 song", "top-3 song", "month", "most played artist", "most played track",
+                "most played album", "day name", "country"]
+
+
+def report_documents_sql(tables_sql: dict[str, str]) -> str:
+    """Every cell of every report document, numbers rounded half-even to 2 digits, by place and display name."""
+    parts = []
+    for name, key in REPORT_TABLE_KEYS.items():
+        short = key if key in _SHOWN else key[:3]
+        shown = list(_SHOWN[short])
+        if short == "r05":
+            entity = key.rsplit("_", 1)[-1][:-1]
+            shown = [f"{k}:{k[:-5]}" for k in _KEYS[entity][0]] + shown
+        for column in shown:
+            own, display = column.split(":", 1)
+            number = "NULL::DOUBLE" if display in TEXT_COLUMNS else f"round_even({own}::DOUBLE * 100, 0) / 100"
+            text = f"{own}::VARCHAR" if display in TEXT_COLUMNS else "NULL::VARCHAR"
+            parts.append(f"""SELECT '{name}' AS table_name, row_number() OVER (ORDER BY {_ORDER[short]}) - 1 AS position,
+  '{display}' AS column_name, {number} AS number, {text} AS text FROM t_{key}""")
+    views = ",\n".join(f"t_{key} AS MATERIALIZED ({tables_sql[key]})" for key in dict.fromkeys(REPORT_TABLE_KEYS.values()))
+    return f"WITH {views}\n" + "\nUNION ALL\n".join(parts)
+
+
 def by_listener_sql() -> dict[str, str]:
     """Per-listener forms (``by=["listener_id"]``) of a representative set, brute force."""
     from encore.checks.sqltext import SKIP, hours2, with_wide

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -132,8 +130,3 @@ def format_hours(h: Column) -> Column:
             )
         )
     )
-
-
-def key_order(keys: Sequence[str]) -> list[Column]:
-    """Deterministic tie-break: grouping keys ascending."""
-    return [F.col(k).asc() for k in keys]

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from encore.checks import ingest_sql as IS
 from encore.checks import recipes_sql as P
@@ -71,7 +72,6 @@ def report_queries() -> dict[str, Query]:
         "r17_plays_per_country": _report(R.plays_per_country),
         "r18_cumulative_play_share_track": _report(R.cumulative_play_share, entity="track"),
         "r18_cumulative_play_share_artist": _report(R.cumulative_play_share, entity="artist"),
-        "r20_random_sample": _report(R.random_sample, n=3, seed=7),
         "r22_month_spine": _report(R.month_spine),
     }
 
@@ -81,6 +81,19 @@ def report_queries() -> dict[str, Query]:
 
     out["r21_filter_history"] = filtered
 
+    def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The sampled rows turned back: how many there are and which are rows of the history."""
+        p = plays(spark, sf_dir)
+        columns = ["listener_id", "track_id", "ts", "ms_played"]
+        drawn = R.random_sample(p.select(*columns), n=3, seed=7)
+        rows = drawn.select(F.explode(F.array(*[
+            F.struct(F.lit(i).alias("i"), "column", F.col(f"sample_{i}").alias("value")) for i in (1, 2, 3)])).alias("x")).select("x.*")
+        back = rows.groupBy("i").pivot("column", columns).agg(F.first("value"))
+        text = p.select(*[F.col(c).cast("string").alias(c) for c in columns])
+        found = back.join(text, columns, "left_semi")
+        return found.agg(F.count(F.lit(1)).alias("members")).select(
+            "members", F.lit(",".join(drawn.columns)).alias("columns"))
+
     def kpis_(spark: SparkSession, sf_dir: str) -> DataFrame:
         return kpis.single_values(plays(spark, sf_dir))
 
@@ -89,6 +102,7 @@ def report_queries() -> dict[str, Query]:
         return report_plan.table_sizes(rep)
 
     out["r19_single_values"] = kpis_
+    out["r20_random_sample"] = sample
     out["r23_report_table_sizes"] = sizes
     return out
 
@@ -122,8 +136,6 @@ def recipe_queries() -> dict[str, Query]:
 
 def ingest_queries() -> dict[str, Query]:
     """Cleaning and enrichment chains over raw exports / documents derived from the tables."""
-    from pyspark.sql import functions as F
-
     def raw(spark, sf_dir):
         return tables.plays_raw_wide(spark, sf_dir)
 
@@ -209,8 +221,6 @@ def by_listener_queries() -> dict[str, Query]:
 
 def sink_queries() -> dict[str, Query]:
     """Sinks exercised as written tables in the shared checkpoint folder, read back."""
-    from pyspark.sql import functions as F
-
     from encore.session import scratch_path
     from encore.sinks import writers
     from encore.sources import history
@@ -232,19 +242,11 @@ def sink_queries() -> dict[str, Query]:
             writers.write_report(rep.tables, rep.single_values, path)
         finally:
             rep.close()
-        doc = "struct<columns:array<string>,data:array<array<string>>>"
-        frames = []
-        for name in rep.tables:
-            df = spark.read.json(f"{path}/{name}")
-            if name in writers.UNBOUNDED_TABLES:
-                n = df.agg(F.count("*").alias("n_rows"))
-            else:
-                n = df.agg(F.sum(F.size(F.from_json("json", doc)["data"])).cast("long").alias("n_rows"))
-            frames.append(n.select(F.lit(name).alias("table_name"), "n_rows"))
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out
+        cells = writers.read_report_values(spark, path, list(rep.tables))
+        # numbers as numbers: 2 and 2.0 are the same cell
+        number = F.when(~F.col("column_name").isin(RS.TEXT_COLUMNS), F.col("value").cast("double"))
+        return cells.select("table_name", "position", "column_name", number.alias("number"),
+                            F.when(F.col("column_name").isin(RS.TEXT_COLUMNS), F.col("value")).alias("text"))
 
     def streaming_ingest(spark, sf_dir):
         from encore.streaming import ingest
@@ -287,7 +289,7 @@ def all_oracle_sql() -> dict[str, str]:
     out["r19_single_values_by_listener"] = RS.kpi_by_listener_sql()
     out["s6_parquet_round_trip"] = IS.parquet_sql()
     out["s7_csv_round_trip"] = IS.csv_sql()
-    out["s8_report_documents"] = out["r23_report_table_sizes"]
+    out["s8_report_documents"] = RS.report_documents_sql(out)
     out["p_clean_history"] = IS.clean_history_sql()
     out["s1_read_history_files"] = IS.clean_history_sql()
     out["st_incremental_ingest"] = IS.clean_history_sql(with_listener=False)

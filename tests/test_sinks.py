@@ -1,4 +1,4 @@
-"""S8 report documents: split layout, display names, half-even rounding, JSON lines for per-entity tables."""
+"""S8 report documents: split layout, typed cells, order, display names, half-even rounding; S7 CSV."""
 
 import json
 import pathlib
@@ -9,39 +9,38 @@ import pandas as pd
 from encore.sinks import writers
 
 
-def read_json_files(folder):
-    out = []
-    for f in sorted(pathlib.Path(folder).glob("part-*.json")):
-        out += [json.loads(line) for line in f.read_text().splitlines() if line.strip()]
-    return out
+def lines(folder):
+    """The JSON lines of a written table, file after file."""
+    return [json.loads(line) for f in sorted(pathlib.Path(folder).glob("part-*")) for line in f.read_text().splitlines()]
 
 
 def test_split_documents(spark, tmp_path):
-    t = spark.createDataFrame([("A", 3, 1.125), ("B", 5, 2.675), ("C", 4, 0.5)],
-                              "artist_name string, play_count long, hours_played double")
-    cum = spark.createDataFrame([(0, 0.0), (1, 33.3333)], "number_of_tracks long, percent_of_played_songs double")
+    t = spark.createDataFrame([("B", 5, 2.675, 1), ("C \"x\"", 4, 0.5, 2), ("A", 3, 1.125, 3)],
+                              "artist_name string, play_count long, hours_played double, rank long")
+    week = spark.createDataFrame([("Friday", 4.5), ("Monday", 3.0), ("Sunday", None)], "day_name string, avg_hours_played_per_day double")
     kpis = spark.createDataFrame([("2020-01-01", 7)], "first_day string, played_songs long")
-    writers.write_report({"most_played_artists_total": t, "cumulative_percent_play_count_track": cum}, kpis,
-                         str(tmp_path / "rep"))
-    [doc] = read_json_files(tmp_path / "rep" / "most_played_artists_total")
-    inner = json.loads(doc["json"])
-    assert inner["columns"] == ["artist_name", "play_count", "hours played"]
-    rows = sorted(inner["data"])
+    writers.write_report({"most_played_artists_total": t, "avg_hours_played_per_day_name": week}, kpis, str(tmp_path / "rep"))
+    [doc] = lines(tmp_path / "rep" / "most_played_artists_total")
     # display rounding equals pandas' frame rounding (numpy: scale, rint, unscale)
-    expect = pd.Series([1.125, 2.675, 0.5]).round(2).tolist()
-    assert rows == [["A", "3", str(expect[0])], ["B", "5", str(expect[1])], ["C", "4", str(expect[2])]]
-    lines = read_json_files(tmp_path / "rep" / "cumulative_percent_play_count_track")
-    assert sorted(r["number_of_tracks"] for r in lines) == [0, 1]
-    assert {r["percent_of_played_songs"] for r in lines} == {0.0, 33.33}
-    [kpi] = read_json_files(tmp_path / "rep" / "single_values")
+    a, b, c = pd.Series([2.675, 0.5, 1.125]).round(2).tolist()
+    assert doc == {"first": 0, "columns": ["artist", "play count", "hours played"], "data": [["B", 5, a], ['C "x"', 4, b], ["A", 3, c]]}
+    [doc] = lines(tmp_path / "rep" / "avg_hours_played_per_day_name")
+    assert doc["data"] == [["Monday", 3.0], ["Friday", 4.5], ["Sunday", None]]
+    [kpi] = lines(tmp_path / "rep" / "single_values")
     assert kpi == {"first_day": "2020-01-01", "played_songs": 7}
 
 
-def test_split_json_per_group(spark):
-    t = spark.createDataFrame([(1, "x", 2.0), (1, "y", 1.0), (2, "z", 3.0)],
-                              "listener_id long, artist_name string, hours_played double")
-    docs = {r.listener_id: json.loads(r.json) for r in writers.split_json(t, ["listener_id"], order=["artist_name"]).collect()}
-    assert docs[1]["data"] == [["x", "2.0"], ["y", "1.0"]] and docs[2]["columns"] == ["artist_name", "hours played"]
+def test_a_long_table_is_several_documents_in_order(spark):
+    t = spark.range(2500).selectExpr("id AS number_of_tracks", "id / 25.0D AS percent_of_played_songs").repartition(7)
+    docs = [json.loads(r.value) for r in writers.split_documents("cumulative_percent_play_count_track", t).collect()]
+    assert [d["first"] for d in docs] == [0, 1000, 2000] and [len(d["data"]) for d in docs] == [1000, 1000, 500]
+    assert [r[0] for d in docs for r in d["data"]] == list(range(2500))
+
+
+def test_documents_per_group(spark):
+    t = spark.createDataFrame([(1, "y", 1, 2), (1, "x", 2, 1), (2, "z", 3, 1)], "listener_id long, artist_name string, play_count long, rank long")
+    docs = [json.loads(r.value) for r in writers.split_documents("most_played_artists_total", t, ["listener_id"]).collect()]
+    assert [(d["listener_id"], d["data"]) for d in docs] == [(1, [["x", 2], ["y", 1]]), (2, [["z", 3]])]
 
 
 def test_display_rounding_matches_pandas(spark):
