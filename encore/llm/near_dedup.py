@@ -14,9 +14,11 @@ Texts that share a band (``rows`` neighbouring coordinates) are candidates:
 1. Texts with the same shingles are one node.
 2. In every bucket all members are verified against one hub, the member that
    shares the most buckets with others. A bucket never emits its pairs.
-3. Members that failed against a hub may still be similar to one another or to
-   other members. For them an exact similarity join over their rarest shingles
-   (prefix filter, by classes of size) finds every partner.
+3. Members that failed against a hub and are not near it by other links may
+   still be similar to one another or to other members. For them an exact
+   similarity join over their rarest shingles (prefix filter by classes of
+   size, positional filter, pairs that links already connect left out) finds
+   every partner.
 4. Verified links are contracted, smallest neighbour first, until none is left.
 
 Links and labels stay in tables; nothing is gathered on the driver.
@@ -289,8 +291,8 @@ def verified(pairs: DataFrame, texts: DataFrame, by_count: bool = False) -> Data
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(by_count), _PAIR)
 
 
-_PREFIX = "node binary, failed boolean, shingle bigint"
-_PREFIX_ARROW = pa.schema([("node", pa.binary()), ("failed", pa.bool_()), ("shingle", pa.int64())])
+_SHINGLES = "node binary, shingle bigint"
+_SHINGLES_ARROW = pa.schema([("node", pa.binary()), ("shingle", pa.int64())])
 
 
 def _explode_shingles(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,42 +300,60 @@ def _explode_shingles(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     def rows():
         for part in parts:
-            for node, failed, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+            for node, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 for h in np.unique(shingler.shingles([text])[0]).view(np.int64).tolist():
-                    yield node, failed, h
+                    yield node, h
 
-    yield from common.batches(rows(), _PREFIX_ARROW, limit=20_000)
+    yield from common.batches(rows(), _SHINGLES_ARROW, limit=20_000)
 
 
 def rest_pairs(nodes: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """Every pair of a failed node and another node that can reach the threshold on sets of shingles: ``a, b``.
+    """Every pair of a failed node and a node of another component that can reach the threshold on sets of shingles: ``a, b``.
 
-    ``nodes``: ``node, failed, text``. Shingles are ordered by the number of nodes that have them, rare ones first.
-    Sizes fall into classes a tenth apart. Two sets of sizes m and n that reach the threshold t share
-    t / (1 + t) * (m + n) shingles or more, hence one among the first m - that + 1 of the one and the first
-    n - that + 1 of the other; the smallest sizes of the two classes give a safe count for the whole classes.
+    ``nodes``: ``node, root, failed, text``. Shingles are ordered by the number of nodes that have them, rare ones
+    first. Two sets of sizes m and n that reach the threshold t share need = t / (1 + t) * (m + n) shingles or more.
+    Hence one of the first m - need + 1 of the one is among the first n - need + 1 of the other (sizes fall into
+    classes a tenth apart, whose smallest size gives a safe count for the class), and after the first one they share,
+    at places i and j, there are need - 1 more to come: 1 + min(m - i, n - j) >= need, with the exact sizes.
     """
-    exploded = common.written(nodes.mapInArrow(_explode_shingles, _PREFIX), "near-shingles")
+    exploded = common.written(nodes.select("node", "text").mapInArrow(_explode_shingles, _SHINGLES), "near-shingles")
     frequency = exploded.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
-    # a shingle that one node has can meet no other, but takes a place in the prefix
-    ranked = exploded.join(frequency, "shingle").groupBy("node", "failed").agg(
+    # a shingle that one node has can meet no other, but takes a place in the order
+    ranked = exploded.join(frequency, "shingle").groupBy("node").agg(
         F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("own"))  # the shingles of one text
+    ranked = ranked.join(nodes.select("node", "root", "failed"), "node")
     size = F.size("own")
     step = math.log(1.1)
     level = F.floor(F.log(size.cast("double")) / F.lit(step) + F.lit(1e-9)).cast("int")
     reach = math.ceil(-math.log(threshold) / step)
-    sized = ranked.select("node", "failed", "own", size.alias("size"), level.alias("level")).withColumn(
-        "other", F.explode(F.sequence(F.col("level") - reach, F.col("level") + reach)))
-    smallest = lambda c: F.greatest(F.ceil(F.pow(F.lit(1.1), F.col(c)) - F.lit(1e-6)), F.lit(1))
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("size") + smallest("other")) - F.lit(1e-6)).cast("int")
-    keys = sized.where(F.col("other") >= 0).withColumn("take", F.least(F.col("size"), F.col("size") - need + 1)).where("take > 0").select(
-        "node", "failed", "level", "other", F.explode(F.filter(F.slice("own", 1, F.col("take")), lambda x: x["n"] > 1)).alias("x"))
-    keys = keys.select("node", "failed", "level", "other", F.col("x.shingle").alias("shingle"))
-    left = keys.where("failed").select(F.col("node").alias("a"), "shingle", F.col("level").alias("mine"), F.col("other").alias("theirs"))
-    right = keys.select(F.col("node").alias("b"), F.col("failed").alias("b_failed"), "shingle",
-                        F.col("level").alias("theirs"), F.col("other").alias("mine"))
-    return left.join(right, ["shingle", "mine", "theirs"]).where(
-        (F.col("a") != F.col("b")) & (~F.col("b_failed") | (F.col("a") < F.col("b")))).select("a", "b").distinct()
+    sized = ranked.select("node", "root", "failed", size.alias("size"), level.alias("level"), F.transform(
+        "own", lambda x, i: F.struct(x["n"].alias("n"), x["shingle"].alias("shingle"), (i + 1).alias("place"))).alias("own"))
+    sized = sized.withColumn("other", F.explode(F.sequence(F.col("level") - reach, F.col("level") + reach))).where("other >= 0")
+    smallest = F.greatest(F.ceil(F.pow(F.lit(1.1), F.col("other")) - F.lit(1e-6)), F.lit(1))
+    need = lambda m, n: F.ceil(F.lit(threshold / (1 + threshold)) * (m + n) - F.lit(1e-6))
+    take = (F.col("size") - need(F.col("size"), smallest) + 1).cast("int")
+    keys = sized.withColumn("take", F.least(F.col("size"), take)).where("take > 0").select(
+        "node", "root", "failed", "level", "other", "size", F.explode(F.filter(F.slice("own", 1, F.col("take")), lambda x: x["n"] > 1)).alias("x"))
+    keys = keys.select("node", "root", "failed", "level", "other", "size", "x.shingle", "x.place")
+    left = keys.where("failed").select(F.col("node").alias("a"), F.col("root").alias("a_root"), "shingle", F.col("level").alias("mine"),
+                                       F.col("other").alias("theirs"), F.col("size").alias("m"), F.col("place").alias("i"))
+    right = keys.select(F.col("node").alias("b"), F.col("root").alias("b_root"), F.col("failed").alias("b_failed"), "shingle",
+                        F.col("level").alias("theirs"), F.col("other").alias("mine"), F.col("size").alias("n"), F.col("place").alias("j"))
+    met = left.join(right, ["shingle", "mine", "theirs"]).where(
+        (F.col("a_root") != F.col("b_root")) & (~F.col("b_failed") | (F.col("a") < F.col("b")))
+        & (1 + F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) >= need(F.col("m"), F.col("n"))))
+    return met.select("a", "b").distinct()
+
+
+def _both_ways(links: DataFrame) -> DataFrame:
+    return links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+
+
+def neighbourhoods(links: DataFrame) -> DataFrame:
+    """``node, root``: the smallest node within two links. Equal roots are in one component; a star has one root."""
+    edges = common.written(_both_ways(links), "near-links")
+    near = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("root"))
+    return common.written(edges.join(near, "b").groupBy("a").agg(F.min("root").alias("root")).withColumnRenamed("a", "node"), "near-round")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -342,7 +362,7 @@ def components(links: DataFrame) -> DataFrame:
     Each round points a node to its smallest neighbour and contracts; the links that are left get fewer by half or
     more, so rounds grow with the logarithm of the longest chain.
     """
-    edges = common.written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-links")
+    edges = common.written(_both_ways(links), "near-links")
     roots = None
     while not edges.isEmpty():
         to = common.written(edges.groupBy("a").agg(F.min("b").alias("m")).select(
@@ -374,25 +394,32 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     nodes = common.written(sketches.groupBy("shingle_key").agg(F.min("node").alias("hub"), F.first("bands").alias("bands")), "near-nodes")
     entries = nodes.select(F.col("hub").alias("node"), F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = common.written(entries.join(shared, "key"), "near-buckets")
+    # both grow with the corpus: never broadcast, however small they are here
+    buckets = common.written(entries.join(shared.hint("merge"), "key"), "near-buckets")
     central = buckets.groupBy("node").agg(F.sum("n").alias("meets"))
     hubs = buckets.join(central, "node").groupBy("key").agg(F.max(F.struct("meets", "node")).alias("top")).select("key", F.col("top.node").alias("b"))
     pairs = buckets.join(hubs, "key").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b").distinct()
     pairs = common.written(pairs, "near-pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = common.written(text.select("node", "text").join(wanted, "node", "left_semi").groupBy("node").agg(
+    texts = common.written(text.select("node", "text").join(wanted.hint("merge"), "node", "left_semi").groupBy("node").agg(
         F.first("text").alias("text")), "near-texts")
     checked = common.written(verified(pairs, texts, by_count), "near-checked")
     links = checked.where(F.col("similarity") >= threshold)
-    # members that are not similar to a hub of theirs, and all members of such buckets
-    failed = checked.where(F.col("similarity") < threshold)
-    star = hubs.join(failed.select("b", F.col("a").alias("node")), "b").join(buckets.select("key", "node"), ["key", "node"])
-    open_keys = star.select("key").distinct()
-    rest = buckets.join(open_keys, "key", "left_semi").select("node").distinct().join(
-        failed.select(F.col("a").alias("node")).distinct().withColumn("failed", F.lit(True)), "node", "left").select(
-        "node", F.coalesce("failed", F.lit(False)).alias("failed"))
+    # members that are not similar to a hub of theirs, nor near it by other links: they and all members of those buckets
+    nearby = neighbourhoods(links)
+    own = lambda name: nearby.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+    failed = checked.where(F.col("similarity") < threshold).join(own("a"), "a", "left").join(own("b"), "b", "left").where(
+        F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    failed = common.written(failed, "near-failed")
     if not failed.isEmpty():
-        more = rest_pairs(rest.join(texts, "node").select("node", "failed", "text"), threshold)
+        # in a bucket of two the hub's pair was the only one
+        several = buckets.where("n > 2").select("key", "node")
+        open_keys = hubs.join(failed.withColumnRenamed("a", "node"), "b").join(several, ["key", "node"]).select("key").distinct()
+        rest = several.join(open_keys, "key", "left_semi").select("node").distinct().join(
+            failed.select(F.col("a").alias("node")).distinct().withColumn("failed", F.lit(True)), "node", "left").join(
+            nearby, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("failed", F.lit(False)).alias("failed"))
+        rest = common.written(rest.join(texts, "node"), "near-rest")
+        more = rest_pairs(rest, threshold)
         known = checked.select("a", "b").union(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
         found = verified(more.join(known, ["a", "b"], "left_anti"), texts, by_count)
         links = links.unionByName(found.where(F.col("similarity") >= threshold))
