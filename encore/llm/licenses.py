@@ -1,7 +1,11 @@
 """License scans as an exact set-similarity join, in DataFrame and SQL functions only.
 
-Text blocks (lines) and license templates are sets of words. A block matches a
-template when it holds at least ``threshold`` of the template's words. Words
+Text blocks and license templates are sets of words. A block matches a template
+when it holds at least ``threshold`` of the template's words. Blocks are the
+lines and, over the whole text with line breaks ignored, every window of as
+many words as the template has over the threshold, so that a notice wrapped at
+any width is found. Windows come in chunks that overlap by the longest window:
+a chunk passes the filters like a line, then its windows are verified. Words
 are ordered by their frequency over all documents, rare ones first. With
 ``need`` the smallest overlap that meets the threshold, a matching pair shares
 a word among the first ``size - need + 1`` words of both sides (prefix filter),
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 from encore.llm import common
 
 THRESHOLD = 0.8
+STRIDE = 64  # window starts a chunk; every window lies whole in the chunk that has its first word
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -103,36 +108,52 @@ def word_order(scanned: DataFrame, vocabulary: Sequence[str]) -> list[str]:
 
 def containment_join(docs: DataFrame, order: Sequence[str], templates: Sequence[tuple[str, str]] = TEMPLATES,
                      threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every (line, template) pair that meets the threshold: ``row_id, text_key, line, label, containment``."""
+    """Every (block, template) pair that meets the threshold: ``row_id, text_key, line, label, containment``.
+
+    ``line`` is null for a chunk; its containment is that of its best window.
+    """
     spark = docs.sparkSession
     rank = {w: i for i, w in enumerate(order)}
-    sets = [(label, sorted(set(_words(text)), key=rank.__getitem__)) for label, text in templates]
-    sets = [(label, words, need(len(words), threshold)) for label, words in sets if words]
-    prefix = sorted({w for _, words, least in sets for w in words[:len(words) - least + 1]}, key=rank.__getitem__)
+    split = [(label, _words(text)) for label, text in templates]
+    sets = [(label, sorted(set(words), key=rank.__getitem__), math.ceil(len(words) / threshold - 1e-9)) for label, words in split if words]
+    sets = [(label, words, need(len(words), threshold), length) for label, words, length in sets]
+    longest = max((length for *_, length in sets), default=1)
+    prefix = sorted({w for _, words, least, _ in sets for w in words[:len(words) - least + 1]}, key=rank.__getitem__)
     if not prefix:
         prefix = ["(?!)"]
     # one row per template and prefix word: bounded by the templates
     index = [f"named_struct('word', '{w}', 'place', {i}, 'need', {least}, 'size', {len(words)}, 'label', '{label}', "
-             f"'words', array({_quoted(words)}))" for label, words, least in sets for i, w in enumerate(words[:len(words) - least + 1], 1)]
+             f"'length', {length}, 'words', array({_quoted(words)}))" for label, words, least, length in sets for i, w in enumerate(words[:len(words) - least + 1], 1)]
     entries = spark.range(1).select(F.inline(F.expr(f"array({', '.join(index)})") if index else F.expr(
-        "cast(array() as array<struct<word:string,place:int,need:int,size:int,label:string,words:array<string>>>)")))
+        "cast(array() as array<struct<word:string,place:int,need:int,size:int,label:string,length:int,words:array<string>>>)")))
     some = f"(?i){'|'.join(prefix)}"
-    lines = (docs.select(F.col(id_col).alias("row_id"), common.text_or_empty(text_col).alias("text")).where(F.col("text").rlike(some))
-             .select("row_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n", -1)).alias("line", "block"))
-             .where(F.col("block").rlike(some)))
+    block = lambda line, text: F.struct(line.cast("int").alias("line"), text.alias("block"))
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: block(i, x))
+    chunks = F.transform(F.array(F.array_remove(F.split(F.translate("text", UPPER, UPPER.lower()), SEPARATORS, -1), "")), lambda w: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(STRIDE)),
+        lambda i: block(F.lit(None), F.array_join(F.slice(w, i + 1, STRIDE + longest - 1), " "))))[0]
+    blocks = (docs.select(F.col(id_col).alias("row_id"), common.text_or_empty(text_col).alias("text")).where(F.col("text").rlike(some))
+              .select("row_id", F.xxhash64("text").alias("text_key"), F.inline(F.concat(lines, chunks)))
+              .where(F.col("block").rlike(some)))
     ranks = F.create_map(*[x for w, i in rank.items() for x in (F.lit(w), F.lit(i))])
     folded = F.split(F.translate("block", UPPER, UPPER.lower()), SEPARATORS, -1)
     known = F.array_intersect(F.array(*[F.lit(w) for w in order]), folded)
-    ordered = lines.withColumn("found", F.array_sort(F.transform(known, lambda w: F.struct(ranks[w].alias("rank"), w.alias("word")))))
-    places = ordered.select("row_id", "text_key", "line", "found", F.posexplode("found").alias("at", "own")).select(
-        "row_id", "text_key", "line", F.transform("found", lambda x: x["word"]).alias("block_words"), F.size("found").alias("block_size"),
+    ordered = blocks.withColumn("found", F.array_sort(F.transform(known, lambda w: F.struct(ranks[w].alias("rank"), w.alias("word")))))
+    ordered = ordered.withColumn("chunk", F.when(F.col("line").isNull(), F.col("block")))
+    places = ordered.select("row_id", "text_key", "line", "chunk", "found", F.posexplode("found").alias("at", "own")).select(
+        "row_id", "text_key", "line", "chunk", F.transform("found", lambda x: x["word"]).alias("block_words"), F.size("found").alias("block_size"),
         (F.col("at") + 1).alias("at"), F.col("own.word").alias("word"))
     pairs = places.join(F.broadcast(entries), "word").where(
         (F.col("block_size") >= F.col("need"))  # length
         & (F.col("at") <= F.col("block_size") - F.col("need") + 1)  # prefix, of the block; the index has the template's
         & (1 + F.least(F.col("block_size") - F.col("at"), F.col("size") - F.col("place")) >= F.col("need")))  # positional
     shared = F.size(F.array_intersect("block_words", "words"))
-    return pairs.withColumn("shared", shared).where(F.col("shared") >= F.col("need")).select(
+    in_chunk = F.transform(F.array(F.split("chunk", " ", -1)), lambda w: F.array_max(F.transform(
+        F.sequence(F.lit(1), F.least(F.size(w), F.lit(STRIDE))),
+        lambda i: F.size(F.array_intersect(F.slice(w, i, F.col("length")), F.col("words"))))))[0]
+    met = pairs.withColumn("shared", shared).where(F.col("shared") >= F.col("need"))
+    met = met.withColumn("shared", F.when(F.col("line").isNull(), in_chunk).otherwise(F.col("shared"))).where(F.col("shared") >= F.col("need"))
+    return met.select(
         "row_id", "text_key", "line", "label", (F.col("shared").cast("double") / F.col("size")).alias("containment"))
 
 
