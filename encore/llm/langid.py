@@ -6,8 +6,9 @@ once with each dictionary, and the language whose blocks come out smallest
 overall wins. The margin is the share that the winner saves against the second;
 a narrow margin rejects the answer.
 
-The sample is bounded: per language the ``sample_docs`` texts of at most
-``sample_chars`` characters that come first in hash order, up to ``dict_bytes``.
+The sample is bounded: of the ``sample_docs`` texts per language that come first
+in hash order, whatever their length, the first ``sample_chars`` characters, up
+to ``dict_bytes``.
 The whole text of every document is classified.
 """
 
@@ -48,12 +49,12 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
           max_languages: int = MAX_LANGUAGES) -> dict[str, bytes]:
     """Dictionary content by language. Rows without a language or text are left out.
 
-    At most ``max_languages * sample_docs`` texts of ``sample_chars`` characters reach the driver; more languages
-    than that raise an error.
+    A text of any length can be chosen; its first ``sample_chars`` characters are used. At most
+    ``max_languages * sample_docs`` such parts reach the driver; more languages than that raise an error.
     """
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"),
                            F.col(lang_col).cast("string").alias("lang")).where(
-        F.col("lang").isNotNull() & (F.length("text") > 0) & (F.length("text") <= sample_chars))
+        F.col("lang").isNotNull() & (F.length("text") > 0)).withColumn("text", F.substring("text", 1, sample_chars))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_languages + 1).collect()}
     if len(sizes) > max_languages:
         raise ValueError(f"more than {max_languages} languages in {lang_col}")
