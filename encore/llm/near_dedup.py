@@ -295,28 +295,39 @@ _SHINGLES = "node binary, shingle bigint"
 _SHINGLES_ARROW = pa.schema([("node", pa.binary()), ("shingle", pa.int64())])
 
 
-def _explode_shingles(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingler = Shingler()
+def _occurrences(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """One element for each occurrence, the first as it is: set similarity of these is weighted similarity by counts."""
+    k = (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint64)
+    each = np.repeat(elements, counts)
+    return np.where(k == 0, each, mix(each + k * np.uint64(_GOLDEN)))
 
-    def rows():
-        for part in parts:
-            for node, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                for h in np.unique(shingler.shingles([text])[0]).view(np.int64).tolist():
-                    yield node, h
 
-    yield from common.batches(rows(), _SHINGLES_ARROW, limit=20_000)
+def _explode_shingles(by_count: bool):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+
+        def rows():
+            for part in parts:
+                for node, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    for h in _occurrences(*_profile(shingler, text, by_count)).view(np.int64).tolist():
+                        yield node, h
+
+        yield from common.batches(rows(), _SHINGLES_ARROW, limit=20_000)
+
+    return run
 
 
-def rest_pairs(nodes: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+def rest_pairs(nodes: DataFrame, threshold: float = SIMILARITY, by_count: bool = False) -> DataFrame:
     """Every pair of a failed node and a node of another component that can reach the threshold on sets of shingles: ``a, b``.
 
+    With ``by_count`` the k-th occurrence of a shingle is an element of its own, so that bags are sets.
     ``nodes``: ``node, root, failed, text``. Shingles are ordered by the number of nodes that have them, rare ones
     first. Two sets of sizes m and n that reach the threshold t share need = t / (1 + t) * (m + n) shingles or more.
     Hence one of the first m - need + 1 of the one is among the first n - need + 1 of the other (sizes fall into
     classes a tenth apart, whose smallest size gives a safe count for the class), and after the first one they share,
     at places i and j, there are need - 1 more to come: 1 + min(m - i, n - j) >= need, with the exact sizes.
     """
-    exploded = common.written(nodes.select("node", "text").mapInArrow(_explode_shingles, _SHINGLES), "near-shingles")
+    exploded = common.written(nodes.select("node", "text").mapInArrow(_explode_shingles(by_count), _SHINGLES), "near-shingles")
     frequency = exploded.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
     # a shingle that one node has can meet no other, but takes a place in the order
     ranked = exploded.join(frequency, "shingle").groupBy("node").agg(
@@ -419,7 +430,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
             failed.select(F.col("a").alias("node")).distinct().withColumn("failed", F.lit(True)), "node", "left").join(
             nearby, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("failed", F.lit(False)).alias("failed"))
         rest = common.written(rest.join(texts, "node"), "near-rest")
-        more = rest_pairs(rest, threshold)
+        more = rest_pairs(rest, threshold, by_count)
         known = checked.select("a", "b").union(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
         found = verified(more.join(known, ["a", "b"], "left_anti"), texts, by_count)
         links = links.unionByName(found.where(F.col("similarity") >= threshold))
