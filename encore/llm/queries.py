@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from encore.llm import bpe, chat, exact_dedup, langid, licenses, lm, mixing, near_dedup, quality, secrets
+from encore.llm import bpe, chat, exact_dedup, langid, licenses, lm, mixing, near_dedup, quality, secrets, spelling, toxicity, vector_codes
 
 QUERIES = {
     "op3_lm_scores": lm.op3_lm_scores,
@@ -15,6 +15,9 @@ QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op6_bpe": bpe.op6_bpe,
+    "op11_toxicity": toxicity.op11_toxicity,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
 ORACLE_SQL = {
@@ -25,4 +28,5 @@ ORACLE_SQL = {
     "op10_chat_format": chat.ORACLE_SQL,
     "op1_secret_scan": secrets.ORACLE_SQL,
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op13_vector_codes": vector_codes.ORACLE_SQL,
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from encore.llm import bpe, chat, exact_dedup, langid, licenses, lm, mixing, near_dedup, quality, secrets
+from encore.llm import bpe, chat, exact_dedup, langid, licenses, lm, mixing, near_dedup, quality, secrets, toxicity
 from encore.session import scratch_path
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -38,6 +38,7 @@ OPERATORS = {
     "mixing": mixing.mix,
     "near": near_dedup.classes,
     "licenses": licenses.scan,
+    "toxicity": lambda d: toxicity.passages(d, toxicity.Model({"garden": 3.0}, -0.1, 1.0, 1e-4, 0.1, 9.0)),
 }
 
 

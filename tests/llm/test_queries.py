@@ -21,6 +21,6 @@ def test_query_matches_sql(spark, con, name):
 
 def test_one_query_per_operator_and_the_pipeline():
     names = set(E.queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in names
     assert set(queries.ORACLE_SQL) <= names
