@@ -1,9 +1,11 @@
 """The 41 scalar indicators of the report, one row per ``by`` group.
 
-Built from a handful of aggregates joined on ``by`` (one row each when ``by``
-is empty): one pass of counts / sums / distinct counts over the fact, the
-top-3 names of R1/R2, and the R18 shares looked up at fixed ranks (from the
-play-count histogram, no global window over entities).
+Two aggregates of the fact give everything: counters per day (``cuboids.days``)
+and full plays per artist, track and album (``cuboids.names``). A distinct count
+is then a count of rows, with no Expand copy of the fact. From the names come the
+top-3 names of R1/R2, the distinct counts, and the R18 shares looked up at fixed
+ranks (from the play-count histogram, no global window over entities); they read
+the same shuffle.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from encore.functions import exprs as X
+from encore.operators import cuboids as C
 from encore.operators import report
 from encore.operators.common import top_k
 
@@ -45,11 +48,21 @@ def _join(frames: list[DataFrame], by: Sequence[str]) -> DataFrame:
     return out
 
 
-def _top_names(plays: DataFrame, entity: str, by: Sequence[str]) -> DataFrame:
+def _named(names: DataFrame, entity: str) -> DataFrame:
+    """The rows with a full play and the entity's name. One condition over the sum, so that it stays above the aggregate
+    of the names and all that read them share its shuffle."""
+    has_name = F.lit(True)
+    for key in report.ENTITIES[entity]:
+        has_name = has_name & F.col(key).isNotNull()
+    return names.filter(F.when(has_name, F.col(C.FULL)) > 0)
+
+
+def _top_names(names: DataFrame, entity: str, by: Sequence[str]) -> DataFrame:
     """Names ranked 1–3 of R1 (artists) / R2 (tracks); ``-`` when missing."""
     by = list(by)
     name = report.ENTITIES[entity][0]
-    counts = report.entity_play_counts(plays, entity, by).filter(F.col("play_count") > 0)
+    counts = _named(names, entity).groupBy(*by, *report.ENTITIES[entity]).agg(F.sum(C.FULL).alias("play_count")).filter(
+        F.col("play_count") > 0).withColumn("_sort", report.sort_key(entity))
     order = [F.desc("play_count"), F.asc("_sort")]
     top3 = top_k(counts, order, 3, by)
     ranked = top3.withColumn("_rk", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
@@ -60,42 +73,25 @@ def _top_names(plays: DataFrame, entity: str, by: Sequence[str]) -> DataFrame:
                              for i in (1, 2, 3)])
 
 
-def single_values(plays: DataFrame, by: Sequence[str] = (), with_fixed: bool = False) -> DataFrame:
-    """R19 over the website-style fact.
+def single_values(plays: DataFrame, by: Sequence[str] = (), with_fixed: bool = False, days: DataFrame | None = None,
+                  names: DataFrame | None = None) -> DataFrame:
+    """R19 over the website-style fact, or over its cuboids ``days`` and ``names`` where they are at hand.
 
     ``with_fixed`` appends ``percent_of_skipped_songs_not_using_shuffle_fixed``,
     which divides by the non-shuffle rows (the reference divides by the shuffle
     rows, trap T6, reproduced in the main column).
     """
     by = list(by)
-    fp = F.col("full_play")
-    skip = F.col("reason_end") == X.SKIP_REASON
-    shuffle = F.col("shuffle")
-    rs = F.col("reason_start")
-    base = plays.groupBy(*by).agg(
+    days = C.days(plays, by) if days is None else days
+    names = C.names(plays, by) if names is None else names
+    base = days.groupBy(*by).agg(
         F.min("day").alias("_first"), F.max("day").alias("_last"),
-        F.count_distinct(F.when(fp, F.col("day"))).alias("number_of_days_with_tracks_played"),
-        F.count("*").alias("_n"),
-        F.count_if(fp).alias("played_songs"),
-        F.count_distinct(F.when(fp, F.col("album_name")), F.col("artist_name")).alias("unique_albums_played"),
-        F.sum("ms_played").alias("_ms"),
-        F.count_if(fp & shuffle).alias("_fp_shuffle"),
-        F.count_if(shuffle).alias("_shuffle"),
-        F.count_if(skip).alias("skipped_songs"),
-        F.sum(F.when(skip, F.col("ms_played"))).alias("_skip_ms"),
-        F.count_if(skip & (F.col("ms_played") < 3000)).alias("_skip_3s"),
-        F.count_if(skip & (F.col("ms_played") > 30000)).alias("_skip_30s"),
-        F.count_if(skip & (F.col("ms_played") > 120000)).alias("_skip_120s"),
-        F.count_if(skip & shuffle).alias("_skip_shuffle"),
-        F.count_if(skip & ~shuffle).alias("_skip_no_shuffle"),
-        F.count_if(~shuffle).alias("_no_shuffle"),
-        F.count_if(rs == "forward button").alias("_rs_fwd"),
-        F.count_if(rs == "back button").alias("_rs_back"),
-        F.count_if(rs == "trackdone").alias("_rs_done"),
-        F.count_if(rs == "clickrow").alias("_rs_click"),
-        F.count_if(fp & F.col("incognito_mode")).alias("_fp_incognito"),
-        F.count_if(fp & (rs == "clickrow")).alias("_fp_click"),
-    )
+        F.count_if(F.col(C.FULL) > 0).alias("number_of_days_with_tracks_played"),
+        F.coalesce(F.sum(C.N), F.lit(0).cast("long")).alias("_n"),
+        F.coalesce(F.sum(C.FULL), F.lit(0).cast("long")).alias("played_songs"),
+        F.sum(C.MS).alias("_ms"),
+        *[(F.sum(c) if c == "_skip_ms" else F.coalesce(F.sum(c), F.lit(0).cast("long"))).alias(c) for c in C.kpi_counters()],
+    ).withColumnRenamed("_skips", "skipped_songs")
     base = base.withColumns({
         "number_of_days": F.datediff("_last", "_first").cast("long"),
         "_skips_ms": F.col("skipped_songs") * 1000,
@@ -125,7 +121,6 @@ def single_values(plays: DataFrame, by: Sequence[str] = (), with_fixed: bool = F
         P("number_of_days_with_tracks_played", "number_of_days").alias("percent_of_days_with_tracks_played"),
         "played_songs",
         X.round_int_ratio("played_songs", "number_of_days").alias("played_songs_per_day"),
-        "unique_albums_played",
         "listening_hours",
         F.regexp_replace(X.format_hours(per_day), "h$", "").alias("listening_hours_per_day"),
         P("_fp_shuffle", "played_songs").alias("percent_of_played_songs_using_shuffle"),
@@ -150,15 +145,17 @@ def single_values(plays: DataFrame, by: Sequence[str] = (), with_fixed: bool = F
     # aggregate (and no Expand copy of every row) of their own.
     shares = []
     for entity in ("artist", "track"):
-        s = report.share_at_rank(plays, entity, SHARE_RANKS, by)
+        s = report.share_at_rank(names, entity, SHARE_RANKS, by)
         shares.append(s.select(*by, *[F.col(f"top_{n}").alias(f"top_{n}_{entity}_play_count_percent")
                                       for n in SHARE_RANKS],
                                F.col("unique").alias(f"_unique_{entity}"), F.col("keyed").alias(f"_total_{entity}")))
-    names = [_top_names(plays, "artist", by), _top_names(plays, "track", by)]
-    out = _join([kpi, *shares, *names], by)
+    tops = [_top_names(names, "artist", by), _top_names(names, "track", by)]
+    albums = _named(names, "album").groupBy(*by, *report.ENTITIES["album"]).agg(
+        F.sum(C.FULL)).groupBy(*by).agg(F.count(F.lit(1)).alias("unique_albums_played"))
+    out = _join([kpi, *shares, *tops, albums], by)
     # groups without full plays have no histogram rows: their shares and counts are 0
     out = out.fillna(0, subset=[f"top_{n}_{e}_play_count_percent" for e in ("artist", "track") for n in SHARE_RANKS]
-                     + ["_unique_artist", "_unique_track", "_total_track"])
+                     + ["_unique_artist", "_unique_track", "_total_track", "unique_albums_played"])
     out = out.fillna("-", subset=[f"top_{i}_{e}" for e in ("artist", "track") for i in (1, 2, 3)])
     out = out.withColumnsRenamed({"_unique_track": "unique_tracks_played", "_unique_artist": "unique_artists_played"})
     out = out.withColumns({

@@ -1,7 +1,9 @@
 """The website report over the cleaned play fact.
 
 Input is the website-style fact of ``clean.report_plays`` (wide fact +
-calendar columns + month index). Entities are keyed the website way:
+calendar columns + month index), or a cuboid of it (``operators.cuboids``)
+that has the columns a table needs: R1–R11 and R18 take entity months, R13–R16
+days, R12 and R17 places. Entities are keyed the website way:
 artist by name, track by (track name, artist name), album by (album name,
 artist name); ties sort by the reference's composite text key.
 
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from encore.functions import exprs as X
+from encore.operators import cuboids as C
 from encore.operators.common import first_row, top_k
 
 # entity → key columns; ties sort by the keys joined with the composite separator
@@ -42,7 +45,7 @@ def _keys(entity: str) -> list[str]:
     return ENTITIES[entity]
 
 
-def _sort_key(entity: str) -> Column:
+def sort_key(entity: str) -> Column:
     keys = ENTITIES[entity]
     return F.col(keys[0]) if len(keys) == 1 else F.concat_ws(X.COMPOSITE_SEP, *keys)
 
@@ -72,8 +75,8 @@ def entity_play_counts(plays: DataFrame, entity: str, by: Sequence[str] = ()) ->
     keys = _keys(entity)
     return (
         _non_null(plays, keys).groupBy(*by, *keys)
-        .agg(F.count_if("full_play").alias("play_count"), F.sum("ms_played").alias("sum_ms"))
-        .withColumn("_sort", _sort_key(entity))
+        .agg(C.full_plays(plays).alias("play_count"), C.ms(plays).alias("sum_ms"))
+        .withColumn("_sort", sort_key(entity))
     )
 
 
@@ -92,11 +95,11 @@ def most_played(plays: DataFrame, entity: str, k: int = 100, by: Sequence[str] =
         extra = ["unique_tracks_played"]
         counts = (
             _non_null(plays, keys).groupBy(*by, "artist_name", "track_name")
-            .agg(F.count_if("full_play").alias("play_count"), F.sum("ms_played").alias("sum_ms"))
+            .agg(C.full_plays(plays).alias("play_count"), C.ms(plays).alias("sum_ms"))
             .groupBy(*by, "artist_name")
             .agg(F.sum("play_count").alias("play_count"), F.sum("sum_ms").alias("sum_ms"),
                  F.count("track_name").alias("unique_tracks_played"))
-            .withColumn("_sort", _sort_key(entity))
+            .withColumn("_sort", sort_key(entity))
         )
     else:
         counts = entity_play_counts(plays, entity, by)
@@ -121,7 +124,7 @@ def most_played_albums(plays: DataFrame, k: int = 100, by: Sequence[str] = ()) -
 
 def most_played_tracks_clickrow(plays: DataFrame, k: int = 100, by: Sequence[str] = ()) -> DataFrame:
     """R2 over plays started by clicking a row."""
-    return most_played(plays.filter(F.col("reason_start") == "clickrow"), "track", k, by)
+    return most_played(C.clicked(plays), "track", k, by)
 
 
 # ---------------------------------------------------------------------------
@@ -139,10 +142,10 @@ def monthly_play_series(plays: DataFrame, entity: str, k: int = 100, by: Sequenc
     keys = _keys(entity)
     # one row per entity and month; everything but the first month of all comes from it
     month = "month_index" if month_index_ready else "month_seq"
-    monthly = _non_null(plays, keys).groupBy(*by, *keys, month).agg(F.count_if("full_play").alias("n"))
+    monthly = _non_null(plays, keys).groupBy(*by, *keys, month).agg(C.full_plays(plays).alias("n"))
     months = F.collect_list(F.when(F.col("n") > 0, F.struct(F.col(month).alias("m"), "n")))  # at most the history's months
     entities = monthly.groupBy(*by, *keys).agg(F.sum("n").alias("play_count"), months.alias("months")).withColumn(
-        "_sort", _sort_key(entity))
+        "_sort", sort_key(entity))
     top = top_k(entities, [F.desc("play_count"), F.asc("_sort")], k, by, "rank").filter(F.col("play_count") > 0)
     if month_index_ready:
         top = top.withColumn("first", F.lit(0))
@@ -177,7 +180,7 @@ def top_songs_of_top_artists(plays: DataFrame, k: int = 100, by: Sequence[str] =
     # one aggregate per (artist, track), missing track names included, gives the artists' totals and their songs
     tracks = (
         _non_null(plays, ["artist_name"]).groupBy(*by, "artist_name", "track_name")
-        .agg(F.count_if("full_play").alias("play_count"))
+        .agg(C.full_plays(plays).alias("play_count"))
     )
     n = F.col("play_count").cast("string")
     song = F.struct((-F.col("play_count")).alias("n"), F.concat_ws(X.COMPOSITE_SEP, "track_name", "artist_name").alias("s"),
@@ -200,17 +203,18 @@ def top_songs_of_top_artists(plays: DataFrame, k: int = 100, by: Sequence[str] =
 def most_played_monthly(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per month the artist / track / album with most plays (all rows), newest first.
 
-    Every play becomes three keys in one scan; they are counted in one
-    aggregate, the winner per month and kind is a ``min_by`` aggregate over
+    Plays are counted per month and names; every counted row then becomes three
+    keys, which are summed in one aggregate, the winner per month and kind is a ``min_by`` aggregate over
     the counts, and the three winners are folded into one row per month. A key
     with a missing name is counted, so that its month is there, and never wins.
     """
     by = list(by)
     kinds = ("artist", "track", "album")
-    keyed = plays.select(*by, "year_month", F.explode(F.array(*[
+    counted = plays.groupBy(*by, "year_month", "artist_name", "track_name", "album_name").agg(C.plays(plays).alias("n"))
+    keyed = counted.select(*by, "year_month", "n", F.explode(F.array(*[
         F.struct(F.lit(e).alias("kind"), F.when(F.col("artist_name").isNotNull(), F.col(_keys(e)[0])).alias("name"),
-                 F.col("artist_name").alias("artist")) for e in kinds])).alias("x")).select(*by, "year_month", "x.*")
-    counts = keyed.groupBy(*by, "year_month", "kind", "name", "artist").agg(F.count("*").alias("n"))
+                 F.col("artist_name").alias("artist")) for e in kinds])).alias("x")).select(*by, "year_month", "n", "x.*")
+    counts = keyed.groupBy(*by, "year_month", "kind", "name", "artist").agg(F.sum("n").alias("n"))
     counts = counts.withColumn("_missing", F.col("name").isNull().cast("int")).withColumn(
         "_sort", F.when(F.col("kind") == "artist", F.col("name"))
         .otherwise(F.concat_ws(X.COMPOSITE_SEP, "name", "artist")))
@@ -227,8 +231,8 @@ def avg_track_length_monthly(plays: DataFrame, by: Sequence[str] = ()) -> DataFr
     """Mean minutes of full plays per month."""
     by = list(by)
     return (
-        plays.filter(F.col("full_play")).groupBy(*by, "year_month")
-        .agg((F.sum("ms_played") / (F.count("*") * X.MS_PER_MINUTE)).alias("minutes_played"))
+        C.with_full_plays(plays).groupBy(*by, "year_month")
+        .agg((C.full_ms(plays) / (C.full_plays(plays) * X.MS_PER_MINUTE)).alias("minutes_played"))
     )
 
 
@@ -236,8 +240,8 @@ def avg_play_count_per_song_yearly(plays: DataFrame, by: Sequence[str] = ()) ->
     """Mean full plays per distinct track, per year (two-level aggregate)."""
     by = list(by)
     per_track = (
-        _non_null(plays.filter(F.col("full_play")), ["track_name", "artist_name"])
-        .groupBy(*by, "year", "track_name", "artist_name").agg(F.count("*").alias("n"))
+        _non_null(C.with_full_plays(plays), ["track_name", "artist_name"])
+        .groupBy(*by, "year", "track_name", "artist_name").agg(C.full_plays(plays).alias("n"))
     )
     return per_track.groupBy(*by, "year").agg((F.sum("n") / F.count("*")).alias("avg_play_count"))
 
@@ -246,8 +250,8 @@ def play_count_distribution(plays: DataFrame, by: Sequence[str] = ()) -> DataFra
     """How many tracks have each full-play count, count descending."""
     by = list(by)
     per_track = (
-        _non_null(plays.filter(F.col("full_play")), ["track_name", "artist_name"])
-        .groupBy(*by, "track_name", "artist_name").agg(F.count("*").alias("play_count"))
+        _non_null(C.with_full_plays(plays), ["track_name", "artist_name"])
+        .groupBy(*by, "track_name", "artist_name").agg(C.full_plays(plays).alias("play_count"))
     )
     return (per_track.groupBy(*by, "play_count").agg(F.count("*").alias("num_songs"))
             .orderBy(*by, F.desc("play_count")))
@@ -256,11 +260,11 @@ def play_count_distribution(plays: DataFrame, by: Sequence[str] = ()) -> DataFra
 def yearly_track_play_count(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Full plays per year, distinct tracks, and tracks first played that year."""
     by = list(by)
-    fp = plays.filter(F.col("full_play"))
-    totals = fp.groupBy(*by, "year").agg(F.count("*").alias("total"))
+    fp = C.with_full_plays(plays)
+    totals = fp.groupBy(*by, "year").agg(C.full_plays(plays).alias("total"))
     per_track_year = (
         _non_null(fp, ["track_name", "artist_name"])
-        .groupBy(*by, "year", "track_name", "artist_name").agg(F.count("*").alias("n"))
+        .groupBy(*by, "year", "track_name", "artist_name").agg(C.full_plays(plays).alias("n"))
     )
     unique = per_track_year.groupBy(*by, "year").agg(F.count("*").alias("unique_per_year"))
     new = (
@@ -278,7 +282,7 @@ def hour_of_day_share(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     The total is a window over the ≤ 24 aggregated rows of each group.
     """
     by = list(by)
-    per_hour = plays.groupBy(*by, "hour").agg(F.sum("ms_played").alias("sum_ms"))
+    per_hour = plays.groupBy(*by, "hour").agg(C.ms(plays).alias("sum_ms"))
     total = F.sum("sum_ms").over(Window.partitionBy(*by))
     return per_hour.select(
         *by, "hour", X.percent("sum_ms", total, 2).alias("percent_of_play_time"))
@@ -288,8 +292,8 @@ def plays_per_country(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Full plays per connection country, descending."""
     by = list(by)
     return (
-        plays.filter(F.col("full_play") & F.col("conn_country").isNotNull())
-        .groupBy(*by, F.col("conn_country").alias("country")).agg(F.count("*").alias("play_count"))
+        C.with_full_plays(plays).filter(F.col("conn_country").isNotNull())
+        .groupBy(*by, F.col("conn_country").alias("country")).agg(C.full_plays(plays).alias("play_count"))
         .orderBy(*by, F.desc("play_count"), "country")
     )
 
@@ -324,7 +328,7 @@ def avg_hours_per_year_month(plays: DataFrame, by: Sequence[str] = ()) -> DataFr
     by = list(by)
     spine = _month_spine(day_bounds(plays, by), by).select(
         *by, F.date_format("month_start", "yyyy-MM").alias("year_month"), "days")
-    hours = plays.groupBy(*by, "year_month").agg(F.sum("ms_played").alias("sum_ms"))
+    hours = plays.groupBy(*by, "year_month").agg(C.ms(plays).alias("sum_ms"))
     out = spine.join(hours, [*by, "year_month"], "left")
     return out.select(*by, "year_month", _avg(F.col("sum_ms"), F.col("days")).alias("avg_hours_played_per_day"))
 
@@ -333,7 +337,7 @@ def avg_hours_per_year(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Σ hours per year / 365, except the first year (first day → Dec 31) and
     the last year (Jan 1 → last day; wins when both are the same year)."""
     by = list(by)
-    hours = plays.groupBy(*by, "year").agg(F.sum("ms_played").alias("sum_ms"))
+    hours = plays.groupBy(*by, "year").agg(C.ms(plays).alias("sum_ms"))
     b = day_bounds(plays, by)
     out = _one_row_join(hours, b, by) if not by else hours.join(b, by)
     first_year_days = F.datediff(F.make_date(F.year("first_day"), F.lit(12), F.lit(31)), F.col("first_day")) + 1
@@ -350,7 +354,7 @@ def avg_hours_per_month_of_year(plays: DataFrame, by: Sequence[str] = ()) -> Dat
         _month_spine(day_bounds(plays, by), by)
         .groupBy(*by, F.month("month_start").alias("month")).agg(F.sum("days").alias("days"))
     )
-    hours = plays.groupBy(*by, "month").agg(F.sum("ms_played").alias("sum_ms"))
+    hours = plays.groupBy(*by, "month").agg(C.ms(plays).alias("sum_ms"))
     out = spine.join(hours, [*by, "month"], "left")
     names = F.element_at(F.array(*[F.lit(m) for m in X.MONTH_NAMES]), F.col("month"))
     return out.orderBy(*by, "month").select(
@@ -371,7 +375,7 @@ def avg_hours_per_weekday(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame
     days = (F.floor(F.col("n") / 7) + F.when(F.pmod(F.col("weekday") - F.col("s"), F.lit(7)) < F.col("n") % 7, 1)
             .otherwise(0)).cast("long")
     spine = wk.select(*by, "weekday", days.alias("days"))
-    hours = plays.groupBy(*by, F.weekday("ts").alias("weekday")).agg(F.sum("ms_played").alias("sum_ms"))
+    hours = plays.groupBy(*by, F.weekday("day").alias("weekday")).agg(C.ms(plays).alias("sum_ms"))
     out = spine.join(hours, [*by, "weekday"], "left").filter(F.col("days") > 0)
     names = F.element_at(F.array(*[F.lit(d) for d in X.WEEKDAYS]), F.col("weekday") + 1)
     return out.orderBy(*by, "weekday").select(
@@ -391,7 +395,7 @@ def play_count_histogram(plays: DataFrame, entity: str, by: Sequence[str] = ())
     """
     by = list(by)
     keys = _keys(entity)
-    per_entity = plays.filter(F.col("full_play")).groupBy(*by, *keys).agg(F.count("*").alias("plays"))
+    per_entity = C.with_full_plays(plays).groupBy(*by, *keys).agg(C.full_plays(plays).alias("plays"))
     keyed = F.lit(True)
     for key in keys:
         keyed = keyed & F.col(key).isNotNull()

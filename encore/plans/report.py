@@ -1,15 +1,15 @@
-"""The whole website report as a dict of lazy DataFrames over one fact.
-
-The fact is pruned to the columns the report reads, the month index (P12) is
-added once for the report's ``by``, and the result is shared by the ~20 tables:
-
-* ``materialize="table"`` (default): written as parquet under the session's
-  shared ``spark.checkpoint.dir`` and read back. This cuts the lineage (no
-  re-analysis of the upstream joins per table, no recomputation of them when
-  an executor is lost) and keeps column pruning for every table.
-* ``materialize="persist"``: ``persist(MEMORY_AND_DISK)``; lost blocks are
-  recomputed from lineage. ``close()`` releases it.
-* ``materialize=None``: used as given (e.g. the input is already a written table).
+"""The whole website report as a dict of lazy DataFrames over three cuboids of one fact.
+
+The fact is pruned to the columns the report reads and aggregated to the three cuboids of ``operators.cuboids``: entity
+months, days, and places. Every table and the KPIs are then derived from one of them:
+
+* ``materialize="table"`` (default): the pruned fact is written once as parquet under the session's shared
+  ``spark.checkpoint.dir``, each cuboid is aggregated from it by one scan and written, and the tables read the cuboids.
+  Written tables cut the lineage: nothing upstream runs again for a table or when an executor is lost.
+* ``materialize="cuboids"``: the input is a written table already, so only the cuboids are written.
+* ``materialize="persist"``: the pruned fact is kept by ``persist(MEMORY_AND_DISK)``, the cuboids are written from it;
+  lost blocks are recomputed from lineage. ``close()`` releases it.
+* ``materialize=None``: nothing is written; the tables are aggregated from the fact as given.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
+from encore.operators import cuboids as C
 from encore.operators import kpis
 from encore.operators import report as R
 from encore.operators.clean import with_month_index
@@ -37,50 +38,58 @@ class Report:
     def __init__(self, plays: DataFrame, k: int = 100, only_top_k: bool = False, by: Sequence[str] = (),
                  materialize: str | None = "table"):
         by = list(by)
-        # a month index that the plays bring along (a filtered history keeps the whole one's) is not computed again
-        brought = "month_index" in plays.columns
         fact = plays.select(*[c for c in [*by, *REPORT_COLUMNS, "month_index"] if c in plays.columns])
         self._cached = None
         self._spark = plays.sparkSession
-        self._table_path = None
+        self._written: list[str] = []
         if materialize == "table":
-            # the month index is written with the table (one pass); other tables prune it away
-            path = scratch_path(self._spark, "report-fact")
-            (fact if brought else with_month_index(fact, by)).write.parquet(path)
-            fact = self._spark.read.parquet(path)
-            self._table_path = path
+            fact = self._store(fact, "report-fact")
         elif materialize == "persist":
             self._cached = fact = fact.persist(StorageLevel.MEMORY_AND_DISK)
-        # otherwise R5 adds the month index itself; no other table carries that join
-        ready = brought or materialize == "table"
+        days = names = None
+        entities = calendar = places = fact
+        # a month index that the plays bring along (a filtered history keeps the whole one's) is not computed again
+        ready = "month_index" in plays.columns
+        if materialize is not None:
+            with ThreadPoolExecutor(3) as pool:  # three scans of the fact, beside each other
+                entities, days, places = (job.result() for job in [
+                    pool.submit(self._store, make(fact, by), name) for make, name in (
+                        (C.entity_months, "report-entity-months"), (C.days, "report-days"), (C.places, "report-places"))])
+            entities, calendar, names = C.with_month_columns(entities), C.with_day_columns(days), C.names(entities, by)
         t: dict[str, DataFrame] = {
-            "most_played_artists_total": R.most_played_artists(fact, k, by),
-            "most_played_tracks_total": R.most_played_tracks(fact, k, by),
-            "most_played_albums_total": R.most_played_albums(fact, k, by),
-            "most_played_tracks_total_reason_start_clickrow": R.most_played_tracks_clickrow(fact, k, by),
-            "monthly_play_series_artists": R.monthly_play_series(fact, "artist", k, by, month_index_ready=ready),
-            "monthly_play_series_tracks": R.monthly_play_series(fact, "track", k, by, month_index_ready=ready),
-            "monthly_play_series_albums": R.monthly_play_series(fact, "album", k, by, month_index_ready=ready),
-            "top_songs_of_top_artists": R.top_songs_of_top_artists(fact, k, by),
+            "most_played_artists_total": R.most_played_artists(entities, k, by),
+            "most_played_tracks_total": R.most_played_tracks(entities, k, by),
+            "most_played_albums_total": R.most_played_albums(entities, k, by),
+            "most_played_tracks_total_reason_start_clickrow": R.most_played_tracks_clickrow(entities, k, by),
+            "monthly_play_series_artists": R.monthly_play_series(entities, "artist", k, by, month_index_ready=ready),
+            "monthly_play_series_tracks": R.monthly_play_series(entities, "track", k, by, month_index_ready=ready),
+            "monthly_play_series_albums": R.monthly_play_series(entities, "album", k, by, month_index_ready=ready),
+            "top_songs_of_top_artists": R.top_songs_of_top_artists(entities, k, by),
         }
         if not only_top_k:
             t.update({
-                "most_played_artists_track_album_monthly": R.most_played_monthly(fact, by),
-                "avg_track_length_monthly": R.avg_track_length_monthly(fact, by),
-                "avg_play_count_per_song_yearly": R.avg_play_count_per_song_yearly(fact, by),
-                "play_count_distribution": R.play_count_distribution(fact, by),
-                "yearly_track_play_count": R.yearly_track_play_count(fact, by),
-                "hours_played_percent_per_hour_of_the_day": R.hour_of_day_share(fact, by),
-                "avg_hours_played_per_year_month": R.avg_hours_per_year_month(fact, by),
-                "avg_hours_played_per_year": R.avg_hours_per_year(fact, by),
-                "avg_hours_played_per_month": R.avg_hours_per_month_of_year(fact, by),
-                "avg_hours_played_per_day_name": R.avg_hours_per_weekday(fact, by),
-                "plays_per_county_total": R.plays_per_country(fact, by),
-                "cumulative_percent_play_count_track": R.cumulative_play_share(fact, "track", by),
-                "cumulative_percent_play_count_artist": R.cumulative_play_share(fact, "artist", by),
+                "most_played_artists_track_album_monthly": R.most_played_monthly(entities, by),
+                "avg_track_length_monthly": R.avg_track_length_monthly(entities, by),
+                "avg_play_count_per_song_yearly": R.avg_play_count_per_song_yearly(entities, by),
+                "play_count_distribution": R.play_count_distribution(entities, by),
+                "yearly_track_play_count": R.yearly_track_play_count(entities, by),
+                "hours_played_percent_per_hour_of_the_day": R.hour_of_day_share(places, by),
+                "avg_hours_played_per_year_month": R.avg_hours_per_year_month(calendar, by),
+                "avg_hours_played_per_year": R.avg_hours_per_year(calendar, by),
+                "avg_hours_played_per_month": R.avg_hours_per_month_of_year(calendar, by),
+                "avg_hours_played_per_day_name": R.avg_hours_per_weekday(calendar, by),
+                "plays_per_county_total": R.plays_per_country(places, by),
+                "cumulative_percent_play_count_track": R.cumulative_play_share(entities, "track", by),
+                "cumulative_percent_play_count_artist": R.cumulative_play_share(entities, "artist", by),
             })
         self.tables = t
-        self.single_values = kpis.single_values(fact, by)
+        self.single_values = kpis.single_values(fact, by, days=days, names=names)
+
+    def _store(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self._spark, name)
+        df.write.parquet(path)
+        self._written.append(path)
+        return self._spark.read.schema(df.schema).parquet(path)
 
     def for_each(self, action: Callable[[str, DataFrame], None], at_once: int = 4) -> None:
         """Run ``action(name, table)`` for every table and the KPIs, ``at_once`` jobs at a time.
@@ -93,15 +102,13 @@ class Report:
                 done.result()
 
     def close(self) -> None:
-        """Release the shared fact: unpersist it, or delete the written table."""
+        """Release the shared fact and the cuboids: unpersist, and overwrite what was written by tables without rows."""
         if self._cached is not None:
             self._cached.unpersist()
             self._cached = None
-        if self._table_path is not None:
-            jvm = self._spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(self._table_path)
-            path.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-            self._table_path = None
+        for path in self._written:
+            self._spark.range(0).write.mode("overwrite").parquet(path)
+        self._written = []
 
     def __enter__(self) -> Report:
         return self

@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -107,11 +108,16 @@ def split_documents(name: str, df: DataFrame, by: Sequence[str] = (), rows: int
 
 
 def write_report(tables: dict[str, DataFrame], single_values: DataFrame, path: str,
-                 by: Sequence[str] = (), mode: str = "overwrite") -> None:
-    """``path/<table>/`` holds the table's documents as lines, ``path/single_values/`` the KPIs."""
-    for name, df in tables.items():
+                 by: Sequence[str] = (), mode: str = "overwrite", at_once: int = 4) -> None:
+    """``path/<table>/`` holds the table's documents as lines, ``path/single_values/`` the KPIs; ``at_once`` jobs at a time."""
+    def one(name: str, df: DataFrame) -> None:
         split_documents(name, df, by).select("value").write.mode(mode).text(f"{path}/{name}")
-    single_values.write.mode(mode).json(f"{path}/single_values")
+
+    with ThreadPoolExecutor(at_once) as pool:
+        jobs = [pool.submit(one, name, df) for name, df in tables.items()]
+        jobs.append(pool.submit(lambda: single_values.write.mode(mode).json(f"{path}/single_values")))
+        for job in jobs:
+            job.result()
 
 
 def read_report_values(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:

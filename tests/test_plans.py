@@ -63,3 +63,14 @@ def test_first_values_change_over_time(spark):
 
     out = grouped_firsts(df, ["track_id"], ["track_name"], {"ms": F.sum("ms_played")}).collect()
     assert sorted((r.track_id, r.track_name, r.ms) for r in out) == [("t1", "old", 6), ("t2", None, 4)]
+
+
+@pytest.mark.parametrize("by", [(), ("listener_id",)])
+def test_kpis_scan_the_fact_twice_without_expand(spark, fact, by):
+    from encore.operators import kpis
+
+    df = kpis.single_values(fact, by)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString()
+    final = final[:final.index("== Initial Plan ==")]
+    assert final.count("FileScan parquet") <= 2 and "Expand" not in final

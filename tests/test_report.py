@@ -144,14 +144,51 @@ def test_kpi_fixed_variant(spark):
 
 
 def test_report_bundle_materializes_and_cleans_up(spark, gap_plays):
-    import os
-
     from encore.plans.report import Report
 
     with Report(gap_plays, k=5) as rep:
-        path = rep._table_path
-        assert path and os.path.exists(path.replace("file:", ""))
+        paths = list(rep._written)
+        assert len(paths) == 4 and all(spark.read.parquet(p).count() > 0 for p in paths)
         sizes = {name: df.count() for name, df in rep.tables.items()}
         assert sizes["avg_hours_played_per_year_month"] == 3
         assert rep.single_values.count() == 1
-    assert not os.path.exists(path.replace("file:", ""))
+    assert all(spark.read.parquet(p).count() == 0 for p in paths)
+
+
+@pytest.mark.parametrize("by", [(), ("listener_id",)])
+def test_tables_from_cuboids_equal_tables_from_the_fact(spark, by):
+    from conftest import SF_SMALL
+
+    from encore.plans import catalog
+    from encore.plans.report import Report
+    from encore.session import scratch_path
+
+    path = scratch_path(spark, "fact")
+    catalog.plays(spark, SF_SMALL).write.parquet(path)
+    fact = spark.read.parquet(path)
+    plain = Report(fact, k=20, by=by, materialize=None)
+    text = lambda rows: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in rows)
+    with Report(fact, k=20, by=by, materialize="cuboids") as rep:
+        assert len(rep._written) == 3
+        for name, df in [*rep.tables.items(), ("single_values", rep.single_values)]:
+            if name != "single_values":
+                assert not any(path.split(":")[-1] in f for f in df.inputFiles()), name  # cuboids only
+            want = (plain.tables | {"single_values": plain.single_values})[name]
+            assert df.columns == want.columns, name
+            assert text(df.collect()) == text(want.collect()), name
+
+
+def test_cuboids_of_parts_add_up(spark):
+    from conftest import SF_SMALL
+
+    from encore.operators import cuboids as C
+    from encore.plans import catalog
+
+    fact = catalog.plays(spark, SF_SMALL).cache()
+    for make in (C.entity_months, C.days, C.places):
+        whole = make(fact, ["listener_id"])
+        parts = make(fact.where("ms_played % 18000 = 0"), ["listener_id"]).unionByName(make(fact.where("ms_played % 18000 != 0"), ["listener_id"]))
+        nulls = whole.na.fill(0, [c for c in whole.columns if c.startswith("_")])
+        assert C.merged(parts).na.fill(0, [c for c in whole.columns if c.startswith("_")]).exceptAll(nulls).count() == 0
+        assert C.merged(parts).count() == whole.count() < fact.count() + 1
+    fact.unpersist()
