@@ -182,13 +182,19 @@ def ingest_queries() -> dict[str, Query]:
         return enrich.image_worklist(docs, cached)
 
     def wide_from_docs(spark, sf_dir):
-        r = raw(spark, sf_dir)
+        from encore.plans import ingest
+        from encore.session import scratch_path
+        from encore.sinks import bucketed
+
+        # what the documents and the plays are derived from, read several times
+        bound = scratch_path(spark, "e14-bound")
+        raw(spark, sf_dir).write.parquet(bound)
+        r = spark.read.parquet(bound)
         plays_ = clean.mark_full_play(clean.map_reasons(r.select(
             "listener_id", "track_id", "ts", "ms_played", "reason_start", "reason_end")))
-        t = enrich.flatten_tracks(derived.track_docs(r))
-        w = enrich.wide_fact(
-            enrich.attach_primary_artist(plays_, t), t,
-            enrich.flatten_albums(derived.album_docs(r)),
+        fact = bucketed.write_bucketed(plays_, scratch_path(spark, "e14-fact"))
+        w = ingest.enrich_stored_fact(
+            fact, enrich.flatten_tracks(derived.track_docs(r)), enrich.flatten_albums(derived.album_docs(r)),
             enrich.flatten_artists(derived.artist_docs(r), derived.kg_docs(r)))
         return w.select(*IS.WIDE_FROM_DOCS_COLUMNS)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from encore.operators import clean, enrich
 from encore.sinks import writers
+from encore.sinks.bucketed import KEY, BucketedFact
 from encore.sources import documents, history
 
 
@@ -36,15 +37,29 @@ def exports_to_fact(spark: SparkSession, exports: str, out: str | None = None, a
     return spark.read.parquet(out)
 
 
-def enrich_fact(spark: SparkSession, plays: DataFrame, tracks_dir: str, artists_dir: str, albums_dir: str,
+def enrich_fact(spark: SparkSession, plays: DataFrame | BucketedFact, tracks_dir: str, artists_dir: str, albums_dir: str,
                 graph_dir: str | None = None, out: str | None = None) -> DataFrame:
-    """S9 → E4/E11/E12 → E6 → E14 (→ S6): the wide fact with hours played."""
+    """S9 → E4/E11/E12 → E6 → E14 (→ S6): the wide fact with hours played.
+
+    ``plays`` may be a fact stored by track (``sinks.bucketed``), which is then joined without a shuffle of it.
+    """
     tracks = enrich.flatten_tracks(documents.read_track_docs(spark, tracks_dir))
     artists = enrich.flatten_artists(documents.read_artist_docs(spark, artists_dir),
                                      documents.read_kg_docs(spark, graph_dir) if graph_dir else None)
     albums = enrich.flatten_albums(documents.read_album_docs(spark, albums_dir))
-    wide = enrich.wide_fact(enrich.attach_primary_artist(plays, tracks), tracks, albums, artists)
+    if isinstance(plays, BucketedFact):
+        wide = enrich_stored_fact(plays, tracks, albums, artists)
+    else:
+        wide = enrich.wide_fact(plays, tracks, albums, artists)
     if out is None:
         return wide
     writers.write_parquet(wide, out)
     return spark.read.parquet(out)
+
+
+def enrich_stored_fact(fact: BucketedFact, tracks: DataFrame, albums: DataFrame, artists: DataFrame) -> DataFrame:
+    """E6 + E14 over a fact stored by track: one join, for which only the dimension is shuffled."""
+    dimension = enrich.track_dimension(tracks, albums, artists)
+    shadowed = [c for c in fact.plays().columns if c in dimension.columns and c != KEY]
+    wide = fact.join_tracks(dimension, shadowed)
+    return wide.withColumn("hours_played", F.col("ms_played") / 3_600_000)
