@@ -18,25 +18,35 @@ from encore.sources import documents, history
 
 
 def exports_to_fact(spark: SparkSession, exports: str, out: str | None = None, archives: bool = False,
-                    partition_by: Sequence[str] = ("year",), listener: str | None = None) -> DataFrame:
+                    partition_by: Sequence[str] = ("year",), listener: str | None = None, malformed: str = "fail") -> DataFrame:
     """S1/S2 (or S3) → P1–P15 → S6. Returns the cleaned fact (read back when written).
 
     ``archives=True`` reads export zips (history folder members only), whose
     ``listener_id`` is the archive's name; otherwise a folder of JSON-array
     files. ``listener`` is a regular expression over the path whose first group
     is the listener. The listener is part of a play before the dedup.
+    ``malformed="skip"`` leaves malformed files or members out; :func:`rejects`
+    lists them. The written fact is clustered by time (``writers.write_parquet``).
     """
     by = {} if listener is None else {"listener": listener}
-    raw = (history.ingest_archives(spark, exports, **by).drop("archive", "member") if archives
-           else history.read_history(spark, exports, **by))
+    raw = (history.ingest_archives(spark, exports, malformed=malformed, **by).drop("archive", "member") if archives
+           else history.read_history(spark, exports, malformed=malformed, **by))
     fact = clean.clean_history(raw)
     if out is None:
         return fact
     to_write = fact.withColumn("year", F.year("ts")) if "year" in partition_by else fact
-    writers.write_parquet(clean.sort_by_ts(to_write), out, partition_by=list(partition_by))
+    writers.write_parquet(to_write, out, partition_by=list(partition_by), cluster_by=["ts"])
     return spark.read.parquet(out)
 
 
+def rejects(spark: SparkSession, exports: str, archives: bool = False) -> DataFrame:
+    """What ``exports_to_fact(malformed="skip")`` leaves out: ``path, reason`` (of an archive's member: ``archive!member``)."""
+    if not archives:
+        return history.rejected_files(spark, exports)
+    bad = history.rejected_members(spark, exports)
+    return bad.select(F.concat_ws("!", "archive", "member").alias("path"), "reason")
+
+
 def enrich_fact(spark: SparkSession, plays: DataFrame | BucketedFact, tracks_dir: str, artists_dir: str, albums_dir: str,
                 graph_dir: str | None = None, out: str | None = None) -> DataFrame:
     """S9 → E4/E11/E12 → E6 → E14 (→ S6): the wide fact with hours played.

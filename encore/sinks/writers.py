@@ -1,6 +1,7 @@
 """Sinks.
 
-* ``write_parquet`` (S6): table sink, optionally partitioned (e.g. by year).
+* ``write_parquet`` (S6): table sink, optionally partitioned (e.g. by year) and
+  clustered (e.g. by time).
 * ``write_csv`` (S7): the cleaned fact with ``ts`` as ``yyyy-MM-dd HH:mm:ss``.
 * ``write_report`` (S8): every report table in one format, lines of
   ``{"first": n, "columns": [...], "data": [[...], ...]}`` (with the group's
@@ -54,7 +55,18 @@ TABLE_ORDER: dict[str, list[str] | str] = {
 }
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
+def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite",
+                  cluster_by: Sequence[str] = (), files: int | None = None) -> None:
+    """S6. With ``cluster_by`` the rows are range-partitioned by the partition columns and these, and sorted by them.
+
+    Ranges are cut from a sample of the keys. A range of rows is one file, two where it crosses a partition value, so that
+    there are at most ``files`` (default: the shuffle partitions) plus one per partition value, however many tasks the
+    input has; and a filter on ``cluster_by`` skips the files and row groups of other ranges by their minima and maxima.
+    """
+    if cluster_by:
+        keys = [*partition_by, *cluster_by]
+        ranged = df.repartitionByRange(files, *keys) if files else df.repartitionByRange(*keys)
+        df = ranged.sortWithinPartitions(*keys)
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)

@@ -61,3 +61,25 @@ def test_csv_keeps_every_text(spark, tmp_path):
     df = spark.createDataFrame(rows, schemas.PLAY_CSV)
     writers.write_csv(df, str(tmp_path / "csv"))
     assert sorted(map(tuple, read_csv(spark, str(tmp_path / "csv")).collect())) == sorted(rows)
+
+
+def test_a_clustered_write_has_few_files_and_prunes(spark, tmp_path):
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    # 40 tasks, each with plays of all 8 years
+    plays = spark.range(0, 40_000, 1, 40).select(
+        F.timestamp_seconds(F.lit(1_000_000_000) + F.pmod(F.xxhash64("id"), F.lit(8 * 31_536_000))).cast("timestamp_ntz").alias("ts"), "id")
+    plays = plays.withColumn("year", F.year("ts"))
+    path = tmp_path / "plays"
+    writers.write_parquet(plays, str(path), partition_by=["year"], cluster_by=["ts"], files=10)
+    back = spark.read.parquet(str(path))
+    assert back.count() == 40_000 and back.exceptAll(plays.select(*back.columns)).count() == 0
+    files = sorted(path.rglob("*.parquet"))
+    years = len(list(path.glob("year=*")))
+    assert len(files) <= 10 + years
+    bounds = sorted(tuple(getattr(pq.ParquetFile(f).metadata.row_group(0).column(0).statistics, b) for b in ("min", "max")) for f in files)
+    assert all(a[1] <= b[0] for a, b in zip(bounds, bounds[1:], strict=False))  # no two files overlap in time
+    writers.write_parquet(plays.where("false"), str(path), partition_by=["year"], cluster_by=["ts"])
+    writers.write_parquet(plays, str(tmp_path / "plain"), cluster_by=["ts"], files=4)
+    assert len(list((tmp_path / "plain").glob("*.parquet"))) <= 4
