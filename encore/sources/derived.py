@@ -12,11 +12,16 @@ release dates, missing images.
 
 from __future__ import annotations
 
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from encore import schemas
+from encore.sources import archives
 
 GRAPH_ENTITY_PREFIX = "http://www.wikidata.org/entity/"
 
@@ -72,6 +77,53 @@ def export_files(records: DataFrame, path: str, plays_per_file: int = 1000) -> N
     arrays.write.partitionBy("listener_id", "chunk").text(path)
 
 
+def _write_zip(folder: str, history: str):
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        name = "-".join(str(k.as_py()) for k in key) + ".zip"
+        with archives.created(f"{folder}/{name}") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            archive.writestr("ReadMeFirst.txt", "an export")
+            for member, value in sorted(zip(group.column("member").to_pylist(), group.column("value").to_pylist(), strict=True)):
+                archive.writestr(member.replace("HISTORY", history), value)
+        return pa.table({"archive": [name]})
+
+    return run
+
+
+def export_zips(records: DataFrame, path: str, history: str, plays_per_member: int = 1000, members_per_zip: int = 20) -> None:
+    """Write the export records as zip archives ``<listener>-<number>.zip`` under ``path``, as the service hands them out.
+
+    Members in the folder ``history`` hold one JSON array each; an archive has at most ``members_per_zip`` of them. Every
+    fifth listener has a technical log too, every fifth an account export (other archives), every seventh a member that
+    was cut off (archive number -1).
+    """
+    sizes = records.groupBy("listener_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(plays_per_member)).alias("_chunks"))
+    dealt = records.join(sizes, "listener_id").withColumn("chunk", F.pmod(F.xxhash64("json"), F.col("_chunks")))
+    arrays = dealt.groupBy("listener_id", "chunk").agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list("json")), F.lit("]")).alias("value"))
+    member = F.concat(F.lit("HISTORY/plays_"), F.col("chunk").cast("string"), F.lit(".json"))
+    plays = arrays.select("listener_id", F.floor(F.col("chunk") / members_per_zip).cast("int").alias("number"), member.alias("member"), "value")
+    who = F.col("listener_id")
+    other = lambda when, number, member, value: sizes.where(when).select(
+        "listener_id", F.lit(number).alias("number"), F.lit(member).alias("member"), F.lit(value).alias("value"))
+    files = (plays.unionByName(other(who % 7 == 0, -1, "HISTORY/cut.json", '[{"ts": "2020-01-01T00:00:00Z", "ms_pl'))
+             .unionByName(other(who % 5 == 3, -2, "MyData/share.json", "[]")).unionByName(other(who % 5 == 4, -3, "MyData/Userdata.json", "{}")))
+    written = files.groupBy("listener_id", "number").applyInArrow(_write_zip(path, history), "archive string")
+    written.write.format("noop").mode("overwrite").save()
+
+
+def document_files(docs: DataFrame, path: str, id_col: str = "id", shown: str | None = None) -> None:
+    """Write each document as a file ``<id>.json`` under ``path``, replacing one that is there (``shown``: its JSON column)."""
+    body = F.col(shown) if shown else F.to_json(F.struct(*[c for c in docs.columns]))
+
+    def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for name, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                with archives.created(f"{path}/{name}.json") as out:
+                    out.write(text.encode("utf-8"))
+            yield pa.RecordBatch.from_arrays([part.column(0)], names=["id"])
+
+    docs.select(F.col(id_col).alias("id"), body.alias("body")).mapInArrow(write, "id string").write.format("noop").mode("overwrite").save()
+
+
 def parse_export(records: DataFrame) -> DataFrame:
     """The JSON records parsed with the declared raw schema (as S1 does per file)."""
     return records.select("listener_id", F.from_json("json", schemas.RAW_PLAY).alias("r")).select(

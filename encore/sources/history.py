@@ -3,25 +3,23 @@
 * ``read_history`` (S1/S2): every ``*.json`` file of a folder (or glob) as one
   table; each file is a JSON array of play objects read with a declared schema.
   Files are split across tasks by Spark; nothing is concatenated on the driver.
-* ``ingest_archives`` (S3): export zips as binary files → one row per JSON
-  member (``mapInPandas``: unzipping is per-archive imperative work) →
-  ``from_json`` with the declared schema → exploded plays.
+* ``ingest_archives`` (S3): export zips → one row per JSON member, each read by
+  itself (``sources.archives``) → ``from_json`` with the declared schema →
+  exploded plays.
 * ``classify_archives`` (S4): which archives are the wrong export kind.
 * ``read_csv`` (S7): the cleaned fact re-read with ``ts`` as text.
 """
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
+import re
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from encore import schemas
+from encore.sources import archives
 
 # Folder of the play history inside an export archive, and the
 # member names that reveal a different export kind.
@@ -55,51 +53,24 @@ def read_history(spark: SparkSession, path: str, schema: T.StructType = schemas.
     return good.select(*_listener(listener, F.col("_metadata.file_path")), *schema.fieldNames())
 
 
-def rejected_files(spark: SparkSession, path: str, schema: T.StructType = schemas.RAW_PLAY) -> DataFrame:
+def rejected_files(spark: SparkSession, path: str, schema: T.StructType = schemas.RAW_PLAY, glob: str = "*.json") -> DataFrame:
     """The files that ``read_history(malformed="skip")`` leaves out: ``path, reason``."""
     whole = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    rows = (spark.read.schema(whole).option("multiLine", True).option("pathGlobFilter", "*.json").option("mode", "PERMISSIVE")
+    rows = (spark.read.schema(whole).option("multiLine", True).option("pathGlobFilter", glob).option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", CORRUPT).json(path).select("*", F.col("_metadata.file_path").alias("path")))
-    # Spark reads the corrupt record only beside another column
+    # Spark reads the corrupt record only beside another column; this condition is true for every value of it
     beside = F.col(schema.fieldNames()[0])
     return rows.where(F.col(CORRUPT).isNotNull() & (beside.isNull() | beside.isNotNull() & (F.hash(beside) > F.lit(-(2 ** 31) - 1)))).select("path", F.lit("not a JSON array of plays").alias("reason")).distinct()
 
 
-MEMBER_SCHEMA = T.StructType([
-    T.StructField("archive", T.StringType()),
-    T.StructField("member", T.StringType()),
-    T.StructField("content", T.StringType()),
-])
+def archive_members(spark: SparkSession, path: str, history_only: bool = False, ranged: bool = True) -> DataFrame:
+    """One row per JSON member of every zip under ``path`` (archive, member, content), read by itself.
 
-
-def _unzip_members(history_only: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, blob in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(blob)) as zf:
-                    for name in zf.namelist():
-                        if not name.endswith(".json"):
-                            continue
-                        if history_only and HISTORY_FOLDER not in name:
-                            continue
-                        # one member at a time: memory is bounded by the largest member
-                        yield pd.DataFrame([(path, name, zf.read(name).decode("utf-8"))],
-                                           columns=["archive", "member", "content"])
-
-    return run
-
-
-def archive_members(spark: SparkSession, path: str, history_only: bool = False) -> DataFrame:
-    """One row per JSON member of every zip under ``path`` (archive, member, content).
-
-    ``binaryFile`` hands each archive to one task; archives are independent, so
-    many archives spread over the cluster. Members are emitted one at a time
-    (Arrow batches of one member), so memory holds one member, not an archive's
-    unpacked contents. ``history_only`` keeps members under
-    the history folder (the CLI's rule); otherwise every ``.json`` (the website's).
+    ``history_only`` keeps members under the history folder (the CLI's rule); otherwise every ``.json`` (the
+    website's). Members are chosen from the archives' directories before any is read (``sources.archives``).
     """
-    zips = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
-    return zips.mapInPandas(_unzip_members(history_only), MEMBER_SCHEMA)
+    wanted = (re.escape(HISTORY_FOLDER) + r".*\.json$") if history_only else r"\.json$"
+    return archives.contents(spark, path, wanted, ranged)
 
 
 def _parse_members(members: DataFrame, mode: str) -> DataFrame:
@@ -108,7 +79,7 @@ def _parse_members(members: DataFrame, mode: str) -> DataFrame:
 
 
 def ingest_archives(spark: SparkSession, path: str, history_only: bool = True, listener: str | None = r"([^/]+)\.zip$",
-                    malformed: str = "fail") -> DataFrame:
+                    malformed: str = "fail", ranged: bool = True) -> DataFrame:
     """S3: play rows of every archive, with ``archive``, ``member`` and ``listener_id``.
 
     An archive is one listener's export: ``listener_id`` is the archive's name, or group 1 of another regular
@@ -116,7 +87,7 @@ def ingest_archives(spark: SparkSession, path: str, history_only: bool = True, l
     plays fails the job; ``"skip"`` leaves it out, and :func:`rejected_members` lists it.
     """
     mode = "FAILFAST" if malformed == "fail" else "PERMISSIVE"
-    members = _parse_members(archive_members(spark, path, history_only), mode)
+    members = _parse_members(archive_members(spark, path, history_only, ranged), mode)
     return members.select(*_listener(listener, F.col("archive")), "archive", "member", F.explode("plays").alias("p")).select(
         *(["listener_id"] if listener is not None else []), "archive", "member", "p.*")
 
@@ -127,18 +98,10 @@ def rejected_members(spark: SparkSession, path: str, history_only: bool = True)
     return members.where(F.col("plays").isNull()).select("archive", "member", F.lit("not a JSON array of plays").alias("reason"))
 
 
-def _list_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, blob in zip(batch["path"], batch["content"]):
-            with zipfile.ZipFile(io.BytesIO(blob)) as zf:
-                names = zf.namelist()
-            yield pd.DataFrame({"archive": [path] * len(names), "member": names})
-
-
-def archive_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, member) of every zip under ``path``, from the archives' directories: no member is unpacked."""
-    zips = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
-    return zips.mapInPandas(_list_members, "archive string, member string")
+def archive_manifest(spark: SparkSession, path: str, ranged: bool = True) -> DataFrame:
+    """(archive, member) of every zip under ``path``, from the archives' directories: no member is unpacked, and only the
+    end of each archive is read."""
+    return archives.manifest(spark, path, ranged).select("archive", "member")
 
 
 def classify_archives(members: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import zipfile
 import pytest
 
 from encore.operators import clean
-from encore.sources import history
+from encore.sources import archives, history
 
 
 def make_zip(path, members):
@@ -79,3 +79,53 @@ def test_malformed_files_fail_or_are_listed(spark, tmp_path):
     assert [r.listener_id for r in good] == ["ann"] * 5
     [bad] = history.rejected_files(spark, str(tmp_path / "ann")).collect()
     assert bad.path.endswith("cut.json") and bad.reason
+
+
+class Counted:
+    """A file that counts the bytes read from it."""
+
+    def __init__(self, file, total):
+        self.file, self.total = file, total
+
+    def read(self, n=None):
+        data = self.file.read(n)
+        self.total[0] += len(data)
+        return data
+
+    def __getattr__(self, name):
+        return getattr(self.file, name)
+
+
+def test_a_directory_takes_the_end_of_an_archive_only(tmp_path):
+    import os
+
+    found = []
+    for size in (10_000, 5_000_000):
+        path = tmp_path / f"{size}.zip"
+        make_zip(path, {"MyData/share.json": "[]", "big.json": os.urandom(size)})
+        total = [0]
+        members = [m for _, m, _ in archives._directory(Counted(archives.opened(str(path)), total), str(path))]
+        assert members == ["MyData/share.json", "big.json"]
+        found.append(total[0])
+    assert found[0] == found[1] < 5000
+
+
+def test_members_of_one_archive_are_dealt_over_tasks_and_only_wanted_ones_are_read(spark, tmp_path):
+    folder = history.HISTORY_FOLDER
+    make_zip(tmp_path / "an export.zip", {
+        **{f"{folder}/p{i}.json": json.dumps([play("2020-01-01T00:00:00Z", f"t{i}")]) for i in range(12)},
+        f"{folder}/bad.json": b"\xff\xfe", "video.bin": b"\x00" * 1000})
+    one = history.archive_members(spark, str(tmp_path), history_only=True)
+    assert one.rdd.getNumPartitions() > 1 and one.count() == 13
+    whole = history.archive_members(spark, str(tmp_path), history_only=True, ranged=False)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, whole.collect()))
+    assert history.ingest_archives(spark, str(tmp_path), malformed="skip").count() == 12
+    assert [r.member[-8:] for r in history.rejected_members(spark, str(tmp_path)).collect()] == ["bad.json"]
+    a, b = (sorted(map(tuple, history.archive_manifest(spark, str(tmp_path), ranged=r).collect())) for r in (True, False))
+    assert a == b and len(a) == 14
+
+
+def test_a_folder_without_archives(spark, tmp_path):
+    make_zip(tmp_path / "empty.zip", {})
+    assert history.archive_manifest(spark, str(tmp_path)).count() == 0
+    assert history.ingest_archives(spark, str(tmp_path)).count() == 0
