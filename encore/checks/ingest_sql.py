@@ -13,7 +13,7 @@ _REASON_END = ("CASE {c} WHEN 'backbtn' THEN 'back button' WHEN 'endplay' THEN '
                "WHEN 'fwdbtn' THEN 'forward button' ELSE {c} END")
 
 
-def clean_history_sql(with_listener: bool = True) -> str:
+def clean_history_sql() -> str:
     epoch = "(CAST(epoch(ts) AS BIGINT) - 3600)"
     return f"""WITH raw AS ({RAW_WIDE}),
 rec AS (
@@ -30,7 +30,7 @@ rec AS (
 allrec AS (SELECT * EXCLUDE (h) FROM rec UNION ALL SELECT * EXCLUDE (h) FROM rec WHERE h = 3),
 dedup AS (SELECT DISTINCT * FROM allrec WHERE tn IS NOT NULL AND tn <> 'None'),
 secs AS (SELECT *, CASE WHEN ots > 2000000000 THEN ots / 1000 ELSE CAST(ots AS DOUBLE) END AS s FROM dedup)
-SELECT {"listener_id, " if with_listener else ""}string_split(uri, ':')[-1] AS track_id, tn AS track_name,
+SELECT listener_id, string_split(uri, ':')[-1] AS track_id, tn AS track_name,
   an AS artist_name,
   aln AS album_name,
   CASE WHEN s > 100 THEN make_timestamp(CAST(round(s * 1000000) AS BIGINT))
@@ -130,3 +130,24 @@ def batches_sql() -> str:
     """Every distinct track id exactly once, in a batch within the size limit."""
     return f"""WITH raw AS ({RAW_WIDE})
 SELECT DISTINCT track_id AS id, true AS within_limit FROM raw"""
+
+
+def archive_kinds_sql() -> str:
+    """Every listener has a history export, some a technical log or an account export too."""
+    return f"""WITH raw AS ({RAW_WIDE}), who AS (SELECT DISTINCT listener_id FROM raw)
+SELECT listener_id, 'streaming_history' AS kind FROM who
+UNION ALL SELECT listener_id, 'technical_log' FROM who WHERE listener_id % 5 = 3
+UNION ALL SELECT listener_id, 'account_data' FROM who WHERE listener_id % 5 = 4"""
+
+
+def composite_sql() -> str:
+    """The pairs of names behind the composite keys."""
+    return f"""WITH raw AS ({RAW_WIDE}), wide AS ({WIDE})
+SELECT DISTINCT track_name, artist_name FROM wide WHERE track_name IS NOT NULL AND artist_name IS NOT NULL"""
+
+
+def country_names_sql() -> str:
+    """Plays per country name; the nations of two regions have no name in the lookup."""
+    return f"""WITH raw AS ({RAW_WIDE})
+SELECT CASE WHEN n_regionkey > 1 THEN 'Nation ' || split_part(n_name, '_', 2) ELSE 'unknown' END AS conn_country, count(*) AS plays
+FROM raw JOIN nation ON conn_country = n_name GROUP BY ALL"""

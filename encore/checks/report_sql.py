@@ -61,6 +61,11 @@ SELECT {", ".join(f"sp.{k}" for k in keys)}, sp.month_index, coalesce(cnt.play_c
 FROM sp LEFT JOIN cnt USING ({using}, month_index)""")
 
 
+# The registered sample: rows per listener, columns that make up a row, seed.
+SAMPLE_ROWS, SAMPLE_SEED = 3, 7
+SAMPLE_COLUMNS = ["listener_id", "track_id", "ts", "ms_played", "full_play"]
+
+
 def report_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["r01_most_played_artists"] = most_played_sql("artist")
@@ -192,6 +197,12 @@ SELECT CAST(s // 12 AS INTEGER) AS year, CAST(s % 12 + 1 AS INTEGER) AS month,
        printf('%04d-%02d', s // 12, s % 12 + 1) AS year_month
 FROM (SELECT unnest(range(min(year * 12 + month - 1), max(year * 12 + month - 1) + 1)) AS s FROM plays)""")
     # the sample is random: what is fixed is its size, that its rows are plays, and its columns
+    part = lambda c: f"coalesce('=' || CAST({c} AS VARCHAR), '-')"
+    key = f"md5(concat_ws(chr(31), '{SAMPLE_SEED}', {', '.join(part(c) for c in SAMPLE_COLUMNS)}))"
+    shown = ", ".join(SAMPLE_COLUMNS)
+    q["r20_sampled_rows_by_listener"] = with_plays(f"""
+SELECT {shown}, sample FROM (
+  SELECT {shown}, row_number() OVER (PARTITION BY listener_id ORDER BY {key}) AS sample FROM plays) WHERE sample <= {SAMPLE_ROWS}""")
     q["r20_random_sample"] = with_plays("""
 SELECT least(count(*), 3) AS members, 'column,sample_1,sample_2,sample_3' AS columns FROM plays""")
     q["r19_single_values"] = kpi_sql()

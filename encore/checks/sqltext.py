@@ -109,8 +109,8 @@ def hours2(sum_ms: str, digits: int = 2) -> str:
 
 
 def first(c: str) -> str:
-    """First non-null value in time order; mirrors ``common.first_value``."""
-    return f"arg_min({c}, CASE WHEN {c} IS NOT NULL THEN ts END)"
+    """First non-null value in time order, the smallest of one time; mirrors ``common.first_value``."""
+    return f"first({c} ORDER BY ts, {c}) FILTER ({c} IS NOT NULL)"
 
 
 SUM_MS = "CAST(sum(ms_played) AS BIGINT)"

@@ -60,8 +60,8 @@ def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, boo
 
 
 def first_value(c: str, ts: str = "ts") -> Column:
-    """First non-null value in time order (pandas ``groupby.first`` on a ts-sorted fact)."""
-    return F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(ts)))
+    """First non-null value in time order (pandas ``groupby.first`` on a ts-sorted fact); the smallest of one time."""
+    return F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(ts, c)))
 
 
 def grouped_firsts(

@@ -19,6 +19,7 @@ Scale notes
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -469,19 +470,33 @@ def share_at_rank(plays: DataFrame, entity: str, ranks: Sequence[int], by: Seque
 # R20–R22
 
 
-def random_sample(plays: DataFrame, n: int = 1, seed: int | None = None) -> DataFrame:
-    """N random rows, transposed to (column, sample 1..n) as text.
+def sample_key(columns: Sequence[str], seed: int) -> Column:
+    """A row's place in the sample's order: MD5 of the seed and its columns as text. Nulls are told from empty text."""
+    text = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    return F.md5(F.concat_ws("\x1f", F.lit(str(seed)), *text))
+
+
+def sampled_rows(plays: DataFrame, n: int = 1, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
+    """The ``n`` rows that come first by :func:`sample_key` (per ``by`` group), with their place ``sample`` from 1.
 
-    ``orderBy(rand).limit(n)`` is a distributed top-n; only n rows move.
+    The key depends on the row alone, so the rows are the same for any partitioning and on every run, and the sample of
+    a union is taken from the samples of its parts. Rows that repeat have one key and are drawn as often as they are
+    there. A distributed top-n: only ``n`` rows of each task move.
     """
+    columns = plays.columns
+    keyed = plays.withColumn("_key", sample_key(columns, seed))
+    return top_k(keyed, [F.asc("_key")], n, by, "sample").select(*columns, "sample")
+
+
+def random_sample(plays: DataFrame, n: int = 1, seed: int | None = None) -> DataFrame:
+    """N random rows, transposed to (column, sample 1..n) as text; without a seed a new sample on every call."""
     cols = plays.columns
-    picked = plays.orderBy(F.rand(seed)).limit(n)
-    w = Window.orderBy(F.lit(1))  # n rows only
-    indexed = picked.select(F.row_number().over(w).alias("_i"), *[F.col(c).cast("string").alias(c) for c in cols])
-    long = indexed.unpivot("_i", cols, "column", "value")
+    picked = sampled_rows(plays, n, secrets.randbits(63) if seed is None else seed)
+    text = picked.select("sample", *[F.col(c).cast("string").alias(c) for c in cols])
+    long = text.unpivot("sample", cols, "column", "value")
     pos = F.element_at(F.map_from_arrays(F.array(*[F.lit(c) for c in cols]),
                                          F.array(*[F.lit(i) for i in range(len(cols))])), F.col("column"))
-    wide = (long.groupBy("column").pivot("_i", list(range(1, n + 1))).agg(F.first("value"))
+    wide = (long.groupBy("column").pivot("sample", list(range(1, n + 1))).agg(F.first("value"))
             .withColumn("_pos", pos).orderBy("_pos").drop("_pos"))
     return wide.toDF("column", *[f"sample_{i}" for i in range(1, n + 1)])
 

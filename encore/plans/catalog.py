@@ -12,9 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from encore import schemas
 from encore.checks import ingest_sql as IS
 from encore.checks import recipes_sql as P
 from encore.checks import report_sql as RS
+from encore.functions import exprs as X
 from encore.operators import clean, enrich, kpis, recipes, report
 from encore.plans import report as report_plan
 from encore.sources import derived, tables
@@ -101,6 +103,10 @@ def report_queries() -> dict[str, Query]:
         rep = report_plan.Report(plays(spark, sf_dir), k=k, materialize=None)
         return report_plan.table_sizes(rep)
 
+    def sample_by_listener(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return R.sampled_rows(plays(spark, sf_dir).select(*RS.SAMPLE_COLUMNS), RS.SAMPLE_ROWS, RS.SAMPLE_SEED, by=["listener_id"])
+
+    out["r20_sampled_rows_by_listener"] = sample_by_listener
     out["r19_single_values"] = kpis_
     out["r20_random_sample"] = sample
     out["r23_report_table_sizes"] = sizes
@@ -151,6 +157,55 @@ def ingest_queries() -> dict[str, Query]:
         read = history.read_history(spark, path, listener=r"listener_id=(\d+)/", glob="*.txt")
         return clean.clean_history(read.withColumn("listener_id", F.col("listener_id").cast("bigint")))
 
+    def zips(spark, sf_dir):
+        from encore.session import scratch_path
+        from encore.sources import history
+
+        path = scratch_path(spark, "s3-zips")
+        derived.export_zips(derived.raw_export(raw(spark, sf_dir)), path, history.HISTORY_FOLDER)
+        return path
+
+    def history_zips(spark, sf_dir):
+        from encore.sources import history
+
+        read = history.ingest_archives(spark, zips(spark, sf_dir), listener=r"/(\d+)--?\d+\.zip$", malformed="skip")
+        return clean.clean_history(read.drop("archive", "member").withColumn("listener_id", F.col("listener_id").cast("bigint")))
+
+    def zip_kinds(spark, sf_dir):
+        from encore.sources import history
+
+        kinds = history.classify_archives(history.archive_manifest(spark, zips(spark, sf_dir)))
+        listener = F.regexp_extract("archive", r"/(\d+)--?\d+\.zip$", 1).cast("bigint")
+        return kinds.select(listener.alias("listener_id"), "kind").distinct()
+
+    def entity_documents(spark, sf_dir):
+        from encore.session import scratch_path
+        from encore.sources import entities
+
+        src, out = scratch_path(spark, "s9-documents"), scratch_path(spark, "s9-table")
+        docs = derived.artist_docs(raw(spark, sf_dir))
+        # first versions of every second artist, one of three of them cut off; then all as they are
+        old = docs.where("cast(id as bigint) % 2 = 0").withColumn("name", F.lit("an older name"))
+        text = F.to_json(F.struct(*docs.columns))
+        cut = F.when(F.col("id").cast("bigint") % 3 == 0, F.substring(text, 1, 20)).otherwise(text)
+        derived.document_files(old.withColumn("shown", cut), src, shown="shown")
+        entities.update(spark, src, out, schemas.ARTIST_DOC, malformed="skip")
+        derived.document_files(docs, src)
+        entities.update(spark, src, out, schemas.ARTIST_DOC, malformed="skip")
+        return enrich.flatten_artists(entities.documents(spark, out), derived.kg_docs(raw(spark, sf_dir)))
+
+    def composite(spark, sf_dir):
+        keyed = tables.with_missing_names(raw(spark, sf_dir)).select(
+            F.concat("track_name", F.lit(X.COMPOSITE_SEP), "artist_name").alias("key")).where("key is not null").distinct()
+        return clean.split_composite(keyed, "key", ("track_name", "artist_name")).select("track_name", "artist_name")
+
+    def country_names(spark, sf_dir):
+        # the names of two regions are unknown
+        names = tables.scan(spark, sf_dir, "nation").where("n_regionkey > 1").select(
+            F.col("n_name").alias("code"), F.initcap(F.translate("n_name", "_", " ")).alias("name"))
+        named = clean.country_name(raw(spark, sf_dir), names)
+        return named.groupBy("conn_country").agg(F.count(F.lit(1)).alias("plays"))
+
     def tracks(spark, sf_dir):
         return enrich.flatten_tracks(derived.track_docs(raw(spark, sf_dir)))
 
@@ -201,6 +256,11 @@ def ingest_queries() -> dict[str, Query]:
     return {
         "p_clean_history": clean_history,
         "s1_read_history_files": history_files,
+        "p16_split_composite": composite,
+        "p18_country_names": country_names,
+        "s3_ingest_archives": history_zips,
+        "s4_classify_archives": zip_kinds,
+        "s9_entity_documents": entity_documents,
         "e01_pending_track_ids": pending,
         "e02_id_batches": batches,
         "e03_image_worklist": images,
@@ -233,7 +293,7 @@ def sink_queries() -> dict[str, Query]:
 
     def parquet_round_trip(spark, sf_dir):
         path = scratch_path(spark, "s6-plays")
-        writers.write_parquet(plays(spark, sf_dir).select(*S6_COLUMNS), path, partition_by=["year"])
+        writers.write_parquet(plays(spark, sf_dir).select(*S6_COLUMNS), path, partition_by=["year"], cluster_by=["ts"])
         return spark.read.parquet(path).select(*S6_COLUMNS)
 
     def csv_round_trip(spark, sf_dir):
@@ -257,17 +317,33 @@ def sink_queries() -> dict[str, Query]:
     def streaming_ingest(spark, sf_dir):
         from encore.streaming import ingest
 
-        src, out = scratch_path(spark, "st-src"), scratch_path(spark, "st-fact")
-        records = derived.parse_export(derived.raw_export(tables.plays_raw_wide(spark, sf_dir))).drop("listener_id")
-        records.write.json(src)  # one play object per line, many files
-        q = ingest.start_ingest(spark, src, out, checkpoint=scratch_path(spark, "st-ckpt"), multi_line=False)
+        src, out, ckpt = (scratch_path(spark, f"st-{n}") for n in ("src", "fact", "ckpt"))
+        records = derived.raw_export(tables.plays_raw_wide(spark, sf_dir))
+        # one play object per line, files in a folder per listener
+        records.withColumnRenamed("json", "value").write.partitionBy("listener_id").text(src)
+        q = ingest.start_ingest(spark, src, out, checkpoint=ckpt, multi_line=False, listener=r"listener_id=(\d+)/", glob="*.txt")
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
+        return ingest.stored(spark, out).select(F.col("listener_id").cast("bigint").alias("listener_id"), *clean.PLAY_COLUMNS)
+
+    def yearly_stream(spark, sf_dir):
+        from encore.streaming import yearly
+
+        src, state, ckpt = (scratch_path(spark, f"st-yearly-{n}") for n in ("src", "state", "ckpt"))
+        columns = ["track_name", "artist_name", "year", "full_play"]
+        # seven batches, each a random part of the history, so that older plays keep arriving late
+        dealt = plays(spark, sf_dir).withColumn("part", F.pmod(F.xxhash64("track_id", "ts", "listener_id"), F.lit(7)))
+        dealt.select(*columns, "part").repartition(7, "part").select(*columns).write.parquet(src)
+        q = yearly.start(spark, src, state, ckpt, max_files_per_trigger=1, compact_every=3)
         q.awaitTermination()
         if q.exception() is not None:
             raise RuntimeError(str(q.exception()))
-        return ingest.stored(spark, out).select(*clean.PLAY_COLUMNS)
+        return yearly.current(spark, state)
 
     return {
         "st_incremental_ingest": streaming_ingest,
+        "st_yearly_track_play_count": yearly_stream,
         "s6_parquet_round_trip": parquet_round_trip,
         "s7_csv_round_trip": csv_round_trip,
         "s8_report_documents": report_documents,
@@ -298,7 +374,13 @@ def all_oracle_sql() -> dict[str, str]:
     out["s8_report_documents"] = RS.report_documents_sql(out)
     out["p_clean_history"] = IS.clean_history_sql()
     out["s1_read_history_files"] = IS.clean_history_sql()
-    out["st_incremental_ingest"] = IS.clean_history_sql(with_listener=False)
+    out["st_incremental_ingest"] = IS.clean_history_sql()
+    out["st_yearly_track_play_count"] = out["r11_yearly_track_play_count"]
+    out["s3_ingest_archives"] = IS.clean_history_sql()
+    out["s4_classify_archives"] = IS.archive_kinds_sql()
     out["e02_id_batches"] = IS.batches_sql()
+    out["p16_split_composite"] = IS.composite_sql()
+    out["p18_country_names"] = IS.country_names_sql()
     out.update(IS.enrich_sql())
+    out["s9_entity_documents"] = out["e11_flatten_artists"]
     return out

@@ -192,3 +192,19 @@ def test_cuboids_of_parts_add_up(spark):
         assert C.merged(parts).na.fill(0, [c for c in whole.columns if c.startswith("_")]).exceptAll(nulls).count() == 0
         assert C.merged(parts).count() == whole.count() < fact.count() + 1
     fact.unpersist()
+
+
+def test_the_sample_depends_on_the_rows_alone(spark, gap_plays):
+    rows = gap_plays.unionByName(gap_plays.withColumn("ms_played", gap_plays.ms_played + 1)).select("track_name", "artist_name", "ts", "ms_played")
+    first = report.sampled_rows(rows, 4, seed=3).collect()
+    for n in (1, 5):
+        assert report.sampled_rows(rows.repartition(n), 4, seed=3).collect() == first
+    assert report.sampled_rows(rows, 4, seed=4).collect() != first
+    # the sample of a union comes from the samples of its parts
+    parts = [rows.where("ms_played % 2 = 0"), rows.where("ms_played % 2 = 1")]
+    both = parts[0].limit(0)
+    for part in parts:
+        both = both.unionByName(report.sampled_rows(part, 4, seed=3).drop("sample"))
+    assert report.sampled_rows(both, 4, seed=3).collect() == first
+    assert report.sampled_rows(rows.where("false"), 4).count() == 0
+    assert report.random_sample(rows, 2).count() == 4  # without a seed too
