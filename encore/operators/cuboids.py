@@ -1,6 +1,6 @@
 """The report's aggregate lattice: three mergeable cuboids of the play fact, and measures that read either.
 
-* entity months: a row per (track name, artist name, album name, month);
+* entity months: a row per (track name, artist name, album name, month), and its roll-up without the month;
 * days: a row per day, with the counters of the KPIs;
 * places: a row per (hour of day, connection country).
 
@@ -61,7 +61,8 @@ def clicked(df: DataFrame) -> DataFrame:
 
 def _sums() -> list[Column]:
     full = F.col("full_play")
-    return [F.count(F.lit(1)).alias(N), F.count_if(full).alias(FULL), F.sum("ms_played").alias(MS)]
+    return [F.count(F.lit(1)).alias(N), F.count_if(full).alias(FULL), F.sum("ms_played").alias(MS),
+            F.sum(F.when(full, F.col("ms_played")).otherwise(0)).alias(FULL_MS)]
 
 
 def entity_months(fact: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -69,8 +70,7 @@ def entity_months(fact: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     click = F.col("reason_start") == "clickrow"
     month = ["month_seq", *[c for c in ("month_index",) if c in fact.columns]]
     return fact.groupBy(*by, "track_name", "artist_name", "album_name", *month).agg(
-        *_sums(), F.sum(F.when(F.col("full_play"), F.col("ms_played")).otherwise(0)).alias(FULL_MS),
-        F.count_if(click).alias(CLICK[N]), F.count_if(click & F.col("full_play")).alias(CLICK[FULL]),
+        *_sums(), F.count_if(click).alias(CLICK[N]), F.count_if(click & F.col("full_play")).alias(CLICK[FULL]),
         F.sum(F.when(click, F.col("ms_played")).otherwise(0)).alias(CLICK[MS]))
 
 
@@ -78,7 +78,21 @@ def with_month_columns(cuboid: DataFrame) -> DataFrame:
     """``year``, ``month`` and ``year_month`` of an entity-month cuboid."""
     year = F.floor(F.col("month_seq") / 12).cast("int")
     month = (F.col("month_seq") % 12 + 1).cast("int")
-    return cuboid.withColumns({"year": year, "month": month, "year_month": F.format_string("%04d-%02d", year, month)})
+    text = F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"))
+    return cuboid.withColumns({"year": year, "month": month, "year_month": text})
+
+
+def rolls_up(cuboid: DataFrame, by: Sequence[str] = (), least: float = 2.0) -> bool:
+    """Whether the roll-up has at most one ``least``-th of the rows of the entity months, by an estimate in one pass."""
+    found = cuboid.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(
+        F.xxhash64(*by, "track_name", "artist_name", "album_name")).alias("names")).first()
+    return found["names"] * least <= found["rows"]
+
+
+def without_months(cuboid: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The roll-up of entity months to a row per names."""
+    measures = [c for c in cuboid.columns if c.startswith("_")]
+    return cuboid.groupBy(*by, "track_name", "artist_name", "album_name").agg(*[F.sum(c).alias(c) for c in measures])
 
 
 # Counters of the KPIs, by name; each is a count or an integer sum over plays.

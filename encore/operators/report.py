@@ -2,8 +2,8 @@
 
 Input is the website-style fact of ``clean.report_plays`` (wide fact +
 calendar columns + month index), or a cuboid of it (``operators.cuboids``)
-that has the columns a table needs: R1–R11 and R18 take entity months, R13–R16
-days, R12 and R17 places. Entities are keyed the website way:
+that has the columns a table needs: R5, R7, R9 and R11 take entity months, R8 and
+R13–R16 days, R12 and R17 places, the others a row per names. Entities are keyed the website way:
 artist by name, track by (track name, artist name), album by (album name,
 artist name); ties sort by the reference's composite text key.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from encore.functions import exprs as X
 from encore.operators import cuboids as C
-from encore.operators.common import first_row, top_k
+from encore.operators.common import bounded_broadcast, first_row, top_k
 
 # entity → key columns; ties sort by the keys joined with the composite separator
 ENTITIES = {
@@ -133,21 +133,29 @@ def most_played_tracks_clickrow(plays: DataFrame, k: int = 100, by: Sequence[str
 
 
 def monthly_play_series(plays: DataFrame, entity: str, k: int = 100, by: Sequence[str] = (),
-                        month_index_ready: bool = False) -> DataFrame:
+                        month_index_ready: bool = False, totals: DataFrame | None = None) -> DataFrame:
     """For each top-k entity, full plays per month index, dense from 0 to the
     last month with a full play of any top entity, with bar heights
     ``min(round(count·40/p99), 40)``; p99 = linear 99th percentile of the
     non-zero monthly counts. ``p99_plays`` is the label value int(p99).
-    ``month_index_ready``: ``plays`` already carries the month index for this ``by``."""
+    ``month_index_ready``: ``plays`` already carries the month index for this ``by``. ``totals``: a cuboid of the same
+    plays without months; the top entities then come from it, and only their rows of ``plays`` are aggregated."""
     by = list(by)
     keys = _keys(entity)
     # one row per entity and month; everything but the first month of all comes from it
     month = "month_index" if month_index_ready else "month_seq"
-    monthly = _non_null(plays, keys).groupBy(*by, *keys, month).agg(C.full_plays(plays).alias("n"))
     months = F.collect_list(F.when(F.col("n") > 0, F.struct(F.col(month).alias("m"), "n")))  # at most the history's months
-    entities = monthly.groupBy(*by, *keys).agg(F.sum("n").alias("play_count"), months.alias("months")).withColumn(
-        "_sort", sort_key(entity))
-    top = top_k(entities, [F.desc("play_count"), F.asc("_sort")], k, by, "rank").filter(F.col("play_count") > 0)
+    order = [F.desc("play_count"), F.asc("_sort")]
+    if totals is None:
+        monthly = _non_null(plays, keys).groupBy(*by, *keys, month).agg(C.full_plays(plays).alias("n"))
+        entities = monthly.groupBy(*by, *keys).agg(F.sum("n").alias("play_count"), months.alias("months")).withColumn(
+            "_sort", sort_key(entity))
+        top = top_k(entities, order, k, by, "rank").filter(F.col("play_count") > 0)
+    else:
+        ranked = top_k(entity_play_counts(totals, entity, by), order, k, by, "rank").filter(F.col("play_count") > 0)
+        ranked = bounded_broadcast(ranked.select(*by, *keys, "rank"), None if by else k)
+        monthly = plays.join(ranked, [*by, *keys]).groupBy(*by, *keys, "rank", month).agg(C.full_plays(plays).alias("n"))
+        top = monthly.groupBy(*by, *keys, "rank").agg(months.alias("months"))
     if month_index_ready:
         top = top.withColumn("first", F.lit(0))
     else:
@@ -204,18 +212,18 @@ def top_songs_of_top_artists(plays: DataFrame, k: int = 100, by: Sequence[str] =
 def most_played_monthly(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per month the artist / track / album with most plays (all rows), newest first.
 
-    Plays are counted per month and names; every counted row then becomes three
-    keys, which are summed in one aggregate, the winner per month and kind is a ``min_by`` aggregate over
+    Every play becomes three keys in one scan; they are counted in one
+    aggregate, the winner per month and kind is a ``min_by`` aggregate over
     the counts, and the three winners are folded into one row per month. A key
     with a missing name is counted, so that its month is there, and never wins.
     """
     by = list(by)
     kinds = ("artist", "track", "album")
-    counted = plays.groupBy(*by, "year_month", "artist_name", "track_name", "album_name").agg(C.plays(plays).alias("n"))
-    keyed = counted.select(*by, "year_month", "n", F.explode(F.array(*[
+    measure = [C.N] if C.is_cuboid(plays) else []
+    keyed = plays.select(*by, "year_month", *measure, F.explode(F.array(*[
         F.struct(F.lit(e).alias("kind"), F.when(F.col("artist_name").isNotNull(), F.col(_keys(e)[0])).alias("name"),
-                 F.col("artist_name").alias("artist")) for e in kinds])).alias("x")).select(*by, "year_month", "n", "x.*")
-    counts = keyed.groupBy(*by, "year_month", "kind", "name", "artist").agg(F.sum("n").alias("n"))
+                 F.col("artist_name").alias("artist")) for e in kinds])).alias("x")).select(*by, "year_month", *measure, "x.*")
+    counts = keyed.groupBy(*by, "year_month", "kind", "name", "artist").agg(F.sum(C.N).alias("n") if measure else F.count("*").alias("n"))
     counts = counts.withColumn("_missing", F.col("name").isNull().cast("int")).withColumn(
         "_sort", F.when(F.col("kind") == "artist", F.col("name"))
         .otherwise(F.concat_ws(X.COMPOSITE_SEP, "name", "artist")))

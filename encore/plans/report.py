@@ -1,7 +1,7 @@
-"""The whole website report as a dict of lazy DataFrames over three cuboids of one fact.
+"""The whole website report as a dict of lazy DataFrames over a few cuboids of one fact.
 
-The fact is pruned to the columns the report reads and aggregated to the three cuboids of ``operators.cuboids``: entity
-months, days, and places. Every table and the KPIs are then derived from one of them:
+The fact is pruned to the columns the report reads and aggregated to the cuboids of ``operators.cuboids``: entity
+months (and from them a row per names), days, and places. Every table and the KPIs are then derived from one of them:
 
 * ``materialize="table"`` (default): the pruned fact is written once as parquet under the session's shared
   ``spark.checkpoint.dir``, each cuboid is aggregated from it by one scan and written, and the tables read the cuboids.
@@ -46,33 +46,36 @@ class Report:
             fact = self._store(fact, "report-fact")
         elif materialize == "persist":
             self._cached = fact = fact.persist(StorageLevel.MEMORY_AND_DISK)
-        days = names = None
-        entities = calendar = places = fact
+        days = names = totals = None
+        entities = months = calendar = places = fact
         # a month index that the plays bring along (a filtered history keeps the whole one's) is not computed again
         ready = "month_index" in plays.columns
         if materialize is not None:
             with ThreadPoolExecutor(3) as pool:  # three scans of the fact, beside each other
-                entities, days, places = (job.result() for job in [
+                months, days, places = (job.result() for job in [
                     pool.submit(self._store, make(fact, by), name) for make, name in (
                         (C.entity_months, "report-entity-months"), (C.days, "report-days"), (C.places, "report-places"))])
-            entities, calendar, names = C.with_month_columns(entities), C.with_day_columns(days), C.names(entities, by)
+            names = entities = months
+            if C.rolls_up(months, by):  # most tables then take the smaller one
+                names = entities = totals = self._store(C.without_months(months, by), "report-entities")
+            months, calendar = C.with_month_columns(months), C.with_day_columns(days)
         t: dict[str, DataFrame] = {
             "most_played_artists_total": R.most_played_artists(entities, k, by),
             "most_played_tracks_total": R.most_played_tracks(entities, k, by),
             "most_played_albums_total": R.most_played_albums(entities, k, by),
             "most_played_tracks_total_reason_start_clickrow": R.most_played_tracks_clickrow(entities, k, by),
-            "monthly_play_series_artists": R.monthly_play_series(entities, "artist", k, by, month_index_ready=ready),
-            "monthly_play_series_tracks": R.monthly_play_series(entities, "track", k, by, month_index_ready=ready),
-            "monthly_play_series_albums": R.monthly_play_series(entities, "album", k, by, month_index_ready=ready),
+            "monthly_play_series_artists": R.monthly_play_series(months, "artist", k, by, month_index_ready=ready, totals=totals),
+            "monthly_play_series_tracks": R.monthly_play_series(months, "track", k, by, month_index_ready=ready, totals=totals),
+            "monthly_play_series_albums": R.monthly_play_series(months, "album", k, by, month_index_ready=ready, totals=totals),
             "top_songs_of_top_artists": R.top_songs_of_top_artists(entities, k, by),
         }
         if not only_top_k:
             t.update({
-                "most_played_artists_track_album_monthly": R.most_played_monthly(entities, by),
-                "avg_track_length_monthly": R.avg_track_length_monthly(entities, by),
-                "avg_play_count_per_song_yearly": R.avg_play_count_per_song_yearly(entities, by),
+                "most_played_artists_track_album_monthly": R.most_played_monthly(months, by),
+                "avg_track_length_monthly": R.avg_track_length_monthly(calendar, by),
+                "avg_play_count_per_song_yearly": R.avg_play_count_per_song_yearly(months, by),
                 "play_count_distribution": R.play_count_distribution(entities, by),
-                "yearly_track_play_count": R.yearly_track_play_count(entities, by),
+                "yearly_track_play_count": R.yearly_track_play_count(months, by),
                 "hours_played_percent_per_hour_of_the_day": R.hour_of_day_share(places, by),
                 "avg_hours_played_per_year_month": R.avg_hours_per_year_month(calendar, by),
                 "avg_hours_played_per_year": R.avg_hours_per_year(calendar, by),
