@@ -1,20 +1,19 @@
 """License scans as an exact set-similarity join, in DataFrame and SQL functions only.
 
-Text blocks and license templates are sets of words. A block matches a template
-when it holds at least ``threshold`` of the template's words. Blocks are the
-lines and, over the whole text with line breaks ignored, every window of as
-many words as the template has over the threshold, so that a notice wrapped at
-any width is found. Windows come in chunks that overlap by the longest window:
-a chunk passes the filters like a line, then its windows are verified. Words
-are ordered by their frequency over all documents, rare ones first. With
-``need`` the smallest overlap that meets the threshold, a matching pair shares
-a word among the first ``size - need + 1`` words of both sides (prefix filter),
-the block has ``need`` template words or more (length filter), and what can
-follow the shared word on either side still reaches ``need`` (positional
-filter). What passes is verified; no matching block is lost.
-
-Words that no template has cannot take part in an overlap. They count as rarer
-than all others and leave the blocks' sets before the filters.
+Text blocks and license templates are sets of words. A block matches a template when it holds at least ``threshold`` of
+the template's words, all words that set the template apart from its neighbours (a version number, ``lesser``, ``nc``)
+and none that belong to a neighbour. The blocks of a template are the windows of a text that begin with one of its words,
+line breaks ignored, as long as the template's words over the threshold: a notice wrapped at any width is found, and words
+that lie further apart are none.
+
+Words are ordered by their frequency over all documents, rare ones first. With ``need`` the smallest overlap that meets
+the threshold, a matching pair shares a word among the first ``size - need + 1`` words of both sides (prefix filter), the
+block has ``need`` template words or more (length filter), and what can follow the shared word on either side still
+reaches ``need`` (positional filter). Only texts that have a prefix word of some template, as a word, are split, and only
+the windows around such words are blocks. What passes is verified; no matching block is lost.
+
+Words that no template has cannot take part in an overlap. They count as rarer than all others and leave the blocks' sets
+before the filters.
 """
 
 from __future__ import annotations
@@ -22,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,10 +29,19 @@ from pyspark.sql import functions as F
 from encore.llm import common
 
 THRESHOLD = 0.8
-STRIDE = 64  # window starts a chunk; every window lies whole in the chunk that has its first word
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+
+class Template(NamedTuple):
+    """A notice; ``must`` words set it apart from its neighbours, ``never`` words belong to one of them."""
+
+    label: str
+    text: str
+    must: tuple[str, ...] = ()
+    never: tuple[str, ...] = ()
+
+
 # Phrases of the base scan, and customary one-line notices of public licenses.
 PHRASES = (
     ("gnu general public license", "gpl"),
@@ -40,21 +49,23 @@ PHRASES = (
     ("cc by", "cc-by"),
     ("mit license", "mit"),
 )
+_CC = ("noncommercial", "sharealike", "noderivatives", "nc", "sa", "nd")
 TEMPLATES = (
-    ("agpl-3.0", "Licensed under the GNU Affero General Public License, version 3"),
-    ("all-rights-reserved", "All rights reserved"),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
-    ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2"),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("lgpl-3.0", "Licensed under the GNU Lesser General Public License, version 3"),
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("public-domain", "This work is released into the public domain"),
+    Template("agpl-3.0", "Licensed under the GNU Affero General Public License, version 3", ("affero", "3"), ("lesser",)),
+    Template("all-rights-reserved", "All rights reserved"),
+    Template("apache-2.0", "Licensed under the Apache License, Version 2.0", ("apache", "2")),
+    Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    Template("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License",
+             ("creative", "commons", "attribution", "4"), _CC),
+    Template("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0", ("cc", "by", "nc", "4"), ("sa", "nd")),
+    Template("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0", ("cc", "by", "sa", "4"), ("nc", "nd")),
+    Template("gpl-2.0", "This work is licensed under the GNU General Public License, version 2", ("gnu", "2"), ("lesser", "affero", "library")),
+    Template("gpl-3.0", "This work is licensed under the GNU General Public License, version 3", ("gnu", "3"), ("lesser", "affero", "library")),
+    Template("lgpl-3.0", "Licensed under the GNU Lesser General Public License, version 3", ("lesser", "3"), ("affero",)),
+    Template("mit", "Released under the MIT License", ("mit",)),
+    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+    Template("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla", "2")),
+    Template("public-domain", "This work is released into the public domain", ("public", "domain")),
 )
 
 
@@ -71,6 +82,11 @@ def need(size: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * size - 1e-9))
 
 
+def block_length(words: int, threshold: float) -> int:
+    """Words of a block of a template of ``words`` words: as many as the template may be diluted to."""
+    return max(words, math.floor(words / threshold + 1e-9))
+
+
 def _phrase_places(words: str) -> str:
     """SQL: ``struct<at, label>`` for every place in the array ``words`` where a phrase starts."""
     found = []
@@ -106,58 +122,60 @@ def word_order(scanned: DataFrame, vocabulary: Sequence[str]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (n.get(w, 0), w))
 
 
-def containment_join(docs: DataFrame, order: Sequence[str], templates: Sequence[tuple[str, str]] = TEMPLATES,
+def containment_join(docs: DataFrame, order: Sequence[str], templates: Sequence[Template] = TEMPLATES,
                      threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every (block, template) pair that meets the threshold: ``row_id, text_key, line, label, containment``.
+    """Every (block, template) pair that matches: ``row_id, text_key, first_word, label, containment``.
 
-    ``line`` is null for a chunk; its containment is that of its best window.
+    A block that several shared words lead to comes once for each of them.
     """
     spark = docs.sparkSession
     rank = {w: i for i, w in enumerate(order)}
-    split = [(label, _words(text)) for label, text in templates]
-    sets = [(label, sorted(set(words), key=rank.__getitem__), math.ceil(len(words) / threshold - 1e-9)) for label, words in split if words]
-    sets = [(label, words, need(len(words), threshold), length) for label, words, length in sets]
+    sets = []
+    for t in templates:
+        own = _words(t.text)
+        if own:
+            ranked = sorted(set(own), key=rank.__getitem__)
+            sets.append((t, ranked, need(len(ranked), threshold), block_length(len(own), threshold)))
     longest = max((length for *_, length in sets), default=1)
     prefix = sorted({w for _, words, least, _ in sets for w in words[:len(words) - least + 1]}, key=rank.__getitem__)
-    if not prefix:
-        prefix = ["(?!)"]
+    strings = lambda values: f"cast(array({_quoted(values)}) as array<string>)"
     # one row per template and prefix word: bounded by the templates
-    index = [f"named_struct('word', '{w}', 'place', {i}, 'need', {least}, 'size', {len(words)}, 'label', '{label}', "
-             f"'length', {length}, 'words', array({_quoted(words)}))" for label, words, least, length in sets for i, w in enumerate(words[:len(words) - least + 1], 1)]
-    entries = spark.range(1).select(F.inline(F.expr(f"array({', '.join(index)})") if index else F.expr(
-        "cast(array() as array<struct<word:string,place:int,need:int,size:int,label:string,length:int,words:array<string>>>)")))
-    some = f"(?i){'|'.join(prefix)}"
-    block = lambda line, text: F.struct(line.cast("int").alias("line"), text.alias("block"))
-    lines = F.transform(F.split("text", "\n", -1), lambda x, i: block(i, x))
-    chunks = F.transform(F.array(F.array_remove(F.split(F.translate("text", UPPER, UPPER.lower()), SEPARATORS, -1), "")), lambda w: F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(STRIDE)),
-        lambda i: block(F.lit(None), F.array_join(F.slice(w, i + 1, STRIDE + longest - 1), " "))))[0]
-    blocks = (docs.select(F.col(id_col).alias("row_id"), common.text_or_empty(text_col).alias("text")).where(F.col("text").rlike(some))
-              .select("row_id", F.xxhash64("text").alias("text_key"), F.inline(F.concat(lines, chunks)))
-              .where(F.col("block").rlike(some)))
-    ranks = F.create_map(*[x for w, i in rank.items() for x in (F.lit(w), F.lit(i))])
-    folded = F.split(F.translate("block", UPPER, UPPER.lower()), SEPARATORS, -1)
-    known = F.array_intersect(F.array(*[F.lit(w) for w in order]), folded)
-    ordered = blocks.withColumn("found", F.array_sort(F.transform(known, lambda w: F.struct(ranks[w].alias("rank"), w.alias("word")))))
-    ordered = ordered.withColumn("chunk", F.when(F.col("line").isNull(), F.col("block")))
-    places = ordered.select("row_id", "text_key", "line", "chunk", "found", F.posexplode("found").alias("at", "own")).select(
-        "row_id", "text_key", "line", "chunk", F.transform("found", lambda x: x["word"]).alias("block_words"), F.size("found").alias("block_size"),
-        (F.col("at") + 1).alias("at"), F.col("own.word").alias("word"))
-    pairs = places.join(F.broadcast(entries), "word").where(
-        (F.col("block_size") >= F.col("need"))  # length
-        & (F.col("at") <= F.col("block_size") - F.col("need") + 1)  # prefix, of the block; the index has the template's
-        & (1 + F.least(F.col("block_size") - F.col("at"), F.col("size") - F.col("place")) >= F.col("need")))  # positional
-    shared = F.size(F.array_intersect("block_words", "words"))
-    in_chunk = F.transform(F.array(F.split("chunk", " ", -1)), lambda w: F.array_max(F.transform(
-        F.sequence(F.lit(1), F.least(F.size(w), F.lit(STRIDE))),
-        lambda i: F.size(F.array_intersect(F.slice(w, i, F.col("length")), F.col("words"))))))[0]
-    met = pairs.withColumn("shared", shared).where(F.col("shared") >= F.col("need"))
-    met = met.withColumn("shared", F.when(F.col("line").isNull(), in_chunk).otherwise(F.col("shared"))).where(F.col("shared") >= F.col("need"))
-    return met.select(
-        "row_id", "text_key", "line", "label", (F.col("shared").cast("double") / F.col("size")).alias("containment"))
-
-
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES,
+    index = [f"named_struct('word', '{w}', 'place', {i}, 'need', {least}, 'size', {len(words)}, 'label', '{t.label}', 'length', {length}, "
+             f"'words', {strings(words)}, 'must', {strings(t.must)}, 'never', {strings(t.never)})"
+             for t, words, least, length in sets for i, w in enumerate(words[:len(words) - least + 1], 1)]
+    shape = "word:string,place:int,need:int,size:int,label:string,length:int,words:array<string>,must:array<string>,never:array<string>"
+    entries = spark.range(1).select(F.inline(F.expr(f"array({', '.join(index)})" if index else f"cast(array() as array<struct<{shape}>>)")))
+    letter = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]"
+    some = f"(?<!{letter})(?i:{'|'.join(prefix) if prefix else '(?!)'})(?!{letter})"
+    texts = docs.select(F.col(id_col).alias("row_id"), common.text_or_empty(text_col).alias("text")).where(F.col("text").rlike(some))
+    split = F.array_remove(F.split(F.translate("text", UPPER, UPPER.lower()), SEPARATORS, -1), "")
+    # the places of prefix words, each with the words that a block around it can have
+    around = lambda w, i: F.struct(
+        w[i].alias("word"), F.greatest(i - longest + 1, F.lit(0)).alias("from"),
+        F.slice(w, F.greatest(i - longest + 1, F.lit(0)) + 1, F.lit(2 * longest - 1)).alias("region"), i.alias("i"))
+    hits = F.transform(F.array(split), lambda w: F.transform(
+        F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0))), lambda i: F.get(w, i).isin(prefix)), lambda i: around(w, i)))[0]
+    found = texts.select("row_id", F.xxhash64("text").alias("text_key"), F.inline(hits))
+    pairs = found.join(F.broadcast(entries), "word").where(F.size(F.array_intersect("region", "words")) >= F.col("need"))
+    # the blocks of the template that hold the place: they begin with a template word
+    at = F.col("i") - F.col("from")
+    starts = F.filter(F.sequence(F.greatest(at - F.col("length") + 1, F.lit(0)), at), lambda k: F.array_contains("words", F.get("region", k)))
+    blocks = pairs.withColumn("start", F.explode(starts)).withColumn("block", F.slice("region", F.col("start") + 1, F.col("length")))
+    known = F.array_intersect(F.array(*[F.lit(w) for w in order]), "block")  # in word order
+    placed = blocks.withColumn("known", known).withColumn("at", F.array_position("known", "word").cast("int"))
+    size = F.size("known")
+    kept = placed.where(
+        (size >= F.col("need"))  # length
+        & (F.col("at") <= size - F.col("need") + 1)  # prefix, of the block; the index has the template's
+        & (1 + F.least(size - F.col("at"), F.col("size") - F.col("place")) >= F.col("need")))  # positional
+    shared = F.size(F.array_intersect("known", "words"))
+    met = kept.withColumn("shared", shared).where(
+        (F.col("shared") >= F.col("need")) & (F.size(F.array_except("must", "block")) == 0) & ~F.arrays_overlap("never", "block"))
+    return met.select("row_id", "text_key", (F.col("from") + F.col("start")).alias("first_word"), "label",
+                      (F.col("shared").cast("double") / F.col("size")).alias("containment"))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Sequence[Template] = TEMPLATES,
          threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: the id, word count, phrase places, base labels, all labels and the score.
 
@@ -165,7 +183,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     * A null or empty text has no words and no labels. Rows that repeat come back as often; a null id is an id.
     * Only the id and the text are read, whatever other columns there are; an empty table gives an empty result.
     """
-    vocabulary = sorted({w for _, text in templates for w in _words(text)})
+    vocabulary = sorted({w for t in templates for w in _words(t.text)})
     scanned = common.written(base_scan(docs, vocabulary, id_col, text_col), "license-base")
     hits = containment_join(docs, word_order(scanned, vocabulary), templates, threshold, id_col, text_col)
     per_text = hits.groupBy("row_id", "text_key").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best")).select(
@@ -187,22 +205,27 @@ def op9_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    """Every line against every template, and every word place against every phrase."""
+    """Every block of every template, and every word place against every phrase."""
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    sets = [(label, sorted(set(_words(text)))) for label, text in TEMPLATES]
-    values = ", ".join(f"('{label}', [{_quoted(words)}], {need(len(words), THRESHOLD)})" for label, words in sets)
+    listed = lambda values: f"CAST([{_quoted(values)}] AS VARCHAR[])"
+    values = ", ".join(
+        f"({i}, '{t.label}', {listed(sorted(set(_words(t.text))))}, {need(len(set(_words(t.text))), THRESHOLD)}, "
+        f"{block_length(len(_words(t.text)), THRESHOLD)}, {listed(t.must)}, {listed(t.never)})" for i, t in enumerate(TEMPLATES))
     phrases = ", ".join(f"('{label}', [{_quoted(p.split(' '))}])" for p, label in PHRASES)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') AS text FROM documents),
-w AS (SELECT id, doc_id, regexp_extract_all(text, '{word}') AS w, string_split(text, chr(10)) AS l FROM d),
-t(label, words, need) AS (VALUES {values}),
+w AS MATERIALIZED (SELECT id, doc_id, regexp_extract_all(text, '{word}') AS w FROM d),
+t(t, label, words, need, length, must, never) AS (VALUES {values}),
 p(label, words) AS (VALUES {phrases}),
 places AS (
   SELECT id, label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1:i + len(words)] = words)) AS place FROM w, p),
 base AS (SELECT id, count(*) AS n, min(place) AS a, max(place) AS b, list(DISTINCT label) AS ls FROM places GROUP BY id),
-lines AS (SELECT id, list_distinct(regexp_extract_all(x, '{word}')) AS b FROM (SELECT id, unnest(l) AS x FROM w)),
+pairs AS (SELECT id, w, t.* FROM w, t WHERE len(list_intersect(list_distinct(w), words)) >= need),
+starts AS (SELECT id, w, t, unnest(list_filter(range(0, len(w)), lambda i: list_contains(words, w[i + 1]))) AS i FROM pairs),
+blocks AS (SELECT id, label, words, need, must, never, w[i + 1:i + length] AS b FROM starts JOIN t USING (t)),
 hits AS (
-  SELECT id, label, len(list_intersect(b, words))::DOUBLE / len(words) AS c FROM lines, t WHERE len(list_intersect(b, words)) >= need),
+  SELECT id, label, len(list_intersect(list_distinct(b), words))::DOUBLE / len(words) AS c FROM blocks
+  WHERE len(list_intersect(list_distinct(b), words)) >= need AND list_has_all(b, must) AND NOT list_has_any(b, never)),
 best AS (SELECT id, list(DISTINCT label) AS ls, max(c) AS c FROM hits GROUP BY id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, base.a AS first_word, base.b AS last_word,
        array_to_string(list_sort(coalesce(base.ls, [])), ',') AS base_labels,
