@@ -53,7 +53,8 @@ BASE_RULES = (
     Rule("hex", 1, "[0-9a-f]{24,}", 0, 24),  # the whole run, as [0-9a-f]+ of 24 or more
 )
 MORE_RULES = (
-    Rule("private_key", 1, "-----BEGIN [A-Z ]*PRIVATE KEY-----", hints=("private key",)),
+    # up to the END line where there is one, so that the key itself is in the span
+    Rule("private_key", 2, "-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*-----END [A-Z ]*PRIVATE KEY-----)?", hints=("private key",)),
     Rule("forge_token", 1, "gh[opsur]_[A-Za-z0-9]{36,}", hints=("gho_", "ghp_", "ghs_", "ghu_", "ghr_")),
     Rule("chat_token", 1, "xox[abprs]-[A-Za-z0-9-]{10,}", hints=("xox",)),
     Rule("signed_token", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", hints=("eyj",)),
@@ -120,11 +121,15 @@ def update_ledger(versions: DataFrame, ledger: str, text_col: str = "text", rule
 
 def findings(versions: DataFrame, ledger: str, keys: Sequence[str] = ("doc_id",), text_col: str = "text",
              rules: Sequence[Rule] = RULES) -> DataFrame:
-    """One row per row of ``versions``: the key columns, ``blob_sha256`` and ``scans`` of the current rule versions."""
+    """One row per row of ``versions``: the key columns, ``blob_sha256`` and ``scans`` of the current rule versions.
+
+    A pair that was appended more than once (two scanners at a time, a scan that ran again) counts once: its scans are
+    the same, as they depend on the blob and the rule version alone.
+    """
     spark = versions.sparkSession
     names = [f"{r.kind}:{r.version}" for r in rules]
-    per_blob = _read_ledger(spark, ledger).groupBy("blob").agg(F.filter(F.flatten(F.collect_list("scans")), lambda s: F.concat_ws(
-        ":", s["kind"], s["version"].cast("string")).isin(names)).alias("scans"))
+    per_blob = _read_ledger(spark, ledger).groupBy("blob").agg(F.array_distinct(F.filter(
+        F.flatten(F.collect_list("scans")), lambda s: F.concat_ws(":", s["kind"], s["version"].cast("string")).isin(names))).alias("scans"))
     paths = versions.select(*[F.col(k) for k in keys], F.unhex(F.sha2(common.text_or_empty(text_col), 256)).alias("blob"))
     return paths.join(per_blob, "blob").select(*keys, F.lower(F.hex("blob")).alias("blob_sha256"), "scans")
 

@@ -36,6 +36,20 @@ def test_ledger_scans_only_unseen_pairs(spark):
     assert {(r["path"], r["version"]) for r in out if any(s["kind"] == "assign" and s["spans"] for s in r["scans"])} == {("c", 1), ("a", 2)}
 
 
+def test_a_pair_appended_twice_counts_once(spark):
+    ledger = scratch_path(spark, "ledger")
+    key = "-----BEGIN RSA PRIVATE KEY-----\nMIIabc+/=\n-----END RSA PRIVATE KEY-----"
+    docs = spark.createDataFrame([(1, "token=abcdefg"), (2, f"x {key} y"), (3, "-----BEGIN PRIVATE KEY-----\nabc")], "doc_id bigint, text string")
+    secrets.update_ledger(docs, ledger)
+    once = spark.read.parquet(ledger).collect()
+    spark.createDataFrame(once, secrets._LEDGER).write.mode("append").parquet(ledger)  # a second scanner, or a rerun
+    assert spark.read.parquet(ledger).count() == 6
+    out = {r["doc_id"]: r for r in secrets.with_digests(secrets.scan(docs, ledger)).collect()}
+    assert (out[1]["n_assign"], out[1]["spans"]) == (1, "assign:0:13")
+    assert out[2]["spans"] == f"private_key:2:{2 + len(key)}"
+    assert out[3]["spans"] == "private_key:0:27"
+
+
 # ---- exact dedup: the trie
 
 @given(st.lists(st.tuples(st.binary(max_size=6), st.integers(-5, 5)), max_size=60))
