@@ -8,7 +8,8 @@ a narrow margin rejects the answer.
 
 The sample is bounded: of the ``sample_docs`` texts per language that come first
 in hash order, whatever their length, the first ``sample_chars`` characters, up
-to ``dict_bytes``.
+to ``dict_bytes``. Beyond ``max_languages`` languages both shrink in proportion,
+so that all dictionaries together keep their bound.
 The whole text of every document is classified.
 """
 
@@ -49,21 +50,23 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
           max_languages: int = MAX_LANGUAGES) -> dict[str, bytes]:
     """Dictionary content by language. Rows without a language or text are left out.
 
-    A text of any length can be chosen; its first ``sample_chars`` characters are used. At most
-    ``max_languages * sample_docs`` such parts reach the driver; more languages than that raise an error.
+    A text of any length can be chosen; its first ``sample_chars`` characters are used. About ``max_languages *
+    sample_docs`` such parts reach the driver: with more languages than that each has fewer texts and a smaller dictionary.
     """
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"),
                            F.col(lang_col).cast("string").alias("lang")).where(
         F.col("lang").isNotNull() & (F.length("text") > 0)).withColumn("text", F.substring("text", 1, sample_chars))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_languages + 1).collect()}
-    if len(sizes) > max_languages:
-        raise ValueError(f"more than {max_languages} languages in {lang_col}")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return {}
+    if len(sizes) > max_languages:
+        sample_docs = max(1, sample_docs * max_languages // len(sizes))
+        dict_bytes = max(256, dict_bytes * max_languages // len(sizes))
     # a share of each language's hash range that holds about four samples, so that no task ranks a whole language
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 4.0 * sample_docs / n + 64.0 / n))])
-    hashed = rows.withColumn("h", F.xxhash64("id")).where(
-        F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * F.lit(float(1 << 30)))
+    share = rows.sparkSession.createDataFrame([(lang, min(1.0, 4.0 * sample_docs / n + 64.0 / n)) for lang, n in sizes.items()],
+                                              "lang string, share double")  # a row per language
+    hashed = rows.withColumn("h", F.xxhash64("id")).join(F.broadcast(share), "lang").where(
+        F.pmod("h", F.lit(1 << 30)) < F.col("share") * F.lit(float(1 << 30)))
     first = Window.partitionBy("lang").orderBy("h", "id", "text")
     picked = hashed.withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample_docs).select("lang", "place", "text")
     out: dict[str, bytes] = {}

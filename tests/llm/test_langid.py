@@ -15,3 +15,13 @@ def test_a_language_with_only_long_texts(spark):
     assert len(contents["fr"]) <= langid.DICT_BYTES
     found = {r["row_id"]: r["lang"] for r in langid.identify(docs, contents).collect()}
     assert found == {i: lang for i, _, lang in rows}
+
+
+def test_more_languages_than_dictionaries_are_planned_for(spark):
+    texts = {f"l{i}": " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{w}" for w in ("olo", "ura", "est", "inga", "pom") * 12) for i in range(12)}
+    rows = [(i * 10 + k, text, lang) for i, (lang, text) in enumerate(texts.items()) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    learned = langid.learn(docs, max_languages=3, sample_docs=4, dict_bytes=4096)
+    assert set(learned) == set(texts) and max(map(len, learned.values())) <= 1024
+    found = {r["row_id"]: r["lang"] for r in langid.identify(docs, learned).collect()}
+    assert all(found[i] == lang for i, _, lang in rows)
