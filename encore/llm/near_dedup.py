@@ -391,9 +391,10 @@ def components(links: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY,
             by_count: bool = False, n_bands: int = BANDS, n_rows: int = ROWS) -> DataFrame:
-    """One row per input row: ``row_id, node, class_id, class_size``; a class is a connected component of similar texts.
+    """One row per input row: ``row_id, node, class_id, class_size, kept``; a class is a connected component of similar texts.
 
     * ``class_id`` is the smallest id of the class (null only if all its ids are null); ``node`` tells texts apart.
+    * ``kept`` is true for one row of a class: one with the class's id, also where that id repeats or is null.
     * Null, empty and wordless texts have no shingles and are copies of one another.
     * Rows that repeat come back as often. Other columns, whatever their names, are not read; an empty table gives none.
     """
@@ -437,10 +438,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     roots = components(links)
     rooted = nodes.join(roots.select(F.col("node").alias("hub"), "root"), "hub", "left").select(
         "shingle_key", F.coalesce("root", "hub").alias("root"))
+    # the mark tells rows of one id apart; it is written with them, so that it stays
     members = common.written(sketches.select("row_id", "node", "shingle_key").join(rooted, "shingle_key").select(
-        "row_id", "node", "root"), "near-members")
-    sizes = members.groupBy("root").agg(F.min("row_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return members.join(sizes, "root").select("row_id", "node", "class_id", "class_size")
+        "row_id", "node", "root", F.monotonically_increasing_id().alias("mark")), "near-members")
+    sizes = members.groupBy("root").agg(F.min("row_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(
+        F.struct(F.col("row_id").isNull().alias("no_id"), "row_id", "mark"))["mark"].alias("keeper"))
+    return members.join(sizes, "root").select("row_id", "node", "class_id", "class_size", (F.col("mark") == F.col("keeper")).alias("kept"))
 
 
 def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
@@ -453,5 +456,4 @@ def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:
     found = classes(common.table(spark, sf_dir, "documents"))
-    return found.select(F.col("row_id").alias("doc_id"), "class_id", "class_size",
-                        F.col("row_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return found.select(F.col("row_id").alias("doc_id"), "class_id", "class_size", "kept")

@@ -90,3 +90,12 @@ def test_chat_edges(spark):
     assert chat.read_back(out[None]["formatted"]) == [("a\nb\\n<|im_end|>", "<\\|im_end|> <|")]
     assert out[2]["loss"][0]["start"] == out[2]["loss"][0]["stop"]
     assert chat.format_records(chat.records_of_turns(turns.where("false"))).collect() == []
+
+
+def test_one_row_of_a_near_class_is_kept(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, text), (1, text), (2, text + " x"), (None, text), (None, other), (None, other + " y"), (3, None), (3, ""), (None, " ")]
+    out = near_dedup.classes(spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS mark", "'c' AS kept")).collect()
+    kept = [(r["class_id"], r["row_id"], r["class_size"]) for r in out if r["kept"]]
+    assert len(out) == 9 and sorted(kept, key=str) == sorted([(1, 1, 4), (None, None, 2), (3, 3, 3)], key=str)
