@@ -441,8 +441,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     # the mark tells rows of one id apart; it is written with them, so that it stays
     members = common.written(sketches.select("row_id", "node", "shingle_key").join(rooted, "shingle_key").select(
         "row_id", "node", "root", F.monotonically_increasing_id().alias("mark")), "near-members")
-    sizes = members.groupBy("root").agg(F.min("row_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(
-        F.struct(F.col("row_id").isNull().alias("no_id"), "row_id", "mark"))["mark"].alias("keeper"))
+    # numbers in every buffer, so that a large class is hashed in every task and never sorted
+    per_id = members.groupBy("root", "row_id").agg(F.min("mark").alias("mark"), F.count(F.lit(1)).alias("n"))
+    sizes = per_id.groupBy("root").agg(F.min("row_id").alias("class_id"), F.sum("n").alias("class_size"), F.coalesce(
+        F.min_by("mark", "row_id"), F.min("mark")).alias("keeper"))
     return members.join(sizes, "root").select("row_id", "node", "class_id", "class_size", (F.col("mark") == F.col("keeper")).alias("kept"))
 
 
