@@ -32,6 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +44,8 @@ SIMILARITY = 0.8
 BANDS = 40
 ROWS = 6  # a pair at the threshold shares no band with probability (1 - 0.8^6)^40 = 5e-6
 CHUNK = 1 << 18  # elements handled at once
+SLICE_ROWS, SLICE_BYTES = 400, 1 << 20  # texts sketched at once; one longer text is a slice of its own
+KNOWN_WORDS = 200_000  # words whose hashes a task remembers
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -71,7 +74,7 @@ class Shingler:
 
     def word_hashes(self, text: str | None) -> np.ndarray:
         known, digest = self.words, xxhash.xxh64_intdigest
-        if len(known) > 1_000_000:
+        if len(known) > KNOWN_WORDS:
             known.clear()
         words = (text or "").lower().encode("utf-8").split()
         out = list(map(known.get, words))
@@ -219,6 +222,16 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(shared / (a[1].sum() + b[1].sum() - shared))
 
 
+def _slices(part: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of at most ``SLICE_ROWS`` rows and, but for a single row, ``SLICE_BYTES`` of text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(part.column(text)), 0).to_numpy(zero_copy_only=False))
+    start, done = 0, 0
+    while start < part.num_rows:
+        end = max(start + 1, min(start + SLICE_ROWS, int(np.searchsorted(ends, done + SLICE_BYTES, side="right"))))
+        yield part.slice(start, end - start)
+        start, done = end, int(ends[end - 1])
+
+
 _SKETCH = "row_id bigint, node binary, shingle_key binary, bands array<bigint>"
 _SKETCH_ARROW = pa.schema([("row_id", pa.int64()), ("node", pa.binary()), ("shingle_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
@@ -227,8 +240,7 @@ def _sketch(by_count: bool, n_bands: int, n_rows: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for part in parts:
-            for a in range(0, part.num_rows, 400):
-                piece = part.slice(a, 400)
+            for piece in _slices(part, 2):
                 texts = piece.column(2).to_pylist()
                 elements, counts = shingler.shingles(texts)
                 # order-free key of the bag of shingles
