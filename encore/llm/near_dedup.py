@@ -19,7 +19,7 @@ Texts that share a band (``rows`` neighbouring coordinates) are candidates:
    similarity join over their rarest shingles (prefix filter by classes of
    size, positional filter, pairs that links already connect left out) finds
    every partner.
-4. Verified links are contracted, smallest neighbour first, until none is left.
+4. Verified links are contracted, in an order that each round hashes anew, until none is left.
 
 Links and labels stay in tables; nothing is gathered on the driver.
 """
@@ -372,24 +372,30 @@ def _both_ways(links: DataFrame) -> DataFrame:
     return links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
+def _nearest(edges: DataFrame, order) -> DataFrame:
+    """``node, root``: the first node, by ``order`` of its column, among a node, its neighbours and theirs; written."""
+    first = lambda column: F.struct(order(F.col(column)).alias("rank"), F.col(column).alias("node"))
+    near = edges.groupBy("a").agg(F.min(first("b")).alias("m")).select(F.col("a").alias("b"), F.least(first("a"), "m").alias("near"))
+    return common.written(edges.join(near, "b").groupBy("a").agg(F.min("near").alias("near")).select(
+        F.col("a").alias("node"), F.col("near.node").alias("root")), "near-round")
+
+
 def neighbourhoods(links: DataFrame) -> DataFrame:
     """``node, root``: the smallest node within two links. Equal roots are in one component; a star has one root."""
-    edges = common.written(_both_ways(links), "near-links")
-    near = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("root"))
-    return common.written(edges.join(near, "b").groupBy("a").agg(F.min("root").alias("root")).withColumnRenamed("a", "node"), "near-round")
+    return _nearest(common.written(_both_ways(links), "near-links"), lambda c: F.lit(0))
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, root`` for every node that has a link ``a, b``: the smallest node of its connected component.
+    """``node, root`` for every node that has a link ``a, b``: one node of its connected component, the same for all of it.
 
-    Each round points a node to its smallest neighbour and contracts; the links that are left get fewer by half or
-    more, so rounds grow with the logarithm of the longest chain.
+    Each round points a node to the first node within two links, by an order that is hashed anew for the round, and
+    contracts. In a fresh order about a third of a chain's nodes come first for some node, so the rounds grow with the
+    logarithm of the longest chain, however its nodes are numbered; a star is one round.
     """
     edges = common.written(_both_ways(links), "near-links")
-    roots = None
+    roots, number = None, 0
     while not edges.isEmpty():
-        to = common.written(edges.groupBy("a").agg(F.min("b").alias("m")).select(
-            F.col("a").alias("node"), F.least("a", "m").alias("root")), "near-round")
+        to = _nearest(edges, lambda c, salt=number: F.xxhash64(F.lit(salt), c))
         if roots is None:
             roots = to
         else:
@@ -398,6 +404,7 @@ def components(links: DataFrame) -> DataFrame:
         one = edges.join(to.select(F.col("node").alias("a"), F.col("root").alias("x")), "a")
         two = one.join(to.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
         edges = common.written(two.where(F.col("x") != F.col("y")).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "near-links")
+        number += 1
     return roots if roots is not None else links.select(F.col("a").alias("node"), F.col("a").alias("root"))
 
 

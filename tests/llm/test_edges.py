@@ -99,3 +99,16 @@ def test_one_row_of_a_near_class_is_kept(spark):
     out = near_dedup.classes(spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS mark", "'c' AS kept")).collect()
     kept = [(r["class_id"], r["row_id"], r["class_size"]) for r in out if r["kept"]]
     assert len(out) == 9 and sorted(kept, key=str) == sorted([(1, 1, 4), (None, None, 2), (3, 3, 3)], key=str)
+
+
+@pytest.mark.parametrize("n", [2, 1000])
+def test_an_ordered_chain_contracts_in_few_rounds(spark, monkeypatch, n):
+    rounds = []
+    plain = near_dedup._nearest
+    monkeypatch.setattr(near_dedup, "_nearest", lambda *a: rounds.append(1) or plain(*a))
+    links = spark.range(n - 1).selectExpr("unhex(lpad(hex(id), 8, '0')) AS a", "unhex(lpad(hex(id + 1), 8, '0')) AS b")
+    far = spark.range(n - 1).selectExpr("unhex(lpad(hex(id + 900000), 8, '0')) AS a", "unhex(lpad(hex(900000 + 5000), 8, '0')) AS b")
+    found = near_dedup.components(links.union(far)).collect()
+    assert len(found) == 2 * n and len({bytes(r["root"]) for r in found}) == 2
+    assert len({bytes(r["root"]) for r in found if int.from_bytes(r["node"]) < 900000}) == 1
+    assert len(rounds) <= 12
