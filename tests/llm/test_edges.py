@@ -112,3 +112,33 @@ def test_an_ordered_chain_contracts_in_few_rounds(spark, monkeypatch, n):
     assert len(found) == 2 * n and len({bytes(r["root"]) for r in found}) == 2
     assert len({bytes(r["root"]) for r in found if int.from_bytes(r["node"]) < 900000}) == 1
     assert len(rounds) <= 12
+
+
+@pytest.mark.parametrize("ids", [None, 5])
+def test_rows_of_one_id_are_mixed_one_by_one(spark, ids):
+    docs = spark.range(100, numPartitions=7).selectExpr(
+        f"cast({'null' if ids is None else ids} AS bigint) AS doc_id", "'a b c d' AS text", "'en' AS lang", "'src0' AS source",
+        "id AS place", "id AS `a.b`")
+    taken = mixing.mixed(docs, budget_percent=60).collect()
+    assert len(taken) == 60 and len({r["place"] for r in taken}) == 60
+    assert all(r["a.b"] == r["place"] for r in taken)
+    found = mixing.mix(docs, budget_percent=61, max_epochs=1).collect()
+    assert (len(found), sum(r["copies"] for r in found)) == (100, 61)
+    assert sum(r["copies"] for r in mixing.mix(docs, budget_percent=250).collect()) == 250
+
+
+def test_mixing_takes_a_prefix_of_the_order(spark):
+    import hashlib as h
+    rows = [(i % 40 if i % 5 else None, "w " * (i % 4), "en", f"src{i % 2}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(5)
+    found = mixing.mix(docs, budget_percent=55, max_epochs=2).collect()
+    assert len(found) == 300
+    for source in ("src0", "src1"):
+        own = [r for r in found if r["source"] == source]
+        epochs, rest = divmod(own[0]["leaf_budget"], own[0]["leaf_tokens"])
+        key = lambda r, e=epochs: (h.md5(f"17:{e}:{'' if r['doc_id'] is None else r['doc_id']}".encode()).hexdigest(), r["n_tokens"])
+        want, upto = [], 0
+        for r in sorted(own, key=key):
+            upto += r["n_tokens"]
+            want.append((key(r), epochs + (upto <= rest)))
+        assert sorted(want) == sorted((key(r), r["copies"]) for r in own)
