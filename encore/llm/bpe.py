@@ -342,7 +342,11 @@ def digests(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def encoded_documents(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id, n_tokens, ids, decoded_sha256`` of documents: the ids, and the digest of the text decoded from them."""
+    """``doc_id, n_tokens, ids, decoded_sha256`` of documents: the ids, and the digest of the text decoded from them.
+
+    * A null text counts as empty and has no ids; rows that repeat, or have a null id, each get their row.
+    * Only id and text are read, so other columns may have any name. An empty table gives none.
+    """
     made = encode(docs, path)
     decoded = F.sha2(F.col("text"), 256)
     rows = made.mapInArrow(_decode(path, True), "row_id bigint, text string, ids array<int>")
