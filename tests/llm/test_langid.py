@@ -1,7 +1,13 @@
-"""A language whose labelled texts are all long is learned and predicted."""
+"""Language identification: row by row against plain compression, ties, long texts, many languages."""
 
-from encore.llm import langid
+import re
+import zlib
 
+import zstandard
+
+from encore.llm import common, langid
+
+SF_SMALL = "/root/testdata/sf0.001"
 EN = "the cat of the house is in the garden and it was for all. "
 FR = "le chat de la maison est dans le jardin et il est pour nous. "
 
@@ -25,3 +31,27 @@ def test_more_languages_than_dictionaries_are_planned_for(spark):
     assert set(learned) == set(texts) and max(map(len, learned.values())) <= 1024
     found = {r["row_id"]: r["lang"] for r in langid.identify(docs, learned).collect()}
     assert all(found[i] == lang for i, _, lang in rows)
+
+
+def test_query_against_plain_compression(spark):
+    docs = common.table(spark, SF_SMALL, "documents")
+    contents = langid.learn(docs.where(~langid.held_out()))
+    got = {r["doc_id"]: (r["held_out"], r["lang_pred"], r["score"], r["rejected"]) for r in langid.op5_language_id(spark, SF_SMALL).collect()}
+    want = {}
+    for row in docs.collect():
+        words = re.sub(r"[\W\d_]+", " ", (row["text"] or "").lower()).encode("utf-8")
+        size = {}
+        for lang, content in contents.items():
+            known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            coder = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=known, write_content_size=False, write_dict_id=False)
+            size[lang] = sum(len(coder.compress(words[i:i + langid.BLOCK_BYTES])) for i in range(0, len(words), langid.BLOCK_BYTES))
+        best, second = sorted((n, lang) for lang, n in size.items())[:2]
+        margin = 1.0 - best[0] / second[0] if words.strip() else 0.0
+        want[row["doc_id"]] = (zlib.crc32(str(row["doc_id"]).encode()) % 5 == 0, best[1] if words.strip() else "und", margin, margin < langid.NARROW)
+    assert got == want
+
+
+def test_equal_sizes_go_to_the_first_language(spark):
+    docs = spark.createDataFrame([(1, EN), (1, EN), (None, "12 .")], "doc_id bigint, text string")
+    same = langid.identify(docs, {"xx": EN.encode(), "aa": EN.encode()}).collect()
+    assert sorted((r["lang"], r["margin"], r["rejected"]) for r in same) == [("aa", 0.0, True), ("aa", 0.0, True), ("und", 0.0, True)]
