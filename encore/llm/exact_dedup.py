@@ -206,7 +206,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; one row per class of equal texts."""
+    """The rows of ``docs`` that stay, with all their columns, whatever their names; one row per class of equal texts.
+
+    Nulls and repeated rows as in :func:`exact_duplicates`: null and empty texts are one class, a row that repeats the
+    owner's id stays once, a null id stays only where its class has no other. An empty table stays empty.
+    """
     stay = exact_duplicates(docs, id_col, text_col, keep).where("kept").select(
         F.col(id_col).alias("id"), F.col("text_sha256").alias("mark"))
     own = F.sha2(F.translate(common.text_or_empty(text_col), UPPER, UPPER.lower()), 256)

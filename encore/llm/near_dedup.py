@@ -468,7 +468,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
 
 def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one of each class, the one with the smallest id."""
+    """The rows of ``docs`` that stay, with all their columns, whatever their names: one of each class, with its smallest id.
+
+    Nulls as in :func:`classes`. Of rows that repeat this id, one with the smallest MD5 of its text stays; a null id
+    stays only where its class has no other. An empty table stays empty.
+    """
     found = classes(docs, id_col, text_col, threshold)
     stay = found.where(F.col("row_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("node")).select(
         F.col("class_id").alias("id"), F.lower(F.hex("node")).alias("mark"))

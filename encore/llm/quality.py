@@ -153,7 +153,10 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
 
 
 def kept_rows(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
+    """The rows of ``docs`` that are kept, with all their columns, whatever their names.
+
+    Nulls and ties as in :func:`quality`; rows that repeat are judged alike and all stay. An empty table stays empty.
+    """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
     return quality(rows, "row", "text", rules).where("kept").select("row.*")
 
