@@ -139,6 +139,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     """One row per input row: the id, the counts, the votes, ``p_good``, ``base_failed`` and ``kept``.
 
     * A null or empty text has no words, fails the base and is not kept. Rows that repeat come back as often.
+    * A posterior of exactly ``KEEP_FROM`` is kept.
     * Ids may be null or repeat: no step joins on them. Other columns, whatever their names, are not read.
     * An empty table gives an empty result.
     """
