@@ -5,25 +5,23 @@ times or more, over the count of that n-gram's context, times ``backoff`` for
 every order it fell short; at the end of the ladder stands the word's share of
 all words. A document's score is the sum of the logarithms.
 
-The n-gram tables are partitioned by hash. Documents are dealt into blocks of
-about ``block_bytes`` of text (so their number grows with the input). Each
-block sends its distinct n-grams, counted, to the hash partitions; there the
-counts of all blocks are summed and joined back to every block that asked; the
-block looks its n-grams up and sums per document. An n-gram that a third of
-all words make up is one entry per block. What travels is packed: a sorted run
-of hashes as differences, counts beside them.
+Documents are dealt into blocks of about ``block_bytes`` of text (so their
+number grows with the input). A block is exploded to one row per distinct
+n-gram, ``(gram, block, n)``, so an n-gram that a third of all words make up is
+one row per block. The rows are partitioned by the n-gram's hash, where the
+counts of all blocks are summed and joined to every row that asked: the sum of
+a window over the n-gram, which shuffles the rows once where an aggregate
+joined back would shuffle them twice. The block looks its n-grams up in what
+comes back and sums per document; counts of 1 are not sent back.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from encore.llm import common
@@ -36,10 +34,9 @@ BLOCK_BYTES = 16 << 20
 _ALL_WORDS = np.uint64(0)  # the entry that counts all words
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
-_ASK = "slice int, block int, grams binary, counts binary, n int"
-_ASK_ARROW = pa.schema([("slice", pa.int32()), ("block", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary()), ("n", pa.int32())])
-_ANSWER = "block int, slice int, counts binary, n int"
-_ANSWER_ARROW = pa.schema([("block", pa.int32()), ("slice", pa.int32()), ("counts", pa.binary()), ("n", pa.int32())])
+_ASK = "gram bigint, block int, n bigint"
+_ASK_ARROW = pa.schema([("gram", pa.int64()), ("block", pa.int32()), ("n", pa.int64())])
+_ASK_ROWS = 1 << 16  # in an Arrow batch
 _SCORE = "row_id bigint, n_words bigint, n_backoff bigint, log_prob double"
 _SCORE_ARROW = pa.schema([("row_id", pa.int64()), ("n_words", pa.int64()), ("n_backoff", pa.int64()), ("log_prob", pa.float64())])
 
@@ -50,16 +47,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Unsigned 64-bit numbers, by byte position, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
-
-
-def unpack(data: bytes, n: int) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(data, max_output_size=8 * n)
-    return np.frombuffer(raw, dtype=np.uint8).reshape(8, n).T.copy().view("<u8").reshape(n)
-
-
 class Block:
     """The n-grams of some texts: per order their hash at every word (0 where the text does not reach back so far)."""
 
@@ -88,10 +75,11 @@ class Block:
         seen = [g[g != 0] for g in self.grams]
         self.distinct, self.counts = np.unique(np.concatenate([*seen, np.full(len(flat), _ALL_WORDS)]), return_counts=True)
 
-    def slices(self, n: int) -> np.ndarray:
-        """Where each of ``n`` equal hash ranges begins in ``distinct``, and the end."""
-        edges = np.array([(i << 64) // n for i in range(n)], dtype=np.uint64)
-        return np.append(np.searchsorted(self.distinct, edges), len(self.distinct))
+    def totals(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The corpus count of every distinct n-gram, from the counts that are not 1."""
+        out = np.ones(len(self.distinct), dtype=np.int64)
+        out[np.searchsorted(self.distinct, grams)] = counts
+        return out
 
     def score(self, totals: np.ndarray, backoff: float, min_count: int) -> tuple[np.ndarray, np.ndarray]:
         """Log score and number of backed-off words per text, with the corpus count of every distinct n-gram."""
@@ -111,39 +99,22 @@ class Block:
                 np.bincount(owner, weights=backed, minlength=len(self.lengths)).astype(np.int64))
 
 
-def _ask(order: int, n_slices: int):
+def _ask(order: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         block = Block(table.column("text").to_pylist(), order)
-        at = block.slices(n_slices)
-        rows = [(i, key[0].as_py(), pack(np.diff(block.distinct[a:b], prepend=np.uint64(0))), pack(block.counts[a:b]), b - a)
-                for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if b > a]
-        return pa.Table.from_batches(common.batches(rows, _ASK_ARROW, 1 << 30, 1 << 40), schema=_ASK_ARROW)
+        own = pa.repeat(pa.scalar(key[0].as_py(), pa.int32()), len(block.distinct))
+        rows = pa.table([pa.array(block.distinct.view(np.int64)), own, pa.array(block.counts.astype(np.int64))], schema=_ASK_ARROW)
+        return pa.Table.from_batches(rows.to_batches(max_chunksize=_ASK_ROWS), schema=_ASK_ARROW)
 
     return run
 
 
-def _sum(table: pa.Table) -> pa.Table:
-    """The count table of one hash range, joined back to each block's n-grams of that range."""
-    parts = [(r["block"], r["slice"], np.cumsum(unpack(r["grams"], r["n"]), dtype=np.uint64), unpack(r["counts"], r["n"]))
-             for r in table.to_pylist()]
-    every = np.concatenate([p[2] for p in parts])
-    grams, inverse = np.unique(every, return_inverse=True)
-    totals = np.zeros(len(grams), dtype=np.uint64)
-    np.add.at(totals, inverse, np.concatenate([p[3] for p in parts]))
-    rows, at = [], 0
-    for block, part, own, _ in parts:
-        rows.append((block, part, pack(totals[inverse[at:at + len(own)]]), len(own)))
-        at += len(own)
-    return pa.Table.from_batches(common.batches(rows, _ANSWER_ARROW, 1 << 30, 1 << 40), schema=_ANSWER_ARROW)
-
-
 def _score(order: int, backoff: float, min_count: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _SCORE_ARROW.empty_table()
         block = Block(docs.column("text").to_pylist(), order)
-        got = sorted(answers.to_pylist(), key=lambda r: r["slice"])
-        totals = np.concatenate([unpack(r["counts"], r["n"]) for r in got]) if got else np.zeros(1, np.uint64)
+        totals = block.totals(answers.column("gram").to_numpy().view(np.uint64), answers.column("total").to_numpy())
         log_prob, backed = block.score(totals, backoff, min_count)
         return pa.table([docs.column("row_id").cast(pa.int64()), pa.array(block.lengths), pa.array(backed), pa.array(log_prob)],
                         schema=_SCORE_ARROW)
@@ -160,11 +131,12 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
     """
     common.bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("row_id"), common.text_or_empty(text_col).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n = max(1, math.ceil(total / block_bytes))
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    n = max(1, math.ceil(size / block_bytes))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("row_id", "text"), F.lit(n)).cast("int"))
-    asked = dealt.groupBy("block").applyInArrow(_ask(order, n), _ASK)
-    answered = asked.groupBy("slice").applyInArrow(_sum, _ANSWER)
+    asked = dealt.groupBy("block").applyInArrow(_ask(order), _ASK)
+    total = F.sum("n").over(Window.partitionBy("gram"))
+    answered = asked.select("block", "gram", total.alias("total")).where(F.col("total") > 1)
     return dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_score(order, backoff, min_count), _SCORE)
 
 
