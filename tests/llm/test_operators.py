@@ -1,6 +1,7 @@
 """Operators against brute force, exact round trips and held-out accuracy."""
 
 import collections
+import dataclasses
 import random
 
 import numpy as np
@@ -36,6 +37,23 @@ def test_ledger_scans_only_unseen_pairs(spark):
     assert {(r["path"], r["version"]) for r in out if any(s["kind"] == "assign" and s["spans"] for s in r["scans"])} == {("c", 1), ("a", 2)}
 
 
+def test_base_rules_first_then_all_equal_one_scan(spark):
+    texts = ["TOKEN=abcdefg", "x" + "0123456789abcdef" * 2, "0123456789ABCDEF" * 2, "AKIA" + "Q" * 16, "-----BEGIN PRIVATE KEY-----\nabc",
+             "ftp://me:pw@host", "plain words only", "", None, "plain words only", "\u212aey tok\u212an=abcdefg"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    twice, once = scratch_path(spark, "ledger"), scratch_path(spark, "ledger")
+    secrets.update_ledger(docs, twice, rules=secrets.BASE_RULES)
+    got = secrets.with_digests(secrets.scan(docs, twice)).collect()
+    assert sorted(got) == sorted(secrets.with_digests(secrets.scan(docs, once)).collect())
+    runs = [sorted(s["kind"] for s in r["scans"]) for r in spark.read.parquet(twice).collect()]
+    blobs = len({t or "" for t in texts})
+    assert sorted(runs) == sorted([sorted(r.kind for r in rules) for rules in (secrets.BASE_RULES, secrets.MORE_RULES) for _ in range(blobs)])
+    for row, text in zip(sorted(got), texts, strict=True):  # every rule over every text, whether screened out or not
+        spans = [(s["start"], i, f"{r.kind}:{s['start']}:{s['stop']}") for i, r in enumerate(secrets.RULES)
+                 for s in secrets.find(dataclasses.replace(r, hints=()), text or "", "")]
+        assert row["spans"] == ",".join(x[2] for x in sorted(spans))
+
+
 def test_a_pair_appended_twice_counts_once(spark):
     ledger = scratch_path(spark, "ledger")
     key = "-----BEGIN RSA PRIVATE KEY-----\nMIIabc+/=\n-----END RSA PRIVATE KEY-----"
