@@ -12,7 +12,8 @@ one row per block. The rows are partitioned by the n-gram's hash, where the
 counts of all blocks are summed and joined to every row that asked: the sum of
 a window over the n-gram, which shuffles the rows once where an aggregate
 joined back would shuffle them twice. The block looks its n-grams up in what
-comes back and sums per document; counts of 1 are not sent back.
+comes back and sums per document; the counts of n-grams that no other block has
+are not sent back.
 """
 
 from __future__ import annotations
@@ -76,8 +77,8 @@ class Block:
         self.distinct, self.counts = np.unique(np.concatenate([*seen, np.full(len(flat), _ALL_WORDS)]), return_counts=True)
 
     def totals(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The corpus count of every distinct n-gram, from the counts that are not 1."""
-        out = np.ones(len(self.distinct), dtype=np.int64)
+        """The corpus count of every distinct n-gram, from the counts of those that other blocks have too."""
+        out = self.counts.astype(np.int64)
         out[np.searchsorted(self.distinct, grams)] = counts
         return out
 
@@ -136,7 +137,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("row_id", "text"), F.lit(n)).cast("int"))
     asked = dealt.groupBy("block").applyInArrow(_ask(order), _ASK)
     total = F.sum("n").over(Window.partitionBy("gram"))
-    answered = asked.select("block", "gram", total.alias("total")).where(F.col("total") > 1)
+    answered = asked.select("block", "gram", "n", total.alias("total")).where("total > n").drop("n")
     return dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_score(order, backoff, min_count), _SCORE)
 
 
