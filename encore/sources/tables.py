@@ -4,19 +4,19 @@ The driver tables are TPC-H-like; ``plays_raw_wide`` maps them onto the wide
 play fact (fact ⟕ tracks ⟕ albums ⟕ artists) with *raw* reason codes, so the
 cleaning operators run on top of it exactly as they do on a real export.
 
-Plan shape: the small dimension chains (supplier→nation→region,
-customer→nation) are joined first on the dimension side, then joined to the
-lineitem⋈orders stream. Only nation/region carry an explicit broadcast hint
-(25 / 5 rows by definition of the schema); every other join is left to the
-planner so AQE picks broadcast only when the runtime size is under
-``spark.sql.autoBroadcastJoinThreshold`` and sort-merge otherwise.
+Plan shape: the fact is shuffled once, with the orders, which have met their
+listener before. Tracks (part) and artists (supplier) are then joined as plain
+scans, of which the planner knows the size: it broadcasts them up to
+``spark.sql.autoBroadcastJoinThreshold``, without a shuffle of the fact, and
+sort-merges larger ones. Only nation/region carry an explicit broadcast hint
+(25 / 5 rows by definition of the schema).
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = [
@@ -38,37 +38,37 @@ def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def _artist_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """supplier ⋈ nation ⋈ region → one row per artist with its attributes."""
-    s = scan(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+def _with_artist(spark: SparkSession, sf_dir: str, plays: DataFrame) -> DataFrame:
+    """``plays`` ⋈ supplier ⋈ nation ⋈ region on ``l_suppkey``.
+
+    The suppliers are joined as they are scanned, so that the planner knows their size; a join's is only guessed.
+    """
+    s = scan(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name", "s_nationkey", "s_acctbal")
     n = scan(spark, sf_dir, "nation").select(
         F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("sn_name"), "n_regionkey"
     )
     r = scan(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
-    k = F.col("s_suppkey")
+    return plays.join(s, "l_suppkey").join(F.broadcast(n), "s_nationkey").join(F.broadcast(r), "n_regionkey")
+
+
+def _artist_columns() -> dict[str, Column]:
+    """The artist's attributes, one artist per supplier, from the columns of :func:`_with_artist`."""
+    k = F.col("l_suppkey")
     genre = (
         F.when(k % 4 == 0, "art rock").when(k % 4 == 1, "Hip-Hop").when(k % 4 == 2, "dream pop")
         .otherwise("classical")
     )
-    return (
-        s.join(F.broadcast(n), "s_nationkey").join(F.broadcast(r), "n_regionkey")
-        .select(
-            k.alias("artist_id"),
-            F.col("s_name").alias("artist_name"),
-            (F.lit(1940) + (k * 7) % 85).alias("album_release_year"),
-            F.when(k % 5 == 0, F.lit(None)).otherwise(F.concat(F.lit("Q"), k.cast("string")))
-            .alias("wikidata_entity_id"),
-            F.when(k % 3 == 0, "female").when(k % 3 == 1, "male").alias("gender"),
-            F.when(k % 4 == 3, F.lit(None).cast("boolean")).otherwise(k % 2 == 0).alias("is_band"),
-            F.when(k % 5 == 0, F.lit(None)).otherwise(F.col("sn_name")).alias("country"),
-            F.when(k % 10 == 0, F.lit(""))
-            .otherwise(F.concat(genre, F.lit(";"), F.lower("r_name"))).alias("artist_genres"),
-            (F.abs(F.floor("s_acctbal").cast("long")) % 101).alias("artist_popularity"),
-            F.when(k % 5 == 0, F.lit(None))
-            .otherwise(F.concat(F.lit("https://artist"), k.cast("string"), F.lit(".example.org")))
-            .alias("website"),
-        )
-    )
+    return {
+        "artist_name": F.col("s_name"),
+        "album_release_year": F.lit(1940) + (k * 7) % 85,
+        "wikidata_entity_id": F.when(k % 5 == 0, F.lit(None)).otherwise(F.concat(F.lit("Q"), k.cast("string"))),
+        "gender": F.when(k % 3 == 0, "female").when(k % 3 == 1, "male"),
+        "is_band": F.when(k % 4 == 3, F.lit(None).cast("boolean")).otherwise(k % 2 == 0),
+        "country": F.when(k % 5 == 0, F.lit(None)).otherwise(F.col("sn_name")),
+        "artist_genres": F.when(k % 10 == 0, F.lit("")).otherwise(F.concat(genre, F.lit(";"), F.lower("r_name"))),
+        "artist_popularity": F.abs(F.floor("s_acctbal").cast("long")) % 101,
+        "website": F.when(k % 5 == 0, F.lit(None)).otherwise(F.concat(F.lit("https://artist"), k.cast("string"), F.lit(".example.org"))),
+    }
 
 
 def _listener_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,43 +84,44 @@ def _listener_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plays_raw_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binding view: one row per lineitem as a wide play with raw reason codes."""
+    hour = ((F.col("l_orderkey") * 37 + F.col("l_linenumber") * 3) % 24).cast("int")
+    # what comes from the line alone is reduced before the joins, so that shuffles carry the result
     li = scan(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount",
-        "l_returnflag", "l_linestatus", "l_shipdate",
+        "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag",
+        (F.col("l_shipdate").cast("timestamp_ntz") + F.make_interval(hours=hour)).alias("ts"),
+        (F.col("l_linestatus") == "F").alias("shuffle"),
+        (F.col("l_discount") == 0.0).alias("incognito_mode"),
     )
     o = scan(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderstatus", "o_orderpriority"
+        F.col("o_orderkey").alias("l_orderkey"), "o_custkey", (F.col("o_orderstatus") == "P").alias("offline"),
+        F.substring("o_orderpriority", 1, 1).alias("prio"),
     )
     p = scan(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_size")
-    artists = _artist_dim(spark, sf_dir).withColumnRenamed("artist_id", "l_suppkey")
     listeners = _listener_dim(spark, sf_dir).withColumnRenamed("c_custkey", "o_custkey")
 
-    hour = ((F.col("l_orderkey") * 37 + F.col("l_linenumber") * 3) % 24).cast("int")
     album_name = F.split_part(F.col("p_name"), F.lit(" "), F.lit(1))
-    prio = F.substring("o_orderpriority", 1, 1)
-    joined = li.join(o, "l_orderkey").join(listeners, "o_custkey").join(p, "l_partkey").join(artists, "l_suppkey")
+    prio, artist = F.col("prio"), _artist_columns()
+    # the orders meet their listener before the lines, of which there are several an order
+    joined = _with_artist(spark, sf_dir, li.join(o.join(listeners, "o_custkey"), "l_orderkey").join(p, "l_partkey"))
     return joined.select(
         "listener_id",
         F.concat(F.col("p_name"), F.lit("|"), F.col("l_suppkey").cast("string")).alias("track_id"),
         F.col("p_name").alias("track_name"),
         F.col("l_suppkey").alias("artist_id"),
-        "artist_name",
+        artist["artist_name"].alias("artist_name"),
         F.concat(album_name, F.lit("|"), F.col("l_suppkey").cast("string")).alias("album_id"),
         album_name.alias("album_name"),
-        "album_release_year", "wikidata_entity_id", "gender", "is_band", "country", "artist_genres",
-        "artist_popularity",
+        *[artist[c].alias(c) for c in ("album_release_year", "wikidata_entity_id", "gender", "is_band", "country",
+                                       "artist_genres", "artist_popularity")],
         (F.col("p_size").cast("long") * 6000).alias("track_duration_ms"),
-        "website",
-        (F.col("l_shipdate").cast("timestamp_ntz") + F.make_interval(hours=hour)).alias("ts"),
+        artist["website"].alias("website"),
+        "ts",
         (F.col("l_quantity").cast("long") * 6000).alias("ms_played"),
         F.when(prio == "1", "clickrow").when(prio == "2", "fwdbtn").when(prio == "3", "trackdone")
         .when(prio == "4", "backbtn").otherwise("playbtn").alias("reason_start"),
         F.when(F.col("l_returnflag") == "N", "trackdone").when(F.col("l_returnflag") == "A", "fwdbtn")
         .otherwise("endplay").alias("reason_end"),
-        "conn_country", "platform",
-        (F.col("l_linestatus") == "F").alias("shuffle"),
-        (F.col("o_orderstatus") == "P").alias("offline"),
-        (F.col("l_discount") == 0.0).alias("incognito_mode"),
+        "conn_country", "platform", "shuffle", "offline", "incognito_mode",
     )
 
 
