@@ -146,11 +146,18 @@ def monthly_play_series(plays: DataFrame, entity: str, k: int = 100, by: Sequenc
     month = "month_index" if month_index_ready else "month_seq"
     months = F.collect_list(F.when(F.col("n") > 0, F.struct(F.col(month).alias("m"), "n")))  # at most the history's months
     order = [F.desc("play_count"), F.asc("_sort")]
+    first = None
     if totals is None:
-        monthly = _non_null(plays, keys).groupBy(*by, *keys, month).agg(C.full_plays(plays).alias("n"))
-        entities = monthly.groupBy(*by, *keys).agg(F.sum("n").alias("play_count"), months.alias("months")).withColumn(
-            "_sort", sort_key(entity))
+        # plays without a name count for the first month only. The condition on the names stays above the counts, so that
+        # the top entities and the first month read one shuffle of the plays
+        named = F.lit(True)
+        for key in keys:
+            named = named & F.col(key).isNotNull()
+        monthly = plays.groupBy(*by, *keys, month).agg(C.full_plays(plays).alias("n"))
+        entities = monthly.filter(F.when(named, F.col("n")) >= 0).groupBy(*by, *keys).agg(
+            F.sum("n").alias("play_count"), months.alias("months")).withColumn("_sort", sort_key(entity))
         top = top_k(entities, order, k, by, "rank").filter(F.col("play_count") > 0)
+        first = monthly.groupBy(*by).agg(F.min(F.when(F.col("n") >= 0, F.col(month))).alias("first"))
     else:
         ranked = top_k(entity_play_counts(totals, entity, by), order, k, by, "rank").filter(F.col("play_count") > 0)
         ranked = bounded_broadcast(ranked.select(*by, *keys, "rank"), None if by else k)
@@ -159,7 +166,8 @@ def monthly_play_series(plays: DataFrame, entity: str, k: int = 100, by: Sequenc
     if month_index_ready:
         top = top.withColumn("first", F.lit(0))
     else:
-        top = _one_row_join(top, plays.groupBy(*by).agg(F.min("month_seq").alias("first")), by)
+        first = plays.groupBy(*by).agg(F.min("month_seq").alias("first")) if first is None else first
+        top = _one_row_join(top, first, by)
     series = top.select(*by, *keys, "rank", F.transform("months", lambda x: F.struct(
         (x["m"] - F.col("first")).alias("m"), x["n"].alias("n"))).alias("months"))
     points = series.select(*by, F.explode("months").alias("x")).select(*by, "x.m", "x.n")
@@ -316,11 +324,11 @@ def day_bounds(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return plays.groupBy(*by).agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"))
 
 
-def _month_spine(bounds: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Every month between first and last day with the number of its days in range."""
+def _month_spine(bounds: DataFrame, by: Sequence[str], *keep: str) -> DataFrame:
+    """Every month between first and last day with the number of its days in range, and the columns ``keep``."""
     m = F.explode(F.sequence(F.trunc("first_day", "month"), F.trunc("last_day", "month"),
                              F.expr("INTERVAL 1 MONTH")))
-    spine = bounds.select(*by, "first_day", "last_day", m.alias("month_start"))
+    spine = bounds.select(*by, *keep, "first_day", "last_day", m.alias("month_start"))
     days = F.datediff(F.least(F.col("last_day"), F.last_day("month_start")),
                       F.greatest(F.col("first_day"), F.col("month_start"))) + 1
     return spine.withColumn("days", days.cast("long"))
@@ -331,24 +339,43 @@ def _avg(sum_ms: Column, days: Column) -> Column:
     return sum_ms / (days * X.MS_PER_HOUR)
 
 
+def _period_hours(plays: DataFrame, period: Column, by: Sequence[str]) -> DataFrame:
+    """Per group the first and last day and Σ ms of every period, ``hours``: one aggregate of the plays, folded to a row.
+
+    The list has at most the history's periods.
+    """
+    by = list(by)
+    periods = plays.groupBy(*by, period.alias("period")).agg(
+        C.ms(plays).alias("sum_ms"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    return periods.groupBy(*by).agg(F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"),
+                                    F.collect_list(F.struct("period", "sum_ms")).alias("hours"))
+
+
+def _hours_of(period: Column, by: Sequence[str]) -> Column:
+    """Σ ms of one period in ``hours``; null without plays, and for a group without a key, as a join would give."""
+    known = F.lit(True)
+    for b in by:
+        known = known & F.col(b).isNotNull()
+    found = F.filter("hours", lambda h: h["period"] == period)
+    return F.when(known, F.try_element_at(found, F.lit(1))["sum_ms"])
+
+
 def avg_hours_per_year_month(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Σ hours per month / days of the month inside [first, last] day; months
     without plays appear with a null average."""
     by = list(by)
-    spine = _month_spine(day_bounds(plays, by), by).select(
-        *by, F.date_format("month_start", "yyyy-MM").alias("year_month"), "days")
-    hours = plays.groupBy(*by, "year_month").agg(C.ms(plays).alias("sum_ms"))
-    out = spine.join(hours, [*by, "year_month"], "left")
-    return out.select(*by, "year_month", _avg(F.col("sum_ms"), F.col("days")).alias("avg_hours_played_per_day"))
+    folded = _period_hours(plays, F.col("year_month"), by)
+    spine = _month_spine(folded, by, "hours").withColumn("year_month", F.date_format("month_start", "yyyy-MM"))
+    return spine.select(*by, "year_month", _avg(_hours_of(F.col("year_month"), by), F.col("days")).alias("avg_hours_played_per_day"))
 
 
 def avg_hours_per_year(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Σ hours per year / 365, except the first year (first day → Dec 31) and
     the last year (Jan 1 → last day; wins when both are the same year)."""
     by = list(by)
-    hours = plays.groupBy(*by, "year").agg(C.ms(plays).alias("sum_ms"))
-    b = day_bounds(plays, by)
-    out = _one_row_join(hours, b, by) if not by else hours.join(b, by)
+    folded = _period_hours(plays, F.col("year"), by)
+    out = _non_null(folded, by).select(*by, "first_day", "last_day", F.explode("hours").alias("h")).select(
+        *by, "first_day", "last_day", F.col("h.period").alias("year"), "h.sum_ms")
     first_year_days = F.datediff(F.make_date(F.year("first_day"), F.lit(12), F.lit(31)), F.col("first_day")) + 1
     last_year_days = F.datediff(F.col("last_day"), F.make_date(F.year("last_day"), F.lit(1), F.lit(1))) + 1
     days = (F.when(F.col("year") == F.year("last_day"), last_year_days)
@@ -359,14 +386,14 @@ def avg_hours_per_year(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def avg_hours_per_month_of_year(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Σ hours per month name / number of days with that month in range; Jan..Dec."""
     by = list(by)
+    folded = _period_hours(plays, F.col("month"), by)
+    month = F.month("month_start")
     spine = (
-        _month_spine(day_bounds(plays, by), by)
-        .groupBy(*by, F.month("month_start").alias("month")).agg(F.sum("days").alias("days"))
+        _month_spine(folded, by, "hours").select(*by, month.alias("month"), "days", _hours_of(month, by).alias("sum_ms"))
+        .groupBy(*by, "month").agg(F.sum("days").alias("days"), F.max("sum_ms").alias("sum_ms"))
     )
-    hours = plays.groupBy(*by, "month").agg(C.ms(plays).alias("sum_ms"))
-    out = spine.join(hours, [*by, "month"], "left")
     names = F.element_at(F.array(*[F.lit(m) for m in X.MONTH_NAMES]), F.col("month"))
-    return out.orderBy(*by, "month").select(
+    return spine.orderBy(*by, "month").select(
         *by, names.alias("month"), _avg(F.col("sum_ms"), F.col("days")).alias("avg_hours_played_per_day"))
 
 
@@ -377,15 +404,13 @@ def avg_hours_per_weekday(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame
     n div 7 plus one when (w − s) mod 7 < n mod 7 — no day spine needed.
     """
     by = list(by)
-    b = day_bounds(plays, by)
+    b = _period_hours(plays, F.weekday("day"), by)
     n = F.datediff("last_day", "first_day") + 1
     s = F.weekday("first_day")  # 0 = Monday
-    wk = b.select(*by, n.alias("n"), s.alias("s"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("weekday"))
+    wk = b.select(*by, "hours", n.alias("n"), s.alias("s"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("weekday"))
     days = (F.floor(F.col("n") / 7) + F.when(F.pmod(F.col("weekday") - F.col("s"), F.lit(7)) < F.col("n") % 7, 1)
             .otherwise(0)).cast("long")
-    spine = wk.select(*by, "weekday", days.alias("days"))
-    hours = plays.groupBy(*by, F.weekday("day").alias("weekday")).agg(C.ms(plays).alias("sum_ms"))
-    out = spine.join(hours, [*by, "weekday"], "left").filter(F.col("days") > 0)
+    out = wk.select(*by, "weekday", days.alias("days"), _hours_of(F.col("weekday"), by).alias("sum_ms")).filter(F.col("days") > 0)
     names = F.element_at(F.array(*[F.lit(d) for d in X.WEEKDAYS]), F.col("weekday") + 1)
     return out.orderBy(*by, "weekday").select(
         *by, names.alias("day_name"), _avg(F.col("sum_ms"), F.col("days")).alias("avg_hours_played_per_day"))
