@@ -136,7 +136,7 @@ def main() -> None:
     derived.export_files(derived.raw_export(raw), export)
 
     def json_ingest():
-        plays = history.read_history(spark, export, listener=r"listener_id=(\d+)/", glob="*.txt")
+        plays = history.read_history(spark, export, listener=r"listener_id=(\d+)/", glob="*.txt.gz")
         force(clean.clean_history(plays))
 
     def report_documents():

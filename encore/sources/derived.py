@@ -16,6 +16,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,26 +65,63 @@ def raw_export(raw: DataFrame) -> DataFrame:
         offline_ts.cast("long").alias("offline_timestamp"),
         F.col("incognito_mode"),
     )
-    rows = raw.select("listener_id", F.to_json(record(skipped)).alias("json"))
-    dup = raw.filter(F.hour("ts") == 3).select("listener_id", F.to_json(record(F.when(skipped, True))).alias("json"))
-    return rows.unionByName(dup)
+    # one pass: a play at 03:xx stands for two records
+    flags = F.when(F.hour("ts") == 3, F.array(skipped, F.when(skipped, True))).otherwise(F.array(skipped))
+    return raw.select("*", F.explode(flags).alias("_skipped")).select("listener_id", F.to_json(record(F.col("_skipped"))).alias("json"))
+
+
+_FILE = "listener_id bigint, chunk string, value string"
+_FILE_ARROW = pa.schema([("listener_id", pa.int64()), ("chunk", pa.string()), ("value", pa.string())])
+
+
+def _json_arrays(plays_per_file: int):
+    """Records of a task in listener order → a row per file, holding at most one file's records at a time."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, files = TaskContext.get().partitionId(), 0
+        who, texts = None, []
+
+        def file() -> pa.RecordBatch:
+            row = {"listener_id": who, "chunk": f"{task}-{files}", "value": "[" + ",".join(texts) + "]"}
+            return pa.RecordBatch.from_pylist([row], schema=_FILE_ARROW)
+
+        for part in parts:
+            for listener, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                if texts and (listener != who or len(texts) >= plays_per_file):
+                    yield file()
+                    files, texts = files + 1, []
+                who = listener
+                texts.append(text)
+        if texts:
+            yield file()
+
+    return run
 
 
 def export_files(records: DataFrame, path: str, plays_per_file: int = 1000) -> None:
-    """Write the export records as files that hold one JSON array each, ``listener_id=<id>/chunk=<n>/*.txt`` under ``path``."""
-    sizes = records.groupBy("listener_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(plays_per_file)).alias("_chunks"))
-    dealt = records.join(sizes, "listener_id").withColumn("chunk", F.pmod(F.xxhash64("json"), F.col("_chunks")))
-    arrays = dealt.groupBy("listener_id", "chunk").agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list("json")), F.lit("]")).alias("value"))
-    arrays.write.partitionBy("listener_id", "chunk").text(path)
+    """Write the export records as gzipped files that hold one JSON array each, ``listener_id=<id>/chunk=<n>/*.txt.gz`` under ``path``.
+
+    Each task writes the records it has, a listener's in files of at most ``plays_per_file``: nothing is shuffled.
+    """
+    sorted_ = records.where("listener_id is not null").select("listener_id", "json").sortWithinPartitions("listener_id")
+    files = sorted_.mapInArrow(_json_arrays(plays_per_file), _FILE)
+    files.write.partitionBy("listener_id", "chunk").option("compression", "gzip").text(path)
 
 
 def _write_zip(folder: str, history: str):
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         name = "-".join(str(k.as_py()) for k in key) + ".zip"
+        group = group.sort_by("member")
+        members, plays, values = (group.column(c) for c in ("member", "play", "value"))
         with archives.created(f"{folder}/{name}") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
             archive.writestr("ReadMeFirst.txt", "an export")
-            for member, value in sorted(zip(group.column("member").to_pylist(), group.column("value").to_pylist(), strict=True)):
-                archive.writestr(member.replace("HISTORY", history), value)
+            first = 0
+            while first < len(members):
+                member, last = members[first].as_py(), first + 1
+                while last < len(members) and members[last].as_py() == member:
+                    last += 1
+                text = ",".join(values.slice(first, last - first).to_pylist())
+                archive.writestr(member.replace("HISTORY", history), f"[{text}]" if plays[first].as_py() else text)
+                first = last
         return pa.table({"archive": [name]})
 
     return run
@@ -97,13 +135,15 @@ def export_zips(records: DataFrame, path: str, history: str, plays_per_member: i
     was cut off (archive number -1).
     """
     sizes = records.groupBy("listener_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(plays_per_member)).alias("_chunks"))
-    dealt = records.join(sizes, "listener_id").withColumn("chunk", F.pmod(F.xxhash64("json"), F.col("_chunks")))
-    arrays = dealt.groupBy("listener_id", "chunk").agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list("json")), F.lit("]")).alias("value"))
+    # a short row per listener, broadcast so that the records are not shuffled to meet it
+    dealt = records.join(F.broadcast(sizes), "listener_id").withColumn("chunk", F.pmod(F.xxhash64("json"), F.col("_chunks")))
     member = F.concat(F.lit("HISTORY/plays_"), F.col("chunk").cast("string"), F.lit(".json"))
-    plays = arrays.select("listener_id", F.floor(F.col("chunk") / members_per_zip).cast("int").alias("number"), member.alias("member"), "value")
+    # the records are shuffled once, to their archive, and put together there
+    plays = dealt.select("listener_id", F.floor(F.col("chunk") / members_per_zip).cast("int").alias("number"), member.alias("member"),
+                         F.lit(True).alias("play"), F.col("json").alias("value"))
     who = F.col("listener_id")
     other = lambda when, number, member, value: sizes.where(when).select(
-        "listener_id", F.lit(number).alias("number"), F.lit(member).alias("member"), F.lit(value).alias("value"))
+        "listener_id", F.lit(number).alias("number"), F.lit(member).alias("member"), F.lit(False).alias("play"), F.lit(value).alias("value"))
     files = (plays.unionByName(other(who % 7 == 0, -1, "HISTORY/cut.json", '[{"ts": "2020-01-01T00:00:00Z", "ms_pl'))
              .unionByName(other(who % 5 == 3, -2, "MyData/share.json", "[]")).unionByName(other(who % 5 == 4, -3, "MyData/Userdata.json", "{}")))
     written = files.groupBy("listener_id", "number").applyInArrow(_write_zip(path, history), "archive string")
@@ -134,9 +174,15 @@ def parse_export(records: DataFrame) -> DataFrame:
 # entity documents
 
 
+def _rows(raw: DataFrame, *columns: str) -> DataFrame:
+    """The distinct rows of these columns: text cannot sit in a hash aggregate's buffer, so a maximum of it would sort the
+    plays; as keys they are hash-aggregated, and a task sends a row per entity."""
+    return raw.select(*columns).distinct()
+
+
 def track_docs(raw: DataFrame) -> DataFrame:
     """One nested track document per track; artists divisible by 3 get a featured artist."""
-    per = raw.groupBy("track_id").agg(
+    per = _rows(raw, "track_id", "track_name", "track_duration_ms", "album_id", "artist_id").groupBy("track_id").agg(
         F.max("track_name").alias("name"), F.max("track_duration_ms").alias("duration_ms"),
         F.max("album_id").alias("album_id"), F.max("artist_id").alias("artist_id"))
     size = F.col("duration_ms") / 6000
@@ -158,7 +204,7 @@ def _genre_parts(g: Column) -> tuple[Column, Column]:
 
 def artist_docs(raw: DataFrame) -> DataFrame:
     """One artist document per artist: the first genre comes from the API, images vary."""
-    per = raw.groupBy("artist_id").agg(
+    per = _rows(raw, "artist_id", "artist_name", "artist_genres", "artist_popularity").groupBy("artist_id").agg(
         F.max("artist_name").alias("name"), F.max("artist_genres").alias("g"),
         F.max("artist_popularity").alias("popularity"))
     api_genre, _ = _genre_parts(F.col("g"))
@@ -189,8 +235,9 @@ def kg_docs(raw: DataFrame) -> DataFrame:
     Binding order plants the fold cases: an unknown "instance of" label after
     a known one, and a "country of origin" superseded by a later citizenship.
     """
-    per = raw.groupBy("artist_id").agg(
-        *[F.max(c).alias(c) for c in ("wikidata_entity_id", "gender", "country", "website", "artist_genres")],
+    texts = ("wikidata_entity_id", "gender", "country", "website", "artist_genres")
+    per = _rows(raw, "artist_id", *texts, "is_band").groupBy("artist_id").agg(
+        *[F.max(c).alias(c) for c in texts],
         F.max(F.col("is_band").cast("int")).alias("is_band"))
     a = F.col("artist_id")
     item = F.concat(F.lit(GRAPH_ENTITY_PREFIX), F.col("wikidata_entity_id"))
@@ -217,7 +264,7 @@ def kg_docs(raw: DataFrame) -> DataFrame:
 def album_docs(raw: DataFrame) -> DataFrame:
     """One album document per album; release dates in year / month / day precision,
     with the unknown date and a malformed one planted by artist id."""
-    per = raw.groupBy("album_id").agg(
+    per = _rows(raw, "album_id", "album_name", "artist_id", "artist_name", "album_release_year", "track_id", "artist_popularity").groupBy("album_id").agg(
         F.max("album_name").alias("name"), F.max("artist_id").alias("artist_id"),
         F.max("artist_name").alias("artist_name"), F.max("album_release_year").alias("y"),
         F.array_sort(F.collect_set("track_id")).alias("tracks"),
