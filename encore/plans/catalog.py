@@ -100,7 +100,8 @@ def report_queries() -> dict[str, Query]:
         return kpis.single_values(plays(spark, sf_dir))
 
     def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rep = report_plan.Report(plays(spark, sf_dir), k=k, materialize=None)
+        # written once: counted from the plays themselves, every table would bind all of them again
+        rep = report_plan.Report(plays(spark, sf_dir), k=k)
         return report_plan.table_sizes(rep)
 
     def sample_by_listener(spark: SparkSession, sf_dir: str) -> DataFrame:
