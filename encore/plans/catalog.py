@@ -242,13 +242,22 @@ def ingest_queries() -> dict[str, Query]:
         from encore.session import scratch_path
         from encore.sinks import bucketed
 
-        # what the documents and the plays are derived from, read several times
-        bound = scratch_path(spark, "e14-bound")
-        raw(spark, sf_dir).write.parquet(bound)
-        r = spark.read.parquet(bound)
-        plays_ = clean.mark_full_play(clean.map_reasons(r.select(
-            "listener_id", "track_id", "ts", "ms_played", "reason_start", "reason_end")))
-        fact = bucketed.write_bucketed(plays_, scratch_path(spark, "e14-fact"))
+        # the plays are bound and written once, with the keys and names of their track; what the documents are derived from
+        # is a row per track, to which the artist's attributes are joined afterwards
+        track = ["track_id", "track_name", "album_id", "album_name", "artist_id"]
+        play = ["listener_id", "ts", "ms_played", "reason_start", "reason_end"]
+        bound, entities = scratch_path(spark, "e14-bound"), scratch_path(spark, "e14-entities")
+        raw(spark, sf_dir).select(*track, "track_duration_ms", *play).write.parquet(bound)
+        stored = spark.read.parquet(bound)
+        # names as keys and numbers as measures: the aggregate stays a hash aggregate
+        per_track = stored.groupBy(*track).agg(F.max("track_duration_ms").alias("track_duration_ms"), F.count(F.lit(1)).alias("n"))
+        tables.with_artist_columns(spark, sf_dir, per_track).write.parquet(entities)
+        r = spark.read.parquet(entities)
+        plays_ = clean.mark_full_play(clean.map_reasons(stored.select("track_id", *play)))
+        plays_ = plays_.select("listener_id", "track_id", "ts", "ms_played", "reason_start", "reason_end", "full_play")
+        # an artist that the suppliers list twice has its tracks twice in the entities, but not in its plays' counts
+        once = r.select(*track, "n").distinct().groupBy("track_id").agg(F.sum("n").alias("n"))
+        fact = bucketed.write_bucketed(plays_, scratch_path(spark, "e14-fact"), counts=once)
         w = ingest.enrich_stored_fact(
             fact, enrich.flatten_tracks(derived.track_docs(r)), enrich.flatten_albums(derived.album_docs(r)),
             enrich.flatten_artists(derived.artist_docs(r), derived.kg_docs(r)))

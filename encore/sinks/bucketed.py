@@ -48,15 +48,18 @@ class BucketedFact:
         return self.plays().drop(*shadowed).join(self.per_salt(tracks), [KEY, SALT], "left").drop(SALT)
 
 
-def write_bucketed(plays: DataFrame, path: str, buckets: int | None = None, max_hot: int = MAX_HOT) -> BucketedFact:
+def write_bucketed(plays: DataFrame, path: str, buckets: int | None = None, max_hot: int = MAX_HOT,
+                   counts: DataFrame | None = None) -> BucketedFact:
     """Write ``plays`` under ``path`` (replacing what is there) in ``buckets`` files (default: the shuffle partitions).
 
-    Plays without a track are dealt over salts as a hot track's are.
+    Plays without a track are dealt over salts as a hot track's are. ``counts``: the plays per track (``track_id, n``), a
+    row per track, where they are known already; else they are counted.
     """
     spark = plays.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     fact = BucketedFact(spark, path.rstrip("/"), buckets)
-    counts = plays.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
+    if counts is None:
+        counts = plays.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
     whole = plays.count()
     least = max(1, -(-whole // max_hot))
     hot = counts.where((F.col("n") >= least) & (F.col("n") > 1)).select(

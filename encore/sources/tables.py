@@ -71,6 +71,16 @@ def _artist_columns() -> dict[str, Column]:
     }
 
 
+def with_artist_columns(spark: SparkSession, sf_dir: str, tracks: DataFrame) -> DataFrame:
+    """Rows of the bound plays that were stored without their artist's attributes (with ``artist_id``), and these attributes.
+
+    The same rows as if the plays had carried them; the artists of bound plays are all there. An artist whose key the
+    suppliers list twice gives its rows twice.
+    """
+    joined = _with_artist(spark, sf_dir, tracks.withColumn("l_suppkey", F.col("artist_id")))
+    return joined.select(*tracks.columns, *[value.alias(name) for name, value in _artist_columns().items()])
+
+
 def _listener_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = scan(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = scan(spark, sf_dir, "nation").select(

@@ -113,3 +113,39 @@ def test_average_hours_of_a_listener_without_a_key(spark):
     assert months == {(None, "2020-01", None), (1, "2020-01", 0.5), (1, "2020-02", None), (1, "2020-03", 2.0)}
     years = {r["year"]: r["avg_hours_played_per_day"] for r in report.avg_hours_per_year(plays, by).collect()}
     assert years == {2020: 3 / 61, None: 5 / (365 * 3_600_000)}
+
+
+def test_documents_derive_from_a_row_per_track(spark, sf_dir, monkeypatch):
+    """Before, each of the four kinds of document was derived from all plays."""
+    from encore.plans import catalog
+
+    seen = {}
+    for kind in ("track_docs", "album_docs", "artist_docs", "kg_docs"):
+        def watched(raw, kind=kind, keep=getattr(derived, kind)):
+            seen[kind] = (raw, keep(raw))
+            return seen[kind][1]
+
+        monkeypatch.setattr(derived, kind, watched)
+    counted = []
+    keep = catalog.ingest_queries()["e14_wide_fact_from_documents"](spark, sf_dir)
+    raw = tables.plays_raw_wide(spark, sf_dir)
+    tracks = raw.select("track_id").distinct().count()
+    assert keep.count() == raw.count() > tracks and len(seen) == 4
+    monkeypatch.undo()
+    for kind, (given, docs) in seen.items():
+        counted.append(given.count())
+        want = getattr(derived, kind)(raw)
+        assert sorted(map(str, docs.collect())) == sorted(map(str, want.collect())), kind
+    assert set(counted) == {tracks}
+
+
+def test_a_fact_stored_with_known_counts_is_the_same(spark, tmp_path):
+    from encore.sinks import bucketed
+
+    plays = spark.range(300).selectExpr("if(id % 3 = 0, 'hot', if(id % 10 = 1, null, 't' || id % 20)) AS track_id", "id AS ms_played")
+    counts = plays.groupBy("track_id").agg(F.count("*").alias("n"))
+    a = bucketed.write_bucketed(plays, str(tmp_path / "a"), buckets=4, max_hot=20)
+    b = bucketed.write_bucketed(plays, str(tmp_path / "b"), buckets=4, max_hot=20, counts=counts)
+    assert sorted(map(str, a.plays().collect())) == sorted(map(str, b.plays().collect()))
+    hot = [sorted(map(str, spark.read.parquet(str(tmp_path / x / "hot")).collect())) for x in ("a", "b")]
+    assert hot[0] == hot[1] and hot[0]
