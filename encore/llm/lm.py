@@ -13,12 +13,15 @@ counts of all blocks are summed and joined to every row that asked: the sum of
 a window over the n-gram, which shuffles the rows once where an aggregate
 joined back would shuffle them twice. The block looks its n-grams up in what
 comes back and sums per document; the counts of n-grams that no other block has
-are not sent back.
+are not sent back. A task takes its block's texts a batch at a time and keeps
+8 bytes per word and order of them.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -48,64 +51,111 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _words(texts: list[str | None], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts as hashes, and their number per text; ``known`` keeps the hashes of words met before."""
+    words, lengths = [], []
+    for text in texts:
+        own = (text or "").encode("utf-8").lower().split()  # A-Z; between \x20 and \x09-\x0D
+        out = list(map(known.get, own))
+        if None in out:
+            for i, h in enumerate(out):
+                if h is None:
+                    out[i] = known[own[i]] = xxhash.xxh64_intdigest(own[i]) or 1
+        words.append(np.array(out, dtype=np.uint64))
+        lengths.append(len(out))
+    return np.concatenate(words) if words else np.empty(0, np.uint64), np.array(lengths, dtype=np.int64)
+
+
+def _grams(flat: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndarray]:
+    """Per order the n-gram's hash at every word (0 where the text does not reach back so far)."""
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    grams = [flat]
+    for m in range(1, order):
+        before = grams[-1]
+        longer = np.zeros_like(flat)
+        longer[1:] = _mix(before[:-1] * _GOLDEN + flat[1:] + np.uint64(m))
+        longer[place < m] = 0
+        grams.append(longer)
+    return grams
+
+
 class Block:
-    """The n-grams of some texts: per order their hash at every word (0 where the text does not reach back so far)."""
+    """The distinct n-grams of some texts with their counts, per order and sorted.
+
+    The texts come in batches, of which only hashes stay: 8 bytes per word and order, and with ``keep`` those of the words.
+    """
 
-    def __init__(self, texts: list[str | None], order: int):
+    def __init__(self, batches: Iterable[list[str | None]], order: int, keep: bool = False):
         known: dict[bytes, int] = {}
-        words, lengths = [], []
-        for text in texts:
-            own = (text or "").encode("utf-8").lower().split()  # A-Z; between \x20 and \x09-\x0D
-            out = list(map(known.get, own))
-            if None in out:
-                for i, h in enumerate(out):
-                    if h is None:
-                        out[i] = known[own[i]] = xxhash.xxh64_intdigest(own[i]) or 1
-            words.append(np.array(out, dtype=np.uint64))
-            lengths.append(len(out))
-        self.lengths = np.array(lengths, dtype=np.int64)
-        flat = np.concatenate(words) if words else np.empty(0, np.uint64)
-        place = np.arange(len(flat)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
-        self.grams = [flat]
-        for m in range(1, order):
-            before = self.grams[-1]
-            longer = np.zeros_like(flat)
-            longer[1:] = _mix(before[:-1] * _GOLDEN + flat[1:] + np.uint64(m))
-            longer[place < m] = 0
-            self.grams.append(longer)
-        seen = [g[g != 0] for g in self.grams]
-        self.distinct, self.counts = np.unique(np.concatenate([*seen, np.full(len(flat), _ALL_WORDS)]), return_counts=True)
-
-    def totals(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The corpus count of every distinct n-gram, from the counts of those that other blocks have too."""
-        out = self.counts.astype(np.int64)
-        out[np.searchsorted(self.distinct, grams)] = counts
-        return out
-
-    def score(self, totals: np.ndarray, backoff: float, min_count: int) -> tuple[np.ndarray, np.ndarray]:
-        """Log score and number of backed-off words per text, with the corpus count of every distinct n-gram."""
-        if not len(self.grams[0]):
-            return np.zeros(len(self.lengths)), np.zeros(len(self.lengths), np.int64)
-        count = [np.where(g != 0, totals[np.searchsorted(self.distinct, g)], 0).astype(np.float64) for g in self.grams]
-        value = np.log(count[0]) - math.log(totals[0])
+        seen: list[list[np.ndarray]] = [[] for _ in range(order)]
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []  # words and their number per text, by batch
+        self.order, self.n_words = order, 0
+        for texts in batches:
+            flat, lengths = _words(texts, known)
+            self.n_words += len(flat)
+            for own, g in zip(seen, _grams(flat, lengths, order), strict=True):
+                own.append(g[g != 0])
+            if keep:
+                self.parts.append((flat, lengths))
+        del known
+        self.distinct, self.counts = [], []
+        for own in seen:
+            g = np.concatenate(own) if own else np.empty(0, np.uint64)
+            own.clear()
+            g.sort()
+            first = np.flatnonzero(np.concatenate([np.ones(min(len(g), 1), bool), g[1:] != g[:-1]]))
+            self.distinct.append(g[first])
+            self.counts.append(np.diff(first, append=len(g)))
+
+    def asks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Every distinct n-gram and its count here, a batch at a time; the first stands for all words."""
+        if self.n_words:
+            yield np.array([_ALL_WORDS]), np.array([self.n_words])
+        for grams, counts in zip(self.distinct, self.counts, strict=True):
+            for i in range(0, len(grams), _ASK_ROWS):
+                yield grams[i:i + _ASK_ROWS], counts[i:i + _ASK_ROWS]
+
+    def take_totals(self, grams: np.ndarray, totals: np.ndarray) -> None:
+        """Replace the counts of n-grams that other blocks have too by those of the corpus."""
+        for distinct, counts in zip(self.distinct, self.counts, strict=True):
+            at = np.minimum(np.searchsorted(distinct, grams), max(len(distinct) - 1, 0))
+            found = distinct[at] == grams if len(distinct) else np.zeros(len(grams), bool)
+            counts[at[found]] = totals[found]
+        whole = totals[grams == _ALL_WORDS]
+        self.n_words = int(whole[0]) if len(whole) else self.n_words
+
+    def score(self, backoff: float, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of words, of backed-off words and log score per text, in order."""
+        found = [self._score(flat, lengths, backoff, min_count) for flat, lengths in self.parts]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _score(self, flat: np.ndarray, lengths: np.ndarray, backoff: float, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not len(flat):
+            return lengths, np.zeros(len(lengths), np.int64), np.zeros(len(lengths))
+        grams = _grams(flat, lengths, self.order)
+        count = []
+        for g, distinct, counts in zip(grams, self.distinct, self.counts, strict=True):
+            at = np.minimum(np.searchsorted(distinct, g), max(len(distinct) - 1, 0))
+            count.append(np.where(g != 0, counts[at] if len(distinct) else 0, 0).astype(np.float64))
+        value = np.log(count[0]) - math.log(self.n_words)
         backed = np.zeros(len(value), dtype=bool)
         for m in range(1, len(count)):
             context = np.ones_like(value)
             context[1:] = np.maximum(count[m - 1][:-1], 1.0)
-            exists, hit = self.grams[m] != 0, (self.grams[m] != 0) & (count[m] >= min_count)
+            exists, hit = grams[m] != 0, (grams[m] != 0) & (count[m] >= min_count)
             value = np.where(hit, np.log(np.maximum(count[m], 1.0)) - np.log(context), np.where(exists, value + math.log(backoff), value))
             backed = exists & ~hit
-        owner = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        return (np.bincount(owner, weights=value, minlength=len(self.lengths)),
-                np.bincount(owner, weights=backed, minlength=len(self.lengths)).astype(np.int64))
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        return (lengths, np.bincount(owner, weights=backed, minlength=len(lengths)).astype(np.int64),
+                np.bincount(owner, weights=value, minlength=len(lengths)))
 
 
 def _ask(order: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        block = Block(table.column("text").to_pylist(), order)
-        own = pa.repeat(pa.scalar(key[0].as_py(), pa.int32()), len(block.distinct))
-        rows = pa.table([pa.array(block.distinct.view(np.int64)), own, pa.array(block.counts.astype(np.int64))], schema=_ASK_ARROW)
-        return pa.Table.from_batches(rows.to_batches(max_chunksize=_ASK_ROWS), schema=_ASK_ARROW)
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, own = Block((b.column("text").to_pylist() for b in batches), order), key[0].as_py()
+        for grams, counts in block.asks():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(grams.view(np.int64)), pa.repeat(pa.scalar(own, pa.int32()), len(grams)), pa.array(counts.astype(np.int64))], schema=_ASK_ARROW)
 
     return run
 
@@ -114,11 +164,11 @@ def _score(order: int, backoff: float, min_count: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _SCORE_ARROW.empty_table()
-        block = Block(docs.column("text").to_pylist(), order)
-        totals = block.totals(answers.column("gram").to_numpy().view(np.uint64), answers.column("total").to_numpy())
-        log_prob, backed = block.score(totals, backoff, min_count)
-        return pa.table([docs.column("row_id").cast(pa.int64()), pa.array(block.lengths), pa.array(backed), pa.array(log_prob)],
-                        schema=_SCORE_ARROW)
+        block = Block((chunk.to_pylist() for chunk in docs.column("text").chunks), order, keep=True)
+        for part in answers.to_batches():
+            block.take_totals(part.column("gram").to_numpy().view(np.uint64), part.column("total").to_numpy())
+        lengths, backed, log_prob = block.score(backoff, min_count)
+        return pa.table([docs.column("row_id").cast(pa.int64()), pa.array(lengths), pa.array(backed), pa.array(log_prob)], schema=_SCORE_ARROW)
 
     return run
 
