@@ -7,14 +7,16 @@ all words. A document's score is the sum of the logarithms.
 
 Documents are dealt into blocks of about ``block_bytes`` of text (so their
 number grows with the input). A block is exploded to one row per distinct
-n-gram, ``(gram, block, n)``, so an n-gram that a third of all words make up is
-one row per block. The rows are partitioned by the n-gram's hash, where the
+n-gram, ``(part, gram, block, n)``, so an n-gram that a third of all words make
+up is one row per block. The rows are partitioned by ``part``, a range of the
+n-gram's hash of which there are about as many per block at any size. There the
 counts of all blocks are summed and joined to every row that asked: the sum of
 a window over the n-gram, which shuffles the rows once where an aggregate
-joined back would shuffle them twice. The block looks its n-grams up in what
-comes back and sums per document; the counts of n-grams that no other block has
-are not sent back. A task takes its block's texts a batch at a time and keeps
-8 bytes per word and order of them.
+joined back would shuffle them twice. What comes back to a block has no hashes:
+a row per part holds the sums in the order of the hashes, which the block knows
+from its own texts, a byte for each sum under 255. The block sums per document.
+A task takes its block's texts a batch at a time and keeps 8 bytes per word and
+order of them.
 """
 
 from __future__ import annotations
@@ -38,8 +40,13 @@ BLOCK_BYTES = 16 << 20
 _ALL_WORDS = np.uint64(0)  # the entry that counts all words
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
-_ASK = "gram bigint, block int, n bigint"
-_ASK_ARROW = pa.schema([("gram", pa.int64()), ("block", pa.int32()), ("n", pa.int64())])
+PARTS = 4  # ranges of hashes per block, or up to twice as many
+_LARGE = 255  # sums from here on are listed by themselves
+
+_ASK = "part int, gram bigint, block int, n bigint"
+_ASK_ARROW = pa.schema([("part", pa.int32()), ("gram", pa.int64()), ("block", pa.int32()), ("n", pa.int64())])
+_ANSWER = "block int, part int, small binary, large array<bigint>"
+_ANSWER_ARROW = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("small", pa.binary()), ("large", pa.list_(pa.int64()))])
 _ASK_ROWS = 1 << 16  # in an Arrow batch
 _SCORE = "row_id bigint, n_words bigint, n_backoff bigint, log_prob double"
 _SCORE_ARROW = pa.schema([("row_id", pa.int64()), ("n_words", pa.int64()), ("n_backoff", pa.int64()), ("log_prob", pa.float64())])
@@ -51,6 +58,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _parts(grams: np.ndarray, bits: int) -> np.ndarray:
+    """The range of each hash: its first ``bits`` bits (1 or more)."""
+    return (grams >> np.uint64(64 - bits)).astype(np.int32)
+
+
 def _words(texts: list[str | None], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """The words of all texts as hashes, and their number per text; ``known`` keeps the hashes of words met before."""
     words, lengths = [], []
@@ -124,6 +136,19 @@ class Block:
         whole = totals[grams == _ALL_WORDS]
         self.n_words = int(whole[0]) if len(whole) else self.n_words
 
+    def take_parts(self, answers: Iterable[tuple[int, bytes, np.ndarray]], bits: int) -> None:
+        """As :meth:`take_totals`, from the totals of parts (see :func:`_answer`), which stand in the order of the hashes."""
+        own = np.concatenate([np.full(min(self.n_words, 1), _ALL_WORDS), *self.distinct])
+        own.sort()
+        parts = _parts(own, bits)
+        for part, small, large in answers:
+            start, end = np.searchsorted(parts, [part, part + 1])
+            totals = np.frombuffer(small, dtype=np.uint8).astype(np.int64)
+            if len(totals) != end - start:
+                raise ValueError(f"{len(totals)} counts for {end - start} n-grams")
+            totals[totals == _LARGE] = large
+            self.take_totals(own[start:end], totals)
+
     def score(self, backoff: float, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Number of words, of backed-off words and log score per text, in order."""
         found = [self._score(flat, lengths, backoff, min_count) for flat, lengths in self.parts]
@@ -150,23 +175,56 @@ class Block:
                 np.bincount(owner, weights=value, minlength=len(lengths)))
 
 
-def _ask(order: int):
+def _ask(order: int, bits: int):
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, own = Block((b.column("text").to_pylist() for b in batches), order), key[0].as_py()
         for grams, counts in block.asks():
             yield pa.RecordBatch.from_arrays(
-                [pa.array(grams.view(np.int64)), pa.repeat(pa.scalar(own, pa.int32()), len(grams)), pa.array(counts.astype(np.int64))], schema=_ASK_ARROW)
+                [pa.array(_parts(grams, bits)), pa.array(grams.view(np.int64)), pa.repeat(pa.scalar(own, pa.int32()), len(grams)),
+                 pa.array(counts.astype(np.int64))], schema=_ASK_ARROW)
 
     return run
 
 
-def _score(order: int, backoff: float, min_count: int):
+def _part_answers(part: int, gram: np.ndarray, block: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+    by = np.lexsort((gram.view(np.uint64), block))
+    block, total = block[by], total[by]
+    small = np.minimum(total, _LARGE).astype(np.uint8)
+    edges = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+    runs = [slice(a, b) for a, b in zip(edges, edges[1:], strict=False)]
+    return pa.RecordBatch.from_arrays([
+        pa.array([block[r.start] for r in runs], pa.int32()), pa.repeat(pa.scalar(part, pa.int32()), len(runs)),
+        pa.array([small[r].tobytes() for r in runs], pa.binary()),
+        pa.array([total[r][small[r] == _LARGE] for r in runs], pa.list_(pa.int64()))], schema=_ANSWER_ARROW)
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows ``part, gram, block, total`` in the order of the hashes a row per part and block: its totals in that order.
+
+    A total is one byte of ``small``; where that is 255, the next of ``large`` is the total. A task holds one part.
+    """
+    own, held = -1, []
+    for batch in batches:
+        part, *rest = (column.to_numpy() for column in batch.columns)
+        edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if held and part[a] != own:
+                yield _part_answers(own, *map(np.concatenate, zip(*held, strict=True)))
+                held = []
+            if a < b:
+                own = int(part[a])
+                held.append([column[a:b].copy() for column in rest])
+    if held:
+        yield _part_answers(own, *map(np.concatenate, zip(*held, strict=True)))
+
+
+def _score(order: int, backoff: float, min_count: int, bits: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _SCORE_ARROW.empty_table()
         block = Block((chunk.to_pylist() for chunk in docs.column("text").chunks), order, keep=True)
-        for part in answers.to_batches():
-            block.take_totals(part.column("gram").to_numpy().view(np.uint64), part.column("total").to_numpy())
+        block.take_parts(((part.as_py(), small.as_py(), large.values.to_numpy()) for part, small, large in zip(
+            *(answers.column(c) for c in ("part", "small", "large")), strict=True)), bits)
         lengths, backed, log_prob = block.score(backoff, min_count)
         return pa.table([docs.column("row_id").cast(pa.int64()), pa.array(lengths), pa.array(backed), pa.array(log_prob)], schema=_SCORE_ARROW)
 
@@ -185,10 +243,13 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = max(1, math.ceil(size / block_bytes))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("row_id", "text"), F.lit(n)).cast("int"))
-    asked = dealt.groupBy("block").applyInArrow(_ask(order), _ASK)
-    total = F.sum("n").over(Window.partitionBy("gram"))
-    answered = asked.select("block", "gram", "n", total.alias("total")).where("total > n").drop("n")
-    return dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_score(order, backoff, min_count), _SCORE)
+    bits = max(1, math.ceil(math.log2(n * PARTS)))
+    asked = dealt.groupBy("block").applyInArrow(_ask(order, bits), _ASK)
+    total = F.sum("n").over(Window.partitionBy("gram", "part"))
+    # dealt by the part alone, and the window leaves the hashes in order: the answers need no other shuffle or sort of the rows
+    summed = asked.repartition("part").select("part", "gram", "block", total.alias("total")).sortWithinPartitions("gram")
+    answered = summed.mapInArrow(_answer, _ANSWER)
+    return dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_score(order, backoff, min_count, bits), _SCORE)
 
 
 def op3_lm_scores(spark, sf_dir: str) -> DataFrame:
