@@ -34,6 +34,7 @@ from encore.llm import common
 
 LONG_CHARS = 32_768
 PIECE_CHARS = 16_384
+BATCH_IDS = 1 << 18  # ids in an Arrow batch; as a list each takes about 36 bytes
 
 # The pre-token pattern of this family of vocabularies; white space is the Unicode property.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -205,7 +206,7 @@ def _encode_short(path: str):
         c = codec(path)
         rows = ((row, c.encode(text)) for part in parts
                 for row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
-        yield from common.batches(rows, _IDS_ARROW, limit_bytes=2 << 20)
+        yield from common.batches(rows, _IDS_ARROW, limit_bytes=BATCH_IDS)
 
     return run
 
@@ -287,11 +288,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
     common.bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("row_id"), common.text_or_empty(text_col).alias("text"))
-    short = rows.where(F.length("text") <= long_chars).mapInArrow(_encode_short(path), "row_id bigint, ids array<int>")
+    short = rows.where(F.length("text") <= long_chars).mapInArrow(common.trimmed(_encode_short(path)), "row_id bigint, ids array<int>")
     key = ["row_id", "text_sha", "stretch", "piece"]
-    pieces = (rows.where(F.length("text") > long_chars).mapInArrow(_cut(path, piece_chars), _PIECE)
+    pieces = (rows.where(F.length("text") > long_chars).mapInArrow(common.trimmed(_cut(path, piece_chars)), _PIECE)
               .groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.first("plain").alias("plain"), F.first("part").alias("part")))
-    long = (pieces.mapInArrow(_encode_pieces(path), _LEAF)
+    long = (pieces.mapInArrow(common.trimmed(_encode_pieces(path)), _LEAF)
             .groupBy("row_id", "text_sha").applyInArrow(_join_pieces(path), "row_id bigint, ids array<int>"))
     return short.unionByName(long)
 
@@ -310,7 +311,7 @@ def _decode(path: str, with_ids: bool = False):
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``row_id, text`` of rows ``row_id, ids``; null ids decode to the empty text."""
     common.bound_batches(encoded.sparkSession)
-    return encoded.select("row_id", "ids").mapInArrow(_decode(path), "row_id bigint, text string")
+    return encoded.select("row_id", "ids").mapInArrow(common.trimmed(_decode(path)), "row_id bigint, text string")
 
 
 def _lists(column: pa.ListArray) -> Iterator[list[int]]:
@@ -338,7 +339,7 @@ def _digest(path: str):
 
 def digests(encoded: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of rows ``row_id, ids`` (decoded again)."""
-    return encoded.mapInArrow(_digest(path), _DIGEST)
+    return encoded.mapInArrow(common.trimmed(_digest(path)), _DIGEST)
 
 
 def encoded_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -349,7 +350,7 @@ def encoded_documents(docs: DataFrame, path: str) -> DataFrame:
     """
     made = encode(docs, path)
     decoded = F.sha2(F.col("text"), 256)
-    rows = made.mapInArrow(_decode(path, True), "row_id bigint, text string, ids array<int>")
+    rows = made.mapInArrow(common.trimmed(_decode(path, True)), "row_id bigint, text string, ids array<int>")
     return rows.select(F.col("row_id").alias("doc_id"), F.size("ids").cast("bigint").alias("n_tokens"), "ids", decoded.alias("decoded_sha256"))
 
 

@@ -177,9 +177,9 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     common.bound_batches(docs.sparkSession)
     sign = {"smallest": 1, "largest": -1}[keep]
     keys = docs.select((F.col(id_col).cast("bigint") * F.lit(sign)).alias("rank"), F.col(text_col).cast("string").alias("text"))
-    terminals = keys.mapInArrow(_combine(trie_bytes), _TERMINAL)
+    terminals = keys.mapInArrow(common.trimmed(_combine(trie_bytes)), _TERMINAL)
     dealt = terminals.repartition("text_bytes", "text_sha").sortWithinPartitions("text_key")
-    found = dealt.select("text_key", "owner_rank", "n_rows").mapInArrow(_own(trie_bytes), _OWNER)
+    found = dealt.select("text_key", "owner_rank", "n_rows").mapInArrow(common.trimmed(_own(trie_bytes)), _OWNER)
     return found.select("text_sha", (F.col("owner_rank") * F.lit(sign)).alias("owner_id"), "group_size")
 
 
@@ -195,7 +195,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     own = owners(docs, id_col, text_col, keep, trie_bytes)
     keys = docs.select(F.col(id_col).cast("bigint").alias("member_id"), F.col(text_col).cast("string").alias("text"))
     # repeated rows are counted, not dropped: they come back below, and only the first may be kept
-    members = (keys.mapInArrow(_members, "member_id bigint, text_sha binary")
+    members = (keys.mapInArrow(common.trimmed(_members), "member_id bigint, text_sha binary")
                .groupBy("member_id", "text_sha").agg(F.count(F.lit(1)).alias("copies")))
     joined = members.join(own, "text_sha").select(
         "*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))

@@ -300,7 +300,7 @@ def verified(pairs: DataFrame, texts: DataFrame, by_count: bool = False) -> Data
     """``a, b, similarity`` of the pairs, from the nodes' texts. A node in very many pairs is split by the join."""
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(by_count), _PAIR)
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(common.trimmed(_verify(by_count)), _PAIR)
 
 
 _SHINGLES = "node binary, shingle bigint"
@@ -339,7 +339,7 @@ def rest_pairs(nodes: DataFrame, threshold: float = SIMILARITY, by_count: bool =
     classes a tenth apart, whose smallest size gives a safe count for the class), and after the first one they share,
     at places i and j, there are need - 1 more to come: 1 + min(m - i, n - j) >= need, with the exact sizes.
     """
-    exploded = common.written(nodes.select("node", "text").mapInArrow(_explode_shingles(by_count), _SHINGLES), "near-shingles")
+    exploded = common.written(nodes.select("node", "text").mapInArrow(common.trimmed(_explode_shingles(by_count)), _SHINGLES), "near-shingles")
     frequency = exploded.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
     # a shingle that one node has can meet no other, but takes a place in the order
     ranked = exploded.join(frequency, "shingle").groupBy("node").agg(
@@ -420,7 +420,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     common.bound_batches(docs.sparkSession)
     text = docs.select(F.col(id_col).cast("bigint").alias("row_id"), F.unhex(F.md5(common.text_or_empty(text_col))).alias("node"),
                        common.text_or_empty(text_col).alias("text"))
-    sketches = common.written(text.mapInArrow(_sketch(by_count, n_bands, n_rows), _SKETCH), "near-sketches")
+    sketches = common.written(text.mapInArrow(common.trimmed(_sketch(by_count, n_bands, n_rows)), _SKETCH), "near-sketches")
     # one node per bag of shingles
     nodes = common.written(sketches.groupBy("shingle_key").agg(F.min("node").alias("hub"), F.first("bands").alias("bands")), "near-nodes")
     entries = nodes.select(F.col("hub").alias("node"), F.explode("bands").alias("key"))
