@@ -154,7 +154,7 @@ def ingest_queries() -> dict[str, Query]:
         from encore.sources import history
 
         path = scratch_path(spark, "s1-export")
-        derived.export_files(derived.raw_export(raw(spark, sf_dir)), path)
+        derived.export_files(derived.raw_records(raw(spark, sf_dir)), path)
         read = history.read_history(spark, path, listener=r"listener_id=(\d+)/", glob="*.txt.gz")
         return clean.clean_history(read.withColumn("listener_id", F.col("listener_id").cast("bigint")))
 

@@ -62,10 +62,10 @@ def opened(path: str) -> RangedFile:
 
 
 def created(path: str) -> BinaryIO:
-    """A file for writing, replacing one of this name; its folder is made."""
+    """A file for writing bytes as they are, replacing one of this name; its folder is made."""
     filesystem, name = _filesystem(path)
     filesystem.create_dir(name.rsplit("/", 1)[0], recursive=True)
-    return filesystem.open_output_stream(name)
+    return filesystem.open_output_stream(name, compression=None)  # else a name in .gz is compressed once more
 
 
 def _directory(file: BinaryIO, path: str) -> Iterator[tuple[str, str, int]]:

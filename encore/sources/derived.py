@@ -12,6 +12,7 @@ release dates, missing images.
 
 from __future__ import annotations
 
+import gzip
 import zipfile
 from collections.abc import Iterator
 
@@ -35,17 +36,31 @@ def _ids(*cols: Column) -> Column:
 # raw play-log export
 
 
-def raw_export(raw: DataFrame) -> DataFrame:
-    """(listener_id, json) rows: one raw export record per bound play, plus a
+# What a raw export record is made of.
+RECORD_COLUMNS = [
+    "listener_id", "track_id", "track_name", "artist_name", "album_name", "ts", "ms_played", "reason_start", "reason_end",
+    "conn_country", "platform", "shuffle", "offline", "incognito_mode",
+]
+
+
+def raw_records(raw: DataFrame) -> DataFrame:
+    """One row per raw export record, with the columns that :func:`record_json` takes: one record per bound play, plus a
     duplicate of every play at 03:xx, in which a false ``skipped`` is null."""
+    skipped = F.col("reason_end") == "fwdbtn"
+    # one pass: a play at 03:xx stands for two records
+    flags = F.when(F.hour("ts") == 3, F.array(skipped, F.when(skipped, True))).otherwise(F.array(skipped))
+    return raw.select(*RECORD_COLUMNS, F.explode(flags).alias("_skipped"))
+
+
+def record_json() -> Column:
+    """The JSON text of a row of :func:`raw_records`. It is several times as long as the row, so make it after sorts and shuffles."""
     q = F.col("ms_played") / 6000
     podcast = q == 1
     epoch = F.unix_timestamp(F.col("ts").cast("timestamp")) - 3600
     offline_ts = (F.when(~F.col("offline"), F.when(F.col("listener_id") % 3 == 0, F.lit(0)))
                   .when(F.col("listener_id") % 2 == 0, epoch * 1000 + 500)
                   .otherwise(epoch))
-    skipped = F.col("reason_end") == "fwdbtn"
-    record = lambda flag: F.struct(
+    return F.to_json(F.struct(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"),
         F.col("platform"),
         F.col("ms_played"),
@@ -60,51 +75,66 @@ def raw_export(raw: DataFrame) -> DataFrame:
         F.when(podcast, F.col("artist_name")).alias("episode_show_name"),
         F.when(podcast, F.concat(F.lit("media:episode:"), F.col("track_id"))).alias("spotify_episode_uri"),
         F.col("reason_start"), F.col("reason_end"), F.col("shuffle"),
-        flag.alias("skipped"),
+        F.col("_skipped").alias("skipped"),
         F.col("offline"),
         offline_ts.cast("long").alias("offline_timestamp"),
         F.col("incognito_mode"),
-    )
-    # one pass: a play at 03:xx stands for two records
-    flags = F.when(F.hour("ts") == 3, F.array(skipped, F.when(skipped, True))).otherwise(F.array(skipped))
-    return raw.select("*", F.explode(flags).alias("_skipped")).select("listener_id", F.to_json(record(F.col("_skipped"))).alias("json"))
+    ))
 
 
-_FILE = "listener_id bigint, chunk string, value string"
-_FILE_ARROW = pa.schema([("listener_id", pa.int64()), ("chunk", pa.string()), ("value", pa.string())])
+def raw_export(raw: DataFrame) -> DataFrame:
+    """(listener_id, json) rows: the records of :func:`raw_records` as text."""
+    return raw_records(raw).select("listener_id", record_json().alias("json"))
 
 
-def _json_arrays(plays_per_file: int):
-    """Records of a task in listener order → a row per file, holding at most one file's records at a time."""
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, files = TaskContext.get().partitionId(), 0
-        who, texts = None, []
+def _listener_order(records: DataFrame) -> DataFrame:
+    """(listener_id, json) of :func:`raw_records` or of :func:`raw_export`, a listener's records of a task one after another.
+
+    Their order follows from the records, so that a task that runs again makes the same files.
+    """
+    known = records.where("listener_id is not null")
+    rows = known.withColumn("_order", F.xxhash64(*records.columns)).sortWithinPartitions("listener_id", "_order")
+    return rows.select("listener_id", F.col("json") if "json" in records.columns else record_json().alias("json"))
 
-        def file() -> pa.RecordBatch:
-            row = {"listener_id": who, "chunk": f"{task}-{files}", "value": "[" + ",".join(texts) + "]"}
-            return pa.RecordBatch.from_pylist([row], schema=_FILE_ARROW)
 
-        for part in parts:
-            for listener, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                if texts and (listener != who or len(texts) >= plays_per_file):
-                    yield file()
-                    files, texts = files + 1, []
-                who = listener
-                texts.append(text)
-        if texts:
-            yield file()
+def _runs(parts: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, list[str]]]:
+    """A listener and at most ``most`` of its texts at a time, from batches in listener order."""
+    who, texts = None, []
+    for part in parts:
+        for listener, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            if texts and (listener != who or len(texts) >= most):
+                yield who, texts
+                texts = []
+            who = listener
+            texts.append(text)
+    if texts:
+        yield who, texts
+
+
+_WRITTEN = "listener_id bigint, file string"
+_WRITTEN_ARROW = pa.schema([("listener_id", pa.int64()), ("file", pa.string())])
+
+
+def _write_files(folder: str, plays_per_file: int):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for n, (who, texts) in enumerate(_runs(parts, plays_per_file)):
+            name = f"listener_id={who}/{task}-{n}.txt.gz"
+            with archives.created(f"{folder}/{name}") as out:
+                out.write(gzip.compress(("[" + ",".join(texts) + "]").encode("utf-8"), 6, mtime=0))
+            yield pa.RecordBatch.from_pylist([{"listener_id": who, "file": name}], schema=_WRITTEN_ARROW)
 
     return run
 
 
 def export_files(records: DataFrame, path: str, plays_per_file: int = 1000) -> None:
-    """Write the export records as gzipped files that hold one JSON array each, ``listener_id=<id>/chunk=<n>/*.txt.gz`` under ``path``.
+    """Write the export records as gzipped files that hold one JSON array each, ``listener_id=<id>/<task>-<n>.txt.gz`` under ``path``.
 
-    Each task writes the records it has, a listener's in files of at most ``plays_per_file``: nothing is shuffled.
+    Each task writes the records it has, a listener's in files of at most ``plays_per_file``: nothing is shuffled, and
+    there is a folder per listener, not per file. ``records`` are those of :func:`raw_records` or of :func:`raw_export`.
     """
-    sorted_ = records.where("listener_id is not null").select("listener_id", "json").sortWithinPartitions("listener_id")
-    files = sorted_.mapInArrow(_json_arrays(plays_per_file), _FILE)
-    files.write.partitionBy("listener_id", "chunk").option("compression", "gzip").text(path)
+    written = _listener_order(records).mapInArrow(_write_files(path, plays_per_file), _WRITTEN)
+    written.write.format("noop").mode("overwrite").save()
 
 
 def _write_zip(folder: str, history: str):
