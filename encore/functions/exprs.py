@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for right results.
@@ -44,6 +47,40 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Control characters between and inside packed texts; texts may hold them too.
+_NEXT, _MARK = "\x01", "\x02"
+
+
+def text_columns(df: DataFrame) -> list[str]:
+    """The columns of plain text, of which equality is that of the bytes."""
+    return [f.name for f in df.schema.fields if f.dataType == T.StringType()]
+
+
+def pack_texts(df: DataFrame, texts: Sequence[str], into: str = "_texts") -> DataFrame:
+    """These text columns as one text, from which :func:`unpack_texts` gets them back, nulls and any characters included.
+
+    A text has a place and length in its row, which no codec shortens: a row with a dozen texts is shuffled at little
+    over half its size when they are one. Rows are equal exactly if their packed rows are.
+    """
+    def one(c: str) -> Column:
+        marked = F.replace(F.col(c), F.lit(_MARK), F.lit(_MARK + "e"))
+        return F.coalesce(F.replace(marked, F.lit(_NEXT), F.lit(_MARK + "s")), F.lit(_MARK + "n"))
+
+    rest = [F.col(c) for c in df.columns if c not in texts]
+    return df.select(*rest, F.concat_ws(_NEXT, *[one(c) for c in texts]).alias(into))
+
+
+def unpack_texts(df: DataFrame, texts: Sequence[str], columns: Sequence[str], packed: str = "_texts") -> DataFrame:
+    """``columns`` of what :func:`pack_texts` packed."""
+    def one(i: int) -> Column:
+        part = F.col(packed)[i]
+        plain = F.replace(F.replace(part, F.lit(_MARK + "s"), F.lit(_NEXT)), F.lit(_MARK + "e"), F.lit(_MARK))
+        return F.when(part != _MARK + "n", plain)
+
+    apart = df.withColumn(packed, F.split(F.col(packed), _NEXT))
+    return apart.select(*[one(texts.index(c)).alias(c) if c in texts else F.col(c) for c in columns])
+
+
 def map_values(c: str | Column, mapping: dict[str, str]) -> Column:
     """Replace listed values, keep all others (incl. null) unchanged."""
     expr = col(c)

@@ -45,8 +45,9 @@ def fill_flags(df: DataFrame) -> DataFrame:
 
 
 def dedup_plays(df: DataFrame) -> DataFrame:
-    """Remove exact full-row duplicates (over all raw columns, before pruning)."""
-    return df.dropDuplicates()
+    """Remove exact full-row duplicates (over all raw columns, before pruning). The texts of a row go as one."""
+    texts = X.text_columns(df)
+    return X.unpack_texts(X.pack_texts(df, texts).dropDuplicates(), texts, df.columns) if texts else df.dropDuplicates()
 
 
 def parse_ts(df: DataFrame, col: str = "ts") -> DataFrame:

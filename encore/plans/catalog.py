@@ -163,7 +163,7 @@ def ingest_queries() -> dict[str, Query]:
         from encore.sources import history
 
         path = scratch_path(spark, "s3-zips")
-        derived.export_zips(derived.raw_export(raw(spark, sf_dir)), path, history.HISTORY_FOLDER)
+        derived.export_zips(derived.raw_records(raw(spark, sf_dir)), path, history.HISTORY_FOLDER)
         return path
 
     def history_zips(spark, sf_dir):

@@ -153,7 +153,7 @@ def contents(spark: SparkSession, path: str, wanted: str, ranged: bool = True, b
         zips = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
         return zips.mapInArrow(_read_whole(wanted), _CONTENT)
     members = manifest(spark, path).where(F.col("member").rlike(wanted))
-    total = members.agg(F.sum("size")).first()[0] or 0
-    tasks = max(1, -(-total // bytes_per_task), min(int(spark.conf.get("spark.sql.shuffle.partitions")), members.count()))
+    total, number = members.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()  # the directories are read once for both
+    tasks = max(1, -(-total // bytes_per_task), min(int(spark.conf.get("spark.sql.shuffle.partitions")), number))
     dealt = members.repartition(int(tasks), "archive", "member").sortWithinPartitions("archive", "member")
     return dealt.select("archive", "member").mapInArrow(_read_ranged, _CONTENT)

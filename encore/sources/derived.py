@@ -13,6 +13,8 @@ release dates, missing images.
 from __future__ import annotations
 
 import gzip
+import itertools
+import operator
 import zipfile
 from collections.abc import Iterator
 
@@ -137,47 +139,59 @@ def export_files(records: DataFrame, path: str, plays_per_file: int = 1000) -> N
     written.write.format("noop").mode("overwrite").save()
 
 
-def _write_zip(folder: str, history: str):
-    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        name = "-".join(str(k.as_py()) for k in key) + ".zip"
-        group = group.sort_by("member")
-        members, plays, values = (group.column(c) for c in ("member", "play", "value"))
-        with archives.created(f"{folder}/{name}") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-            archive.writestr("ReadMeFirst.txt", "an export")
-            first = 0
-            while first < len(members):
-                member, last = members[first].as_py(), first + 1
-                while last < len(members) and members[last].as_py() == member:
-                    last += 1
-                text = ",".join(values.slice(first, last - first).to_pylist())
-                archive.writestr(member.replace("HISTORY", history), f"[{text}]" if plays[first].as_py() else text)
-                first = last
-        return pa.table({"archive": [name]})
+def _write_zips(folder: str, history: str, plays_per_member: int, members_per_zip: int):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for who, members in itertools.groupby(_runs(parts, plays_per_member), operator.itemgetter(0)):
+            for number in itertools.count(task * _ZIPS_PER_TASK):
+                some = list(itertools.islice(members, members_per_zip))
+                if not some:
+                    break
+                name = f"{who}-{number}.zip"
+                with archives.created(f"{folder}/{name}") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+                    archive.writestr("ReadMeFirst.txt", "an export")
+                    for i, (_, texts) in enumerate(some):
+                        archive.writestr(f"{history}/plays_{i}.json", "[" + ",".join(texts) + "]")
+                yield pa.RecordBatch.from_pylist([{"listener_id": who, "file": name}], schema=_WRITTEN_ARROW)
 
     return run
 
 
+def _write_others(folder: str):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for row in part.to_pylist():
+                name = f"{row['listener_id']}-{row['number']}.zip"
+                with archives.created(f"{folder}/{name}") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+                    archive.writestr("ReadMeFirst.txt", "an export")
+                    archive.writestr(row["member"], row["value"])
+                yield pa.RecordBatch.from_pylist([{"listener_id": row["listener_id"], "file": name}], schema=_WRITTEN_ARROW)
+
+    return run
+
+
+_ZIPS_PER_TASK = 1_000_000  # of a listener
+
+
 def export_zips(records: DataFrame, path: str, history: str, plays_per_member: int = 1000, members_per_zip: int = 20) -> None:
     """Write the export records as zip archives ``<listener>-<number>.zip`` under ``path``, as the service hands them out.
 
     Members in the folder ``history`` hold one JSON array each; an archive has at most ``members_per_zip`` of them. Every
     fifth listener has a technical log too, every fifth an account export (other archives), every seventh a member that
-    was cut off (archive number -1).
+    was cut off (archive number -1). Each task puts the records it has into archives: nothing is shuffled but the names
+    of the archives, which are kept beside them. ``records`` are those of :func:`raw_records` or of :func:`raw_export`.
     """
-    sizes = records.groupBy("listener_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(plays_per_member)).alias("_chunks"))
-    # a short row per listener, broadcast so that the records are not shuffled to meet it
-    dealt = records.join(F.broadcast(sizes), "listener_id").withColumn("chunk", F.pmod(F.xxhash64("json"), F.col("_chunks")))
-    member = F.concat(F.lit("HISTORY/plays_"), F.col("chunk").cast("string"), F.lit(".json"))
-    # the records are shuffled once, to their archive, and put together there
-    plays = dealt.select("listener_id", F.floor(F.col("chunk") / members_per_zip).cast("int").alias("number"), member.alias("member"),
-                         F.lit(True).alias("play"), F.col("json").alias("value"))
+    names = f"{path.rstrip('/')}-names"
+    written = _listener_order(records).mapInArrow(_write_zips(path, history, plays_per_member, members_per_zip), _WRITTEN)
+    written.write.parquet(names)
+    listeners = records.sparkSession.read.parquet(names).select("listener_id").distinct()
     who = F.col("listener_id")
-    other = lambda when, number, member, value: sizes.where(when).select(
-        "listener_id", F.lit(number).alias("number"), F.lit(member).alias("member"), F.lit(False).alias("play"), F.lit(value).alias("value"))
-    files = (plays.unionByName(other(who % 7 == 0, -1, "HISTORY/cut.json", '[{"ts": "2020-01-01T00:00:00Z", "ms_pl'))
-             .unionByName(other(who % 5 == 3, -2, "MyData/share.json", "[]")).unionByName(other(who % 5 == 4, -3, "MyData/Userdata.json", "{}")))
-    written = files.groupBy("listener_id", "number").applyInArrow(_write_zip(path, history), "archive string")
-    written.write.format("noop").mode("overwrite").save()
+    other = lambda when, number, member, value: F.when(when, F.struct(
+        F.lit(number).alias("number"), F.lit(member).alias("member"), F.lit(value).alias("value")))
+    others = F.array_compact(F.array(other(who % 7 == 0, -1, f"{history}/cut.json", '[{"ts": "2020-01-01T00:00:00Z", "ms_pl'),
+                                     other(who % 5 == 3, -2, "MyData/share.json", "[]"), other(who % 5 == 4, -3, "MyData/Userdata.json", "{}")))
+    rows = listeners.select("listener_id", F.explode(others).alias("other")).select("listener_id", "other.*")
+    rows.mapInArrow(_write_others(path), _WRITTEN).write.format("noop").mode("overwrite").save()
 
 
 def document_files(docs: DataFrame, path: str, id_col: str = "id", shown: str | None = None) -> None:
