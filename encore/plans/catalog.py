@@ -328,11 +328,8 @@ def sink_queries() -> dict[str, Query]:
         from encore.streaming import ingest
 
         src, out, ckpt = (scratch_path(spark, f"st-{n}") for n in ("src", "fact", "ckpt"))
-        records = derived.raw_export(tables.plays_raw_wide(spark, sf_dir))
-        # one play object per line, gzipped; files in a folder per listener and part, so that their number follows from
-        # the plays and not from the tasks that wrote them, and there are several batches of files
-        parts = records.select("listener_id", F.col("json").alias("value"), F.pmod(F.xxhash64("json"), F.lit(8)).alias("part"))
-        parts.hint("rebalance", "listener_id", "part").write.partitionBy("listener_id", "part").option("compression", "gzip").text(src)
+        # one play object per line; there are several batches of files
+        derived.export_lines(derived.raw_records(tables.plays_raw_wide(spark, sf_dir)), src)
         q = ingest.start_ingest(spark, src, out, checkpoint=ckpt, multi_line=False, listener=r"listener_id=(\d+)/", glob="*.txt.gz")
         q.awaitTermination()
         if q.exception() is not None:

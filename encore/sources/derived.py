@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from encore import schemas
+from encore.functions import exprs as X
+from encore.session import freed_shuffles
 from encore.sources import archives
 
 GRAPH_ENTITY_PREFIX = "http://www.wikidata.org/entity/"
@@ -113,6 +115,23 @@ def _runs(parts: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, lis
         yield who, texts
 
 
+def export_lines(records: DataFrame, path: str, parts: int = 8) -> None:
+    """Write the export records as gzipped files of one play a line, ``listener_id=<id>/part=<n>/*.txt.gz`` under ``path``.
+
+    A listener's records are dealt over ``parts`` folders by their hash, so that the number of files follows from the
+    plays and not from the tasks that had them. ``records`` are those of :func:`raw_records`, which become JSON where
+    they are written.
+    """
+    texts = X.text_columns(records)
+    dealt = X.pack_texts(records.withColumn("part", F.pmod(F.xxhash64(*records.columns), F.lit(parts))), texts)
+    # sorted while they are short, as the writer wants them
+    sorted_ = dealt.hint("rebalance", "listener_id", "part").sortWithinPartitions("listener_id", "part")
+    rows = X.unpack_texts(sorted_, texts, [*records.columns, "part"])
+    lines = rows.select("listener_id", "part", record_json().alias("value"))
+    with freed_shuffles(records.sparkSession):
+        lines.write.partitionBy("listener_id", "part").option("compression", "gzip").text(path)
+
+
 _WRITTEN = "listener_id bigint, file string"
 _WRITTEN_ARROW = pa.schema([("listener_id", pa.int64()), ("file", pa.string())])
 
@@ -136,7 +155,8 @@ def export_files(records: DataFrame, path: str, plays_per_file: int = 1000) -> N
     there is a folder per listener, not per file. ``records`` are those of :func:`raw_records` or of :func:`raw_export`.
     """
     written = _listener_order(records).mapInArrow(_write_files(path, plays_per_file), _WRITTEN)
-    written.write.format("noop").mode("overwrite").save()
+    with freed_shuffles(records.sparkSession):
+        written.write.format("noop").mode("overwrite").save()
 
 
 def _write_zips(folder: str, history: str, plays_per_member: int, members_per_zip: int):
@@ -183,7 +203,8 @@ def export_zips(records: DataFrame, path: str, history: str, plays_per_member: i
     """
     names = f"{path.rstrip('/')}-names"
     written = _listener_order(records).mapInArrow(_write_zips(path, history, plays_per_member, members_per_zip), _WRITTEN)
-    written.write.parquet(names)
+    with freed_shuffles(records.sparkSession):
+        written.write.parquet(names)
     listeners = records.sparkSession.read.parquet(names).select("listener_id").distinct()
     who = F.col("listener_id")
     other = lambda when, number, member, value: F.when(when, F.struct(

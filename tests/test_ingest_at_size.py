@@ -4,15 +4,19 @@ import gzip
 import itertools
 import json
 import os
+import time
 import zipfile
 
 from pyspark.sql import functions as F
 from test_scaled_inputs import sf_dir  # noqa: F401
 
+from encore import schemas
 from encore.functions import exprs as X
 from encore.operators import clean
-from encore.session import scratch_path
+from encore.session import freed_shuffles, scratch_path
 from encore.sources import derived, history, tables
+from encore.streaming import ingest
+from test_cleaning import rec
 
 
 def local(path):
@@ -114,3 +118,57 @@ def test_archives_are_listed_twice_not_three_times(spark, sf_dir, monkeypatch):
     members = history.archive_members(spark, path, history_only=True)
     assert not counts
     assert keep(members) > 0
+
+
+def test_export_lines_are_the_records_and_files_follow_from_the_plays(spark, sf_dir):  # noqa: F811
+    """Before, records were shuffled to their files as JSON."""
+    raw = tables.plays_raw_wide(spark, sf_dir)
+    raw = raw.unionByName(raw.where("ms_played = 6000 or hour(ts) = 3").withColumn("artist_name", F.lit(None).cast("string")))
+    path = scratch_path(spark, "own-lines")
+    derived.export_lines(derived.raw_records(raw), path, parts=3)
+    back = spark.read.text(path)
+    want = derived.raw_export(raw).selectExpr("cast(listener_id as int) AS listener_id", "json").collect()
+    assert sorted((r.listener_id, r.value) for r in back.collect()) == sorted((r.listener_id, r.json) for r in want)
+    files = [n for _, _, names in os.walk(local(path)) for n in names if n.endswith(".txt.gz")]
+    assert len(files) == back.select("listener_id", "part").distinct().count()
+
+
+def test_shuffles_of_a_written_table_are_freed(spark, tmp_path):
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    key, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", files()
+    df = spark.range(1000).repartition(8, "id")
+    with freed_shuffles(spark):
+        assert spark.conf.get(key) == "true"
+        df.write.parquet(str(tmp_path / "t"))
+    assert spark.conf.get(key) == "false"
+    until = time.time() + 20
+    while files() > before and time.time() < until:
+        time.sleep(0.2)
+    assert files() <= before
+    assert df.count() == spark.read.parquet(str(tmp_path / "t")).count() == 1000  # what was freed is made again if it is asked for
+
+
+def test_keys_of_the_ingest_are_short_and_go_as_numbers(spark, tmp_path):
+    """Before, a key was the whole SHA-256, 32 bytes that no codec shortens, in shuffle, state, checkpoint and fact."""
+    rows = [rec(), rec(), rec(ts="2020-01-05T10:00:00Z"), rec(master_metadata_album_artist_name=None), rec(platform="\x01\x02n")]
+    raw = spark.createDataFrame([tuple(r.get(c) for c in schemas.RAW_PLAY.fieldNames()) for r in rows], schemas.RAW_PLAY)
+    keyed = ingest.keyed_plays(raw.withColumn("listener_id", F.lit("x")))
+    assert {len(r.play_key) for r in keyed.collect()} == {16}
+    first = ingest.first_of_keys(keyed)
+    assert first.columns == keyed.columns
+    assert sorted(map(str, first.collect())) == sorted({str(r) for r in keyed.collect()})
+    exchanges = [x for x in first._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    assert exchanges and all("_key_1" in x and "_key_2" in x for x in exchanges)
+    # halves with leading zeros, and negative ones
+    odd = [bytes(16), b"\xff" * 16, bytes(7) + b"\x01" + b"\x80" + bytes(7), bytes(range(16))]
+    keys = spark.createDataFrame([(k, "t") for k in odd], "play_key binary, t string")
+    assert sorted(bytes(r.play_key) for r in ingest.first_of_keys(keys).collect()) == sorted(odd)
+
+
+def test_plays_stored_with_longer_keys_are_known(spark, tmp_path):
+    raw = spark.createDataFrame([tuple(rec().get(c) for c in schemas.RAW_PLAY.fieldNames())], schemas.RAW_PLAY).withColumn("listener_id", F.lit("x"))
+    fresh, out = ingest.keyed_plays(raw), str(tmp_path / "fact")
+    longer = fresh.withColumn("play_key", F.concat("play_key", F.lit(b"0123456789abcdef")))
+    ingest.store_batch(longer, 0, out, "earlier")
+    ingest.store_batch(fresh, 0, out, "later", ingest.other_runs(spark, out, "later"))
+    assert ingest.stored(spark, out).count() == 1
