@@ -180,11 +180,15 @@ def ingest_queries() -> dict[str, Query]:
         return kinds.select(listener.alias("listener_id"), "kind").distinct()
 
     def entity_documents(spark, sf_dir):
-        from encore.session import scratch_path
+        from encore.session import freed_shuffles, scratch_path
         from encore.sources import entities
 
-        src, out = scratch_path(spark, "s9-documents"), scratch_path(spark, "s9-table")
-        docs = derived.artist_docs(raw(spark, sf_dir))
+        src, out, rows = (scratch_path(spark, f"s9-{n}") for n in ("documents", "table", "artists"))
+        # the plays are bound once; documents derive from a row per artist
+        with freed_shuffles(spark):
+            raw(spark, sf_dir).select(*derived.ARTIST_COLUMNS).distinct().write.parquet(rows)
+        artist_rows = spark.read.parquet(rows)
+        docs = derived.artist_docs(artist_rows)
         # first versions of every second artist, one of three of them cut off; then all as they are
         old = docs.where("cast(id as bigint) % 2 = 0").withColumn("name", F.lit("an older name"))
         text = F.to_json(F.struct(*docs.columns))
@@ -193,7 +197,7 @@ def ingest_queries() -> dict[str, Query]:
         entities.update(spark, src, out, schemas.ARTIST_DOC, malformed="skip")
         derived.document_files(docs, src)
         entities.update(spark, src, out, schemas.ARTIST_DOC, malformed="skip")
-        return enrich.flatten_artists(entities.documents(spark, out), derived.kg_docs(raw(spark, sf_dir)))
+        return enrich.flatten_artists(entities.documents(spark, out), derived.kg_docs(artist_rows))
 
     def composite(spark, sf_dir):
         keyed = tables.with_missing_names(raw(spark, sf_dir)).select(

@@ -226,7 +226,10 @@ def document_files(docs: DataFrame, path: str, id_col: str = "id", shown: str |
                     out.write(text.encode("utf-8"))
             yield pa.RecordBatch.from_arrays([part.column(0)], names=["id"])
 
-    docs.select(F.col(id_col).alias("id"), body.alias("body")).mapInArrow(write, "id string").write.format("noop").mode("overwrite").save()
+    # small files cost their number and not their bytes, by which a task would get them all
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(id_col).alias("id"), body.alias("body")).repartition(tasks, "id")
+    rows.mapInArrow(write, "id string").write.format("noop").mode("overwrite").save()
 
 
 def parse_export(records: DataFrame) -> DataFrame:
@@ -267,6 +270,10 @@ def _genre_parts(g: Column) -> tuple[Column, Column]:
     return parts.getItem(0), F.element_at(parts, 2)
 
 
+# What documents of artists derive from.
+ARTIST_COLUMNS = ["artist_id", "artist_name", "artist_genres", "artist_popularity", "wikidata_entity_id", "gender", "country", "website", "is_band"]
+
+
 def artist_docs(raw: DataFrame) -> DataFrame:
     """One artist document per artist: the first genre comes from the API, images vary."""
     per = _rows(raw, "artist_id", "artist_name", "artist_genres", "artist_popularity").groupBy("artist_id").agg(
